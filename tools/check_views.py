@@ -1,0 +1,17 @@
+import sys, duckdb
+sys.path.insert(0, "/root/repo")
+from shelfsight.plans import derived_sql as d
+con = duckdb.connect()
+base = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+for t in d.BASE_TABLES:
+    con.execute(f"create view {t} as select * from '{base}/{t}.parquet'")
+for name, sql in d.DERIVED.items():
+    deps = [x for x in d.dependencies(sql) if x != name]
+    ctes = ", ".join(f"{x} as ({d.for_duckdb(d.DERIVED[x])})" for x in deps)
+    full = (f"with {ctes} " if deps else "") + d.for_duckdb(sql)
+    try:
+        r = con.execute(f"select count(*) from ({full})").fetchall()
+        r2 = con.execute(f"select * from ({full}) limit 1")
+        print(name, r, str(r2.fetchall())[:160])
+    except Exception as e:
+        print("ERR", name, str(e)[:400])
