@@ -254,7 +254,7 @@ from candidates
 """
 
 DERIVED["llm_responses"] = """
-select product_id * 3 + page_pos as response_id, product_id, page_pos, page_url,
+select product_id * 3 + page_pos as response_id, product_id, cast(page_pos as int) as page_pos, page_url,
        case when (product_id + page_pos) % 6 = 0 then 'Sorry, no JSON here'
             when (product_id + page_pos) % 6 = 1 then '[1, 2]'
             else concat(case when product_id % 3 = 0 then 'Result: ' when product_id % 3 = 1 then '```json ' else '' end,
@@ -273,7 +273,7 @@ from (
   select p_partkey as product_id, cast(p_partkey as string) as pid, lower(replace(p_brand, '#', '')) as brand, page_pos,
          concat(case when page_pos = 1 then 'https://shop.reseller.net/p/' else concat('https://www.', lower(replace(p_brand, '#', '')), '.com/p/') end,
                 cast(p_partkey as string), '?v=', cast(page_pos as string)) as page_url
-  from (select p_partkey, p_brand, cast(explode(sequence(0, 2)) as int) as page_pos from part) pp
+  from (select p_partkey, p_brand, explode(sequence(0, 2)) as page_pos from part) pp
 ) x
 """
 
@@ -338,7 +338,7 @@ from customer
 DERIVED["setting_rows"] = """
 select c_custkey as scope_id, 'white_threshold' as name, cast(c_nationkey * 10 as string) as value from customer
 union all select c_custkey, 'white_bg_min_percent', c_mktsegment from customer
-union all select c_custkey, 'min_confidence', cast(cast(c_acctbal as int) as string) from customer
+union all select c_custkey, 'min_confidence', cast(cast(floor(c_acctbal) as int) as string) from customer
 union all select c_custkey, 'strict_white_main', case c_nationkey % 5 when 0 then 'Yes' when 1 then '0' when 2 then 'TRUE' when 3 then 'off' end from customer
 union all select c_custkey, 'output_format', lower(c_mktsegment) from customer where c_acctbal > 0
 """
