@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfsight.functions.binding import let
 from shelfsight.functions.text import norm_alnum
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -42,8 +43,7 @@ def scheme(url: Column) -> Column:
 def hostname(url: Column) -> Column:
     """Lower-case host without user info, port and IPv6 brackets."""
     host = F.regexp_replace(F.lower(netloc(url)), r"^.*@", "")
-    bracketed = F.regexp_extract(host, r"^\[([^\]]*)\]", 1)
-    return F.when(host.startswith("["), bracketed).otherwise(F.regexp_extract(host, r"^([^:]*)", 1))
+    return F.regexp_replace(F.regexp_extract(host, r"^(\[[^\]]*\]|[^:]*)", 1), r"^\[|\]$", "")
 
 
 def path(url: Column) -> Column:
@@ -76,18 +76,18 @@ def _join_segments(parts: Column) -> Column:
 
     def step(acc: Column, seg: Column) -> Column:
         shorter = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(empty)
-        return (
-            F.when(seg == "..", shorter)
-            .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
+        return F.when(seg == "..", shorter).when(seg == ".", acc).otherwise(F.concat(acc, F.array(seg)))
 
     folded = F.aggregate(parts, empty, step)
-    closed = F.when(
-        F.element_at(parts, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))
-    ).otherwise(folded)
-    joined = F.array_join(closed, "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    # a final dot segment leaves a trailing slash
+    closing = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    return F.regexp_replace(F.array_join(F.concat(folded, closing), "/"), "^(?!/)", "/")
+
+
+def _without_dots(path_text: Column) -> Column:
+    return F.when(
+        path_text.rlike(r"(^|/)\.{1,2}(/|$)"), let(F.split(path_text, "/", -1), _join_segments)
+    ).otherwise(path_text)
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -97,40 +97,41 @@ def resolve(base: Column, ref: Column) -> Column:
     relative-path, query-only, fragment-only and empty. A reference that
     repeats the scheme without an authority (``http:x``) is left alone.
     """
-    ref = F.regexp_replace(F.regexp_replace(F.coalesce(ref, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-    base_path = path(base)
-    base_scheme = scheme(base)
-    origin = F.concat(base_scheme, F.lit("://"), netloc(base))
-
-    parts = r"^([^?#]*?)(;[^/?#]*)?(\?[^#]*)?(#.*)?$"
-    ref_path = F.regexp_extract(ref, parts, 1)
-    params = F.nullif(F.regexp_extract(ref, parts, 2), F.lit(";"))
-    query = F.nullif(F.regexp_extract(ref, parts, 3), F.lit("?"))
-    fragment = F.nullif(F.regexp_extract(ref, parts, 4), F.lit("#"))
-    tail = F.concat(F.coalesce(params, F.lit("")), F.coalesce(query, F.lit("")), F.coalesce(fragment, F.lit("")))
-
-    base_rest = F.regexp_replace(F.coalesce(base, F.lit("")), _AFTER_AUTHORITY, "")
-    base_params = F.regexp_extract(base_rest, r"^[^?#]*?(;[^/?#]*)?(?:[?#]|$)", 1)
-    base_query = F.regexp_extract(base_rest, r"^[^?#]*(\?[^#]*)?", 1)
-
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    # empty segments vanish from a merged path, except the first and the last
-    merged = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), ref_path), "/{2,}", "/")
-    dotted = F.when(ref_path.startswith("/"), ref_path).otherwise(merged)
-    has_dots = dotted.rlike(r"(^|/)\.{1,2}(/|$)")
-    resolved = F.when(has_dots, _join_segments(F.split(dotted, "/", -1))).otherwise(dotted)
-
-    return (
-        F.when(ref == "", base)
-        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(base_scheme, F.lit(":"), ref))
-        .when(
-            (ref_path == "") & (F.coalesce(params, F.lit("")) == ""),
-            F.concat(
-                origin, base_path, base_params, F.coalesce(query, base_query), F.coalesce(fragment, F.lit(""))
-            ),
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(ref, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    shape = r"^([^?#]*?)(;[^/?#]*)?(\?[^#]*)?(#.*)?$"
+    part = lambda r, k: F.regexp_extract(r, shape, k)
+    lone = lambda c, mark: F.when(c == mark, "").otherwise(c)
+
+    def relative(r: Column) -> Column:
+        pieces = F.struct(
+            F.concat(scheme(base), F.lit("://"), netloc(base)).alias("origin"),
+            part(r, 1).alias("path"),
+            lone(part(r, 2), ";").alias("params"),
+            lone(part(r, 3), "?").alias("query"),
+            lone(part(r, 4), "#").alias("fragment"),
+        )
+        return let(pieces, place)
+
+    def place(p: Column) -> Column:
+        rest = F.regexp_replace(base, _AFTER_AUTHORITY, "")
+        # empty segments vanish from a merged path, except the first and the last
+        folder = F.concat(F.lit("/"), F.regexp_replace(path(base), r"[^/]*$", ""))
+        merged = F.regexp_replace(F.concat(folder, p["path"]), "/{2,}", "/")
+        full = F.when(p["path"].startswith("/"), p["path"]).otherwise(merged)
+        stay = F.concat(
+            p["origin"], path(base), F.regexp_extract(rest, r"^[^?#]*?(;[^/?#]*)?(?:[?#]|$)", 1),
+            F.when(p["query"] == "", F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)).otherwise(p["query"]),
+            p["fragment"],
         )
-        .otherwise(F.concat(origin, resolved, tail))
+        move = F.concat(p["origin"], let(full, _without_dots), p["params"], p["query"], p["fragment"])
+        return F.when((p["path"] == "") & (p["params"] == ""), stay).otherwise(move)
+
+    return let(
+        clean,
+        lambda r: F.when(r == "", base)
+        .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+        .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
+        .otherwise(relative(r)),
     )
 
 
@@ -164,12 +165,30 @@ def _cidr(block: str) -> tuple[int, int]:
     return low, low + 2 ** (32 - int(bits)) - 1
 
 
-def _v4_public(number: Column) -> Column:
-    hidden = F.lit(False)
-    for block in NON_PUBLIC_V4:
-        low, high = _cidr(block)
-        hidden = hidden | number.between(low, high)
-    return ~hidden | number.isin(*[_cidr(a + "/32")[0] for a in PUBLIC_V4])
+def _v4_public(host: Column) -> Column:
+    def judge(number: Column) -> Column:
+        hidden = F.lit(False)
+        for block in NON_PUBLIC_V4:
+            low, high = _cidr(block)
+            hidden = hidden | number.between(low, high)
+        return ~hidden | number.isin(*[_cidr(a + "/32")[0] for a in PUBLIC_V4])
+
+    return let(ipv4_number(host), judge)
+
+
+def _v6_public(host: Column) -> Column:
+    group = lambda pattern: F.conv(F.nullif(F.regexp_extract(host, pattern, 1), F.lit("")), 16, 10).try_cast("int")
+
+    def judge(g: Column) -> Column:
+        first, second = g["first"], F.coalesce(g["second"], F.lit(0))
+        assigned = (first == 0x2001) & ((second < 0x200) | (second == 0xDB8))
+        documented = (first == 0x3FFF) & (second < 0x1000)
+        return F.coalesce(first.between(0x2000, 0x3FFF) & ~assigned & (first != 0x2002) & ~documented, F.lit(False))
+
+    groups = F.struct(
+        group(r"^([0-9a-f]{1,4}):").alias("first"), group(r"^[0-9a-f]{1,4}:([0-9a-f]{1,4})").alias("second")
+    )
+    return let(groups, judge)
 
 
 def ip_is_public(host: Column) -> Column:
@@ -178,19 +197,12 @@ def ip_is_public(host: Column) -> Column:
     IPv6: only 2000::/3 is global unicast, less its protocol-assignment,
     documentation and 6to4 blocks. Mapped IPv4 follows the inner address.
     """
-    mapped = F.regexp_extract(host, r"^::ffff:([\d.]+)$", 1)
-    first = F.conv(F.nullif(F.regexp_extract(host, r"^([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10).try_cast("int")
-    second = F.coalesce(
-        F.conv(F.nullif(F.regexp_extract(host, r"^[0-9a-f]{1,4}:([0-9a-f]{1,4})", 1), F.lit("")), 16, 10).try_cast("int"),
-        F.lit(0),
-    )
-    assigned = (first == 0x2001) & ((second < 0x200) | (second == 0xDB8))
-    global_v6 = first.between(0x2000, 0x3FFF) & ~assigned & (first != 0x2002) & ~((first == 0x3FFF) & (second < 0x1000))
-    return (
-        F.when(is_ipv4(host), _v4_public(ipv4_number(host)))
-        .when(is_ipv4(mapped), _v4_public(ipv4_number(mapped)))
-        .when(is_ipv6(host), F.coalesce(global_v6, F.lit(False)))
-    )
+
+    def judge(h: Column) -> Column:
+        mapped = F.regexp_replace(h, "^::ffff:", "")
+        return F.when(is_ipv4(mapped), _v4_public(mapped)).when(is_ipv6(h), _v6_public(h))
+
+    return let(host, judge)
 
 
 def literal_is_safe(url: Column) -> Column:
@@ -199,13 +211,11 @@ def literal_is_safe(url: Column) -> Column:
     Names that are not address literals pass here and are judged by their
     resolved addresses.
     """
-    host = hostname(url)
-    return (
-        scheme(url).isin("http", "https")
-        & (host != "")
-        & ~host.isin(*BLOCKED_HOSTS)
-        & F.coalesce(ip_is_public(host), F.lit(True))
+    allowed = let(
+        hostname(url),
+        lambda h: (h != "") & ~h.isin(*BLOCKED_HOSTS) & F.coalesce(ip_is_public(h), F.lit(True)),
     )
+    return scheme(url).isin("http", "https") & allowed
 
 
 def sitemap_host(domain: Column, strict_www: bool = False) -> Column:

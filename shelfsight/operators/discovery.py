@@ -59,15 +59,11 @@ def host_guesses(products: DataFrame) -> DataFrame:
     """Two likely hosts per product with a manufacturer, in order of preference."""
     name = F.lower(strip(F.coalesce("effective_manufacturer", F.lit(""))))
     blank = F.lit(" ")
-    return products.filter(name != "").select(
-        "product_id",
-        F.posexplode(
-            F.array(
-                F.concat(F.replace(name, blank, F.lit("")), F.lit(".com")),
-                F.concat(F.replace(name, blank, F.lit("-")), F.lit(".com")),
-            )
-        ).alias("guess_no", "host"),
+    guesses = F.array(
+        F.concat(F.replace(name, blank, F.lit("")), F.lit(".com")),
+        F.concat(F.replace(name, blank, F.lit("-")), F.lit(".com")),
     )
+    return products.filter(name != "").select(*products.columns, F.posexplode(guesses).alias("guess_no", "host"))
 
 
 def sitemap_addresses(hosts: DataFrame) -> DataFrame:
@@ -96,110 +92,162 @@ def sitemap_candidates(hosts: DataFrame, non_empty: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_expand(
+def sitemap_nodes(
     store: DataFrame,
     roots: DataFrame,
     max_depth: int = MAX_DEPTH,
     max_visited: int = MAX_VISITED,
     max_urls: int = MAX_URLS_PER_SITEMAP,
 ) -> DataFrame:
-    """Page addresses under each root sitemap, in document order.
+    """Sitemaps with addresses that a walk from each root reads: ``root, sitemap_url, doc_path``.
 
-    ``store`` has ``sitemap_url, kind, pos, loc``. Indexes are followed level
-    by level, ``max_depth`` equi-joins in all. Document order is a path of
+    ``store`` has ``sitemap_url, kind, pos, loc``. Document order is a path of
     zero-padded positions, so a sitemap sorts after its parent and before its
-    parent's later children. A root follows its first ``max_visited`` distinct
-    sitemaps in that order; a sitemap with that many earlier ones on its own
-    level can never be among them, which lets every level be cut to that many
-    rows per root before the next join. A sitemap starts only while fewer than
-    ``max_urls`` addresses came before it.
+    parent's later siblings. A root reads its first ``max_visited`` distinct
+    sitemaps in that order. One with that many known predecessors can never be
+    read, so children per index and sitemaps per root are cut to that number
+    after every step; this bounds the child arrays and every window below.
+    The walk is one chain of ``max_depth`` equi-joins in which each row emits
+    itself and, on its first step, its children. A sitemap starts only while
+    fewer than ``max_urls`` addresses came before it.
     """
-    index = first_n(
-        store.filter(F.col("kind") == "index").groupBy("sitemap_url", "loc").agg(F.min("pos").alias("pos")),
-        ["sitemap_url"], ["pos", "loc"], max_visited,
-    )
-    level = roots.select(F.col("sitemap_url").alias("root")).distinct().select(
-        "root", F.col("root").alias("node"), F.lit("").alias("doc_path")
-    )
-    levels = level
-    for _ in range(max_depth):
-        children = level.join(index, level["node"] == index["sitemap_url"]).select(
-            "root", F.col("loc").alias("node"),
-            F.concat("doc_path", F.lpad(F.col("pos").cast("string"), 8, "0"), F.lit(" "), "loc", F.lit("/")).alias("doc_path"),
+    children = (
+        first_n(
+            store.filter(F.col("kind") == "index").groupBy("sitemap_url", "loc").agg(F.min("pos").alias("pos")),
+            ["sitemap_url"], ["pos", "loc"], max_visited,
         )
-        level = first_n(
-            children.groupBy("root", "node").agg(F.min("doc_path").alias("doc_path")), ["root"], ["doc_path"], max_visited
+        .groupBy(F.col("sitemap_url").alias("node"))
+        .agg(F.collect_list(F.struct("pos", "loc")).alias("_children"))
+    )
+    walk = roots.select(F.col("sitemap_url").alias("root")).distinct().select(
+        "root", F.col("root").alias("node"), F.struct(F.lit("").alias("doc_path"), F.lit(0).alias("depth")).alias("at")
+    )
+    for step in range(max_depth):
+        itself = F.array(F.struct(F.col("node"), F.col("at")))
+        below = F.transform(
+            "_children",
+            lambda c: F.struct(
+                c["loc"].alias("node"),
+                F.struct(
+                    F.concat(
+                        F.col("at.doc_path"), F.lpad(c["pos"].cast("string"), 8, "0"), F.lit(" "), c["loc"], F.lit("/")
+                    ).alias("doc_path"),
+                    F.lit(step + 1).alias("depth"),
+                ).alias("at"),
+            ),
         )
-        levels = levels.unionByName(level)
-    visited = first_n(
-        levels.groupBy("root", "node").agg(F.min("doc_path").alias("doc_path")), ["root"], ["doc_path"], max_visited
-    )
-    pages = store.filter((F.col("kind") == "urlset") & (F.col("pos") < max_urls))
-    sizes = pages.groupBy("sitemap_url").agg(F.count("*").alias("_n"))
-    # at most max_visited rows per root are left here, so this window is small
-    before = Window.partitionBy("root").orderBy("doc_path").rowsBetween(Window.unboundedPreceding, -1)
-    started = (
-        visited.join(sizes, visited["node"] == sizes["sitemap_url"], "left")
+        grown = F.when((F.col("at.depth") == step) & F.col("_children").isNotNull(), F.concat(itself, below)).otherwise(itself)
+        emitted = walk.join(children, "node", "left").select("root", F.inline(grown))
+        walk = first_n(emitted.groupBy("root", "node").agg(F.min("at").alias("at")), ["root"], ["at"], max_visited)
+    sizes = (
+        store.filter((F.col("kind") == "urlset") & (F.col("pos") < max_urls))
+        .groupBy(F.col("sitemap_url").alias("node")).agg(F.count("*").alias("_n"))
+    )
+    before = Window.partitionBy("root").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        walk.join(sizes, "node", "left")
         .withColumn("_before", F.coalesce(F.sum(F.coalesce("_n", F.lit(0))).over(before), F.lit(0)))
         .filter((F.col("_before") < max_urls) & F.col("_n").isNotNull())
-        .select("root", "node", "doc_path")
+        .select("root", F.col("node").alias("sitemap_url"), F.col("at.doc_path").alias("doc_path"))
     )
-    return started.join(pages, started["node"] == pages["sitemap_url"]).select(
+
+
+def _addresses_of(store: DataFrame, nodes: DataFrame, max_urls: int) -> DataFrame:
+    pages = store.filter((F.col("kind") == "urlset") & (F.col("pos") < max_urls)).drop("kind")
+    return nodes.join(pages, "sitemap_url")
+
+
+def sitemap_expand(store: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
+    """All page addresses under each root sitemap; document order is ``doc_path, pos``."""
+    return _addresses_of(store, sitemap_nodes(store, roots, max_urls=max_urls), max_urls).select(
         "root", "sitemap_url", "doc_path", "pos", "loc"
     )
 
 
-def sku_url_match(site_urls: DataFrame, wanted: DataFrame, limit: int = MAX_SKU_HITS) -> DataFrame:
-    """First ``limit`` addresses per (host, sku) that contain the SKU.
+def site_urls(store: DataFrame, hosts: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
+    """Page addresses per host, from the first of its four sitemap addresses that yields any.
 
-    Comparing the texts with separators erased covers the plain comparison too.
-    A SKU made only of separators matches every address. ``site_urls`` has
-    ``host, doc_path, pos, loc``; ``wanted`` has ``host, sku``.
+    The choice is made among sitemaps, at most four roots of 101 each per host.
     """
-    asked = wanted.filter(F.col("sku") != "").select("host", "sku", erase_separators(strip(F.col("sku"))).alias("needle")).distinct()
+    addresses = sitemap_addresses(hosts.select("host").distinct())
+    nodes = sitemap_nodes(store, addresses.select("sitemap_url"), max_urls=max_urls)
+    best = Window.partitionBy("host")
+    chosen = (
+        nodes.join(addresses.select("host", "preference", F.col("sitemap_url").alias("root")), "root")
+        .withColumn("_best", F.min("preference").over(best))
+        .filter(F.col("preference") == F.col("_best"))
+        .select("host", "sitemap_url", "doc_path")
+    )
+    return _addresses_of(store, chosen, max_urls).select("host", "doc_path", "pos", "loc")
+
+
+def needle_of(sku: Column) -> Column:
+    """A SKU as it is searched for. Comparing with separators erased covers the plain comparison too."""
+    return erase_separators(strip(sku))
+
+
+def needle_hits(addresses: DataFrame, needles: DataFrame, limit: int = MAX_SKU_HITS) -> DataFrame:
+    """First ``limit`` addresses per distinct (host, needle) in document order."""
     hits = substring_hits(
-        site_urls.withColumn("_text", erase_separators(F.col("loc"))), "_text", asked.select("host", "needle").distinct(), "needle", ["host"]
+        addresses.withColumn("_text", erase_separators(F.col("loc"))), "_text", needles.select("host", "needle").distinct(), "needle", ["host"]
     )
-    best = first_n(hits, ["host", "needle"], ["doc_path", "pos"], limit, "place")
-    return asked.join(best, ["host", "needle"]).select("host", "sku", "place", "loc")
+    return first_n(hits, ["host", "needle"], ["doc_path", "pos"], limit, "place").select("host", "needle", "place", "loc")
+
+
+def sku_url_match(addresses: DataFrame, wanted: DataFrame, limit: int = MAX_SKU_HITS) -> DataFrame:
+    """First ``limit`` addresses per (host, sku) that contain the SKU.
+
+    A SKU made only of separators matches every address. ``addresses`` has
+    ``host, doc_path, pos, loc``; ``wanted`` has ``host, sku``.
+    """
+    asked = wanted.filter(F.col("sku") != "").select("host", "sku", needle_of(F.col("sku")).alias("needle")).distinct()
+    return asked.join(needle_hits(addresses, asked, limit), ["host", "needle"]).select("host", "sku", "place", "loc")
 
 
 def discover_pages(products: DataFrame, store: DataFrame, results: DataFrame) -> DataFrame:
     """Up to five pages per product: sitemap hits of the first productive host guess, then search results.
 
     ``products`` needs ``effective_manufacturer`` and ``effective_sku``. Sitemap
-    hits are not de-duplicated; search results are, against both. Hits per
-    (host, SKU) and pages per product are at most ten, so the arrays stay small.
+    hits are not de-duplicated; search results are, against both. A product
+    with fewer than three hits can lose at most two search results to them, so
+    seven results per product decide; all arrays here hold at most ten items.
     """
-    named = products.filter((F.col("effective_manufacturer") != "") & (F.col("effective_sku") != ""))
-    guesses = host_guesses(named).join(named.select("product_id", F.col("effective_sku").alias("sku")), "product_id")
-    hosts = guesses.select("host").distinct()
-    expanded = sitemap_expand(store, sitemap_addresses(hosts).select("sitemap_url"))
-    chosen = sitemap_candidates(hosts, expanded.select(F.col("root").alias("sitemap_url")))
-    site_urls = expanded.join(chosen, expanded["root"] == chosen["sitemap_url"]).select("host", "doc_path", "pos", "loc")
+    facts = products.select("product_id", "effective_manufacturer", "effective_sku")
+    guesses = host_guesses(facts.filter(F.col("effective_sku") != "")).select(
+        "product_id", "guess_no", "host", needle_of(F.col("effective_sku")).alias("needle")
+    )
+    ordered = lambda *cols: F.sort_array(F.collect_list(F.struct(*cols)))
     matched = (
-        sku_url_match(site_urls, guesses.select("host", "sku").distinct())
-        .groupBy("host", "sku")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "loc"))), lambda h: h["loc"]).alias("_hits"))
-    )
-    by_product = guesses.join(matched, ["host", "sku"]).groupBy("product_id").agg(F.min_by("_hits", "guess_no").alias("_hits"))
-    base = products.join(by_product, "product_id", "left").select(
-        "product_id", "effective_manufacturer",
-        F.coalesce("_hits", F.array().cast("array<string>")).alias("_hits"),
-    )
-    from_sitemap = base.select(
-        "product_id", F.posexplode(F.slice("_hits", 1, MAX_PAGES)).alias("page_pos", "page_url")
-    ).withColumn("found_by", F.lit("sitemap"))
-    short = base.filter(F.size("_hits") < ENOUGH_SITEMAP_HITS)
+        needle_hits(site_urls(store, guesses), guesses)
+        .groupBy("host", "needle")
+        .agg(F.transform(ordered("place", "loc"), lambda h: h["loc"]).alias("_hits"))
+    )
+    from_sitemap = guesses.join(matched, ["host", "needle"]).groupBy("product_id").agg(
+        F.min_by("_hits", "guess_no").alias("_hits")
+    )
     ranked = (
-        search_result_rank(search_result_filter(results).join(short, "product_id"))
-        .filter(~F.array_contains("_hits", F.col("url")))
+        search_result_rank(search_result_filter(results).join(facts, "product_id"))
         .groupBy("product_id", "url")
-        .agg(F.min(F.struct("host_rank", "rank")).alias("_key"), F.any_value(F.size("_hits")).alias("_n"))
+        .agg(F.min(F.struct("host_rank", "rank")).alias("_key"))
     )
-    found = first_n(ranked, ["product_id"], ["_key", "url"], MAX_PAGES, "_place")
-    from_search = found.filter(F.col("_n") + F.col("_place") <= MAX_PAGES).select(
-        "product_id", (F.col("_n") + F.col("_place") - 1).alias("page_pos"), F.col("url").alias("page_url"),
-        F.lit("search").alias("found_by"),
+    from_search = (
+        first_n(ranked, ["product_id"], ["_key", "url"], MAX_PAGES + ENOUGH_SITEMAP_HITS - 1, "_place")
+        .groupBy("product_id")
+        .agg(F.transform(ordered("_place", "url"), lambda r: r["url"]).alias("_found"))
+    )
+    none = F.array().cast("array<string>")
+    hits, found = F.coalesce("_hits", none), F.coalesce("_found", none)
+    page = lambda how: lambda u: F.struct(u.alias("page_url"), F.lit(how).alias("found_by"))
+    pages = F.concat(
+        F.transform(hits, page("sitemap")),
+        F.when(F.size(hits) < ENOUGH_SITEMAP_HITS, F.transform(F.array_except(found, hits), page("search"))).otherwise(
+            F.array().cast("array<struct<page_url: string, found_by: string>>")
+        ),
+    )
+    return (
+        facts.select("product_id")
+        .join(from_sitemap, "product_id", "left")
+        .join(from_search, "product_id", "left")
+        .select("product_id", F.posexplode(F.slice(pages, 1, MAX_PAGES)).alias("page_pos", "p"))
+        .select("product_id", "page_pos", "p.page_url", "p.found_by")
     )
-    return from_sitemap.unionByName(from_search)

@@ -61,7 +61,7 @@ def search_result_rank(t: Tables) -> DataFrame:
 
 @query
 def manufacturer_host_guesses(t: Tables) -> DataFrame:
-    return D.host_guesses(named_products(t))
+    return D.host_guesses(named_products(t)).select("product_id", "guess_no", "host")
 
 
 @query

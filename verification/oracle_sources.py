@@ -29,12 +29,12 @@ select image_id, octet_length(content) as n_bytes,
     "scan_search_ddg": DDG.format(names="'ddg', 'other'"),
     "search_dispatch": f"{BRAVE} union all {SERP} union all {CSE} union all {DDG.format(names=repr('ddg') + ', ' + repr('other'))}",
     "scan_llm_response": f"""
-with j as (select response_id, {JSON_TEXT} as o from llm_responses)
-select response_id, o = '' as parse_error, o <> '' and json_extract_string(o, '$.page_is_correct_product') = 'true' as page_is_correct_product,
-  case when o = '' then 0e0 else cast(json_extract_string(o, '$.product_match_confidence') as double) end as product_match_confidence,
-  cast(case when o = '' then 0 else json_array_length(o, '$.images') end as int) as n_images,
-  cast(case when o = '' then 0 else json_array_length(o, '$.rejected') end as int) as n_rejected,
-  case when o = '' then '' else array_to_string(list_transform(from_json(json_extract(o, '$.images'), '[{{"role":"VARCHAR"}}]'), lambda x: coalesce(x.role, '-')), ',') end as roles
+with raw as (select response_id, {JSON_TEXT} as o from llm_responses), j as (select response_id, case when o = '' then null else o end as o from raw)
+select response_id, o is null as parse_error, coalesce(json_extract_string(o, '$.page_is_correct_product') = 'true', false) as page_is_correct_product,
+  coalesce(cast(json_extract_string(o, '$.product_match_confidence') as double), 0e0) as product_match_confidence,
+  cast(coalesce(json_array_length(o, '$.images'), 0) as int) as n_images,
+  cast(coalesce(json_array_length(o, '$.rejected'), 0) as int) as n_rejected,
+  coalesce(array_to_string(list_transform(json_extract_string(nullif(o, ''), '$.images[*].role'), lambda x: coalesce(x, '-')), ','), '') as roles
 from j""",
     "settings_typed": """
 with w as (select scope_id, max(case when name = 'white_threshold' then value end) as a, max(case when name = 'white_bg_min_percent' then value end) as b,
