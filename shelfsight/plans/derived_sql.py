@@ -294,6 +294,15 @@ select concat(case letter when 'b' then 'https://img.other.net/' when 'e' then c
 from (select p_partkey, lower(replace(p_brand, '#', '')) as brand, explode(array('a', 'b', 'c', 'd', 'e', 'f', 'g')) as letter from part) p
 """
 
+# pages that stored recipes answered without classification
+DERIVED["recipe_hits"] = """
+select p_partkey as product_id, cast(p_size % 3 as int) as page_pos,
+       concat('https://www.', lower(replace(p_brand, '#', '')), '.com/r/', cast(p_partkey as string)) as page_url,
+       concat('https://cdn.', lower(replace(p_brand, '#', '')), '.com/', cast(p_partkey as string), '_a.jpg') as main_url,
+       case when p_size > 20 then concat('https://cdn.', lower(replace(p_brand, '#', '')), '.com/', cast(p_partkey as string), '_g.jpg') end as gallery_url
+from part where p_size between 10 and 30
+"""
+
 DERIVED["recipes"] = """
 select host as domain, cast(length(host) % 11 as int) as success_count, length(host) % 2 = 0 as recipe_built,
        cast(length(host) % 4 as int) as consecutive_failures, length(host) % 5 <> 0 as active,
