@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -114,3 +115,119 @@ def _contexts_of(html: str | None) -> list[str]:
 def image_contexts(html: pd.Series) -> pd.Series:
     """Per image, in document order, the text of the nearest ancestor that says enough."""
     return html.map(_contexts_of)
+
+
+_COMPOUND = re.compile(r"""(?P<tag>^[\w-]+|^\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?P<q>["']?)(?P<val>.*?)(?P=q)\s*)?\]""")
+
+
+def _compound(text: str):
+    """Tests of one compound selector such as ``img.hero[data-zoom]``."""
+    tests, at = [], 0
+    for m in _COMPOUND.finditer(text):
+        if m.start() != at:
+            break
+        at = m.end()
+        tests.append({k: v for k, v in m.groupdict().items() if v is not None})
+    if at != len(text) or not tests:
+        raise ValueError(f"unsupported selector: {text}")
+    return tests
+
+
+def _parse_selector(selector: str):
+    """Alternatives, each a list of (combinator, compound) from left to right."""
+    out = []
+    for alternative in selector.split(","):
+        steps, link = [], " "
+        for token in alternative.replace(">", " > ").split():
+            if token == ">":
+                link = ">"
+            else:
+                steps.append((link, _compound(token)))
+                link = " "
+        if not steps or link == ">":
+            raise ValueError(f"unsupported selector: {selector}")
+        out.append(steps)
+    return out
+
+
+def _matches(element, tests) -> bool:
+    tag, attrs = element
+    for t in tests:
+        if "tag" in t:
+            ok = t["tag"] in ("*", tag)
+        elif "cls" in t:
+            ok = t["cls"] in (attrs.get("class") or "").split()
+        elif "id" in t:
+            ok = attrs.get("id") == t["id"]
+        else:
+            have, want = attrs.get(t["attr"]), t.get("val", "")
+            ok = have is not None and {
+                "": True, "=": have == want, "^=": have.startswith(want), "$=": have.endswith(want),
+                "*=": want in have, "~=": want in have.split(), "|=": have == want or have.startswith(want + "-"),
+            }[t.get("op", "")]
+        if not ok:
+            return False
+    return True
+
+
+def _selected(path, steps) -> bool:
+    """Whether the last element of ``path`` (root first) is matched by the steps."""
+    if not _matches(path[-1], steps[-1][1]):
+        return False
+    if len(steps) == 1:
+        return True
+    ancestors, rest = path[:-1], steps[:-1]
+    if steps[-1][0] == ">":
+        return bool(ancestors) and _selected(ancestors, rest)
+    return any(_selected(ancestors[:k], rest) for k in range(len(ancestors), 0, -1))
+
+
+class _Selection(HTMLParser):
+    """Collects the attributes of elements that a selector matches, in document order."""
+
+    def __init__(self, selector: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.alternatives = _parse_selector(selector)
+        self.path: list[tuple[str, dict]] = []
+        self.found: list[dict] = []
+
+    def handle_starttag(self, tag, attrs):
+        first: dict = {}
+        for name, value in attrs:
+            first.setdefault(name, value or "")
+        self.path.append((tag, first))
+        if any(_selected(self.path, steps) for steps in self.alternatives):
+            self.found.append(first)
+        if tag in _VOID:
+            self.path.pop()
+
+    def handle_endtag(self, tag):
+        if tag in ("html", "body"):
+            return
+        for depth in range(len(self.path) - 1, -1, -1):
+            if self.path[depth][0] == tag:
+                del self.path[depth:]
+                return
+
+
+def _sources_of(html: str | None, selector: str | None, attribute: str | None) -> dict:
+    if not selector:
+        return {"ok": True, "sources": []}
+    try:
+        parser = _Selection(selector)
+    except ValueError:
+        return {"ok": False, "sources": []}
+    parser.feed(html or "")
+    parser.close()
+    name = attribute or "src"
+    return {"ok": True, "sources": [e.get(name) or e.get("src") or "" for e in parser.found]}
+
+
+@F.pandas_udf(T.StructType().add("ok", T.BooleanType()).add("sources", T.ArrayType(T.StringType())))
+def selected_sources(html: pd.Series, selector: pd.Series, attribute: pd.Series) -> pd.DataFrame:
+    """Image sources of the elements a selector matches; ``ok`` is false for selectors it cannot read.
+
+    Supports tags, classes, ids, attribute tests, child and descendant
+    combinators, and alternatives.
+    """
+    return pd.DataFrame([_sources_of(h, s, a) for h, s, a in zip(html, selector, attribute)], columns=["ok", "sources"])
