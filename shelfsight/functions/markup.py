@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelfsight.functions.text import unescape_html
 
-_ATTRIBUTE = r"""(?:[\s/]+[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
+_ATTRIBUTE = r"""(?:[\s/]++[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*?"""
 
 
 def without_noise(html: Column) -> Column:
@@ -23,7 +23,7 @@ def without_noise(html: Column) -> Column:
 
 def image_tags(html: Column) -> Column:
     """All ``<img>`` tags in document order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)(<img\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r"""(?i)(<img\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""), F.lit(1))
 
 
 def attribute(tag: Column, name: str) -> Column:

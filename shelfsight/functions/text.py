@@ -39,9 +39,10 @@ def contains_any(c: Column, tokens: tuple[str, ...]) -> Column:
 
 def unescape_html(c: Column) -> Column:
     """Decode the entities that occur in attribute values; ``&amp;`` goes last."""
+    decoded = c
     for entity, char in (
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-        ("&nbsp;", " "), ("&amp;", "&"),
+        ("&nbsp;", " "), ("&amp;", "&"),
     ):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)

@@ -48,8 +48,8 @@ def hostname(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """Path without ``;params`` of the last segment, query and fragment."""
-    rest = F.regexp_replace(F.coalesce(url, F.lit("")), _AFTER_AUTHORITY, "")
-    return F.regexp_extract(rest, r"^([^?#]*?)(?:;[^/?#]*)?(?:[?#]|$)", 1)
+    whole = F.regexp_extract(F.coalesce(url, F.lit("")), _AFTER_AUTHORITY + r"([^?#]*)", 1)
+    return F.regexp_replace(whole, r";[^/]*$", "")
 
 
 def robots_path(url: Column) -> Column:
@@ -86,55 +86,69 @@ def _join_segments(parts: Column) -> Column:
 
 def _without_dots(path_text: Column) -> Column:
     return F.when(
-        path_text.rlike(r"(^|/)\.{1,2}(/|$)"), let(F.split(path_text, "/", -1), _join_segments)
+        F.contains(path_text, F.lit("/.")) & path_text.rlike(r"/\.{1,2}(/|$)"), let(F.split(path_text, "/", -1), _join_segments)
     ).otherwise(path_text)
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of ``ref`` seen from the hierarchical URL ``base``.
+def base_parts(base: Column) -> Column:
+    """What resolving needs to know of a base URL; bind it once per page."""
+    rest = F.regexp_replace(base, _AFTER_AUTHORITY, "")
+    return F.struct(
+        base.alias("url"),
+        scheme(base).alias("scheme"),
+        F.concat(scheme(base), F.lit("://"), netloc(base)).alias("origin"),
+        F.regexp_extract(rest, r"^([^?#]*)", 1).alias("path"),
+        F.regexp_replace(path(base), r"[^/]*$", "").alias("folder"),
+        F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1).alias("query"),
+    )
+
+
+def resolve_from(base: Column, ref: Column) -> Column:
+    """Absolute form of ``ref`` seen from ``base_parts``.
 
     Covers references that are absolute, scheme-relative, absolute-path,
     relative-path, query-only, fragment-only and empty. A reference that
     repeats the scheme without an authority (``http:x``) is left alone.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(ref, F.lit("")), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-    shape = r"^([^?#]*?)(;[^/?#]*)?(\?[^#]*)?(#.*)?$"
-    part = lambda r, k: F.regexp_extract(r, shape, k)
+    clean = F.regexp_replace(F.coalesce(ref, F.lit("")), r"^[\x00-\x20]+|[\t\r\n]+", "")
+    after = lambda text, head: F.substr(text, F.length(head) + 1)
     lone = lambda c, mark: F.when(c == mark, "").otherwise(c)
 
     def relative(r: Column) -> Column:
+        unfragmented = F.substring_index(r, "#", 1)
+        before_query = F.substring_index(unfragmented, "?", 1)
+        params = F.when(F.contains(before_query, F.lit(";")), F.regexp_extract(before_query, r"(;[^/]*)$", 1)).otherwise("")
         pieces = F.struct(
-            F.concat(scheme(base), F.lit("://"), netloc(base)).alias("origin"),
-            part(r, 1).alias("path"),
-            lone(part(r, 2), ";").alias("params"),
-            lone(part(r, 3), "?").alias("query"),
-            lone(part(r, 4), "#").alias("fragment"),
+            F.substr(before_query, F.lit(1), F.length(before_query) - F.length(params)).alias("path"),
+            lone(params, ";").alias("params"),
+            lone(after(unfragmented, before_query), "?").alias("query"),
+            lone(after(r, unfragmented), "#").alias("fragment"),
         )
         return let(pieces, place)
 
     def place(p: Column) -> Column:
-        rest = F.regexp_replace(base, _AFTER_AUTHORITY, "")
         # empty segments vanish from a merged path, except the first and the last
-        folder = F.concat(F.lit("/"), F.regexp_replace(path(base), r"[^/]*$", ""))
-        merged = F.regexp_replace(F.concat(folder, p["path"]), "/{2,}", "/")
+        merged = F.regexp_replace(F.concat(F.lit("/"), base["folder"], p["path"]), "/{2,}", "/")
         full = F.when(p["path"].startswith("/"), p["path"]).otherwise(merged)
         stay = F.concat(
-            p["origin"], path(base), F.regexp_extract(rest, r"^[^?#]*?(;[^/?#]*)?(?:[?#]|$)", 1),
-            F.when(p["query"] == "", F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)).otherwise(p["query"]),
-            p["fragment"],
+            base["origin"], base["path"], F.when(p["query"] == "", base["query"]).otherwise(p["query"]), p["fragment"]
         )
-        move = F.concat(p["origin"], let(full, _without_dots), p["params"], p["query"], p["fragment"])
+        move = F.concat(base["origin"], let(full, _without_dots), p["params"], p["query"], p["fragment"])
         return F.when((p["path"] == "") & (p["params"] == ""), stay).otherwise(move)
 
     return let(
         clean,
-        lambda r: F.when(r == "", base)
-        .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-        .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
+        lambda r: F.when(r == "", base["url"])
+        .when(r.startswith("//"), F.concat(base["scheme"], F.lit(":"), r))
+        .when(F.contains(r, F.lit(":")) & r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
         .otherwise(relative(r)),
     )
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    return let(base_parts(base), lambda b: resolve_from(b, ref))
+
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 

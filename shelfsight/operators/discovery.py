@@ -38,10 +38,8 @@ def search_query_text(products: DataFrame) -> DataFrame:
 def search_result_filter(results: DataFrame) -> DataFrame:
     """Drop results without URL, on shop or social hosts, or pointing at documents."""
     url = F.col("url")
-    bad_path = F.lit(False)
-    for ending in BAD_ENDINGS:
-        bad_path = bad_path | F.lower(U.path(url)).endswith(ending)
-    return results.filter((url != "") & ~contains_any(F.lower(U.netloc(url)), BAD_HOST_TOKENS) & ~bad_path)
+    document = F.lower(U.path(url)).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in BAD_ENDINGS) + ")$")
+    return results.filter((url != "") & ~contains_any(F.lower(U.netloc(url)), BAD_HOST_TOKENS) & ~document)
 
 
 def search_result_rank(results: DataFrame) -> DataFrame:

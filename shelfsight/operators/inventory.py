@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions import markup as M
-from shelfsight.functions.binding import let
+from shelfsight.functions.binding import let, with_once
 from shelfsight.functions.text import contains_any, first_filled, strip
-from shelfsight.functions.urls import resolve
+from shelfsight.functions.urls import base_parts, resolve_from
 
 # fixed values: parts of image addresses that mark page furniture
 JUNK_TOKENS = (
@@ -39,15 +39,16 @@ def inventory(html: Column, page_url: Column) -> Column:
             first_filled(*[M.attribute(tag, a) for a in ("src", "data-src", "data-lazy-src")]).alias("src"),
         ),
     )
-    return F.transform(
-        F.filter(sources, lambda s: s["src"] != ""),
-        lambda s: F.struct(
-            s["pos"].alias("pos"),
-            resolve(page_url, s["src"]).alias("url"),
-            strip(M.attribute(s["tag"], "alt")).alias("alt"),
-            _whole(M.attribute(s["tag"], "width")).alias("width"),
-            _whole(M.attribute(s["tag"], "height")).alias("height"),
-        ),
+    image = lambda base, s: F.struct(
+        s["pos"].alias("pos"),
+        resolve_from(base, s["src"]).alias("url"),
+        strip(M.attribute(s["tag"], "alt")).alias("alt"),
+        _whole(M.attribute(s["tag"], "width")).alias("width"),
+        _whole(M.attribute(s["tag"], "height")).alias("height"),
+    )
+    return let(
+        base_parts(page_url),
+        lambda base: F.transform(F.filter(sources, lambda s: s["src"] != ""), lambda s: image(base, s)),
     )
 
 
@@ -78,7 +79,7 @@ def plausible(images: Column) -> Column:
 
 
 def _clean(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("_html", M.without_noise(F.col("html")))
+    return with_once(pages, "_html", M.without_noise(F.col("html")))
 
 
 def _rows(pages: DataFrame, images: Column, *keep: str) -> DataFrame:
@@ -110,7 +111,7 @@ def with_images(pages: DataFrame, context: bool = True) -> DataFrame:
     The text needs element nesting, which expressions cannot follow; one
     Arrow-batched helper returns it for all images of a page.
     """
-    listed = _clean(pages).withColumn("images", plausible(inventory(F.col("_html"), F.col("url"))))
+    listed = with_once(_clean(pages), "images", plausible(inventory(F.col("_html"), F.col("url"))))
     if not context:
         return listed.drop("_html")
     texts = listed.withColumn("_context", M.image_contexts(F.col("_html")))

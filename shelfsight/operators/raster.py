@@ -206,9 +206,11 @@ def crop_translate(pixels: DataFrame, boxes: DataFrame, target_size: int) -> Dat
 
 def hex_channel(colour: Column, index: int) -> Column:
     """Channel 0, 1 or 2 of a ``#rgb`` or ``#rrggbb`` text; null or empty means white."""
-    digits = F.regexp_replace(F.coalesce(F.nullif(colour, F.lit("")), F.lit("#FFFFFF")), "^#+", "")
-    wide = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
-    return F.conv(F.substring(wide, 1 + 2 * index, 2), 16, 10).cast("int")
+    digits = F.ltrim(F.coalesce(F.nullif(colour, F.lit("")), F.lit("#FFFFFF")), F.lit("#"))
+    pair = F.when(F.length(digits) == 3, F.repeat(F.substring(digits, 1 + index, 1), F.lit(2))).otherwise(
+        F.substring(digits, 1 + 2 * index, 2)
+    )
+    return F.conv(pair, 16, 10).cast("int")
 
 
 def _over(channel: str, under: Column) -> Column:

@@ -100,7 +100,7 @@ select event_id as log_id, ts as created_at, event_id % 10 as job_id, user_id as
        case event_type when 'click' then 'fetch_page' when 'view' then 'classify' when 'signup' then 'download_image'
             when 'purchase' then 'apply' else 'error' end as step,
        case when event_type = 'error' then 'error' when event_id % 7 = 0 then 'warning' else 'info' end as level,
-       repeat(concat(event_type, ' ', props, ' '), cast(1 + event_id % 400 as int)) as message,
+       repeat(concat(event_type, ' ', props, ' '), cast(case when event_id % 40 = 0 then 200 + user_id else 1 + event_id % 5 end as int)) as message,
        event_id % 900 as duration_ms
 from events
 """

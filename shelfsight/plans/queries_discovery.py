@@ -55,8 +55,7 @@ def search_result_filter(t: Tables) -> DataFrame:
 
 @query
 def search_result_rank(t: Tables) -> DataFrame:
-    ranked = D.search_result_rank(D.search_result_filter(_search(t)))
-    return ranked.orderBy("product_id", "host_rank", "rank", "url").select("product_id", "host_rank", "rank", "url")
+    return D.search_result_rank(D.search_result_filter(_search(t))).select("product_id", "host_rank", "rank", "url")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsight.functions.binding import let, with_once
 from shelfsight.functions.text import strip, unescape_html
 
 MAX_URLS_PER_SITEMAP = 50_000
@@ -141,16 +142,24 @@ _ANSWER = (
 
 def json_object_text(text: Column) -> Column:
     """The JSON object in an answer: fenced, bare, or wrapped in prose (first ``{`` to last ``}``)."""
-    bare = strip(text)
-    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    picked = F.when(fenced != "", fenced).otherwise(bare)
-    braced = F.regexp_extract(picked, r"(?s)\{.*\}", 0)
-    return F.when(picked.startswith("{"), picked).when(braced != "", braced).otherwise(picked)
+
+    def unwrap(bare: Column) -> Column:
+        fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+        return F.when(F.contains(bare, F.lit("```")) & (fenced != ""), fenced).otherwise(bare)
+
+    def unprose(picked: Column) -> Column:
+        braced = F.regexp_extract(picked, r"(?s)\{.*\}", 0)
+        return F.when(picked.startswith("{") | (braced == ""), picked).otherwise(braced)
+
+    return let(let(strip(text), unwrap), unprose)
 
 
 def classification(text: Column) -> Column:
     """Answer as a typed struct with ``parse_error``; numbers given as text are accepted."""
-    raw = F.from_json(json_object_text(text), _ANSWER, {"mode": "PERMISSIVE"})
+    return let(F.from_json(json_object_text(text), _ANSWER, {"mode": "PERMISSIVE"}), lambda raw: _typed_answer(text, raw))
+
+
+def _typed_answer(text: Column, raw: Column) -> Column:
     images = F.transform(
         raw["images"],
         lambda i: F.struct(
@@ -173,4 +182,4 @@ def classification(text: Column) -> Column:
 
 def scan_answers(responses: DataFrame) -> DataFrame:
     """Add the parsed ``classification`` struct to response rows."""
-    return responses.withColumn("classification", classification(F.col("text")))
+    return with_once(responses, "classification", classification(F.col("text")))
