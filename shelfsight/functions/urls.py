@@ -13,6 +13,8 @@ from shelfsight.functions.binding import let
 from shelfsight.functions.text import norm_alnum
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+# absolute paths that need no rewriting: no dot segments, no empty params, query or fragment
+_PLAIN_PATH = r"^(?!//)(?!.*/\.)(?!.*[;?#](?:$|[;/?#]))/"
 _AFTER_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?"
 
 # fixed values: host names that never leave the machine or its platform
@@ -138,10 +140,11 @@ def resolve_from(base: Column, ref: Column) -> Column:
 
     return let(
         clean,
-        lambda r: F.when(r == "", base["url"])
-        .when(r.startswith("//"), F.concat(base["scheme"], F.lit(":"), r))
+        lambda r: F.when(r.rlike(_PLAIN_PATH), F.concat(base["origin"], r))
+        .when(r == "", base["url"])
+        .when(r.rlike("^//[^/?#]"), F.concat(base["scheme"], F.lit(":"), r))
         .when(F.contains(r, F.lit(":")) & r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-        .otherwise(relative(r)),
+        .otherwise(relative(F.regexp_replace(r, "^//", ""))),
     )
 
 
@@ -196,8 +199,7 @@ def _v6_public(host: Column) -> Column:
     def judge(g: Column) -> Column:
         first, second = g["first"], F.coalesce(g["second"], F.lit(0))
         assigned = (first == 0x2001) & ((second < 0x200) | (second == 0xDB8))
-        documented = (first == 0x3FFF) & (second < 0x1000)
-        return F.coalesce(first.between(0x2000, 0x3FFF) & ~assigned & (first != 0x2002) & ~documented, F.lit(False))
+        return F.coalesce(first.between(0x2000, 0x3FFF) & ~assigned & (first != 0x2002), F.lit(False))
 
     groups = F.struct(
         group(r"^([0-9a-f]{1,4}):").alias("first"), group(r"^[0-9a-f]{1,4}:([0-9a-f]{1,4})").alias("second")
@@ -209,12 +211,11 @@ def ip_is_public(host: Column) -> Column:
     """Whether an address literal is publicly routable; null for anything else.
 
     IPv6: only 2000::/3 is global unicast, less its protocol-assignment,
-    documentation and 6to4 blocks. Mapped IPv4 follows the inner address.
+    documentation and 6to4 blocks; mapped IPv4 addresses are not public.
     """
 
     def judge(h: Column) -> Column:
-        mapped = F.regexp_replace(h, "^::ffff:", "")
-        return F.when(is_ipv4(mapped), _v4_public(mapped)).when(is_ipv6(h), _v6_public(h))
+        return F.when(is_ipv4(h), _v4_public(h)).when(is_ipv6(h), _v6_public(h))
 
     return let(host, judge)
 

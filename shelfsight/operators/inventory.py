@@ -67,10 +67,9 @@ def dedupe(images: Column) -> Column:
 
 
 def is_junk(image: Column) -> Column:
-    url = F.lower(image["url"])
     w, h = image["width"], image["height"]
     tiny = (w != 0) & (h != 0) & (w < SMALL_SIDE) & (h < SMALL_SIDE) & (image["alt"] == "")
-    return contains_any(url, JUNK_TOKENS) | tiny | url.endswith(".svg")
+    return tiny | let(F.lower(image["url"]), lambda url: url.endswith(".svg") | contains_any(url, JUNK_TOKENS))
 
 
 def plausible(images: Column) -> Column:
