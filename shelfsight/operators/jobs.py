@@ -122,12 +122,12 @@ def close_empty(jobs: DataFrame, job_products: DataFrame) -> DataFrame:
 # ---- spend ----
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Add ``cost_usd``. The price list has one row per model name, a handful; it is broadcast."""
+    """Add ``cost_usd``. Unlisted models have a price of their own; Spark broadcasts the price list if it is small."""
     p_in = F.coalesce("p_in", F.lit(UNLISTED_PRICE[0]))
     p_out = F.coalesce("p_out", F.lit(UNLISTED_PRICE[1]))
     tokens = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     return (
-        usage.join(F.broadcast(prices), "model", "left")
+        usage.join(prices, "model", "left")
         .withColumn(
             "cost_usd",
             tokens("input_tokens") * p_in / F.lit(1e6) + tokens("output_tokens") * p_out / F.lit(1e6),
