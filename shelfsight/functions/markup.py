@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfsight.functions.binding import let
 from shelfsight.functions.text import unescape_html
 
 _ATTRIBUTE = r"""(?:[\s/]++[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*?"""
@@ -34,6 +35,14 @@ def attribute(tag: Column, name: str) -> Column:
     return unescape_html(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
+def first_attribute(tag: Column, names: tuple[str, ...]) -> Column:
+    """First of the attributes that has a value; empty when none has. Later ones are only read if needed."""
+    value = attribute(tag, names[0])
+    if len(names) == 1:
+        return value
+    return let(value, lambda v: F.when(v != "", v).otherwise(first_attribute(tag, names[1:])))
+
+
 # fixed values: elements without content
 _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfsight.functions.binding import let
+
 
 def strip(c: Column) -> Column:
     """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
@@ -39,10 +41,14 @@ def contains_any(c: Column, tokens: tuple[str, ...]) -> Column:
 
 def unescape_html(c: Column) -> Column:
     """Decode the entities that occur in attribute values; ``&amp;`` goes last."""
-    decoded = c
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-        ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+    def decode(value: Column) -> Column:
+        decoded = value
+        for entity, char in (
+            ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", " "), ("&amp;", "&"),
+        ):
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(F.contains(value, F.lit("&")), decoded).otherwise(value)
+
+    return let(c, decode)

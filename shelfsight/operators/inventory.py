@@ -36,7 +36,7 @@ def inventory(html: Column, page_url: Column) -> Column:
         lambda tag, i: F.struct(
             i.alias("pos"),
             tag.alias("tag"),
-            first_filled(*[M.attribute(tag, a) for a in ("src", "data-src", "data-lazy-src")]).alias("src"),
+            M.first_attribute(tag, ("src", "data-src", "data-lazy-src")).alias("src"),
         ),
     )
     image = lambda base, s: F.struct(
