@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfsight.functions.vocab import role_sequence
 from shelfsight.settings import DEFAULTS, Settings
 
+# fixed values: reasons stored with failed candidates
 ALREADY_NORMALIZED = "Main image already normalized — enable overwrite_existing_main to replace"
 NO_IMAGE_DATA = "Candidate has no image data"
 
