@@ -48,31 +48,38 @@ def ssrf_filter_resolved(requests: DataFrame, resolved_ips: DataFrame) -> DataFr
 def robots_gate(requests: DataFrame, rules: DataFrame, user_agent: str = DEFAULTS.user_agent) -> DataFrame:
     """Add ``allowed``: the first rule of the applicable entry whose path starts the request's path.
 
-    The applicable entry is the first one naming the agent, else ``*``. Rules
-    are folded to one row per host (one robots file) before the join, so a
-    request meets its host's rules without multiplying rows. Hosts without
-    rules allow everything.
+    The applicable entry is the first one naming the agent, else ``*``. A path
+    meets its rules in an equi-join on those of its prefixes whose length some
+    rule of the host has, so neither a host's rules nor its requests are ever
+    gathered. Hosts without rules allow everything.
     """
     product = user_agent.split("/")[0].lower()
-    named = (F.col("agent") != "*") & F.contains(F.lit(product), F.lower("agent"))
-    entries = (
-        rules.filter(named | (F.col("agent") == "*"))
-        .groupBy("host", "agent")
-        .agg(F.min("ord").alias("_first"), F.sort_array(F.collect_list(F.struct("ord", "path", "allow"))).alias("_rules"))
+    everyone = F.col("agent") == "*"
+    entry = (
+        rules.filter(everyone | F.contains(F.lit(product), F.lower("agent")))
+        .groupBy("host")
+        .agg(F.min_by("agent", F.struct(everyone.cast("int"), "ord")).alias("agent"))
     )
-    per_host = entries.groupBy("host").agg(
-        F.min_by("_rules", F.struct((F.col("agent") == "*").cast("int"), "_first")).alias("_rules")
+    active = (
+        rules.join(entry, ["host", "agent"])
+        .groupBy("host", "path")
+        .agg(F.min_by("allow", "ord").alias("_allow"), F.min("ord").alias("_ord"))
     )
-    path = U.robots_path(F.col("url"))
-    # a disallow line without a path allows everything
-    hit = F.filter("_rules", lambda r: (r["path"] == "*") | path.startswith(r["path"]))
-    first = F.try_element_at(hit, F.lit(1))
-    return (
-        requests.withColumn("_host", U.netloc(F.col("url")))
-        .join(per_host.withColumnRenamed("host", "_host"), "_host", "left")
-        .withColumn("allowed", F.coalesce(first["allow"] | (first["path"] == ""), F.lit(True)))
-        .drop("_host", "_rules")
+    sizes = active.groupBy("host").agg(F.collect_set(F.length("path")).alias("_sizes"))
+    path = F.col("_path")
+    prefixes = F.transform(
+        F.filter("_sizes", lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n)
+    )
+    asked = requests.select("url", U.netloc(F.col("url")).alias("host"), U.robots_path(F.col("url")).alias("_path")).distinct()
+    verdicts = (
+        asked.join(sizes, "host")
+        .select("url", "host", F.explode(F.array_distinct(F.array_append(prefixes, F.lit("*")))).alias("path"))
+        .join(active, ["host", "path"])
+        .groupBy("url")
+        # a disallow line without a path allows everything
+        .agg(F.min_by(F.col("_allow") | (F.col("path") == ""), "_ord").alias("_verdict"))
     )
+    return requests.join(verdicts, "url", "left").withColumn("allowed", F.coalesce("_verdict", F.lit(True))).drop("_verdict")
 
 
 def politeness_schedule(requests: DataFrame, delay_seconds: float | None = DEFAULTS.request_delay_seconds) -> DataFrame:
