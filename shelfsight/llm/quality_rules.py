@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from shelfsight.functions.binding import with_once
 from shelfsight.llm.common import SEPARATORS, whole_text, words_of, written
 
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?]?(?![^\x20\x09-\x0D])"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,6 +51,7 @@ def default_rules() -> list[Rule]:
     symbols, shouts = _share("n_symbols", "n_words"), _share("n_exclaims", "n_words")
     repeats, dups = _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines")
     upper, letters = _share("n_upper", "n_letters"), _share("n_letters", "word_chars")
+    plain = _share("n_plain_words", "n_words")
     return [
         Rule("v_length", words >= 80, words < 20),
         Rule("v_word_size", size.between(3, 9), (size < 2) | (size > 14)),
@@ -57,7 +60,8 @@ def default_rules() -> list[Rule]:
         Rule("v_repeats", repeats <= 0.15, repeats > 0.35),
         Rule("v_dup_lines", (lines >= 2) & (dups <= 0.1), (lines >= 2) & (dups > 0.3)),
         Rule("v_upper", upper <= 0.2, upper > 0.5),
-        Rule("v_letters", letters >= 0.85, letters < 0.6),
+        Rule("v_letters", letters >= 0.85, letters < 0.75),
+        Rule("v_plain", plain >= 0.9, plain < 0.6),
     ]
 
 
@@ -65,8 +69,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules read; ``text`` itself is dropped.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines,
-    n_repeat_words, n_lines (lines with a word), n_letters, n_upper, n_exclaims,
-    all long. A null or empty text has zero everywhere. Words in three-word
+    n_repeat_words, n_lines (lines with a word), n_letters, n_upper, n_exclaims
+    and n_plain_words (letters with at most one mark behind them), all long. A null or empty text has zero everywhere. Words in three-word
     windows that occur twice or more count once each, the first occurrence
     included: windows are sorted by a 64-bit hash with their positions, equal
     neighbours are repeats, and a repeat adds up to three words.
@@ -100,6 +104,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_letters": count(r"[^\p{L}]+"),
             "n_upper": count(r"[^\p{Lu}]+"),
             "n_exclaims": count(r"[^!]+"),
+            "n_plain_words": F.regexp_count("_text", F.lit(PLAIN_WORD)).cast("long"),
         }
     ).drop("_text", "_words", "_lines", "_sorted", "_at")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import table
+from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,45 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("p_good", 6).alias("p_good"), *[r.name for r in default_rules()],
     )
+
+
+MIX = {"weights": [5, 2, 1], "max_epochs": 3.0, "seed": 17}
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mix_to_weights(docs, **MIX, keep_text=False).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies"
+    )
+
+
+ORACLES["op5_mix_sources"] = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         md5('17:' || coalesce(doc_id::varchar, '')) as k
+  from documents
+), totals as (
+  select source, sum(size)::bigint as source_size,
+         [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
+  from sized group by source
+), levels as (
+  select *, (sum(source_size) over () - coalesce(sum(3.0::double * source_size) over before, 0.0::double))
+         / (sum(weight) over () - coalesce(sum(weight) over before, 0.0::double)) as level
+  from totals
+  window before as (order by 3.0::double * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), settled as (
+  select min_by(level, 3.0::double * source_size / weight) as level from levels where weight * level <= 3.0::double * source_size
+), targets as (
+  select source, source_size, least(3.0::double * source_size, weight * settled.level) as target from totals, settled
+), split as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from targets
+), running as (
+  select d.doc_id, d.size, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size as rest,
+         sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and current row) as total
+  from sized d join split s on d.source is not distinct from s.source
+), chosen as (
+  select *, whole + (total - size < rest and total - rest <= rest - (total - size))::bigint as copies from running
+)
+select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::bigint as copies from chosen
+"""
