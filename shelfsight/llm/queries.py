@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import table
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
+from shelfsight.llm.warc import capture_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,34 @@ with sized as (
 )
 select doc_id, size, source_size, target, (copies * size)::bigint as taken, copies::bigint as copies from chosen
 """
+
+
+@query
+def op4_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    captures = capture_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+    fields = F.get("metadata", F.lit(0))["fields"]
+    return captures.select(
+        fields["pageId"].cast("long").alias("page_id"),
+        fields["payloadBytes"].cast("long").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        fields["refersToPage"].cast("long").alias("refers_to"),
+        F.size("requests").alias("n_requests"),
+    )
+
+
+ORACLES["op4_warc_transactions"] = """
+with hashed as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), named as (
+  select *, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+    min(page_id) over (partition by hex) as first
+  from hashed
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to, 1::integer as n_requests
+from named
+"""
