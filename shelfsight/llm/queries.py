@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import table
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
+from shelfsight.llm.simhash import near_duplicates
 from shelfsight.llm.warc import capture_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,8 @@ select page_id, payload_bytes, payload_digest,
        case when page_id = first then null else first end as refers_to, 1::integer as n_requests
 from named
 """
+
+
+@query
+def op10_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
