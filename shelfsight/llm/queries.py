@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import table
+from shelfsight.llm.common import held_out, table
+from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
 from shelfsight.llm.simhash import near_duplicates
@@ -107,3 +108,13 @@ from named
 @query
 def op10_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = train_language(docs.select("doc_id", "text", "lang").filter(~held))
+    return identify_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
