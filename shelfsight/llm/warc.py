@@ -3,13 +3,14 @@
 A capture is three records: the request, the response (or a revisit of an equal
 payload) and a metadata record. Request and metadata name their capture in
 WARC-Concurrent-To. Records are text in UTF-8, so Spark's text writer makes the
-archive: the record separator of the format is its line separator. Reading goes
-by Content-Length, as payloads may contain anything, separators included.
+archive: the record separator of the format is its line separator, and a file is
+one gzip stream. Reading goes by Content-Length, as payloads may contain anything, separators included.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -116,7 +117,7 @@ def write_captures(
     # no shuffle after uuid(): the records of a capture come from one task, also when that task runs again
     size = pages.agg(F.avg(F.octet_length(whole_text(F.col(html))) + 1500)).first()[0] or 1500
     per_file = 3 * max(1, int(FILE_BYTES / size))
-    records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path, compression="gzip")
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -155,7 +156,7 @@ def _parse(data: bytes) -> Iterator[dict]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``; response payloads are checked against their digests.
+    """One row per record of the archives, plain or gzip, below ``path``; response payloads are checked against their digests.
 
     payload: the body of an HTTP response, else the whole block. An archive is
     read whole by one task, so writers keep files small. A payload that does not
@@ -172,7 +173,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content"):
                 held, size = [], 0
-                for record in _parse(data.as_py()):
+                packed = data.as_py()
+                for record in _parse(gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed):
                     held.append(record)
                     size += len(record["payload"])
                     if len(held) >= 2000 or size > 4 << 20:
