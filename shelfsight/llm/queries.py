@@ -12,6 +12,7 @@ from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
 from shelfsight.llm.simhash import near_duplicates
+from shelfsight.llm.toxicity import score_toxicity, train_toxicity
 from shelfsight.llm.warc import capture_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,11 @@ def op9_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     return identify_language(docs.select("doc_id", "text"), model).select(
         "doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 4, 2)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train_toxicity(docs.filter(~held), table(spark, folder, "labels").filter(~held))
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
