@@ -11,6 +11,7 @@ from shelfsight.llm.common import held_out, table
 from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
+from shelfsight.llm.secrets import KINDS, find_secrets, span_list
 from shelfsight.llm.simhash import near_duplicates
 from shelfsight.llm.toxicity import score_toxicity, train_toxicity
 from shelfsight.llm.warc import capture_pages
@@ -127,3 +128,15 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = train_toxicity(docs.filter(~held), table(spark, folder, "labels").filter(~held))
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        span_list(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_grammar"),
+    )
