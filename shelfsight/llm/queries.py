@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import held_out, table
+from shelfsight.llm.decontaminate import find_overlaps
 from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
@@ -140,3 +141,13 @@ def op2_secret_grammar(spark: SparkSession, folder: str) -> DataFrame:
         span_list(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_grammar"),
     )
+
+
+@query
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_overlaps(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("overlaps").alias("o")).select(
+        "doc_id", F.col("o.item").alias("item_id"), "o.words", "o.start", "o.end", "o.item_words",
+        F.round("o.item_share", 6).alias("item_share"), F.round("o.best", 6).alias("best"),
+    )
