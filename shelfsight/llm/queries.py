@@ -14,6 +14,7 @@ from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
 from shelfsight.llm.secrets import KINDS, find_secrets, span_list
 from shelfsight.llm.simhash import near_duplicates
+from shelfsight.llm.suffix_dedup import remove_repeats
 from shelfsight.llm.toxicity import score_toxicity, train_toxicity
 from shelfsight.llm.warc import capture_pages
 
@@ -151,3 +152,8 @@ def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("o.item").alias("item_id"), "o.words", "o.start", "o.end", "o.item_words",
         F.round("o.item_share", 6).alias("item_share"), F.round("o.best", 6).alias("best"),
     )
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
