@@ -60,6 +60,24 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def text_spans(text: str) -> tuple[list[tuple[str, int, int, str]], list[re.Match]]:
+    """Spans of the fixed patterns, and the long runs that touch none of them."""
+    base = base_spans(text)
+    starts = [b[1] for b in base]
+    ends = list(accumulate((b[2] for b in base), max))
+    free = []
+    for m in RUN.finditer(text):
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
+            free.append(m)
+    return base, free
+
+
+def is_candidate(run: str) -> bool:
+    """A letter and a digit."""
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 @dataclass
 class Automaton:
     """States with counts and targets per class of characters; state 0 is the start."""
@@ -213,19 +231,13 @@ def scan_texts(docs: DataFrame, id_cols: list[str], text: str = "text") -> DataF
     base_type, run_type = pa.list_(pa.struct([("kind", pa.string()), *span])), pa.list_(pa.struct(span))
 
     def one(text: str):
-        base = base_spans(text)
-        starts = [b[1] for b in base]
-        ends = list(accumulate((b[2] for b in base), max))
+        base, free = text_spans(text)
         runs, pairs = [], Counter()
-        for m in RUN.finditer(text):
-            before = bisect_left(starts, m.end())
-            if before and ends[before - 1] > m.start():  # touches a base span
-                continue
-            value = m[0]
-            word = f"^{classes(value)}{END}"
+        for m in free:
+            word = f"^{classes(m[0])}{END}"
             pairs.update(map("".join, zip(word, word[1:], strict=False)))
-            if "d" in word and any(c in "hlU" for c in word):
-                runs.append({"start": m.start(), "end": m.end(), "value": value})
+            if is_candidate(m[0]):
+                runs.append({"start": m.start(), "end": m.end(), "value": m[0]})
         return [dict(zip(("kind", "start", "end", "value"), b, strict=True)) for b in base], runs, list(pairs.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +293,37 @@ def find_secrets(docs: DataFrame, id_cols: list[str], text: str = "text", **opti
     return scanned.select(*id_cols, slim.alias("base"), "runs").mapInArrow(run, schema)
 
 
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+    """The documents with every span of ``find_secrets`` replaced by ``mark``; touching spans become one mark.
+
+    The text column alone changes; a text without secrets, null or empty, stays
+    as it is. Texts are read twice, to learn and to rewrite, and never move.
+    """
+    scanned = written(scan_texts(docs, [], text), "secret-scan")
+    grammar = docs.sparkSession.sparkContext.broadcast(train_grammar(scanned, **options))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def one(text: str | None) -> str | None:
+        if not text:
+            return text
+        base, runs = text_spans(text)
+        spans = [(s, e) for _, s, e, _ in base]
+        spans += [(m.start(), m.end()) for m in runs if is_candidate(m[0]) and grammar.value.accepts(m[0])]
+        out, at, last = [], 0, -1
+        for s, e in sorted(spans):
+            if s > last:
+                out += [text[at:s], mark]
+            at = last = max(last, e)
+        return "".join([*out, text[at:]]) if spans else text
+
+    def run(batches):
+        for batch in batches:
+            made = pa.array([one(x.as_py()) for x in batch.column(text)], pa.string())
+            yield batch.set_column(batch.schema.get_field_index(text), text, made)
+
+    return docs.mapInArrow(run, schema)
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end of every span, comma-joined, by start, then kind as listed."""
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in (*KINDS, GRAMMAR)]), s["kind"])

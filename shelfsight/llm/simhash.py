@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import written
+from shelfsight.operators.topk import first_n
 
 GENERATOR = 0b101011100011  # fixed value: x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code, lowest power first
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -303,3 +304,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(named, F.col("fingerprint") == F.col("_print")).select(
         id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with the smallest id of their group, all columns as they came.
+
+    Rows that share an id are one document; one of them stays, the first by
+    text. Ids and counts alone decide; full rows move once, with the ids that stay.
+    """
+    groups = near_duplicates(docs, id_col, text, **options)
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).agg(F.count("*").alias("_rows"))
+    stay = written(stay, "simhash-stay")
+    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")))
+    single = rows.filter("_rows = 1")
+    if not stay.filter("_rows > 1").isEmpty():
+        single = single.union(first_n(rows.filter("_rows > 1"), ["_stay"], [F.xxhash64(text), F.col(text)], 1))
+    return single.select(*docs.columns)
