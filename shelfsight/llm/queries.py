@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import held_out, table
+from shelfsight.llm.cotraining import page_metadata, score_quality_views, train_quality
 from shelfsight.llm.decontaminate import find_overlaps
 from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
@@ -157,3 +158,11 @@ def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    docs = page_metadata(docs, table(spark, folder, "pages").select("page_id", "url"))
+    model = train_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"), "meta")
+    return score_quality_views(docs, model, "meta").select("doc_id", "p_text", "p_meta", "score", "kept")
