@@ -8,6 +8,7 @@ last small regression on the two calibrated scores says how far each can be trus
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import whole_text
 from shelfsight.llm.linear import Rows, TokenHasher, dense, newton, sigmoid, telling_features
 from shelfsight.llm.toxicity import labelled_sample
 
@@ -82,10 +82,11 @@ class CoModel:
     joint: np.ndarray
     bias: float
 
-    def scores(self, text_rows, shapes, meta_rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = self.text.odds(Rows(text_rows), shapes)
-        b = self.meta.odds(Rows(meta_rows), np.zeros((len(meta_rows), 0)))
-        return sigmoid(a), sigmoid(b), sigmoid(np.stack([np.clip(a, -8, 8), np.clip(b, -8, 8)], axis=1) @ self.joint + self.bias)
+    def join(self, text_odds: np.ndarray, meta_rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p_text, p_meta and their joint score."""
+        meta_odds = self.meta.odds(Rows(meta_rows), np.zeros((len(meta_rows), 0)))
+        both = np.clip(np.stack([text_odds, meta_odds], axis=1), -8, 8)
+        return sigmoid(text_odds), sigmoid(meta_odds), sigmoid(both @ self.joint + self.bias)
 
 
 def co_train(
@@ -155,66 +156,85 @@ def co_train(
     return CoModel(views["text"], views["meta"], np.maximum(joint, 0.0), bias)
 
 
-def _views_of(hasher: TokenHasher, plain: TokenHasher, texts, tokens) -> tuple[list[list[int]], np.ndarray, list[list[int]]]:
+def _text_view(hasher: TokenHasher, texts: list[str | None]) -> tuple[list[list[int]], np.ndarray]:
     whole = [x or "" for x in texts]
-    shapes = np.array([shape(x) for x in whole], float).reshape(-1, len(SHAPE))
-    return [hasher.of(x) for x in whole], shapes, [sorted({f for t in row or [] for f in plain[t]}) for row in tokens]
+    return [hasher.of(x) for x in whole], np.array([shape(x) for x in whole], float).reshape(-1, len(SHAPE))
+
+
+def _meta_view(hasher: TokenHasher, tokens: list[list[str] | None]) -> list[list[int]]:
+    return [sorted({f for t in row or [] for f in hasher[t]}) for row in tokens]
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, tokens: str, label: str = "quality", id_col: str = "doc_id", text: str = "text",
-    sample: int = 6000, unlabelled: int = 6000, **options,
+    docs: DataFrame, labels: DataFrame, add_meta: Callable[[DataFrame], DataFrame], label: str = "quality", id_col: str = "doc_id",
+    text: str = "text", sample: int = 6000, unlabelled: int = 6000, **options,
 ) -> CoModel:
-    """Fit on at most ``sample`` labelled and ``unlabelled`` other documents, chosen by hashed id before any text is read."""
-    marked = labelled_sample(docs, labels, label, id_col, sample)
+    """Fit on at most ``sample`` labelled and ``unlabelled`` other documents, chosen by hashed id before any text is read.
+
+    ``add_meta`` adds ``meta``, an array of name=value strings, to documents. A
+    document with both labels counts as good; null labels do not count.
+    """
+    order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     named = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_named")).distinct()
     others = docs.select(id_col).join(named, F.col(id_col) == F.col("_named"), "left_anti")
-    others = others.distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(unlabelled)
     # at most ``unlabelled`` ids
-    free = docs.join(F.broadcast(others), id_col).limit(unlabelled).withColumn("_label", F.lit(None).cast("int"))
-    both = marked.select(id_col, text, tokens, "_label").unionByName(free.select(id_col, text, tokens, "_label"))
+    others = others.distinct().orderBy(*order).limit(unlabelled).withColumn("_label", F.lit(None).cast("int"))
+    both = labelled_sample(docs, labels, label, id_col, sample).unionByName(docs.join(F.broadcast(others), id_col))
 
-    def run(batches):
-        hasher, plain = TokenHasher(BITS), TokenHasher(BITS, ())
+    def text_part(batches):
+        hasher = TokenHasher(BITS)
         for batch in batches:
-            rows, shapes, meta = _views_of(hasher, plain, batch.column(text).to_pylist(), batch.column(tokens).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.string()), batch.column("_label"), pa.array(rows, pa.list_(pa.int32())),
-                 pa.array(list(shapes), pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))],
-                ["id", "label", "rows", "shapes", "meta"],
-            )
-
-    got = both.mapInArrow(run, "id string, label int, rows array<int>, shapes array<double>, meta array<int>").toArrow()
-    got = got.sort_by([("id", "ascending"), ("label", "ascending")])
-    shapes = np.array(got.column("shapes").to_pylist(), float).reshape(-1, len(SHAPE))
-    return co_train(got.column("rows").to_pylist(), shapes, got.column("meta").to_pylist(), got.column("label").to_pylist(), **options)
-
-
-def score_quality_views(docs: DataFrame, model: CoModel, tokens: str, text: str = "text", cut: float = 0.5) -> DataFrame:
-    """Add p_text, p_meta, score and kept (score from ``cut``).
-
-    Null texts count as empty; null metadata is a value of its own. Columns with
-    an output's name are replaced, others stay; every row is scored where it lies.
+            rows, shapes = _text_view(hasher, batch.column(text).to_pylist())
+            batch = batch.drop_columns([text]).append_column("_rows", pa.array(rows, pa.list_(pa.int32())))
+            yield batch.append_column("_shape", pa.array(list(shapes), pa.list_(pa.float64())))
+
+    kept = [f for f in both.schema.fields if f.name != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _rows array<int>, _shape array<double>"
+    seen = add_meta(both.mapInArrow(text_part, schema)).select(F.col(id_col).cast("string").alias("id"), "_label", "_rows", "_shape", "meta")
+    got = seen.limit(sample + unlabelled).toArrow().sort_by([("id", "ascending"), ("_label", "ascending")])
+    shapes = np.array(got.column("_shape").to_pylist(), float).reshape(-1, len(SHAPE))
+    meta = _meta_view(TokenHasher(BITS, ()), got.column("meta").to_pylist())
+    return co_train(got.column("_rows").to_pylist(), shapes, meta, got.column("_label").to_pylist(), **options)
+
+
+def score_quality_views(
+    docs: DataFrame, model: CoModel, add_meta: Callable[[DataFrame], DataFrame], text: str = "text", cut: float = 0.5
+) -> DataFrame:
+    """All columns but the text, with meta, p_text, p_meta, score and kept (score from ``cut``).
+
+    Texts are scored where they lie, and only then metadata is joined. Null
+    texts count as empty; null metadata is a value of its own. Columns with an
+    output's name are replaced.
     """
-    docs = docs.drop("p_text", "p_meta", "score", "kept")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    docs = docs.drop("p_text", "p_meta", "score", "kept", "meta")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    columns = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches):
-        hasher, plain = TokenHasher(BITS), TokenHasher(BITS, ())
+    def text_part(batches):
+        hasher = TokenHasher(BITS)
         for batch in batches:
-            parts = []
+            odds = [np.zeros(0)]
             for i in range(0, len(batch), 1000):
-                piece = batch.slice(i, 1000)
-                parts.append(sent.value.scores(*_views_of(hasher, plain, (x.as_py() for x in piece.column(text)), piece.column(tokens).to_pylist())))
-            for name, made in zip(("p_text", "p_meta", "score"), zip(*parts, strict=True), strict=True):
-                batch = batch.append_column(name, pa.array(np.concatenate(made), pa.float64()))
-            yield batch.append_column("kept", pa.array(np.concatenate([p[2] for p in parts]) >= cut))
+                rows, shapes = _text_view(hasher, batch.column(text).slice(i, 1000).to_pylist())
+                odds.append(sent.value.text.odds(Rows(rows), shapes))
+            yield batch.drop_columns([text]).append_column("_odds", pa.array(np.concatenate(odds)))
+
+    def meta_part(batches):
+        hasher = TokenHasher(BITS, ())
+        for batch in batches:
+            meta = _meta_view(hasher, batch.column("meta").to_pylist())
+            made = sent.value.join(batch.column("_odds").to_numpy(), meta)
+            batch = batch.drop_columns(["_odds"])
+            for name, x in zip(("p_text", "p_meta", "score"), made, strict=True):
+                batch = batch.append_column(name, pa.array(x, pa.float64()))
+            yield batch.append_column("kept", pa.array(made[2] >= cut))
 
-    return docs.mapInArrow(run, schema + ", p_text double, p_meta double, score double, kept boolean")
+    told = docs.mapInArrow(text_part, columns(docs.drop(text)) + ", _odds double")
+    both = add_meta(told)
+    return both.mapInArrow(meta_part, columns(both.drop("_odds")) + ", p_text double, p_meta double, score double, kept boolean")
 
 
-def page_metadata(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def page_metadata(docs: DataFrame, pages: DataFrame, length: str = "length") -> DataFrame:
     """Add ``meta``: source, language, size class, and host, scheme, path and query of the page with the document's id.
 
     Documents without a page have nulls for it. Of pages that share an id the
@@ -223,11 +243,10 @@ def page_metadata(docs: DataFrame, pages: DataFrame) -> DataFrame:
     url = F.col("_url")
     address = pages.groupBy(F.col("page_id").alias("_page")).agg(F.min("url").alias("_url"))
     joined = docs.join(address, F.col("doc_id") == F.col("_page"), "left")
-    length = F.length(whole_text(F.col("text")))
     return joined.withColumn(
         "meta",
         metadata_tokens({
-            "source": F.col("source"), "lang": F.col("lang"), "size": F.floor(F.log2(length + 1)),
+            "source": F.col("source"), "lang": F.col("lang"), "size": F.floor(F.log2(F.coalesce(F.col(length), F.lit(0)) + 1)),
             "host": F.regexp_extract(url, r"^\w+://([^/?#]+)", 1), "scheme": F.regexp_extract(url, r"^(\w+)://", 1),
             "depth": F.size(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/")), "query": url.contains("?"),
         }),

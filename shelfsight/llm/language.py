@@ -12,7 +12,6 @@ and sent to the tasks, each of which labels whole texts, many at a time.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,41 +26,92 @@ from shelfsight.operators.topk import first_n
 UNKNOWN = "und"
 MOST_CACHED = 200_000
 UNIT_WORDS = 300_000
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _features(word: str, bits: int) -> np.ndarray:
-    """Hashed features of a lower-case word; none without a letter. Marks around it do not count."""
+def _core(word: str) -> str:
+    """Letters of a lower-case word, with inner hyphens and apostrophes; empty without a letter."""
+    if word.isalpha():
+        return word
     core = "".join(ch for ch in word if ch.isalpha() or ch in "'-")
-    if not any(ch.isalpha() for ch in core):
-        return np.zeros(0, np.int64)
-    framed = f"^{core}$"
-    names = [f"w{core}"] + [f"p{core[:n]}" for n in (1, 2, 3)] + [f"s{core[-n:]}" for n in (1, 2, 3)]
-    names += [framed[i: i + n] for n in (2, 3) for i in range(len(framed) - n + 1)]
-    mask = (1 << bits) - 1
-    return np.fromiter((zlib.crc32(x.encode()) & mask for x in names), np.int64, len(names))
+    return core if any(ch.isalpha() for ch in core) else ""
 
 
-class _Emissions(dict):
-    """Row numbers of words in a growing table of emission scores; forgotten when too many."""
+def _features(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hashed feature) of all features of the words: n-grams of the framed word, affixes, the word itself.
 
-    def __init__(self, weights: np.ndarray, bits: int):
+    A feature's hash is that of its characters and its kind. Works on the code
+    points of all words at once.
+    """
+    framed = ["^" + c + "$" if c else "" for c in map(_core, words)]
+    code = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in framed], np.int64)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(begin + size, size) - np.arange(len(code))  # characters from here to the end of the word
+
+    def mix(x: np.ndarray, kind: int) -> np.ndarray:
+        x = (x + np.uint64(kind)) * _MUL
+        x ^= x >> np.uint64(29)
+        return (x * _MUL) >> np.uint64(64 - bits)
+
+    owners, hashes = [], []
+    pair = code[:-1] * _MUL + code[1:] if len(code) else code
+    triple = pair[:-1] * _MUL + code[2:] if len(code) > 1 else code[:0]
+    for kind, grams, n in ((2, pair, 2), (3, triple, 3)):
+        at = np.flatnonzero(left[: len(grams)] >= n)
+        owners.append(owner[at])
+        hashes.append(mix(grams[at], kind))
+    some = np.flatnonzero(size)
+    first, last = begin[some] + 1, begin[some] + size[some] - 2
+    for n in (1, 2, 3):
+        long = size[some] >= n + 2
+        pre, suf = np.zeros(int(long.sum()), np.uint64), np.zeros(int(long.sum()), np.uint64)
+        for k in range(n):
+            pre = pre * _MUL + code[first[long] + k]
+            suf = suf * _MUL + code[last[long] - k]
+        owners += [some[long], some[long]]
+        hashes += [mix(pre, 10 + n), mix(suf, 20 + n)]
+    if len(some):
+        power = np.cumprod(np.full(int(size.max()), _MUL, np.uint64))
+        place = np.arange(len(code)) - np.repeat(begin, size)
+        owners.append(some)
+        hashes.append(mix(np.add.reduceat(code * power[place], begin[some]), 30))
+    return np.concatenate(owners), np.concatenate(hashes).astype(np.int64)
+
+
+class _Words(dict):
+    """Numbers of words, and a table of their scores per language that follows in steps; forgotten when too many."""
+
+    def __init__(self, model: ChainModel):
         super().__init__()
-        self.weights, self.bits = weights, bits
-        self.clear_all()
+        self.model = model
+        self.forget()
 
-    def clear_all(self) -> None:
+    def forget(self) -> None:
         self.clear()
-        self.scores: list[np.ndarray] = []
-        self.letters: list[bool] = []
+        self.new: list[str] = []
+        self.scores = np.zeros((0, len(self.model.labels)), np.float32)
+        self.letters = np.zeros(0, bool)
 
     def __missing__(self, word: str) -> int:
-        idx = _features(word, self.bits)
-        n = len(self.scores)
-        self.scores.append(self.weights[idx].sum(axis=0) / np.sqrt(max(1, len(idx))))
-        self.letters.append(len(idx) > 0)
-        self[word] = n
+        self[word] = n = len(self)
+        self.new.append(word)
         return n
 
+    def follow(self) -> None:
+        """Score the words that came in since the last call."""
+        if not self.new:
+            return
+        owner, idx = _features(self.new, self.model.bits)
+        n = len(self.new)
+        counts = np.bincount(owner, minlength=n)
+        sums = [np.bincount(owner, self.model.weights[idx, k], minlength=n) for k in range(len(self.model.labels))]
+        scores = np.stack(sums, axis=1) / np.sqrt(np.maximum(1, counts))[:, None]
+        self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
+        self.letters = np.concatenate([self.letters, counts > 0])
+        self.new = []
+
 
 @dataclass
 class ChainModel:
@@ -136,9 +186,9 @@ def train_chain(
     rng, of = np.random.default_rng(seed), {x: i for i, x in enumerate(model.labels)}
     vocabulary: dict[str, int] = {}
     coded = [(of[lang], np.array([vocabulary.setdefault(w.lower(), len(vocabulary)) for w in words], np.int64)) for lang, words in pieces if words]
-    feats = [_features(w, bits) for w in vocabulary]
-    counts = np.array([len(x) for x in feats])
-    flat, first = np.concatenate(feats), np.cumsum(counts) - counts
+    owners, hashed = _features(list(vocabulary), bits)
+    counts = np.bincount(owners, minlength=len(vocabulary))
+    flat, first = hashed[np.argsort(owners, kind="stable")], np.cumsum(counts) - counts
     scale = 1 / np.sqrt(np.maximum(1, counts))
     sums = [np.full_like(x, 1e-2, dtype=np.float64) for x in (model.weights, model.start, model.move)]
     for _ in range(epochs):
@@ -188,16 +238,18 @@ def train_chain(
 
 
 def training_pieces(
-    docs: DataFrame, label: str, id_col: str, text: str, per_label: int = 400, per_doc: int = 3, words: int = 40
+    docs: DataFrame, label: str, id_col: str, text: str, per_label: int = 400, per_doc: int = 3, words: int = 40,
+    most: int = 20_000,
 ) -> list[tuple[str, list[str]]]:
     """At most ``per_label`` documents of each label by hashed id, ``per_doc`` runs of ``words`` words from places all over each.
 
-    Ids are chosen first, from two columns; only those documents' texts are cut.
+    Ids are chosen first, from two columns, at most ``most`` over all labels; they
+    are broadcast, and only those documents' texts are cut.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
-    ids = first_n(labelled.select(id_col, label), [label], order, per_label).distinct()
-    tokens = labelled.join(ids, [id_col, label]).select(
+    ids = first_n(labelled.select(id_col, label), [label], order, per_label).distinct().limit(most)
+    tokens = labelled.join(F.broadcast(ids), [id_col, label]).select(
         F.col(label).alias("label"), F.col(id_col).alias("id"), words_of(F.col(text)).alias("w")
     )
     span = F.greatest(F.size("w") - words, F.lit(0))
@@ -216,7 +268,7 @@ def training_pieces(
 
 def train_language(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text: str = "text", **options) -> ChainModel:
     """Fit on the labelled rows of ``docs``; the sample bound is per_label * per_doc runs of words for each label."""
-    sample = {k: options.pop(k) for k in ("per_label", "per_doc", "words") if k in options}
+    sample = {k: options.pop(k) for k in ("per_label", "per_doc", "words", "most") if k in options}
     return train_chain(training_pieces(docs, label, id_col, text, **sample), **options)
 
 
@@ -225,15 +277,15 @@ def label_words(model: ChainModel, texts: Iterable[str | None]) -> Iterator[tupl
     if not model.labels:
         yield from ((UNKNOWN, 0.0, np.zeros(0, np.int64)) for _ in texts)
         return
-    cache = _Emissions(model.weights, model.bits)
+    cache = _Words(model)
     unit: list[list[int]] = []
     size = 0
 
     def decide():
         lengths = np.array([len(x) for x in unit], np.int64)
         rows = np.concatenate([np.array(x, np.int64) for x in unit]) if size else np.zeros(0, np.int64)
-        scores = np.array(cache.scores, np.float32).reshape(-1, len(model.labels))
-        letters = np.array(cache.letters, bool)[rows]
+        cache.follow()
+        scores, letters = cache.scores, cache.letters[rows]
         some = lengths > 0
         post = forward_backward(scores[rows], lengths[some], model.start, model.move) if size else np.zeros((0, len(model.labels)))
         post[~letters] = 0
@@ -253,7 +305,7 @@ def label_words(model: ChainModel, texts: Iterable[str | None]) -> Iterator[tupl
             yield from decide()
             unit, size = [], 0
             if len(cache) > MOST_CACHED:
-                cache.clear_all()
+                cache.forget()
     yield from decide()
 
 

@@ -162,7 +162,8 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    docs = page_metadata(docs, table(spark, folder, "pages").select("page_id", "url"))
-    model = train_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"), "meta")
-    return score_quality_views(docs, model, "meta").select("doc_id", "p_text", "p_meta", "score", "kept")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", F.length("text").alias("length"))
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    add_meta = lambda df: page_metadata(df, pages)
+    model = train_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"), add_meta)
+    return score_quality_views(docs, model, add_meta).select("doc_id", "p_text", "p_meta", "score", "kept")

@@ -103,13 +103,13 @@ def hashed_rows(docs: DataFrame, text: str, bits: int, keep: list[str]) -> DataF
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
-    """At most ``most`` labelled documents, by hashed id. Ids are chosen from the labels alone, before any text is read."""
+    """The labelled documents with the ``most`` first ids by hash. Ids come from the labels alone, and at most ``most`` are broadcast."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     chosen = (
         labels.filter(F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
         .orderBy(order, id_col).limit(most)
     )
-    return docs.join(chosen, id_col).limit(most)
+    return docs.join(F.broadcast(chosen), id_col)
 
 
 def train_toxicity(
@@ -118,7 +118,7 @@ def train_toxicity(
 ) -> ToxicityModel:
     """Fit on at most ``sample`` labelled documents. A document with both labels counts as toxic; null labels do not count."""
     chosen = labelled_sample(docs.select(id_col, text), labels.select(id_col, label), label, id_col, sample)
-    got = hashed_rows(chosen, text, bits, [id_col, "_label"]).toArrow().sort_by([(id_col, "ascending"), ("_label", "ascending")])
+    got = hashed_rows(chosen, text, bits, [id_col, "_label"]).limit(sample).toArrow().sort_by([(id_col, "ascending"), ("_label", "ascending")])
     rows, marks = got.column("features").to_pylist(), got.column("_label").to_pylist()
     return fit_toxicity_rows(rows, marks, bits, **options)
 
