@@ -92,8 +92,8 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys, axis=1), np.concatenate(fresh, axis=1)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fingerprint long): bit b is set if over half of the shingle hashes have it.
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 4) -> DataFrame:
+    """The ``keep`` columns and fingerprint (long): bit b is set if over half of the shingle hashes have it.
 
     Words of the whole text with A-Z lower-cased, shingles joined by one blank
     with repeats, hashed by XXH64 with seed 42. Fewer words than a shingle make
@@ -120,15 +120,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
             counts += bits.sum(axis=0, dtype=np.int64)
         return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
-    kind = docs.schema[id_col].dataType
-
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(text).cast(pa.binary())
             made = np.fromiter((of(x.as_py()) for x in texts), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], [id_col, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(made.view(np.int64))], [*keep, "fingerprint"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, fingerprint long")
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fingerprint long"])
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -248,7 +247,7 @@ def links(prints: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
         .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fingerprint")
     )
 
-    def compare(keys, piece: pa.Table) -> pa.Table:
+    def compare(keys, piece):
         got = piece.column("fingerprint").to_numpy().view(np.uint64)
         edges = np.array(_forest(got, most), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
@@ -284,6 +283,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def _grouped(docs: DataFrame, id_col: str, text: str, most: int, block: int) -> DataFrame:
+    """(id, _text, fingerprint, _root, component_id) of every row: hash of the text, smallest fingerprint and id of the group."""
+    hashed = docs.select(id_col, text, F.xxhash64(text).alias("_text"))
+    prints = written(fingerprints(hashed, [id_col, "_text"], text), "simhash-prints")
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_least")), "simhash-nodes")
+    stars = components(links(nodes.select("fingerprint"), most, block))
+    rooted = nodes.join(stars, F.col("fingerprint") == F.col("node"), "left").select(
+        F.col("fingerprint").alias("_print"), F.coalesce("root", "fingerprint").alias("_root"), "_least"
+    )
+    rooted = written(rooted, "simhash-roots")
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = rooted.select("_print", "_root").join(least, "_root")
+    return prints.join(named, F.col("fingerprint") == F.col("_print")).drop("_print")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 4, block: int = BLOCK) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id): component_id is the smallest id reachable over links.
 
@@ -292,31 +306,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     never the smallest unless the component has no other; repeated rows stay.
     Other columns are left out. An empty table gives an empty one.
     """
-    prints = written(fingerprints(docs, id_col, text), "simhash-prints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_least")), "simhash-nodes")
-    stars = components(links(nodes.select("fingerprint"), most, block))
-    rooted = nodes.join(stars, F.col("fingerprint") == F.col("node"), "left").select(
-        F.col("fingerprint").alias("_print"), F.coalesce("root", "fingerprint").alias("_root"), "_least"
-    )
-    rooted = written(rooted, "simhash-roots")
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = rooted.select("_print", "_root").join(least, "_root").select("_print", "component_id")
-    return prints.join(named, F.col("fingerprint") == F.col("_print")).select(
+    return _grouped(docs, id_col, text, most, block).select(
         id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of their group, all columns as they came.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 4, block: int = BLOCK) -> DataFrame:
+    """One document of every group, that with the smallest id, all columns as they came.
 
-    Rows that share an id are one document; one of them stays, the first by
-    text. Ids and counts alone decide; full rows move once, with the ids that stay.
+    Of rows of one group that share that id the one with the smallest text hash
+    stays, of rows equal in both any one. Ids and hashes alone decide; full rows move once, to meet those that stay.
     """
-    groups = near_duplicates(docs, id_col, text, **options)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).agg(F.count("*").alias("_rows"))
-    stay = written(stay, "simhash-stay")
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")))
-    single = rows.filter("_rows = 1")
-    if not stay.filter("_rows > 1").isEmpty():
-        single = single.union(first_n(rows.filter("_rows > 1"), ["_stay"], [F.xxhash64(text), F.col(text)], 1))
-    return single.select(*docs.columns)
+    groups = _grouped(docs, id_col, text, most, block)
+    own = F.struct("_text", F.col(id_col).alias("id"))
+    first = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(own).alias("_own"))
+    stay = written(first.select(F.col("_own.id").alias("_stay"), F.col("_own._text").alias("_hash")).distinct(), "simhash-stay")
+    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.xxhash64(text) == F.col("_hash")))
+    twice = groups.groupBy(F.col(id_col).alias("_id"), "_text").agg(F.count("*").alias("_n")).filter("_n > 1")
+    twice = written(twice.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_text") == F.col("_hash")), "left_semi"), "simhash-twice")
+    if twice.isEmpty():
+        return rows.select(*docs.columns)
+    again = F.col("_stay").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    once = rows.join(twice, again, "left_anti")
+    many = first_n(rows.join(twice, again, "left_semi"), ["_stay", "_hash"], [F.xxhash64(text)], 1)
+    return once.select(*docs.columns).union(many.select(*docs.columns))
