@@ -39,11 +39,25 @@ def contains_any(c: Column, tokens: tuple[str, ...]) -> Column:
     return c.rlike("|".join(quoted))
 
 
+def _decode_numbers(value: Column) -> Column:
+    """``&#8364;`` and ``&#x20AC;`` as characters; numbers outside the range of characters become U+FFFD."""
+    parts = F.split(F.regexp_replace(value, r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});", "\u0001&#$1\u0001"), "\u0001")
+
+    def character(part: Column) -> Column:
+        hexed = F.regexp_extract(part, r"(?i)^&#x([0-9a-f]+)$", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, r"^&#([0-9]+)$", 1)).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        wide = F.format_string("%08X", F.when(valid, code).otherwise(0xFFFD))
+        return F.when(code.isNotNull(), F.decode(F.unhex(wide), "UTF-32BE")).otherwise(part)
+
+    return F.when(F.contains(value, F.lit("&#")), F.array_join(F.transform(parts, character), "")).otherwise(value)
+
+
 def unescape_html(c: Column) -> Column:
-    """Decode the entities that occur in attribute values; ``&amp;`` goes last."""
+    """Decode the entities that occur in attribute values, numeric ones included; ``&amp;`` goes last."""
 
     def decode(value: Column) -> Column:
-        decoded = value
+        decoded = _decode_numbers(value)
         for entity, char in (
             ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&amp;", "&"),

@@ -95,7 +95,7 @@ def sitemap_nodes(
     roots: DataFrame,
     max_depth: int = MAX_DEPTH,
     max_visited: int = MAX_VISITED,
-    max_urls: int = MAX_URLS_PER_SITEMAP,
+    max_urls: int | None = MAX_URLS_PER_SITEMAP,
 ) -> DataFrame:
     """Sitemaps with addresses that a walk from each root reads: ``root, sitemap_url, doc_path``.
 
@@ -104,10 +104,11 @@ def sitemap_nodes(
     parent's later siblings. A root reads its first ``max_visited`` distinct
     sitemaps in that order. One with that many known predecessors can never be
     read, so children per index and sitemaps per root are cut to that number
-    after every step; this bounds the child arrays and every window below.
+    after every step; this bounds the child arrays and the list of a root below.
     The walk is one chain of ``max_depth`` equi-joins in which each row emits
-    itself and, on its first step, its children. A sitemap starts only while
-    fewer than ``max_urls`` addresses came before it.
+    itself and, on its first step, its children. An index starts its next child
+    only while its earlier children gave fewer than ``max_urls`` addresses; every
+    index counts for itself. ``max_urls`` None is no limit.
     """
     children = (
         first_n(
@@ -137,32 +138,64 @@ def sitemap_nodes(
         grown = F.when((F.col("at.depth") == step) & F.col("_children").isNotNull(), F.concat(itself, below)).otherwise(itself)
         emitted = walk.join(children, "node", "left").select("root", F.inline(grown))
         walk = first_n(emitted.groupBy("root", "node").agg(F.min("at").alias("at")), ["root"], ["at"], max_visited)
-    sizes = (
-        store.filter((F.col("kind") == "urlset") & (F.col("pos") < max_urls))
-        .groupBy(F.col("sitemap_url").alias("node")).agg(F.count("*").alias("_n"))
+    sizes = _pages(store, max_urls).groupBy(F.col("sitemap_url").alias("node")).agg(F.count("*").alias("_n"))
+    sized = walk.join(sizes, "node", "left").select(
+        "root", F.struct("at.doc_path", "at.depth", "node", F.coalesce("_n", F.lit(0)).alias("n")).alias("s")
     )
-    before = Window.partitionBy("root").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        walk.join(sizes, "node", "left")
-        .withColumn("_before", F.coalesce(F.sum(F.coalesce("_n", F.lit(0))).over(before), F.lit(0)))
-        .filter((F.col("_before") < max_urls) & F.col("_n").isNotNull())
-        .select("root", F.col("node").alias("sitemap_url"), F.col("at.doc_path").alias("doc_path"))
+    limit = max_urls if max_urls is not None else (1 << 62)
+    # at most max_visited sitemaps of a root, in document order
+    read = sized.groupBy("root").agg(F.array_sort(F.collect_list("s")).alias("_all")).select(
+        "root", F.inline(_started(F.col("_all"), max_depth, limit))
+    )
+    return read.filter("n > 0").select("root", F.col("node").alias("sitemap_url"), "doc_path")
+
+
+def _started(sitemaps: Column, max_depth: int, limit: int) -> Column:
+    """Those of a root's sitemaps (doc_path, depth, node, n; in document order) that the walk starts.
+
+    A fold over the list with, per depth on the way to the current sitemap, the
+    addresses so far and whether the index there was started.
+    """
+    kind = "struct<doc_path:string,depth:int,node:string,n:bigint>"
+    levels = range(max_depth + 1)
+
+    def step(state: Column, s: Column) -> Column:
+        depth = s["depth"]
+        above = lambda name: F.get(state[name], depth - 1)
+        runs = (depth == 0) | (above("open") & (above("sums") < limit))
+        sums = [
+            F.when(depth <= k, F.lit(0).cast("long")).otherwise(state["sums"][k] + F.when(runs, s["n"]).otherwise(0)) for k in levels
+        ]
+        started = [F.when(depth == k, runs).when(depth < k, False).otherwise(state["open"][k]) for k in levels]
+        kept = F.when(runs, F.concat(state["kept"], F.array(s.cast(kind)))).otherwise(state["kept"])
+        return F.struct(F.array(*sums).alias("sums"), F.array(*started).alias("open"), kept.alias("kept"))
+
+    start = F.struct(
+        F.array(*[F.lit(0).cast("long") for _ in levels]).alias("sums"),
+        F.array(*[F.lit(False) for _ in levels]).alias("open"),
+        F.array().cast(f"array<{kind}>").alias("kept"),
     )
+    return F.aggregate(sitemaps, start, step, lambda state: state["kept"])
+
+
+def _pages(store: DataFrame, max_urls: int | None) -> DataFrame:
+    """Address rows of page sitemaps; a single sitemap gives at most its first ``max_urls``."""
+    pages = store.filter(F.col("kind") == "urlset")
+    return pages if max_urls is None else pages.filter(F.col("pos") < max_urls)
 
 
-def _addresses_of(store: DataFrame, nodes: DataFrame, max_urls: int) -> DataFrame:
-    pages = store.filter((F.col("kind") == "urlset") & (F.col("pos") < max_urls)).drop("kind")
-    return nodes.join(pages, "sitemap_url")
+def _addresses_of(store: DataFrame, nodes: DataFrame, max_urls: int | None) -> DataFrame:
+    return nodes.join(_pages(store, max_urls).drop("kind"), "sitemap_url")
 
 
-def sitemap_expand(store: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
+def sitemap_expand(store: DataFrame, roots: DataFrame, max_urls: int | None = MAX_URLS_PER_SITEMAP) -> DataFrame:
     """All page addresses under each root sitemap; document order is ``doc_path, pos``."""
     return _addresses_of(store, sitemap_nodes(store, roots, max_urls=max_urls), max_urls).select(
         "root", "sitemap_url", "doc_path", "pos", "loc"
     )
 
 
-def site_urls(store: DataFrame, hosts: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
+def site_urls(store: DataFrame, hosts: DataFrame, max_urls: int | None = MAX_URLS_PER_SITEMAP) -> DataFrame:
     """Page addresses per host, from the first of its four sitemap addresses that yields any.
 
     The choice is made among sitemaps, at most four roots of 101 each per host.

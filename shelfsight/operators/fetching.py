@@ -26,9 +26,10 @@ def ssrf_filter_literal(requests: DataFrame) -> DataFrame:
 
 
 def host_verdicts(resolved_ips: DataFrame) -> DataFrame:
-    """Per host whether every parseable address is public."""
+    """Per host whether every parseable address is public. A zone after ``%`` does not change what an address is."""
+    address = F.regexp_replace(F.lower("ip"), r"(?<=:[^%]{0,64})%.*$", "")
     return resolved_ips.groupBy("host").agg(
-        F.bool_and(F.coalesce(U.ip_is_public(F.lower("ip")), F.lit(True))).alias("all_public")
+        F.bool_and(F.coalesce(U.ip_is_public(address), F.lit(True))).alias("all_public")
     )
 
 

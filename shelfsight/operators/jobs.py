@@ -84,14 +84,20 @@ def outcome(results: DataFrame, jobs: DataFrame, products: DataFrame) -> DataFra
 
 
 def progress(jobs: DataFrame, job_products: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Counters and state of every job after one tick that processed ``outcomes``."""
+    """Counters and state of every job after one tick that processed ``outcomes``.
+
+    Only queued and running jobs work; outcomes of others change nothing, their
+    pending products included.
+    """
     added = outcomes.groupBy("job_id").agg(
         F.sum("success").alias("_success"), F.sum("failure").alias("_failure"), F.count("*").alias("_processed"),
         F.sum("white_bg").alias("_white"), F.sum("rembg").alias("_rembg"),
     )
+    runnable = jobs.filter(F.col("state").isin("queued", "running")).select("job_id")
+    done = outcomes.select("job_id", "product_id").join(runnable, "job_id", "left_semi")
     left = (
         job_products.filter("pending")
-        .join(outcomes.select("job_id", "product_id"), ["job_id", "product_id"], "left_anti")
+        .join(done, ["job_id", "product_id"], "left_anti")
         .groupBy("job_id").agg(F.count("*").alias("_left"))
     )
     joined = jobs.join(added, "job_id", "left").join(left, "job_id", "left")

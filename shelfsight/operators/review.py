@@ -59,21 +59,26 @@ def transition(candidates: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def apply_main_guard(candidates: DataFrame, products: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Outcome of applying main candidates in creation order: applied, or failed with a reason.
+    """Outcome of applying main candidates, best confidence first: applied, or failed with a reason.
 
-    Without overwrite, a product takes at most one main: the first, and only
-    if its current main is absent or not yet normalized. The first per product
-    comes from ``min_by`` (one row per product and task before the shuffle) and
+    A candidate without image data (``has_image_data``, where that column exists)
+    fails and takes no place. Without overwrite, a product takes at most one
+    main: the best of the others, and only if its current main is absent or not
+    yet normalized. The best per product comes from ``min_by`` (one row per product and task before the shuffle) and
     is joined back on the candidate id, which no product can skew.
     """
     mains = candidates.filter(F.col("role") == "main")
+    if "has_image_data" not in mains.columns:
+        mains = mains.withColumn("has_image_data", F.lit(True))
+    there = F.coalesce("has_image_data", F.lit(False))
     state = products.select("product_id", "has_main_image", "main_image_normalized")
     joined = mains.join(state, "product_id")
     if settings.overwrite_existing_main:
         blocked = F.lit(False)
     else:
-        first = mains.groupBy("product_id").agg(
-            F.min_by("candidate_id", F.struct("created_at", "candidate_id")).alias("candidate_id")
+        best = F.struct(-F.coalesce("confidence", F.lit(0.0)), F.col("candidate_id"))
+        first = mains.filter(there).groupBy("product_id").agg(
+            F.min_by("candidate_id", best).alias("candidate_id")
         ).select("candidate_id", F.lit(True).alias("_first"))
         joined = joined.join(first, "candidate_id", "left")
         locked = F.col("has_main_image") & F.coalesce("main_image_normalized", F.lit(False))
@@ -81,8 +86,8 @@ def apply_main_guard(candidates: DataFrame, products: DataFrame, settings: Setti
     return joined.select(
         "candidate_id",
         "product_id",
-        F.when(blocked, "failed").otherwise("applied").alias("state"),
-        F.when(blocked, F.lit(ALREADY_NORMALIZED)).alias("rejection_reason"),
+        F.when(~there | blocked, "failed").otherwise("applied").alias("state"),
+        F.when(~there, F.lit(NO_IMAGE_DATA)).when(blocked, F.lit(ALREADY_NORMALIZED)).alias("rejection_reason"),
     )
 
 

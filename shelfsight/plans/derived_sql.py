@@ -226,7 +226,7 @@ select host, concat(case length(host) % 6 when 0 then '10.0.0.' when 1 then '169
 union all
 select host, '8.8.8.8' from hosts where length(host) <> 19
 union all
-select host, case when length(host) % 5 = 0 then '2606:2800:220:1::1' else 'fe80::1' end from hosts where length(host) > 21
+select host, case when length(host) % 5 = 0 then '2606:2800:220:1::1' when length(host) % 2 = 0 then 'fe80::1%eth0' else 'fe80::1' end from hosts where length(host) > 21
 """
 
 # outgoing requests, a tenth of them hostile: IP literals, blocked names, other schemes

@@ -25,7 +25,14 @@ def normalize_catalog(
     plan = L.normalize_plan(
         R.background_state(todo, settings.white_threshold, settings.white_bg_min_percent), answers
     )
-    sized = plan.join(R.bbox_alpha(todo), "image_id").withColumns(
+    whole = todo.groupBy("image_id").agg(F.max("width").alias("_w"), F.max("height").alias("_h"))
+    box = R.bbox_alpha(todo).join(whole, "image_id")
+    # a fully clear image keeps its whole area
+    box = box.select(
+        "image_id", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("top", F.lit(0)).alias("top"),
+        F.coalesce("right", "_w").alias("right"), F.coalesce("bottom", "_h").alias("bottom"),
+    )
+    sized = plan.join(box, "image_id").withColumns(
         {"width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")}
     )
     return R.canvas_geometry(sized, settings.target_canvas_size, settings.padding_percent).select(

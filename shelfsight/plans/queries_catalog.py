@@ -199,7 +199,9 @@ def review_transition(t: Tables) -> DataFrame:
 
 @query
 def apply_main_guard(t: Tables) -> DataFrame:
-    return V.apply_main_guard(V.approved(t("candidates")), t("products"))
+    """Every seventh candidate lost its image."""
+    candidates = V.approved(t("candidates")).withColumn("has_image_data", F.col("image_width") % 7 != 0)
+    return V.apply_main_guard(candidates, t("products"))
 
 
 @query

@@ -74,7 +74,10 @@ def sitemap_host_normalize(t: Tables) -> DataFrame:
 
 @query
 def sitemap_candidates(t: Tables) -> DataFrame:
-    return D.sitemap_candidates(D.host_guesses(named_products(t)), t("sitemap_store"))
+    hosts = D.host_guesses(named_products(t))
+    roots = D.sitemap_addresses(hosts.select("host").distinct()).select("sitemap_url")
+    read = D.sitemap_nodes(t("sitemap_store"), roots).select(F.col("root").alias("sitemap_url"))
+    return D.sitemap_candidates(hosts, read)
 
 
 def _roots(t: Tables) -> DataFrame:

@@ -90,8 +90,10 @@ def settings_save(t: Tables) -> DataFrame:
 @query
 def sink_candidates(t: Tables) -> DataFrame:
     found = t.sql(
-        "select candidate_id, product_id, job_id, role, confidence, source_url, case when role = 'main' then 'hero shot' end as ai_reasoning, "
-        "cast(null as string) as image_mimetype from candidates where role <> 'uncertain'"
+        "select candidate_id, product_id, job_id, role, confidence, source_url, source_page_url, "
+        "case when role = 'main' then 'hero shot' end as ai_reasoning, image_width, image_height, "
+        "image_width * image_height as image_bytes, case when role <> 'uncertain' then 'image/jpeg' end as image_mimetype, "
+        "has_white_background, case when has_white_background then 97.5e0 else 12.5e0 end as background_white_percent, created_at from candidates"
     )
     return sinks.append(sinks.candidate_rows(found), shared_folder(t.spark, "candidates"), ("role",))
 

@@ -141,22 +141,37 @@ _ANSWER = (
 
 
 def json_object_text(text: Column) -> Column:
-    """The JSON object in an answer: fenced, bare, or wrapped in prose (first ``{`` to last ``}``)."""
+    """The JSON object in an answer: what stands inside a fence, else what stands from the first brace on.
 
-    def unwrap(bare: Column) -> Column:
-        fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-        return F.when(F.contains(bare, F.lit("```")) & (fenced != ""), fenced).otherwise(bare)
+    An answer that opens with a brace is taken to its end, so words behind the
+    object make it unreadable; with words before it, it ends at its last brace.
+    """
 
-    def unprose(picked: Column) -> Column:
-        braced = F.regexp_extract(picked, r"(?s)\{.*\}", 0)
-        return F.when(picked.startswith("{") | (braced == ""), picked).otherwise(braced)
+    def bounds(bare: Column) -> Column:
+        fence = F.locate("```", bare)
+        inside = F.substring_index(F.substr(bare, fence + 3), "```", 1)
+        fenced = (fence > 0) & F.contains(inside, F.lit("{"))
+        return F.when(fenced, strip(F.regexp_replace(inside, "^json", ""))).otherwise(bare)
 
-    return let(let(strip(text), unwrap), unprose)
+    def braced(picked: Column) -> Column:
+        first, tail = F.locate("{", picked), F.locate("}", F.reverse(picked))
+        cut = F.substr(picked, first, F.length(picked) - tail - first + 2)
+        return F.when((first <= 1) | (tail == 0), picked).otherwise(cut)
+
+    return let(let(strip(text), bounds), braced)
 
 
 def classification(text: Column) -> Column:
-    """Answer as a typed struct with ``parse_error``; numbers given as text are accepted."""
-    return let(F.from_json(json_object_text(text), _ANSWER, {"mode": "PERMISSIVE"}), lambda raw: _typed_answer(text, raw))
+    """Answer as a typed struct with ``parse_error``; numbers given as text are accepted.
+
+    Quotes are double, and nothing follows the object.
+    """
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
+    def read(picked: Column) -> Column:
+        return F.from_json(F.when(picked.endswith("}"), picked).otherwise(F.lit("{")), _ANSWER, options)
+
+    return let(let(json_object_text(text), read), lambda raw: _typed_answer(text, raw))
 
 
 def _typed_answer(text: Column, raw: Column) -> Column:

@@ -53,7 +53,7 @@ def image_headers(blobs: DataFrame) -> DataFrame:
 
 
 def pixels_from_rasters(rasters: DataFrame) -> DataFrame:
-    """One row per pixel from raster rows, using only built-in expressions."""
+    """One row per pixel from raster rows, using only built-in expressions. One channel is grey."""
     per = F.col("n_channels")
     cell = rasters.select(
         "image_id", "width", "height", "n_channels", "data",
@@ -64,7 +64,7 @@ def pixels_from_rasters(rasters: DataFrame) -> DataFrame:
         "image_id", "width", "height",
         (F.col("i") % F.col("width")).alias("x"),
         F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"),
+        F.when(per == 1, byte(0)).otherwise(byte(2)).alias("r"), F.when(per == 1, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"),
         F.when(per == 4, byte(3)).otherwise(255).alias("a"),
     )
 

@@ -18,10 +18,16 @@ def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Da
 
 
 def candidate_rows(found: DataFrame) -> DataFrame:
-    """Found images as new candidates: pending, text columns never null."""
-    return found.withColumn("state", F.lit("pending")).withColumn(
-        "ai_reasoning", F.coalesce("ai_reasoning", F.lit(""))
-    ).withColumn("image_mimetype", F.coalesce("image_mimetype", F.lit("")))
+    """Found images of every role as new candidates: pending, text columns never null, size in whole kilobytes."""
+    return found.withColumns({
+        "state": F.lit("pending"),
+        "confidence": F.coalesce("confidence", F.lit(0.0)),
+        "ai_reasoning": F.coalesce("ai_reasoning", F.lit("")),
+        "image_mimetype": F.coalesce("image_mimetype", F.lit("")),
+        "image_width": F.coalesce("image_width", F.lit(0)),
+        "image_height": F.coalesce("image_height", F.lit(0)),
+        "image_filesize_kb": F.floor(F.coalesce("image_bytes", F.lit(0)) / 1024).cast("int"),
+    }).drop("image_bytes")
 
 
 def step_rows(events: DataFrame) -> DataFrame:

@@ -108,14 +108,13 @@ def test_downgraded_main_needs_the_gallery(rows):
     assert {r.role for r in loose.collect()} == {"main"}
 
 
-def test_only_the_first_main_wins(rows):
-    t0 = dt.datetime(2024, 1, 1)
-    cands = rows("candidate_id string, product_id int, role string, created_at timestamp_ntz",
-                 ("b", 1, "main", t0), ("a", 1, "main", t0), ("c", 2, "main", t0), ("d", 3, "main", t0))
+def test_only_the_best_main_with_an_image_wins(rows):
+    cands = rows("candidate_id string, product_id int, role string, confidence double, has_image_data boolean",
+                 ("b", 1, "main", 0.5, True), ("a", 1, "main", 0.99, True), ("e", 1, "main", 1.0, False), ("c", 2, "main", 0.9, True), ("d", 3, "main", None, True))
     products = rows("product_id int, has_main_image boolean, main_image_normalized boolean", (1, True, False), (2, True, True), (3, False, True))
     state = lambda s: {r.candidate_id: r.state for r in V.apply_main_guard(cands, products, s).collect()}
-    assert state(Settings()) == {"a": "applied", "b": "failed", "c": "failed", "d": "applied"}
-    assert set(state(Settings(overwrite_existing_main=True)).values()) == {"applied"}
+    assert state(Settings()) == {"a": "applied", "b": "failed", "c": "failed", "d": "applied", "e": "failed"}
+    assert state(Settings(overwrite_existing_main=True)) == {"a": "applied", "b": "applied", "c": "applied", "d": "applied", "e": "failed"}
 
 
 def test_signatures_equal_python(rows):

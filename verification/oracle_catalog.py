@@ -117,10 +117,11 @@ from acts""",
     "apply_main_guard": """
 with m as (
   select c.candidate_id, c.product_id, p.has_main_image and p.main_image_normalized as locked,
-         row_number() over (partition by c.product_id order by c.created_at, c.candidate_id) as rn
+         c.image_width % 7 = 0 as lost,
+         row_number() over (partition by c.product_id, c.image_width % 7 = 0 order by c.confidence desc, c.candidate_id) as rn
   from candidates c join products p on p.product_id = c.product_id where c.state = 'approved' and c.role = 'main')
-select candidate_id, product_id, case when locked or rn > 1 then 'failed' else 'applied' end as state,
-       case when locked or rn > 1 then 'Main image already normalized — enable overwrite_existing_main to replace' end as rejection_reason from m""",
+select candidate_id, product_id, case when lost or locked or rn > 1 then 'failed' else 'applied' end as state,
+       case when lost then 'Candidate has no image data' when locked or rn > 1 then 'Main image already normalized — enable overwrite_existing_main to replace' end as rejection_reason from m""",
     "apply_gallery": """
 select c.candidate_id, c.product_id, concat(p.name, ' - ', c.role) as name,
        cast(case c.role when 'angle' then 10 when 'detail' then 20 when 'in_use' then 30 when 'lifestyle' then 40 when 'accessory' then 50 else 99 end as int) as sequence,

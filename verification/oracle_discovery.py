@@ -33,10 +33,16 @@ EXPAND = """walk as (
 ), seen as (
   select *, row_number() over (partition by root order by doc_path) as visit from firsts
 ), sized as (
-  select s.root, s.node, s.doc_path, coalesce(sum(n) over (partition by s.root order by s.doc_path rows between unbounded preceding and 1 preceding), 0) as earlier
+  select s.root, s.node, s.doc_path, coalesce(n, 0) as n
   from seen s left join (select sitemap_url, count(*) as n from sitemap_store where kind = 'urlset' group by sitemap_url) c on c.sitemap_url = s.node where visit <= 101
+), under as (
+  select a.root, a.doc_path as above, left(z.doc_path, length(a.doc_path) + strpos(substr(z.doc_path, length(a.doc_path) + 10), '.xml/') + 13) as child, sum(z.n) as n
+  from sized a join sized z on z.root = a.root and starts_with(z.doc_path, a.doc_path) and z.doc_path <> a.doc_path group by all
+), late as (
+  select root, child from (select *, sum(n) over (partition by root, above order by child rows between unbounded preceding and 1 preceding) as earlier from under) where earlier >= 50000
 ), expanded as (
-  select root, u.sitemap_url, doc_path, pos, loc from sized z join sitemap_store u on u.sitemap_url = z.node and u.kind = 'urlset' where earlier < 50000
+  select root, u.sitemap_url, doc_path, pos, loc from sized z join sitemap_store u on u.sitemap_url = z.node and u.kind = 'urlset'
+  where not exists (select 1 from late l where l.root = z.root and starts_with(z.doc_path, l.child))
 )"""
 ERASE = "regexp_replace(lower({}), '[\\s_-]', '', 'g')"
 HOSTNAME = """case when h like '[%' then regexp_extract(h, '^\\[([^\\]]*)\\]', 1) else split_part(h, ':', 1) end"""
@@ -61,9 +67,9 @@ select product_id, left(concat_ws(' ', nullif(maker, ''), nullif(sku, ''), nulli
     "manufacturer_host_guesses": f"""with {NAMED}, {GUESSES} select product_id, cast(guess_no as int) as guess_no, host from guesses""",
     "sitemap_host_normalize": f"""
 select page_id, ltrim(lower({HOST}), 'w.') as host, regexp_replace(lower({HOST}), '^www\\.', '') as strict_host, ltrim(lower({HOST}), 'w.') as bare_host from pages""",
-    "sitemap_candidates": f"""with {NAMED}, {GUESSES}, {ADDRESSES}
+    "sitemap_candidates": f"""with recursive {NAMED}, {GUESSES}, {ADDRESSES}, roots as (select distinct sitemap_url from addresses), {EXPAND}
 select host, arg_min(sitemap_url, preference) as sitemap_url, cast(min(preference) as int) as preference from addresses
-where sitemap_url in (select sitemap_url from sitemap_store) group by host""",
+where sitemap_url in (select root from expanded) group by host""",
     "sitemap_expand": f"""with recursive roots as (select distinct root as sitemap_url from sitemap_layout), {EXPAND}
 select root, sitemap_url, pos, loc from expanded""",
     "sku_url_match": f"""with recursive roots as (select distinct root as sitemap_url from sitemap_layout), {EXPAND},
@@ -94,7 +100,7 @@ select request_id, url from k where regexp_matches(lower(url), '^https?://') and
   and hn not in (select hn from v4 join private_blocks on num between lo and hi)""",
     "ssrf_filter_resolved": f"""
 with {PRIVATE}, v4 as (select ip, {V4NUM.format('ip')} as num from (select distinct ip from resolved_ips where ip not like '%:%') d),
-bad as (select ip from v4 join private_blocks on num between lo and hi union select 'fe80::1')
+bad as (select ip from v4 join private_blocks on num between lo and hi union select ip from resolved_ips where starts_with(ip, 'fe80:'))
 select page_id, url from pages where {HOST} in (select host from resolved_ips)
   and {HOST} not in (select host from resolved_ips where ip in (select ip from bad))""",
     "robots_gate": f"""

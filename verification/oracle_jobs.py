@@ -29,7 +29,8 @@ chunk as (select job_id, product_id from (select job_id, product_id, row_number(
 agg as (select o.job_id, sum(success) as s, sum(failure) as f, count(*) as n, sum(white_bg) as w, sum(rembg) as r
   from outcomes o join chunk c on c.job_id = o.job_id and c.product_id = o.product_id group by o.job_id),
 lefts as (select p.job_id, count(*) as n from job_products p where pending and not exists (
-  select 1 from outcomes o join chunk c on c.job_id = o.job_id and c.product_id = o.product_id where o.job_id = p.job_id and o.product_id = p.product_id) group by p.job_id),
+  select 1 from outcomes o join chunk c on c.job_id = o.job_id and c.product_id = o.product_id join jobs r on r.job_id = o.job_id and r.state in ('queued', 'running')
+  where o.job_id = p.job_id and o.product_id = p.product_id) group by p.job_id),
 j as (select j.*, a.*  exclude (job_id), coalesce(l.n, 0) as pend, a.n is not null and j.state in ('queued', 'running') as ran
   from jobs j left join agg a on a.job_id = j.job_id left join lefts l on l.job_id = j.job_id)
 select job_id, case when ran and pend = 0 then 'done' when ran then 'running' else state end as state,

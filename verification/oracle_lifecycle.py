@@ -38,7 +38,8 @@ from products where original_image_text is not null""",
 select product_id, case when product_id in (select product_id from candidates where state = 'rejected' and confidence < 0.6) then 'skipped' else enrichment_state end as enrichment_state from products""",
     "normalize_catalog": f"""with {PLAN}, s as (select product_id, main_image_text, {STORED} as sig from products where has_main_image),
 due as (select product_id from s where sig is null or sig <> sha256(concat(main_image_text, '{SIG}'))),
-bx as (select image_id, min(x) as l, min(y) as t, max(x) + 1 as r, max(y) + 1 as b from pixels where a <> 0 group by image_id),
+bx as (select image_id, coalesce(min(x) filter (where a <> 0), 0) as l, coalesce(min(y) filter (where a <> 0), 0) as t,
+  coalesce(max(x) filter (where a <> 0) + 1, max(width)) as r, coalesce(max(y) filter (where a <> 0) + 1, max(height)) as b from pixels group by image_id),
 g as (select bx.*, least(1612e0 / (r - l), 1612e0 / (b - t)) as k from bx),
 n as (select *, greatest(1, cast(floor((r - l) * k) as int)) as nw, greatest(1, cast(floor((b - t) * k) as int)) as nh from g)
 select d.product_id, p.source_state, p.source_state = 'white' as has_white, case p.source_state when 'transparent' then 'trim' else 'remove_background_then_trim' end as action,

@@ -49,8 +49,9 @@ with ch as (select c_custkey as scope_id, name, cast(c_nationkey + 200 as string
 select coalesce(ch.scope_id, s.scope_id) as scope_id, coalesce(ch.name, s.name) as name, case when ch.scope_id is not null then ch.value else s.value end as value
 from setting_rows s full outer join ch on ch.scope_id = s.scope_id and ch.name = s.name""",
     "sink_candidates": """
-select candidate_id, product_id, job_id, role, confidence, source_url, case when role = 'main' then 'hero shot' else '' end as ai_reasoning,
-  '' as image_mimetype, 'pending' as state from candidates where role <> 'uncertain'""",
+select candidate_id, product_id, job_id, role, confidence, source_url, source_page_url, case when role = 'main' then 'hero shot' else '' end as ai_reasoning,
+  image_width, image_height, cast(image_width * image_height // 1024 as int) as image_filesize_kb, case when role = 'uncertain' then '' else 'image/jpeg' end as image_mimetype,
+  has_white_background, case when has_white_background then 97.5e0 else 12.5e0 end as background_white_percent, created_at, 'pending' as state from candidates""",
     "sink_step_log": """
 select log_id, job_id, step, level, cast(length(left(message, 5000)) as int) as message_length, md5(left(message, 5000)) as message_md5 from step_log""",
     "sink_usage_log": """
