@@ -48,7 +48,7 @@ def _decode_numbers(value: Column) -> Column:
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, r"^&#([0-9]+)$", 1)).try_cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         wide = F.format_string("%08X", F.when(valid, code).otherwise(0xFFFD))
-        return F.when(code.isNotNull(), F.decode(F.unhex(wide), "UTF-32BE")).otherwise(part)
+        return F.when(code.isNotNull(), F.decode(F.unhex(wide), "UTF-32")).otherwise(part)
 
     return F.when(F.contains(value, F.lit("&#")), F.array_join(F.transform(parts, character), "")).otherwise(value)
 

@@ -88,12 +88,12 @@ def politeness_schedule(requests: DataFrame, delay_seconds: float | None = DEFAU
 
     The recurrence start_i = max(arrival_i, start_(i-1) + d) unrolls to
     d*i + max over j <= i of (arrival_j - d*j), a running maximum. A host with a
-    large share of all requests is cut into blocks of arrival time; positions
+    large share of all requests is cut into blocks of (arrival, id); positions
     and maxima of earlier blocks come from a small per-block summary that only
     heavy hosts have.
     """
     d = float(delay_seconds or 2.0)
-    blocks = with_blocks(requests, ["host"], "arrival_s")
+    blocks = with_blocks(requests, ["host"], ["arrival_s", "request_id"])
     order = Window.partitionBy("host", "block").orderBy("arrival_s", "request_id")
     local = blocks.withColumn("_k", F.row_number().over(order) - 1).withColumn(
         "_m", F.max(F.col("arrival_s") - F.col("_k") * F.lit(d)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -110,7 +110,7 @@ def politeness_schedule(requests: DataFrame, delay_seconds: float | None = DEFAU
 
 
 def blocks_summary(local: DataFrame, d: float) -> DataFrame:
-    """Rows and maximum before each block after the first; at most 256 blocks per heavy host."""
+    """Rows and maximum before each block after the first; some 256 blocks per heavy host."""
     totals = local.groupBy("host", "block").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"))
     before = Window.partitionBy("host").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

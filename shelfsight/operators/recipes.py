@@ -13,6 +13,7 @@ from shelfsight.operators.topk import first_n
 from shelfsight.settings import DEFAULTS, Settings
 from shelfsight.sources.bodies import json_object_text
 
+SALTS = 16
 BUILD_THRESHOLD = 5
 MAX_FAILURES = 3
 EVIDENCE_ROWS = 20
@@ -118,16 +119,24 @@ def recipe_failure_state(recipes: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def recipe_success_reset(events: DataFrame) -> DataFrame:
-    """Failures since the last success per domain: ``domain, outcome, event_ts, event_id``."""
+    """Failures since the last success per domain: ``domain, outcome, event_ts, event_id``.
+
+    Events meet the last success of their domain in ``SALTS`` shares, so a
+    domain with a large part of all events is no single task's work.
+    """
     at = F.struct("event_ts", "event_id")
-    last = events.filter(F.col("outcome") == "success").groupBy("domain").agg(F.max(at).alias("_at"))
+    success = F.when(F.col("outcome") == "success", at)
+    last = events.groupBy("domain").agg(F.max(success).alias("_at")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    since = (F.col("outcome") == "failure") & (F.col("_at").isNull() | (at > F.col("_at")))
     return (
-        events.join(last, "domain", "left")
+        events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
+        .join(last, ["domain", "_salt"])
+        .groupBy("domain", "_salt")
+        .agg(F.count_if(since).alias("_n"), F.max("_at.event_ts").alias("_last"))
         .groupBy("domain")
-        .agg(
-            F.count_if((F.col("outcome") == "failure") & (F.col("_at").isNull() | (at > F.col("_at")))).alias("consecutive_failures"),
-            F.max(F.when(F.col("outcome") == "success", F.col("event_ts"))).alias("last_validated"),
-        )
+        .agg(F.sum("_n").alias("consecutive_failures"), F.max("_last").alias("last_validated"))
     )
 
 

@@ -11,9 +11,11 @@ def substring_hits(texts: DataFrame, text: str, needles: DataFrame, needle: str,
 
     No pair of text and needle is formed unless it matches: each text is cut
     into its distinct substrings of the lengths that occur among the needles of
-    its key, and these meet the needles in an equi-join. Work is linear in the
-    texts, whatever the number of needles per key. The array of lengths holds
-    distinct small integers only.
+    its key, and the hashes of these meet those of the needles in an equi-join.
+    Only keys and two hashes travel; matches are few, get their rows back and are
+    compared as texts. Work is linear in the texts, whatever the number of needles
+    per key. The array of lengths holds distinct small integers only. Repeated
+    rows keep their number.
     """
     sizes = F.array_sort(F.collect_set(F.length(needle))).alias("_sizes")
     length = F.length(F.col(text))
@@ -24,7 +26,10 @@ def substring_hits(texts: DataFrame, text: str, needles: DataFrame, needle: str,
         sized = texts.join(needles.groupBy(*keys).agg(sizes), keys)
     else:
         sized = texts.withColumn("_sizes", needles.agg(sizes).scalar())
-    cut = sized.select(
-        *texts.columns, F.explode(F.array_distinct(F.flatten(F.transform("_sizes", pieces)))).alias(needle)
-    )
-    return cut.join(needles, [*keys, needle])
+    row = F.xxhash64(*texts.columns).alias("_row")
+    hashes = F.array_distinct(F.transform(F.flatten(F.transform("_sizes", pieces)), lambda p: F.xxhash64(p)))
+    cut = sized.select(*keys, row, F.explode(hashes).alias("_piece"))
+    named = needles.withColumn("_piece", F.xxhash64(needle))
+    pairs = cut.join(named.select(*keys, "_piece").distinct(), [*keys, "_piece"]).select(*keys, "_row", "_piece").distinct()
+    found = texts.withColumn("_row", row).join(pairs, [*keys, "_row"]).join(named, [*keys, "_piece"])
+    return found.filter(F.contains(F.col(text), F.col(needle))).drop("_row", "_piece")

@@ -20,27 +20,28 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int, a
 
 
 def heavy_keys(df: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
-    """Keys that hold more than 1/``parts`` of all rows. At most ``parts`` keys can."""
+    """Keys that hold more than 1/``parts`` of all rows, with ``_n`` rows. At most ``parts`` keys can."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*")).scalar()
     return counts.filter(F.col("_n") * F.lit(parts) > total)
 
 
-def with_blocks(df: DataFrame, keys: list[str], order: str, parts: int = 1000, splits: int = 256) -> DataFrame:
+def with_blocks(df: DataFrame, keys: list[str], order: list[str], parts: int = 1000, splits: int = 256) -> DataFrame:
     """Add ``block``: consecutive ranges of ``order`` that cut heavy groups into small pieces.
 
-    Light groups are one block. Heavy groups are cut at approximate quantiles;
+    Light groups are one block. Heavy groups are cut at rows of a sample by hash,
+    some four per piece, so equal leading values are cut by those that follow;
     any cut is right, since blocks only have to be ordered and non-overlapping.
-    There are at most ``parts`` heavy groups with ``splits`` cuts each, which
-    bounds the table that is broadcast.
+    There are at most ``parts`` heavy groups with about ``splits`` cuts each,
+    which bounds the table that is broadcast.
     """
-    heavy = heavy_keys(df, keys, parts).drop("_n")
-    cuts = (
-        df.join(F.broadcast(heavy), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(F.col(order).cast("double"), [i / splits for i in range(1, splits)], 10000).alias("_cuts"))
+    heavy = heavy_keys(df, keys, parts)
+    value = F.struct(*order)
+    chance = F.pmod(F.xxhash64(*order), F.col("_n")) < 4 * splits
+    sample = df.join(F.broadcast(heavy), keys).filter(chance)
+    cuts = sample.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_all")).select(
+        *keys, F.filter("_all", lambda c, i: i % 4 == 3).alias("_cuts")
     )
-    value = F.col(order).cast("double")
     return (
         df.join(F.broadcast(cuts), keys, "left")
         .withColumn("block", F.coalesce(F.size(F.filter("_cuts", lambda c: c < value)), F.lit(0)))

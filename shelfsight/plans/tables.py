@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfsight.plans.derived_sql import BASE_TABLES, DERIVED, dependencies
+from shelfsight.session import ship_package
 
 
 class Tables:
@@ -13,6 +14,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        ship_package(spark)
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python functions find their modules there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-package-")
+    archive = shutil.make_archive(os.path.join(folder, "shelfsight"), "zip", root, "shelfsight")
+    context.addPyFile(archive)
+
 
 def local_session(cores: int = 8, app: str = "shelfsight") -> SparkSession:
     spark = (
@@ -23,13 +39,13 @@ def local_session(cores: int = 8, app: str = "shelfsight") -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the checkpoint folder that all executors can reach.
+def shared_folder(spark: SparkSession, purpose: str, root: str | None = None) -> str:
+    """A fresh folder below ``root``, by default the checkpoint folder, that all executors can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may
     fall back to a temporary folder, because there every task shares the disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

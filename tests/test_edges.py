@@ -65,3 +65,28 @@ def test_one_channel_is_grey(rows):
     raster = rows("image_id int, width int, height int, n_channels int, data binary", (1, 3, 1, 1, bytearray([10, 20, 30])))
     got = sorted((r.x, r.r, r.g, r.b, r.a) for r in I.pixels_from_rasters(raster).collect())
     assert got == [(0, 10, 10, 10, 255), (1, 20, 20, 20, 255), (2, 30, 30, 30, 255)]
+
+
+def test_hot_host_with_equal_arrivals_is_cut(rows):
+    from shelfsight.operators.topk import with_blocks
+
+    df = rows("host string, arrival_s double, request_id int", *[("hot", 0.0, i) for i in range(5000)], ("cold", 1.0, 9999))
+    got = with_blocks(df, ["host"], ["arrival_s", "request_id"], splits=16).collect()
+    by_block = {}
+    for r in got:
+        if r.host == "hot":
+            by_block.setdefault(r.block, []).append(r.request_id)
+    assert len(by_block) > 8 and max(map(len, by_block.values())) < 1500 and len(got) == 5001
+    ends = [(min(v), max(v)) for _, v in sorted(by_block.items())]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    paced = H.politeness_schedule(df, 2.0).filter("host = 'hot'").orderBy("request_id").collect()
+    assert [(r.seq, r.start_s) for r in paced] == [(i, 2.0 * i) for i in range(5000)]
+
+
+def test_containment_keeps_repeats_and_payload(rows):
+    from shelfsight.operators.substrings import substring_hits
+
+    texts = rows("host string, t string, n int", ("a", "xx-abc-yy", 1), ("a", "xx-abc-yy", 1), ("a", "none", 2), ("b", "abc", 3), ("a", None, 4))
+    needles = rows("host string, needle string", ("a", "abc"), ("a", "xx"), ("b", "zz"))
+    got = sorted((r.host, r.t, r.n, r.needle) for r in substring_hits(texts, "t", needles, "needle", ["host"]).collect())
+    assert got == [("a", "xx-abc-yy", 1, "abc")] * 2 + [("a", "xx-abc-yy", 1, "xx")] * 2
