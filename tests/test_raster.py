@@ -23,18 +23,31 @@ def _grids():
     return out
 
 
-def _by_slices(grid, thr=245, least=85):
+def _pixel_by_pixel(grid, thr=245, least=85):
+    """Background state from the definition: every pixel is asked which of the three regions it lies in."""
     h, w = grid.shape[:2]
-    t, c = max(1, int(min(h, w) * 0.05)), max(5, int(min(h, w) * 0.02))
-    ring = np.concatenate([p.reshape(-1, 4) for p in (grid[:t], grid[-t:], grid[:, :t], grid[:, -t:])])
-    top = np.concatenate([p.reshape(-1, 4) for p in (grid[:c, :c], grid[:c, -c:])])
-    bottom = np.concatenate([p.reshape(-1, 4) for p in (grid[-c:, :c], grid[-c:, -c:])])
-    pct = lambda m: float(m.sum()) / len(m) * 100
-    clear = pct(ring[:, 3] < 32)
-    white, tw, bw = pct((ring[:, :3] >= thr).all(1)), pct((top[:, :3] >= thr).all(1)), pct((bottom[:, :3] >= thr - 15).all(1))
-    if clear >= 80:
+    side = min(h, w)
+    ring, corner = max(1, side * 5 // 100), max(5, side * 2 // 100)
+    clear, white, upper, lower = [], [], [], []
+    for y in range(h):
+        for x in range(w):
+            r, g, b, a = (int(v) for v in grid[y, x])
+            darkest = min(r, g, b)
+            # a pixel counts once for every strip of the ring that holds it
+            for inside in (y < ring, y >= h - ring, x < ring, x >= w - ring):
+                if inside:
+                    clear.append(a < 32)
+                    white.append(darkest >= thr)
+            for near_side in (x < corner, x >= w - corner):
+                if near_side and y < corner:
+                    upper.append(darkest >= thr)
+                if near_side and y >= h - corner:
+                    lower.append(darkest >= thr - 15)
+    share = lambda marks: 100 * sum(marks) / len(marks)
+    if share(clear) >= 80:
         return "transparent", 0.0
-    return ("white" if white >= least and tw >= 95 and bw >= 80 else "complex"), white
+    good = share(white) >= least and share(upper) >= 95 and share(lower) >= 80
+    return ("white" if good else "complex"), share(white)
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +59,10 @@ def pixels(spark):
     return spark.createDataFrame(data, "image_id long, width int, height int, x int, y int, r int, g int, b int, a int").cache()
 
 
-def test_background_state_matches_slicing(pixels):
+def test_background_state_matches_single_pixels(pixels):
     got = {r.image_id: r for r in R.background_state(pixels).collect()}
     for k, g in enumerate(_grids()):
-        state, white = _by_slices(g)
+        state, white = _pixel_by_pixel(g)
         assert got[k].source_state == state, k
         assert got[k].white_percent == pytest.approx(white), k
 
