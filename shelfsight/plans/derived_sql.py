@@ -350,6 +350,10 @@ union all select c_custkey, 'white_bg_min_percent', c_mktsegment from customer
 union all select c_custkey, 'min_confidence', cast(cast(floor(c_acctbal) as int) as string) from customer
 union all select c_custkey, 'strict_white_main', case c_nationkey % 5 when 0 then 'Yes' when 1 then '0' when 2 then 'TRUE' when 3 then 'off' end from customer
 union all select c_custkey, 'output_format', lower(c_mktsegment) from customer where c_acctbal > 0
+union all select c_custkey, 'brand_attribute_name', c_mktsegment from customer where c_nationkey % 3 = 0
+union all select c_custkey, 'max_images_per_product', case when c_nationkey % 4 = 0 then 'many' else cast(c_nationkey as string) end from customer
+union all select c_custkey, 'overwrite_existing_main', case when c_nationkey % 2 = 0 then 'T' else 'no' end from customer where c_nationkey % 7 <> 0
+union all select c_custkey, 'request_delay_seconds', case when c_nationkey % 6 = 0 then '2,5' else concat(cast(c_nationkey as string), '.5') end from customer
 """
 
 DERIVED["image_blobs"] = """

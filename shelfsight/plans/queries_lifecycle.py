@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from shelfsight.operators import lifecycle as L
 from shelfsight.operators import raster as R
-from shelfsight.plans.queries_sources import SETTING_DEFAULTS
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
+from shelfsight.settings import TYPED_DEFAULTS
 from shelfsight.sources import parameters
 
 
 @query
 def settings_signature(t: Tables) -> DataFrame:
     """One signature per settings scope."""
-    s = parameters.typed(t("setting_rows"), SETTING_DEFAULTS)
+    s = parameters.typed(t("setting_rows"), TYPED_DEFAULTS)
     values = {
         "bg_color": F.lit("#FFFFFF"), "jpeg_quality": F.lit(92), "output_format": F.col("output_format"),
         "padding_percent": F.lit(8), "target_canvas_size": F.lit(1920), "white_threshold": F.col("white_threshold"),

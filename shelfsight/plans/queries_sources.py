@@ -10,6 +10,7 @@ from shelfsight.plans.tables import Tables
 from shelfsight.session import shared_folder
 from shelfsight.sources import bodies as B
 from shelfsight.sources import images as I
+from shelfsight.settings import TYPED_DEFAULTS
 from shelfsight.sources import parameters, sinks
 
 
@@ -67,15 +68,9 @@ def scan_llm_response(t: Tables) -> DataFrame:
     )
 
 
-SETTING_DEFAULTS = {
-    "white_threshold": 245, "white_bg_min_percent": 85, "min_confidence": 0.7,
-    "strict_white_main": True, "output_format": "jpeg",
-}
-
-
 @query
 def settings_typed(t: Tables) -> DataFrame:
-    return parameters.typed(t("setting_rows"), SETTING_DEFAULTS)
+    return parameters.typed(t("setting_rows"), TYPED_DEFAULTS)
 
 
 @query

@@ -31,3 +31,38 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+# fixed values: every stored setting and its default; the default's type is the setting's type
+TYPED_DEFAULTS: dict[str, object] = {
+    "classifier_api_key": "",
+    "classifier_model": "small",
+    "search_provider": "brave",
+    "search_api_key": "",
+    "removal_api_key": "",
+    "render_api_key": "",
+    "render_endpoint": "",
+    "strict_white_main": True,
+    "recipe_cache_enabled": True,
+    "brand_attribute_name": "Brand",
+    "strict_brand_url_match": True,
+    "target_canvas_size": 1920,
+    "padding_percent": 8,
+    "bg_color": "#FFFFFF",
+    "jpeg_quality": 92,
+    "output_format": "jpeg",
+    "white_threshold": 245,
+    "white_bg_min_percent": 85,
+    "force_normalize_existing": True,
+    "max_images_per_product": 4,
+    "min_image_width": 600,
+    "removal_model": "birefnet-general",
+    "overwrite_existing_main": False,
+    "require_review": True,
+    "min_confidence": 0.7,
+    "user_agent": "ProductImageBot/1.0",
+    "request_delay_seconds": 2.0,
+    "concurrent_workers": 2,
+    "monthly_budget_usd": 50.0,
+    "alert_email": "",
+    "keep_backup": True,
+}

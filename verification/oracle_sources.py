@@ -39,10 +39,18 @@ from j""",
     "settings_typed": """
 with w as (select scope_id, max(case when name = 'white_threshold' then value end) as a, max(case when name = 'white_bg_min_percent' then value end) as b,
   max(case when name = 'min_confidence' then value end) as c, max(case when name = 'strict_white_main' then value end) as d,
-  max(case when name = 'output_format' then value end) as e from setting_rows group by scope_id)
+  max(case when name = 'output_format' then value end) as e, max(case when name = 'brand_attribute_name' then value end) as f,
+  max(case when name = 'max_images_per_product' then value end) as g, max(case when name = 'overwrite_existing_main' then value end) as h,
+  max(case when name = 'request_delay_seconds' then value end) as k from setting_rows group by scope_id)
 select scope_id, coalesce(try_cast(a as int), 245) as white_threshold, coalesce(try_cast(b as int), 85) as white_bg_min_percent,
   coalesce(try_cast(c as double), 0.7e0) as min_confidence, case when d is null then true else lower(d) in ('1', 'true', 't', 'yes') end as strict_white_main,
-  coalesce(e, 'jpeg') as output_format from w""",
+  coalesce(e, 'jpeg') as output_format,
+  '' as classifier_api_key, 'small' as classifier_model, 'brave' as search_provider, '' as search_api_key, '' as removal_api_key, '' as render_api_key,
+  '' as render_endpoint, true as recipe_cache_enabled, coalesce(f, 'Brand') as brand_attribute_name, true as strict_brand_url_match, 1920 as target_canvas_size,
+  8 as padding_percent, '#FFFFFF' as bg_color, 92 as jpeg_quality, true as force_normalize_existing, coalesce(try_cast(g as int), 4) as max_images_per_product,
+  600 as min_image_width, 'birefnet-general' as removal_model, case when h is null then false else lower(h) in ('1', 'true', 't', 'yes') end as overwrite_existing_main,
+  true as require_review, 'ProductImageBot/1.0' as user_agent, coalesce(try_cast(k as double), 2e0) as request_delay_seconds, 2 as concurrent_workers,
+  50e0 as monthly_budget_usd, '' as alert_email, true as keep_backup from w""",
     "settings_save": """
 with ch as (select c_custkey as scope_id, name, cast(c_nationkey + 200 as string) as value
   from customer, (select 'white_threshold' as name union all select 'padding_percent' union all select 'bg_color') k where c_mktsegment = 'BUILDING')
