@@ -14,7 +14,7 @@ from shelfsight.functions.text import strip
 from shelfsight.functions.urls import host_contains_brand
 from shelfsight.functions.vocab import role_priority
 from shelfsight.operators.fetching import download_gate
-from shelfsight.operators.review import ALREADY_NORMALIZED
+from shelfsight.operators.review import ALREADY_NORMALIZED, NO_IMAGE_DATA
 from shelfsight.operators.topk import first_n
 from shelfsight.settings import DEFAULTS, Settings
 
@@ -229,17 +229,22 @@ def auto_apply(
 
     ``runs`` has ``product_id, pipeline_steps``. Review order decides which
     main comes first; later mains of the product, and all mains of a product
-    whose main is already normalized, fail unless overwriting is on.
+    whose main is already normalized, fail unless overwriting is on. A candidate
+    without image data (``has_image_data``, where that column exists) fails and
+    takes no place.
     """
     auto = runs.filter(F.col("pipeline_steps").isin(*AUTO_PIPELINES)).select("product_id").distinct()
     threshold = max(settings.min_confidence, settings.auto_apply_confidence)
     due = candidates.filter((F.col("state") == "pending") & (F.col("confidence") >= threshold)).join(
         auto, "product_id", "left_semi"
     )
+    if "has_image_data" not in due.columns:
+        due = due.withColumn("has_image_data", F.lit(True))
+    there = F.coalesce("has_image_data", F.lit(False))
     is_main = F.col("role") == "main"
     order = F.struct(role_priority(F.col("role")), -F.col("confidence"), "candidate_id")
     first = (
-        due.filter(is_main).groupBy("product_id").agg(F.min_by("candidate_id", order).alias("candidate_id"))
+        due.filter(is_main & there).groupBy("product_id").agg(F.min_by("candidate_id", order).alias("candidate_id"))
         .select("candidate_id", F.lit(True).alias("_first"))
     )
     joined = due.join(first, "candidate_id", "left").join(
@@ -249,8 +254,8 @@ def auto_apply(
     blocked = F.lit(not settings.overwrite_existing_main) & is_main & (locked | F.col("_first").isNull())
     return joined.select(
         "candidate_id", "product_id", "role",
-        F.when(blocked, "failed").otherwise("applied").alias("state"),
-        F.when(blocked, F.lit(ALREADY_NORMALIZED[:255])).alias("rejection_reason"),
+        F.when(~there | blocked, "failed").otherwise("applied").alias("state"),
+        F.when(~there, F.lit(NO_IMAGE_DATA)).when(blocked, F.lit(ALREADY_NORMALIZED[:255])).alias("rejection_reason"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions import markup as M
+from shelfsight.functions.binding import with_once
 from shelfsight.functions.text import strip
 from shelfsight.functions.urls import netloc, resolve
 from shelfsight.operators.substrings import substring_hits
@@ -183,21 +184,28 @@ def recipe_evidence(domains: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def recipe_ingest(answers: DataFrame) -> DataFrame:
-    """Recipe columns from builder answers (``domain, text``); a recipe is built if it has any selector."""
+def recipe_ingest(answers: DataFrame, built_at: Column | None = None) -> DataFrame:
+    """Recipe columns from builder answers (``domain, text``); a recipe is built if it has any selector.
+
+    The answer's object is kept as ``raw_recipe_json``; ``last_built`` is
+    ``built_at``, by default the time of the query.
+    """
     fields = ("main_image_selector", "gallery_image_selector", "image_url_attribute", "excluded_url_patterns", "notes")
     schema = ", ".join(f"{f} STRING" for f in fields) + ", _corrupt_record STRING"
-    raw = answers.select("domain", F.from_json(json_object_text(F.col("text")), schema).alias("r"))
+    named = with_once(answers.select("domain", "text"), "_object", json_object_text(F.col("text")))
+    raw = named.select("domain", "_object", F.from_json("_object", schema).alias("r"))
+    built = F.current_timestamp() if built_at is None else built_at
     text = lambda f, default="": F.coalesce(F.nullif(F.col(f"r.{f}"), F.lit("")), F.lit(default)).alias(f)
     return (
         raw.filter(F.col("r._corrupt_record").isNull())
         .select(
             "domain", text("main_image_selector"), text("gallery_image_selector"), text("image_url_attribute", "src"),
-            text("excluded_url_patterns"), text("notes"),
+            text("excluded_url_patterns"), text("notes"), F.col("_object").alias("raw_recipe_json"), built.alias("last_built"),
         )
         .withColumn("recipe_built", (F.col("main_image_selector") != "") | (F.col("gallery_image_selector") != ""))
     )
 
 
 def recipe_order(recipes: DataFrame) -> DataFrame:
-    return recipes.orderBy(F.col("success_count").desc(), F.col("domain"))
+    """Most successful first, then the latest written; equal ones by domain."""
+    return recipes.orderBy(F.col("success_count").desc(), F.col("written_at").desc_nulls_last(), F.col("domain"))

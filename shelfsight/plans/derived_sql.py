@@ -309,7 +309,7 @@ select host as domain, cast(length(host) % 11 as int) as success_count, length(h
        case when length(host) % 3 = 0 then '.alt.view' else 'img.hero' end as main_image_selector,
        'div.gallery img' as gallery_image_selector,
        case when length(host) % 3 = 0 then 'data-src' else 'src' end as image_url_attribute,
-       'thumb, LOGO' as excluded_url_patterns
+       'thumb, LOGO' as excluded_url_patterns, make_date(2024, cast(1 + length(host) % 12 as int), 15) as written_at
 from hosts
 """
 

@@ -174,14 +174,19 @@ def _runs(t: Tables) -> DataFrame:
     return t.sql("select product_id, pipeline_steps from job_products join jobs on jobs.job_id = job_products.job_id where state = 'running' and pending")
 
 
+def _with_images(t: Tables) -> DataFrame:
+    """Every seventh candidate lost its image."""
+    return t("candidates").withColumn("has_image_data", F.col("image_width") % 7 != 0)
+
+
 @query
 def auto_apply(t: Tables) -> DataFrame:
-    return C.auto_apply(t("candidates"), _runs(t), t("products"))
+    return C.auto_apply(_with_images(t), _runs(t), t("products"))
 
 
 @query
 def auto_apply_products(t: Tables) -> DataFrame:
-    return C.products_enriched(C.auto_apply(t("candidates"), _runs(t), t("products")))
+    return C.products_enriched(C.auto_apply(_with_images(t), _runs(t), t("products")))
 
 
 @query

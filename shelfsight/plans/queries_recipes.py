@@ -26,7 +26,7 @@ def recipe_extract(t: Tables) -> DataFrame:
 
 @query
 def recipe_upsert(t: Tables) -> DataFrame:
-    return C.recipe_upsert(t("recipes"), t("learned_domains"))
+    return C.recipe_upsert(t("recipes").drop("written_at"), t("learned_domains"))
 
 
 @query
@@ -65,9 +65,9 @@ def recipe_evidence(t: Tables) -> DataFrame:
 
 @query
 def recipe_ingest(t: Tables) -> DataFrame:
-    return C.recipe_ingest(t("recipe_answers"))
+    return C.recipe_ingest(t("recipe_answers"), F.lit("2024-03-01 12:00:00").cast("timestamp_ntz"))
 
 
 @query
 def recipe_order(t: Tables) -> DataFrame:
-    return C.recipe_order(t("recipes")).select("domain", "success_count")
+    return C.recipe_order(t("recipes")).select("domain", "success_count", F.date_format("written_at", "yyyy-MM-dd").alias("written_on"))

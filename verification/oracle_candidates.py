@@ -79,8 +79,8 @@ DOWN = f"""{VALID}, down as (
 RUNS = """runs as (select distinct product_id from job_products join jobs on jobs.job_id = job_products.job_id where state = 'running' and pending and pipeline_steps in ('discover_apply', 'full')),
 due as (select c.*, p.has_main_image and p.main_image_normalized as locked from candidates c join products p on p.product_id = c.product_id
   where c.state = 'pending' and c.confidence >= 0.85e0 and c.product_id in (select product_id from runs)),
-ordered as (select *, row_number() over (partition by product_id, role = 'main' order by confidence desc, candidate_id) as rn from due),
-applied as (select candidate_id, product_id, role, case when role = 'main' and (locked or rn > 1) then 'failed' else 'applied' end as state from ordered)"""
+ordered as (select *, image_width % 7 = 0 as lost, row_number() over (partition by product_id, role = 'main', image_width % 7 = 0 order by confidence desc, candidate_id) as rn from due),
+applied as (select candidate_id, product_id, role, lost, case when lost or role = 'main' and (locked or rn > 1) then 'failed' else 'applied' end as state from ordered)"""
 
 ORACLES = {
     "img_inventory": f"with {INV} select page_id, page_url, pos, url, alt, width, height from inv",
@@ -140,7 +140,7 @@ from chosen c left join kept k on k.product_id = c.product_id group by c.product
 select p.product_id, case when p.product_id not in (select product_id from kept) then 'no_results'
   when p.product_id in (select product_id from kept where role = 'main') then 'candidates_found' else 'needs_manual_main' end as enrichment_state from products p""",
     "auto_apply": f"""with {RUNS}
-select *, case when state = 'failed' then 'Main image already normalized — enable overwrite_existing_main to replace' end as rejection_reason from applied""",
+select * exclude (lost), case when lost then 'Candidate has no image data' when state = 'failed' then 'Main image already normalized — enable overwrite_existing_main to replace' end as rejection_reason from applied""",
     "auto_apply_products": f"with {RUNS} select distinct product_id from applied where state = 'applied' and role = 'main'",
     "studio_borderline": f"""with {states()}
 select st.image_id, round(white, 6) as white_percent, case when upper(trim(a.answer)) like 'STUDIO%' then 'white' else 'complex' end as final_state

@@ -22,7 +22,7 @@ with {READY}, usable as (
 select page_id, cast(pos as int) as pos, url, case when pos = 0 and has_main then 'main' else 'angle' end as role,
   case when pos = 0 and has_main then 0.9e0 else 0.85e0 end as confidence from flat""",
     "recipe_upsert": """
-select * from recipes union all
+select * exclude (written_at) from recipes union all
 select domain, 0, false, 0, true, null, null, 'src', null from learned_domains where domain not in (select domain from recipes)""",
     "recipe_success_counts": """
 with g as (select regexp_extract(page_url, '^https://([^/]*)', 1) as domain, count(*) as n from product_runs where created_any and not via_recipe group by 1)
@@ -52,7 +52,7 @@ select domain, cast(page_no as int) as page_no, source_page_url as page_url, n a
 with o as (select domain, regexp_extract(text, '(?s)\\{.*\\}') as o from recipe_answers), r as (
   select domain, coalesce(json_extract_string(o, '$.main_image_selector'), '') as main_image_selector, coalesce(json_extract_string(o, '$.gallery_image_selector'), '') as gallery_image_selector,
     coalesce(json_extract_string(o, '$.image_url_attribute'), 'src') as image_url_attribute, coalesce(json_extract_string(o, '$.excluded_url_patterns'), '') as excluded_url_patterns,
-    coalesce(json_extract_string(o, '$.notes'), '') as notes from o where o <> '')
+    coalesce(json_extract_string(o, '$.notes'), '') as notes, o as raw_recipe_json, timestamp '2024-03-01 12:00:00' as last_built from o where o <> '')
 select *, main_image_selector <> '' or gallery_image_selector <> '' as recipe_built from r""",
-    "recipe_order": "select domain, success_count from recipes order by success_count desc, domain",
+    "recipe_order": "select domain, success_count, strftime(written_at, '%Y-%m-%d') as written_on from recipes order by success_count desc, written_at desc, domain",
 }
