@@ -21,6 +21,7 @@ from shelfsight.session import local_session  # noqa: E402
 # at least one per part of the model, the heavy ones among them
 HEADLINE = """
 background_state raster_background bbox_nonwhite canvas_geometry flatten_on_color
+crop_translate raster_pixels checkerboard_composite white_to_alpha norm_alnum
 effective_manufacturer candidate_counts candidate_order candidate_board
 select_single_image select_by_category bulk_approve apply_main_guard
 scan_sitemap_urls search_dispatch scan_llm_response settings_typed sink_candidates

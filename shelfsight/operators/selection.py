@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,16 +114,20 @@ def cost_estimate(products: DataFrame, pipeline_steps: str, per_product: float =
     )
 
 
-def source_breakdown(products: DataFrame, states: DataFrame, sample_size: int = 20) -> DataFrame:
+def source_breakdown(
+    products: DataFrame, pixels: DataFrame, measure: Callable[[DataFrame], DataFrame], sample_size: int = 20
+) -> DataFrame:
     """Scale the background states of the first products to the whole selection.
 
-    ``states`` has ``product_id, source_state`` for decodable images. The sample
-    is a top-n over the product id, which each task prunes before the exchange.
+    ``pixels`` has the product id as ``image_id``; ``measure`` gives ``image_id,
+    source_state`` of decodable images. The sample is a top-n over the product
+    id, which each task prunes before the exchange; only its pixels, found by a
+    broadcast of at most ``sample_size`` ids, are measured.
     """
-    sample = products.orderBy("product_id").limit(max(1, sample_size)).select("product_id")
+    sample = products.orderBy("product_id").limit(max(1, sample_size)).select(F.col("product_id").alias("image_id"))
     state = F.col("source_state")
     counts = (
-        sample.join(states, "product_id")
+        measure(pixels.join(F.broadcast(sample), "image_id", "left_semi"))
         .agg(
             F.count_if(state == "transparent").alias("_t"),
             F.count_if(state == "white").alias("_w"),

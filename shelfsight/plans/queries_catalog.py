@@ -166,8 +166,7 @@ def cost_estimate(t: Tables) -> DataFrame:
 @query
 def source_breakdown_estimate(t: Tables) -> DataFrame:
     """Products stand on the raster with the same id, so only part of the sample is decodable."""
-    states = R.background_state(t("pixels")).select(F.col("image_id").alias("product_id"), "source_state")
-    return S.source_breakdown(S.not_normalized(t("products")), states, sample_size=200)
+    return S.source_breakdown(S.not_normalized(t("products")), t("pixels"), R.background_state, sample_size=200)
 
 
 # ---- review queue ----

@@ -11,16 +11,16 @@ from shelfsight.session import shared_folder
 from shelfsight.streaming import queries as Q
 
 
-def _stream(t: Tables, table: str) -> DataFrame:
-    """The table as a file stream, one file per batch (a pattern, since a stream's path must not be a plain file)."""
-    return (
-        t.spark.readStream.schema(t.base(table).schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/{table}.parquet*")
-    )
+def _stream(t: Tables, table: str, by: str, batches: int = 4) -> DataFrame:
+    """The whole table as a stream of ``batches`` files in the order of ``by``, one file per batch, so state is carried along."""
+    landed = shared_folder(t.spark, f"arrived-{table}")
+    t.base(table).repartitionByRange(batches, by).write.parquet(landed)
+    return t.spark.readStream.schema(t.base(table).schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
 @query
 def stream_usage_budget(t: Tables) -> DataFrame:
-    usage = _stream(t, "events").select(
+    usage = _stream(t, "events", "ts").select(
         F.col("ts").alias("created_at"),
         F.expr("case event_id % 4 when 0 then 'small' when 1 then 'medium' when 2 then 'large' else 'unlisted' end").alias("model"),
         F.expr("(user_id * 37) % 5000").alias("input_tokens"),
@@ -41,7 +41,7 @@ def stream_job_ticks(t: Tables) -> DataFrame:
             F.count("*").alias("n_requests"), F.sum(F.when(F.col("l_linenumber") == 1, 1).otherwise(0)).alias("n_main")
         )
 
-    Q.job_ticks(_stream(t, "lineitem"), step, target, shared_folder(t.spark, "ticks-state")).awaitTermination()
+    Q.job_ticks(_stream(t, "lineitem", "l_orderkey"), step, target, shared_folder(t.spark, "ticks-state")).awaitTermination()
     return t.spark.read.parquet(target).groupBy("job_id").agg(
         F.sum("n_requests").alias("n_requests"), F.sum("n_main").alias("n_main")
     )
