@@ -9,6 +9,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MOST_CACHED = 300_000
 
@@ -63,6 +65,24 @@ def telling_features(rows: Rows, labels: np.ndarray, size: int, least: float = 2
     return np.sort(best[chi[best] >= least])
 
 
+def telling_in_table(rows: DataFrame, features: str, label: str, least: float = 25.0, most: int = 500) -> list[int]:
+    """As ``telling_features``, counted where the rows are: at most ``most`` features come to the driver."""
+    n, pos = rows.agg(F.count(label), F.coalesce(F.sum(label), F.lit(0))).first()
+    if not pos or pos == n:
+        return []
+    counts = rows.filter(F.col(label).isNotNull()).select(F.explode(features).alias("f"), label)
+    counts = counts.groupBy("f").agg(F.count("*").alias("there"), F.sum(label).alias("hits"))
+    expected = F.col("there") * (pos / n)
+    chi = F.pow(F.col("hits") - expected, 2) / F.nullif(expected * (1 - pos / n) * (1 - F.col("there") / n), F.lit(0.0))
+    best = counts.withColumn("chi", chi).filter(F.col("chi") >= least).orderBy(F.desc("chi"), "f").limit(most)
+    return sorted(r["f"] for r in best.collect())
+
+
+def only(features: str, chosen: list[int]) -> Column:
+    """The chosen ones of an array of feature numbers."""
+    return F.array_intersect(features, F.lit(np.array(sorted(chosen), np.int32)) if chosen else F.array().cast("array<int>"))
+
+
 def dense(rows: Rows, features: np.ndarray) -> np.ndarray:
     """0/1 matrix of the given features (ascending), one row each."""
     out = np.zeros((len(rows.lengths), len(features)), np.float32)

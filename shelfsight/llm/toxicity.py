@@ -8,7 +8,6 @@ it stands in texts labelled toxic.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.linear import Rows, TokenHasher, dense, newton, sigmoid, telling_features
+from shelfsight.llm.common import written
+from shelfsight.llm.linear import Rows, TokenHasher, dense, newton, only, sigmoid, telling_features, telling_in_table
 
 # Terms for groups of people, and neutral words that may stand in their place. One word each.
 IDENTITY_TERMS = (
@@ -49,26 +49,30 @@ def _swaps(
     return [sorted(rest.union(choices[i])) for i in picked]
 
 
-def fit_toxicity(
-    texts: list[str | None], labels: list[int], bits: int = 18, penalty: float = 1.0, swaps: int = 3, seed: int = 5,
-    terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options,
-) -> ToxicityModel:
+def _unlike(rows: list[list[int]], labels: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Without rows equal to an earlier one in features and label."""
+    once = {(tuple(r), y): None for r, y in zip(rows, labels, strict=True)}
+    return [list(r) for r, _ in once], [y for _, y in once]
+
+
+def fit_toxicity(texts: list[str | None], labels: list[int], bits: int = 18, least: float = 25.0, **options) -> ToxicityModel:
     """Fit on labelled texts; see ``fit_toxicity_rows``."""
     hasher = TokenHasher(bits)
-    return fit_toxicity_rows([hasher.of(x) for x in texts], labels, bits, penalty, swaps, seed, terms, neutral, **options)
+    rows, labels = _unlike([hasher.of(x) for x in texts], labels)
+    chosen = telling_features(Rows(rows), np.array(labels, float), 1 << bits, least)
+    return fit_toxicity_rows(rows, labels, chosen.tolist(), bits, **options)
 
 
 def fit_toxicity_rows(
-    rows: list[list[int]], labels: list[int], bits: int = 18, penalty: float = 1.0, swaps: int = 3, seed: int = 5,
-    terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS, **options,
+    rows: list[list[int]], labels: list[int], chosen: list[int], bits: int = 18, penalty: float = 1.0, swaps: int = 3, seed: int = 5,
+    terms: tuple[str, ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS,
 ) -> ToxicityModel:
-    """Fit on rows of feature numbers; equal rows with equal labels count once.
+    """Fit on rows of feature numbers.
 
-    The classifier reads the features that tell the labels apart, and all
-    identity terms where any occurs. ``penalty`` 0 is a plain classifier. No
-    rows: a score of one half for all.
+    The classifier reads the ``chosen`` features, and all identity terms where
+    any occurs. ``penalty`` 0 is a plain classifier. No rows: a score of one half
+    for all.
     """
-    rows, labels = map(list, zip(*{(tuple(r), y): (r, y) for r, y in zip(rows, labels, strict=True)}.values(), strict=True)) if rows else ([], [])
     hasher, rng = TokenHasher(bits), np.random.default_rng(seed)
     groups = [hasher[x] for x in terms]
     others = groups + [hasher[x] for x in neutral]
@@ -78,13 +82,11 @@ def fit_toxicity_rows(
             swapped.append(form)
             made_from.append(i)
     sparse, marks = Rows(rows), np.array(labels, float)
-    chosen = np.union1d(
-        telling_features(sparse, marks, 1 << bits, **options), [f for x in groups for f in x] if swapped else []
-    ).astype(np.int64)
-    gaps = dense(sparse, chosen)[made_from] - dense(Rows(swapped), chosen) if swapped else None
-    picked, bias = newton(dense(sparse, chosen), marks, gaps=gaps, penalty=penalty)
+    used = np.unique([*chosen, *(f for x in groups for f in x if swapped)]).astype(np.int64)
+    gaps = dense(sparse, used)[made_from] - dense(Rows(swapped), used) if swapped else None
+    picked, bias = newton(dense(sparse, used), marks, gaps=gaps, penalty=penalty)
     weights = np.zeros(1 << bits)
-    weights[chosen] = picked
+    weights[used] = picked
     return ToxicityModel(weights, bias, bits)
 
 
@@ -114,13 +116,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text",
-    sample: int = 12_000, bits: int = 18, **options,
+    sample: int = 12_000, bits: int = 18, least: float = 25.0, **options,
 ) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled documents. A document with both labels counts as toxic; null labels do not count."""
+    """Fit on at most ``sample`` labelled documents, of equal ones (by hash of their features) one.
+
+    A document with both labels counts as toxic; null labels do not count. Only
+    telling features and identity terms of the sample reach the driver.
+    """
     chosen = labelled_sample(docs.select(id_col, text), labels.select(id_col, label), label, id_col, sample)
-    got = hashed_rows(chosen, text, bits, [id_col, "_label"]).limit(sample).toArrow().sort_by([(id_col, "ascending"), ("_label", "ascending")])
-    rows, marks = got.column("features").to_pylist(), got.column("_label").to_pylist()
-    return fit_toxicity_rows(rows, marks, bits, **options)
+    rows = hashed_rows(chosen, text, bits, ["_label"])
+    rows = rows.groupBy("_label", F.xxhash64("features").alias("_h")).agg(F.first("features").alias("features"))
+    rows = written(rows, "toxicity-sample")
+    telling = telling_in_table(rows, "features", "_label", least)
+    hasher = TokenHasher(bits)
+    terms = {f for x in (*IDENTITY_TERMS, *options.get("terms", ())) for f in hasher[x]}
+    got = rows.select("_label", only("features", [*telling, *terms]).alias("f")).orderBy("_h").limit(sample).collect()
+    return fit_toxicity_rows([sorted(r["f"]) for r in got], [r["_label"] for r in got], telling, bits, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", cut: float = 0.3) -> DataFrame:
