@@ -197,17 +197,27 @@ def rejections_before_cap(rejected: DataFrame, kept: DataFrame, settings: Settin
 # ---- roll-ups ----
 
 
-def candidate_stats(kept: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Counters per product of one discovery run."""
+def candidate_stats(kept: DataFrame, chosen: DataFrame, products: DataFrame, tries: DataFrame) -> DataFrame:
+    """Counters per product of one discovery run, also of products that chose no page.
+
+    ``tries`` has ``product_id, page_pos, rendered`` of the pages a product might
+    look at. It looks at them in order, up to the one it chooses; a page that a
+    recipe reads is not rendered any more.
+    """
+    at = chosen.select("product_id", F.col("page_pos").alias("_at"), "via_recipe")
+    looked = F.col("_at").isNull() | (F.col("page_pos") < F.col("_at")) | ((F.col("page_pos") == F.col("_at")) & ~F.col("via_recipe"))
+    shots = tries.filter("rendered").join(at, "product_id", "left").filter(looked).groupBy("product_id").agg(F.count("*").alias("_shots"))
     counts = kept.groupBy("product_id").agg(
         F.count_if(F.col("has_white")).alias("_white"), F.count_if(~F.col("has_white")).alias("_rembg")
     )
-    return chosen.join(counts, "product_id", "left").select(
+    joined = products.select("product_id").join(at, "product_id", "left").join(counts, "product_id", "left").join(shots, "product_id", "left")
+    return joined.select(
         "product_id",
         F.coalesce("_white", F.lit(0)).alias("white_bg"),
         F.coalesce("_rembg", F.lit(0)).alias("rembg"),
         F.when(F.col("via_recipe"), 1).otherwise(0).alias("recipe_hit"),
-        F.when(F.col("via_recipe"), 0).otherwise(1).alias("recipe_miss"),
+        F.when(~F.col("via_recipe"), 1).otherwise(0).alias("recipe_miss"),
+        F.coalesce("_shots", F.lit(0)).alias("screenshot_used"),
     )
 
 

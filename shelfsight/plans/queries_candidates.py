@@ -162,7 +162,9 @@ def candidate_metadata(t: Tables) -> DataFrame:
 
 @query
 def candidate_stats(t: Tables) -> DataFrame:
-    return C.candidate_stats(_kept(t), _chosen(t))
+    """Pages on even places had to be rendered."""
+    tries = _answers(t).select("product_id", "page_pos", (F.col("page_pos") % 2 == 0).alias("rendered"))
+    return C.candidate_stats(_kept(t), _chosen(t), t("products"), tries)
 
 
 @query

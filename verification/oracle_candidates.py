@@ -132,10 +132,13 @@ from chosen c join makers m on m.product_id = c.product_id where maker <> '' and
 select r.* from rej r where not exists (select 1 from kept k where k.product_id = r.product_id and k.place = 4 and k.pos < r.pos)""",
     "candidate_metadata": f"""with {DOWN}
 select product_id, pos, width as image_width, height as image_height, cast(n_bytes // 1024 as int) as image_filesize_kb, mime as image_mimetype from kept""",
-    "candidate_stats": f"""with {DOWN}
-select c.product_id, count(case when k.has_white then 1 end) as white_bg, count(case when not k.has_white then 1 end) as rembg,
-  cast(case when any_value(c.via_recipe) then 1 else 0 end as int) as recipe_hit, cast(case when any_value(c.via_recipe) then 0 else 1 end as int) as recipe_miss
-from chosen c left join kept k on k.product_id = c.product_id group by c.product_id""",
+    "candidate_stats": f"""with {DOWN}, shots as (
+  select a.product_id, count(*) as n from ans a left join chosen c on c.product_id = a.product_id
+  where a.page_pos % 2 = 0 and (c.product_id is null or a.page_pos < c.page_pos or (a.page_pos = c.page_pos and not c.via_recipe)) group by a.product_id)
+select p.product_id, (select count(*) from kept k where k.product_id = p.product_id and k.has_white) as white_bg,
+  (select count(*) from kept k where k.product_id = p.product_id and not k.has_white) as rembg,
+  cast(coalesce(c.via_recipe, false) as int) as recipe_hit, cast(coalesce(not c.via_recipe, false) as int) as recipe_miss, coalesce(s.n, 0) as screenshot_used
+from products p left join chosen c on c.product_id = p.product_id left join shots s on s.product_id = p.product_id""",
     "product_state_after_discovery": f"""with {DOWN}
 select p.product_id, case when p.product_id not in (select product_id from kept) then 'no_results'
   when p.product_id in (select product_id from kept where role = 'main') then 'candidates_found' else 'needs_manual_main' end as enrichment_state from products p""",
