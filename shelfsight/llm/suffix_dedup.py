@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from shelfsight.llm.common import whole_text, written
 from shelfsight.session import shared_folder
@@ -356,6 +357,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     blocks, name = _blocks(docs, id_col, text)
+    try:
+        return written(_without_repeats(blocks, id_col, kind, length, keep_text), "repeats-removed")
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+def _without_repeats(blocks: DataFrame, id_col: str, kind: DataType, length: int, keep_text: bool) -> DataFrame:
     total = blocks.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(8, math.ceil(total / BLOCK_BYTES))
 
@@ -385,7 +393,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(columns, labels)
 
     schema = f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = _with_answers(blocks, found).select("ids", "lengths", "data", "answers").mapInArrow(finish, schema + (", kept binary" if keep_text else ""))
-    out = written(out, "repeats-removed")
-    spark.sql(f"drop table {name}")
-    return out
+    schema += ", kept binary" if keep_text else ""
+    return _with_answers(blocks, found).select("ids", "lengths", "data", "answers").mapInArrow(finish, schema)
