@@ -321,7 +321,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     own = F.struct("_text", F.col(id_col).alias("id"))
     first = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(own).alias("_own"))
     stay = written(first.select(F.col("_own.id").alias("_stay"), F.col("_own._text").alias("_hash")).distinct(), "simhash-stay")
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.xxhash64(text) == F.col("_hash")))
+    # one plan at every size: rows and ids meet by hash, only ids are held
+    rows = docs.join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_stay")) & (F.xxhash64(text) == F.col("_hash")))
     twice = groups.groupBy(F.col(id_col).alias("_id"), "_text").agg(F.count("*").alias("_n")).filter("_n > 1")
     twice = written(twice.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_text") == F.col("_hash")), "left_semi"), "simhash-twice")
     if twice.isEmpty():
