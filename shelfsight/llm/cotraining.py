@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.linear import Rows, TokenHasher, dense, newton, sigmoid, telling_features
+from shelfsight.llm.common import written
+from shelfsight.llm.linear import Rows, TokenHasher, dense, newton, only, sigmoid, telling_features, telling_in_table
 from shelfsight.llm.toxicity import labelled_sample
 
 SHAPE = ("words", "word_size", "symbols", "exclaims", "capitals", "letters", "repeated_lines", "line_words", "distinct", "ends")
@@ -171,8 +172,8 @@ def train_quality(
 ) -> CoModel:
     """Fit on at most ``sample`` labelled and ``unlabelled`` other documents, chosen by hashed id before any text is read.
 
-    ``add_meta`` adds ``meta``, an array of name=value strings, to documents. A
-    document with both labels counts as good; null labels do not count.
+    ``add_meta`` adds ``meta``, an array of name=value strings, to documents. Only
+    the features that tell labelled documents apart reach the driver. A document with both labels counts as good; null labels do not count.
     """
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     named = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_named")).distinct()
@@ -191,7 +192,10 @@ def train_quality(
     kept = [f for f in both.schema.fields if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _rows array<int>, _shape array<double>"
     seen = add_meta(both.mapInArrow(text_part, schema)).select(F.col(id_col).cast("string").alias("id"), "_label", "_rows", "_shape", "meta")
-    got = seen.limit(sample + unlabelled).toArrow().sort_by([("id", "ascending"), ("_label", "ascending")])
+    seen = written(seen, "quality-sample")
+    telling = telling_in_table(seen, "_rows", "_label")
+    seen = seen.withColumn("_rows", only("_rows", telling)).orderBy(F.xxhash64("id"), "id", "_label").limit(sample + unlabelled)
+    got = seen.toArrow()
     shapes = np.array(got.column("_shape").to_pylist(), float).reshape(-1, len(SHAPE))
     meta = _meta_view(TokenHasher(BITS, ()), got.column("meta").to_pylist())
     return co_train(got.column("_rows").to_pylist(), shapes, meta, got.column("_label").to_pylist(), **options)
