@@ -158,6 +158,27 @@ def test_quality_of_documents(rows):
     assert len({r["score"] for r in blank.collect()}) == 1
 
 
+def test_rounds_reach_words_and_documents_without_labels(rows):
+    """Words that no labelled document holds are learned from the metadata view, from all unlabelled documents."""
+    rng = random.Random(5)
+    texts, sources = [], []
+    for i in range(1200):
+        good = i % 2 == 0
+        own = ("alba", "brevis") if good else ("zorn", "yks")
+        late = ("novum", "opus") if good else ("quark", "rift")
+        texts.append(" ".join(rng.choice(own if i < 300 else late) for _ in range(6)) + " common words.")
+        sources.append("fine" if good else "poor")
+    docs = rows("doc_id int, text string, source string", *[(i, t, x) for i, (t, x) in enumerate(zip(texts, sources, strict=True))])
+    labels = rows("doc_id int, quality int", *[(i, int(i % 2 == 0)) for i in range(300)])
+    add = lambda df: df.withColumn("meta", F.array(F.concat(F.lit("source="), "source")))
+    model = train_quality(docs, labels, add, sample=300, unlabelled=200, each=0.3, sure=0.9)
+    learned = set(model.text.features.tolist())
+    hasher = TokenHasher(18)
+    assert all(hasher[w][0] in learned for w in ("novum", "opus", "quark", "rift"))
+    told = {r["doc_id"]: r["p_text"] for r in score_quality_views(docs, model, add).collect()}
+    assert np.mean([(told[i] >= 0.5) == (i % 2 == 0) for i in range(300, 1200)]) > 0.98
+
+
 _SLOW = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
