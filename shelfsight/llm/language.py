@@ -237,18 +237,24 @@ def train_chain(
     return model
 
 
+LEAST_PER_LABEL = 5
+
+
 def training_pieces(
     docs: DataFrame, label: str, id_col: str, text: str, per_label: int = 400, per_doc: int = 3, words: int = 40,
     most: int = 20_000,
 ) -> list[tuple[str, list[str]]]:
     """At most ``per_label`` documents of each label by hashed id, ``per_doc`` runs of ``words`` words from places all over each.
 
-    Ids are chosen first, from two columns, at most ``most`` over all labels; they
-    are broadcast, and only those documents' texts are cut.
+    Ids are chosen first, from two columns, and broadcast; only those documents'
+    texts are cut. With many labels each has an equal share of ``most``, but
+    never less than ``LEAST_PER_LABEL`` documents: no label is left out.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
-    ids = first_n(labelled.select(id_col, label), [label], order, per_label).distinct().limit(most)
+    n_labels = labelled.select(label).distinct().count()
+    per_label = min(per_label, max(LEAST_PER_LABEL, most // max(1, n_labels)))
+    ids = first_n(labelled.select(id_col, label), [label], order, per_label).distinct()
     tokens = labelled.join(F.broadcast(ids), [id_col, label]).select(
         F.col(label).alias("label"), F.col(id_col).alias("id"), words_of(F.col(text)).alias("w")
     )

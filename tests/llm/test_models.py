@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.llm.cotraining import co_train, page_metadata, score_quality_views, train_quality
-from shelfsight.llm.language import ChainModel, forward_backward, identify_language, label_words, train_chain, train_language
+from shelfsight.llm.language import ChainModel, forward_backward, identify_language, label_words, train_chain, train_language, training_pieces
 from shelfsight.llm.linear import Rows, TokenHasher, newton, sigmoid
 from shelfsight.llm.secrets import Automaton, base_spans, classes, find_secrets, infer_grammar, redact_secrets, span_list
 from shelfsight.llm.toxicity import fit_toxicity, score_toxicity, train_toxicity
@@ -73,6 +73,14 @@ def test_language_of_documents(rows):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_every_label_is_sampled_within_the_total_bound(rows):
+    docs = rows("doc_id int, text string, lang string", *[(i, f"word{i} and more", f"l{i % 30:02}") for i in range(600)])
+    got = training_pieces(docs, "lang", "doc_id", "text", most=180)
+    assert {x for x, _ in got} == {f"l{i:02}" for i in range(30)}
+    assert len(got) == 180 and got == training_pieces(docs.repartition(7), "lang", "doc_id", "text", most=180)
+    assert {x for x, _ in training_pieces(docs, "lang", "doc_id", "text", most=20)} == {f"l{i:02}" for i in range(30)}
+
+
 def _labelled(seed=0, n=900):
     rng = random.Random(seed)
     fill = [f"w{i}" for i in range(150)]
