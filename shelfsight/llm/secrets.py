@@ -2,10 +2,11 @@
 
 Values found by the patterns are labelled credentials. Per kind a prefix tree of
 a sample of them, over classes of characters, is folded into a probabilistic
-automaton by merging states whose outgoing frequencies agree. Every long run of
-characters with a letter and a digit anywhere in the corpus is a candidate; it is
-a secret if an automaton gives it about the likelihood it gives its own
-credentials, relative to how likely such a run is in ordinary text.
+automaton by merging states whose outgoing frequencies agree. Every run of
+characters outside those values and every part of it between joiners, with a
+letter and a digit and as long as credentials are, is a candidate; it is a secret
+if an automaton gives it about the likelihood it gives its own credentials,
+relative to how likely such a run is in ordinary text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 GRAMMAR = "grammar"
+LONG = 16
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 6  # no fixed pattern finds a shorter value
+WITH_DIGIT = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+")  # whole runs that hold a digit
+JOINERS = "=/.-"
+SPLITS = [re.compile(f"[^{''.join(re.escape(c) for c in x)}]+") for n in range(1, 5) for x in combinations(JOINERS, n)]
 
 END = "$"
 _CLASSES = str.maketrans(
@@ -78,6 +84,32 @@ def is_candidate(run: str) -> bool:
     return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
 
 
+def candidate_runs(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+    """What the fixed patterns leave of every run with a digit, where a candidate fits in."""
+    out, k, taken = [], 0, 0
+    spans = sorted((b[1], b[2]) for b in base)
+    for m in WITH_DIGIT.finditer(text):
+        at, end = m.span()
+        while k < len(spans) and spans[k][0] < end:
+            out.append((max(at, taken), spans[k][0]))
+            taken = max(taken, spans[k][1])
+            k += 1
+        out.append((max(at, taken), end))
+    return [(s, e) for s, e in out if e - s >= SHORTEST and is_candidate(text[s:e])]
+
+
+def parts_of(run: str) -> set[tuple[int, int]]:
+    """The run and its parts between any choice of the joiners, each also without joiners at its ends."""
+    found = {(0, len(run))}
+    if any(c in run for c in JOINERS):
+        found |= {m.span() for split in SPLITS for m in split.finditer(run)}
+        for s, e in list(found):
+            part = run[s:e]
+            low = s + len(part) - len(part.lstrip(JOINERS))
+            found |= {(low, e), (s, s + len(part.rstrip(JOINERS))), (low, max(low, s + len(part.rstrip(JOINERS))))}
+    return found
+
+
 @dataclass
 class Automaton:
     """States with counts and targets per class of characters; state 0 is the start."""
@@ -85,6 +117,7 @@ class Automaton:
     counts: list[Counter] = field(default_factory=lambda: [Counter()])
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     cut: float = 0.0
+    shortest: int = LONG
 
     def add(self, word: str) -> None:
         at = 0
@@ -186,6 +219,24 @@ class Grammar:
         word = classes(value)
         return any(self.gain(kind, word) >= a.cut for kind, a in self.automata.items())
 
+    def secrets(self, run: str) -> list[tuple[int, int]]:
+        """Accepted parts of a run that do not overlap, those with the largest gain over their whole length first."""
+        least = min((a.shortest for a in self.automata.values()), default=len(run) + 1)
+        found = []
+        for s, e in parts_of(run):
+            if e - s < least or not is_candidate(run[s:e]):
+                continue
+            word = classes(run[s:e])
+            gains = [self.gain(kind, word) for kind, a in self.automata.items() if e - s >= a.shortest and self.gain(kind, word) >= a.cut]
+            if gains:
+                found.append((-max(gains) * (e - s + 1), s, e))
+        kept: list[tuple[int, int]] = []
+        for _, s, e in sorted(found):
+            i = bisect_left(kept, (s, e))
+            if (not i or kept[i - 1][1] <= s) and (i == len(kept) or kept[i][0] >= e):
+                kept.insert(i, (s, e))
+        return kept
+
 
 def infer_grammar(
     credentials: list[tuple[str, str]], ordinary: dict[tuple[str, str], int], alpha: float = 0.01, least: int = 30,
@@ -194,7 +245,8 @@ def infer_grammar(
     """Automata from (kind, value) and counts of class pairs in ordinary runs.
 
     A kind with fewer than ``least`` credentials gets no automaton. An automaton
-    accepts from the ``quantile`` of its own credentials' gains on, but never below ``margin``.
+    accepts from the ``quantile`` of its own credentials' gains on, but never below ``margin``,
+    and from that quantile of their lengths on, or from ``LONG`` if they are longer.
     """
     totals = Counter()
     for (a, _), n in ordinary.items():
@@ -215,6 +267,7 @@ def infer_grammar(
         made.merge(alpha, least)
         gains = sorted(grammar.gain(kind, w) for w in words)
         made.cut = max(margin, gains[int(quantile * len(gains))])
+        made.shortest = min(LONG, sorted(map(len, words))[int(quantile * len(words))])
     return grammar
 
 
@@ -225,7 +278,7 @@ SCAN = (
 
 
 def scan_texts(docs: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
-    """``id_cols`` with base (spans of the fixed patterns), runs (candidates outside them) and pairs (class pairs of long runs)."""
+    """``id_cols`` with base (spans of the fixed patterns), runs (what they leave of runs with a letter and a digit) and pairs (class pairs of long runs)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     span = [("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]
     base_type, run_type = pa.list_(pa.struct([("kind", pa.string()), *span])), pa.list_(pa.struct(span))
@@ -236,8 +289,7 @@ def scan_texts(docs: DataFrame, id_cols: list[str], text: str = "text") -> DataF
         for m in free:
             word = f"^{classes(m[0])}{END}"
             pairs.update(map("".join, zip(word, word[1:], strict=False)))
-            if is_candidate(m[0]):
-                runs.append({"start": m.start(), "end": m.end(), "value": m[0]})
+        runs += [{"start": s, "end": e, "value": text[s:e]} for s, e in candidate_runs(text, base)]
         return [dict(zip(("kind", "start", "end", "value"), b, strict=True)) for b in base], runs, list(pairs.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +320,8 @@ def find_secrets(docs: DataFrame, id_cols: list[str], text: str = "text", **opti
     """``id_cols`` with ``base`` and ``added``: arrays of (kind, start, end) by start, then kind as listed.
 
     Positions are code points of the whole text, end exclusive. base: matches of
-    the fixed patterns; added: candidates that an automaton accepts, kind
-    ``grammar``, none of which touches a base span. Null and empty texts have
+    the fixed patterns; added: runs or parts of runs that an automaton accepts, kind
+    ``grammar``, none of which overlaps a base span. Null and empty texts have
     none. Without enough credentials to learn from, nothing is added. Repeated
     rows are scanned each; texts are read once, and only candidates after that.
     """
@@ -282,7 +334,7 @@ def find_secrets(docs: DataFrame, id_cols: list[str], text: str = "text", **opti
     def run(batches):
         for batch in batches:
             added = [
-                [{"kind": GRAMMAR, "start": r["start"], "end": r["end"]} for r in runs.as_py() if grammar.value.accepts(r["value"])]
+                [{"kind": GRAMMAR, "start": r["start"] + s, "end": r["start"] + e} for r in runs.as_py() for s, e in grammar.value.secrets(r["value"])]
                 for runs in batch.column("runs")
             ]
             columns = [batch.column(c) for c in [*id_cols, "base"]] + [pa.array(added, spans)]
@@ -306,9 +358,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
     def one(text: str | None) -> str | None:
         if not text:
             return text
-        base, runs = text_spans(text)
+        base = base_spans(text)
         spans = [(s, e) for _, s, e, _ in base]
-        spans += [(m.start(), m.end()) for m in runs if is_candidate(m[0]) and grammar.value.accepts(m[0])]
+        spans += [(at + s, at + e) for at, end in candidate_runs(text, base) for s, e in grammar.value.secrets(text[at:end])]
         out, at, last = [], 0, -1
         for s, e in sorted(spans):
             if s > last:

@@ -237,6 +237,23 @@ def test_secrets_of_documents(rows):
     assert find_secrets(df.filter("false"), ["doc_id"]).count() == 0
 
 
+def test_secrets_joined_to_other_text(rows):
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"Some thinbleonerations words token = \"{key(40)}\" and reconsiderationsthing more" for _ in range(80)]
+    hidden, other = key(10) + "7a" + key(10), key(10) + "b3" + key(9)  # too short for the patterns
+    joined = ["authorizations={}", "download/reconsiderations/{}", "it was {}.", "SOMETHING.{}-ELSEWHERE", key(30) + "-{}"]
+    texts += [x.format(hidden) for x in joined] + [f"{hidden}/{other}"]
+    df = rows("doc_id int, text string", *enumerate(texts))
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in find_secrets(df, ["doc_id"]).collect()}
+    for i in range(80, 85):
+        at = texts[i].index(hidden)
+        assert found[i] == [(at, at + len(hidden))], texts[i]
+    clean = {r["doc_id"]: r["text"] for r in redact_secrets(df).collect()}
+    assert clean[80] == "authorizations=[SECRET]" and clean[82] == "it was [SECRET]." and clean[84] == "[SECRET]-[SECRET]"
+    assert hidden not in clean[85] and other not in clean[85]
+
+
 @pytest.mark.parametrize("texts,marks", [([], []), (["a b"], [1]), ([None, ""], [0, 1])])
 def test_tiny_training_sets(texts, marks):
     model = fit_toxicity(texts, marks)
