@@ -15,6 +15,9 @@ difference-cover suffix sort, each cut off at that depth.
    are merged with their like: they are dealt out by the smallest 16-byte name
    inside their first ``length`` bytes, which equal starts have in common. A run
    of neighbouring starts with one such name travels as one piece of text.
+   Where the pieces of one such name add up to more than ``HOT_BYTES``, as around a
+   passage in very many contexts, the starts themselves are named by their
+   ``length`` bytes and dealt out by that name.
 4. Starts with equal prefixes are adjacent after sorting; equal neighbours are repeats.
 
 Texts lie in blocks of a few MB, written once and bucketed by the task that made
@@ -46,6 +49,7 @@ MODULUS = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)  # fixed values: all differences modulo 133 occur once
 ANCHOR = 16
 BLOCK_BYTES = 4 << 20
+HOT_BYTES = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -191,12 +195,14 @@ def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
 
 MESSAGE = "home int, seq int, kind int, bucket int, data binary"
 _MESSAGE = pa.schema([("home", pa.int32()), ("seq", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
-NAMES, PIECES, PLACES, BITS = 0, 1, 2, 3
+PIECE_MESSAGE = MESSAGE + ", anchors binary"
+_PIECE_MESSAGE = _MESSAGE.append(pa.field("anchors", pa.binary()))
+NAMES, PIECES, PLACES, BITS, WHOLE, AGAIN = 0, 1, 2, 3, 4, 5
 
 
-def _messages(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MESSAGE, strict=True)], schema=_MESSAGE)
+def _messages(rows: list[tuple], schema: pa.Schema = _MESSAGE) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
@@ -255,6 +261,11 @@ def _answer(length: int):
                 at = np.searchsorted(twice, p)
                 at[at == len(twice)] = 0
                 bits.append(np.packbits(twice[at] == p if len(twice) else np.zeros(len(p), bool)).tobytes())
+        elif rows[0][2] == WHOLE:  # whole names; those that come from several messages go back
+            parts = [np.frombuffer(r[4], "<u8") for r in rows]
+            values = np.sort(np.concatenate(parts))
+            twice = np.unique(values[1:][values[1:] == values[:-1]])
+            return _messages([(r[0], r[1], AGAIN, r[3], x.tobytes()) for r, p in zip(rows, parts, strict=True) if len(x := np.intersect1d(p, twice))])
         else:
             bits = _repeated_pieces([r[4] for r in rows], length)
         return _messages([(r[0], r[1], BITS, r[3], b) for r, b in zip(rows, bits, strict=True)])
@@ -265,7 +276,7 @@ def _answer(length: int):
             if row[2] == PLACES:
                 yield _messages([row])
                 continue
-            if held and held[0][3] != row[3]:
+            if held and held[0][2:4] != row[2:4]:
                 yield settle(held)
                 held = []
             held.append(row)
@@ -308,24 +319,87 @@ def _send_pieces(length: int, buckets: int):
                     twice.add((b, number))
                 numbers[i] = number
             sure = np.array([(b, n) in twice for b, n in zip(where.tolist(), numbers.tolist(), strict=True)])
-            table = np.stack([starts[first], sizes, where, numbers, sure], axis=1).astype("<i8")
-            out = [(home, seq, PLACES, (home * 7919 + seq) % buckets, table.tobytes())]
-            out += [(home, seq, PIECES, b, _pack_pieces(list(known))) for b, known in sorted(pieces.items())]
+            anchor = least[first]
+            table = np.stack([starts[first], sizes, where, numbers, sure, anchor.view(np.int64)], axis=1).astype("<i8")
+            of: dict[int, np.ndarray] = {b: np.zeros(len(known), "<u8") for b, known in pieces.items()}
+            for b, n, a in zip(where.tolist(), numbers.tolist(), anchor, strict=True):
+                of[b][n] = a
+            out = [(home, seq, PLACES, (home * 7919 + seq) % buckets, table.tobytes(), None)]
+            out += [(home, seq, PIECES, b, _pack_pieces(list(known)), of[b].tobytes()) for b, known in sorted(pieces.items())]
+            yield _messages(out, _PIECE_MESSAGE)
+
+    return run
+
+
+def _unpack_pieces(data: bytes) -> list[bytes]:
+    sizes = np.frombuffer(data, "<u4", struct.unpack_from("<I", data)[0], 4).astype(np.int64)
+    ends = np.cumsum(sizes) + 4 + 4 * len(sizes)
+    return [data[e - n: e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _anchor_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of pieces per anchor of every message."""
+    for data, anchors in _rows(batches, ["data", "anchors"]):
+        sizes = np.frombuffer(data, "<u4", struct.unpack_from("<I", data)[0], 4).astype(np.int64)
+        own, inverse = np.unique(np.frombuffer(anchors, "<u8"), return_inverse=True)
+        n = np.bincount(inverse, sizes, minlength=len(own)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+
+def _hot_anchors(messages: DataFrame, most: int) -> np.ndarray:
+    """Anchors whose pieces have more than ``most`` bytes; there are few, as they share the bytes of all pieces."""
+    sizes = messages.filter(F.col("kind") == PIECES).select("data", "anchors").mapInArrow(_anchor_bytes, "anchor long, n long")
+    hot = sizes.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in hot], np.int64).view(np.uint64))
+
+
+def _name_hot(length: int, buckets: int, hot: np.ndarray):
+    """Pieces of hot anchors become whole names of their starts, each once per message; all other messages stay."""
+
+    def run(batches):
+        for home, seq, kind, b, data, anchors in _rows(batches, ["home", "seq", "kind", "bucket", "data", "anchors"]):
+            if kind != PIECES or not (is_hot := np.isin(np.frombuffer(anchors, "<u8"), hot)).any():
+                yield _messages([(home, seq, kind, b, data)])
+                continue
+            pieces = _unpack_pieces(data)
+            out, whole = [], []
+            cold = [p for p, h in zip(pieces, is_hot, strict=True) if not h]
+            if cold:
+                out.append((home, seq, PIECES, b, _pack_pieces(cold)))
+            for p, h in zip(pieces, is_hot, strict=True):
+                if h:
+                    whole.append(names(np.frombuffer(p, np.uint8), length)[0])
+            own = np.unique(np.concatenate(whole))
+            cuts = np.searchsorted(_bucket(own, buckets), np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                out.append((home, seq, WHOLE, k, own[cuts[k]: cuts[k + 1]].astype("<u8").tobytes()))
             yield _messages(out)
 
     return run
 
 
-def _covered(block: Block, length: int, answers: list[dict]) -> np.ndarray:
+def _covered(block: Block, length: int, answers: list[dict], hot: np.ndarray) -> np.ndarray:
     """Which bytes of a block lie in a repeated string."""
     change = np.zeros(len(block.data) + 1, np.int32)
-    tables = [np.frombuffer(a["data"], "<i8").reshape(-1, 5) for a in answers if a["kind"] == PLACES]
+    tables = [np.frombuffer(a["data"], "<i8").reshape(-1, 6) for a in answers if a["kind"] == PLACES]
     if tables:
         table = tables[0]
+        is_hot = np.isin(np.ascontiguousarray(table[:, 5]).view(np.uint64), hot)
+        if is_hot.any():
+            mine = table[is_hot]
+            n = mine[:, 1]
+            at = np.repeat(mine[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            _, inverse, counts = np.unique(own := names(block.data, length)[0][at], return_inverse=True, return_counts=True)
+            again = [np.frombuffer(a["data"], "<u8") for a in answers if a["kind"] == AGAIN]
+            at = at[(counts[inverse] > 1) | np.isin(own, np.concatenate(again) if again else own[:0])]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + length, -1)
+            table = table[~is_hot].copy()
         for a in answers:
             if a["kind"] != BITS:
                 continue
-            mine = table[table[:, 2] == a["bucket"]]
+            mine = table[table[:, 2] == a["bucket"]].copy()
+            mine[:, 3] = np.unique(mine[:, 3], return_inverse=True)[1]  # as numbered among the pieces that were sent
             count = int(mine[:, 3].max()) + 1
             sizes = np.zeros(count, np.int64)
             sizes[mine[:, 3]] = mine[:, 1]
@@ -349,8 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     maximal removed runs. Texts shorter than ``length`` keep everything. Rows are
     documents: repeated rows are copies of each other, whatever their id, and
     null ids stay null. An empty table gives an empty one. Equal means equal
-    64-bit names among the starts of one bucket, whose number stays the same
-    as the corpus grows.
+    64-bit names among the starts of one bucket, or of all hot anchors.
     """
     if length < 2 * ANCHOR + MODULUS - 1:
         raise ValueError(f"length must be at least {2 * ANCHOR + MODULUS - 1}")
@@ -368,16 +441,18 @@ def _without_repeats(blocks: DataFrame, id_col: str, kind: DataType, length: int
     buckets = max(8, math.ceil(total / BLOCK_BYTES))
 
     def dealt(messages: DataFrame) -> DataFrame:
-        return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(length), MESSAGE)
+        return messages.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(length), MESSAGE)
 
     known = _by_home(dealt(blocks.select("home", "seq", "lengths", "data").mapInArrow(_send_names(length, buckets), MESSAGE)), "repeat-names")
     asked = _with_answers(blocks.select("home", "seq", "lengths", "data"), known)
-    found = _by_home(dealt(asked.mapInArrow(_send_pieces(length, buckets), MESSAGE)), "repeat-starts")
+    pieces = written(asked.mapInArrow(_send_pieces(length, buckets), PIECE_MESSAGE), "repeat-pieces")
+    hot = _hot_anchors(pieces, HOT_BYTES)
+    found = _by_home(dealt(pieces.mapInArrow(_name_hot(length, buckets, hot), MESSAGE)), "repeat-starts")
 
     def finish(batches):
         for ids, lengths, data, answers in _rows(batches, ["ids", "lengths", "data", "answers"]):
             block = Block(data, np.array(lengths))
-            gone = _covered(block, length, answers)
+            gone = _covered(block, length, answers, hot)
             rise = gone & ~np.r_[False, gone[:-1]]
             rise[block.begins[block.lengths > 0]] = gone[block.begins[block.lengths > 0]]
             removed, spans = (np.r_[0, np.cumsum(x)] for x in (gone, rise))

@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfsight.llm import simhash, suffix_dedup
 from shelfsight.llm.decontaminate import decontaminate, find_overlaps, masks
@@ -208,6 +209,27 @@ def test_repeats_equal_brute_force(rows, monkeypatch):
     assert suffix_dedup.remove_repeats(df.filter("false")).count() == 0
 
 
+def test_repeats_around_a_hot_passage(rows, monkeypatch):
+    """One passage in many contexts: no bucket of pieces holds them all, and results equal brute force."""
+    rng = random.Random(2)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(230)
+    texts = [prose(150) + passage + prose(150) for _ in range(60)] + _repeat_texts()
+    want = dict(enumerate(_removed(texts, 200)))
+    df = rows("doc_id int, text string", *enumerate(texts))
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    named, real = [], suffix_dedup._hot_anchors
+    monkeypatch.setattr(suffix_dedup, "_hot_anchors", lambda m, most: named.append((m, real(m, most))) or named[-1][1])
+    got = suffix_dedup.remove_repeats(df.repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    pieces, hot = named[0]
+    assert len(hot)
+    sent = lambda m: max(r["n"] for r in m.filter("kind = 1").groupBy("bucket").agg(F.sum(F.length("data")).alias("n")).collect())
+    rest = pieces.mapInArrow(suffix_dedup._name_hot(200, 64, hot), suffix_dedup.MESSAGE)
+    assert sent(rest) < sent(pieces) / 2
+
+
 def test_cover_has_every_difference_once():
     found = Counter((a - b) % suffix_dedup.MODULUS for a in suffix_dedup.COVER for b in suffix_dedup.COVER if a != b)
     assert found == Counter(range(1, suffix_dedup.MODULUS))
