@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import held_out, table
+from shelfsight.llm.conversation_repair import damage, repair_conversations
 from shelfsight.llm.cotraining import page_metadata, score_quality_views, train_quality
 from shelfsight.llm.decontaminate import find_overlaps
 from shelfsight.llm.language import identify_language, train_language
@@ -167,3 +168,77 @@ def op6_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     add_meta = lambda df: page_metadata(df, pages)
     model = train_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"), add_meta)
     return score_quality_views(docs, model, add_meta).select("doc_id", "p_text", "p_meta", "score", "kept")
+
+
+@query
+def op13_audit_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, folder, "conversations")))
+
+
+# The least edits are followed state by state: s0 nothing yet, s1 after a system row, s2 a user row, s3 an assistant row.
+ORACLES["op13_audit_repair"] = r"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as bytes
+  from conversations
+), coded as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x // 2, 3988292384 * (x % 2)))), 4294967295) % 20 as code
+  from raw
+), damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+         case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from coded, unnest(case when code = 3 then [0, 1] when code = 0 then [] else [0] end) as u(copy)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as i from damaged
+), faulty as (
+  select *, case
+      when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from placed
+), steps(conv_id, i, s0, s1, s2, s3) as (
+  select distinct conv_id, 0::bigint, {'c': 0::bigint, 'a': '', 't': ''}, {'c': 1000000000000::bigint, 'a': '', 't': ''},
+         {'c': 1000000000000::bigint, 'a': '', 't': ''}, {'c': 1000000000000::bigint, 'a': '', 't': ''} from conversations
+  union all
+  select conv_id, i,
+    {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t},
+    list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t},
+      {'c': s0.c + extra + case when initial = 's' then 0 else far end, 'a': s0.a || 'K', 't': s0.t || line}]),
+    list_min([{'c': p2.c + 4, 'a': p2.a || 'D', 't': p2.t},
+      {'c': s0.c + extra + case when initial = 'u' then 0 else far end, 'a': s0.a || 'K', 't': s0.t || line},
+      {'c': s1.c + extra + case when initial = 'u' then 0 else far end, 'a': s1.a || 'K', 't': s1.t || line},
+      {'c': p3.c + extra + case when initial = 'u' then 0 else far end, 'a': p3.a || 'K', 't': p3.t || line},
+      {'c': s0.c + extra + 3, 'a': s0.a || 'R', 't': s0.t || as_user}, {'c': s1.c + extra + 3, 'a': s1.a || 'R', 't': s1.t || as_user},
+      {'c': p3.c + extra + 3, 'a': p3.a || 'R', 't': p3.t || as_user}]),
+    list_min([{'c': p3.c + 4, 'a': p3.a || 'D', 't': p3.t},
+      {'c': p2.c + extra + case when initial = 'a' then 0 else far end, 'a': p2.a || 'K', 't': p2.t || line},
+      {'c': p2.c + extra + 3, 'a': p2.a || 'R', 't': p2.t || as_assistant}])
+  from (
+    select s.*, f.i as next_i, initial, 1000000000000::bigint as far, chr(10) || role || ':' || text as line,
+      chr(10) || 'user:' || text as as_user, chr(10) || 'assistant:' || text as as_assistant,
+      case fault when 'blank' then 1000000000000::bigint when 'duplicate' then 1000000000000::bigint when 'truncated' then 3 else 0 end as extra,
+      list_min([s2, {'c': s0.c + 3, 'a': s0.a || 'I', 't': s0.t || chr(10) || 'user:'}, {'c': s1.c + 3, 'a': s1.a || 'I', 't': s1.t || chr(10) || 'user:'},
+        {'c': s3.c + 3, 'a': s3.a || 'I', 't': s3.t || chr(10) || 'user:'}]) as p2,
+      list_min([s3, {'c': s2.c + 3, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+        {'c': s0.c + 6, 'a': s0.a || 'II', 't': s0.t || chr(10) || 'user:' || chr(10) || 'assistant:'},
+        {'c': s1.c + 6, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}]) as p3
+    from steps s join faulty f on f.conv_id is not distinct from s.conv_id and f.i = s.i + 1
+  ) x(conv_id, before_i, s0, s1, s2, s3, i, initial, far, line, as_user, as_assistant, extra, p2, p3)
+), ends as (
+  select conv_id, max_by(list_min([s0, s3, {'c': s2.c + 3, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+    {'c': s1.c + 6, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}]), i) as best
+  from steps group by conv_id
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id
+)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+       best.c::bigint as cost, best.a as audit, sha256(substr(best.t, 2)) as repaired_sha256
+from ends e left join counts c on e.conv_id is not distinct from c.conv_id
+"""
