@@ -14,6 +14,7 @@ from shelfsight.llm.decontaminate import find_overlaps
 from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
+from shelfsight.llm.ranked_search import rank_documents
 from shelfsight.llm.secrets import KINDS, find_secrets, span_list
 from shelfsight.llm.simhash import near_duplicates
 from shelfsight.llm.suffix_dedup import remove_repeats
@@ -242,3 +243,39 @@ select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
        best.c::bigint as cost, best.a as audit, sha256(substr(best.t, 2)) as repaired_sha256
 from ends e left join counts c on e.conv_id is not distinct from c.conv_id
 """
+
+
+@query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return rank_documents(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+with tokens as (
+  select rowid as r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as rowid, doc_id, text from documents)
+), counted as (
+  select r, doc_id, term, count(*)::bigint as tf from tokens group by all
+), sized as (
+  select r, sum(tf)::bigint as n from counted group by r
+), corpus as (
+  select count(*)::bigint as docs, sum(n)::bigint as length from sized
+), weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from counted, corpus group by term
+), asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), scored as (
+  select item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::bigint as score
+  from asked join weights using (term) join counted using (term) join sized using (r), corpus
+  group by item_id, doc_id, r
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::integer as rank, doc_id, score
+  from scored where score > 0
+)
+select * from ranked where rank <= 50
+"""
