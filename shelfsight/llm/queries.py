@@ -11,6 +11,7 @@ from shelfsight.llm.common import held_out, table
 from shelfsight.llm.conversation_repair import damage, repair_conversations
 from shelfsight.llm.cotraining import page_metadata, score_quality_views, train_quality
 from shelfsight.llm.decontaminate import find_overlaps
+from shelfsight.llm.fingerprints import fingerprint_edits
 from shelfsight.llm.language import identify_language, train_language
 from shelfsight.llm.mixing import mix_to_weights
 from shelfsight.llm.quality_rules import default_rules, score_quality
@@ -279,3 +280,8 @@ with tokens as (
 )
 select * from ranked where rank <= 50
 """
+
+
+@query
+def op11_phrase_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_edits(table(spark, folder, "documents").select("doc_id", "text"))
