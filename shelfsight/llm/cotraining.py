@@ -23,6 +23,7 @@ from shelfsight.operators.topk import first_n
 
 SHAPE = ("words", "word_size", "symbols", "exclaims", "capitals", "letters", "repeated_lines", "line_words", "distinct", "ends")
 BITS = 18
+TEXT_CACHED = 150_000
 
 
 def shape(text: str) -> list[float]:
@@ -108,59 +109,6 @@ def _calibrated(views: dict[str, View], raw: dict[str, np.ndarray], y: np.ndarra
     return CoModel(views["text"], views["meta"], np.maximum(joint, 0.0), bias)
 
 
-def co_train(
-    text_rows: list[list[int]], shapes: np.ndarray, meta_rows: list[list[int]], labels: list[int | None], rounds: int = 4,
-    each: float = 0.05, sure: float = 0.95, least: float = 25.0, seed: int = 3,
-) -> CoModel:
-    """Fit from labelled (0, 1) and unlabelled (None) rows.
-
-    A quarter of the labelled rows is kept for calibration. In each of ``rounds``
-    a view passes on up to a share ``each`` of the unlabelled rows per class, if it
-    gives them at least ``sure``, with half the weight of a label; a row both views
-    pass on with different labels goes to neither. Without labels of both classes the scores are constant.
-    """
-    marks = np.array([np.nan if y is None else y for y in labels], float)
-    known = np.flatnonzero(~np.isnan(marks))
-    rng = np.random.default_rng(seed)
-    aside = known[rng.random(len(known)) < 0.25]
-    taught = np.setdiff1d(known, aside)
-    free = np.flatnonzero(np.isnan(marks))
-    extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    flat = np.zeros((len(meta_rows), 0))
-
-    def fit(view: str) -> View:
-        given = extra[view]
-        ids = np.concatenate([taught, np.array(sorted(given), np.int64)]).astype(np.int64)
-        y = np.concatenate([marks[taught], [given[i] for i in sorted(given)]])
-        share = np.concatenate([np.ones(len(taught)), np.full(len(given), 0.5)])
-        rows, looks = (text_rows, shapes) if view == "text" else (meta_rows, flat)
-        return _fit_view([rows[i] for i in ids], looks[ids], y, share, least)
-
-    def odds(view: View, which: str, ids: np.ndarray) -> np.ndarray:
-        rows, looks = (text_rows, shapes) if which == "text" else (meta_rows, flat)
-        return view.odds(Rows([rows[i] for i in ids]), looks[ids])
-
-    views = {"text": fit("text"), "meta": fit("meta")}
-    for _ in range(rounds if len(free) else 0):
-        told: dict[str, dict[int, float]] = {}
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(odds(views[view], view, free))
-            most = max(1, int(each * len(free)))
-            told[other] = {}
-            for label, rank in ((1.0, np.argsort(-p, kind="stable")[:most]), (0.0, np.argsort(p, kind="stable")[:most])):
-                strong = rank[(p[rank] >= sure) if label else (p[rank] <= 1 - sure)]
-                told[other] |= {int(free[i]): label for i in strong}
-        clash = {i for i in told["text"].keys() & told["meta"].keys() if told["text"][i] != told["meta"][i]}
-        before = {k: len(v) for k, v in extra.items()}
-        for view in extra:
-            extra[view] |= {i: y for i, y in told[view].items() if i not in clash and i not in extra[view]}
-        if before == {k: len(v) for k, v in extra.items()}:
-            break
-        views = {"text": fit("text"), "meta": fit("meta")}
-
-    return _calibrated(views, {k: odds(v, k, aside) for k, v in views.items()}, marks[aside])
-
-
 def _text_view(hasher: TokenHasher, texts: list[str | None]) -> tuple[list[list[int]], np.ndarray]:
     whole = [x or "" for x in texts]
     return [hasher.of(x) for x in whole], np.array([shape(x) for x in whole], float).reshape(-1, len(SHAPE))
@@ -196,6 +144,31 @@ def _odds_by_row(rows: DataFrame, view: View, features: str, shape: str | None,
     return rows.select(*keep, F.col(features).alias("_f"), *looks).mapInArrow(run, schema)
 
 
+def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with the text view's features in place of the text, written once for all that reads them.
+
+    ``_row`` numbers the rows, ``_rows`` holds feature numbers, ``_shape`` the look
+    of the text. Null texts count as empty.
+    """
+    others = [f for f in docs.schema.fields if f.name not in (text, "meta", "_row", "_rows", "_shape")]
+
+    def text_part(batches):
+        hasher = TokenHasher(BITS, most=TEXT_CACHED)
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                piece = batch.slice(i, 500)
+                rows, shapes = _text_view(hasher, piece.column(text).to_pylist())
+                piece = piece.drop_columns([text]).append_column("_row", pa.array(range(at, at + len(piece)), pa.int64()))
+                at += len(piece)
+                piece = piece.append_column("_rows", pa.array(rows, pa.list_(pa.int32())))
+                yield piece.append_column("_shape", pa.array(list(shapes), pa.list_(pa.float64())))
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    made = docs.select(*[f.name for f in others], text).mapInArrow(text_part, f"{columns}, _row long, _rows array<int>, _shape array<double>")
+    return written(made, "quality-texts")
+
+
 def _surest(free: DataFrame, odds: str, most: int, sure: float) -> Column:
     """1, 0 or null: whether a row is among the ``most`` surest of a class. Of rows as sure as the last one a share by hash."""
     level = F.round(F.col(odds), 3)
@@ -220,9 +193,13 @@ def train_quality(
     text: str = "text", sample: int = 6000, unlabelled: int = 6000, rounds: int = 4, each: float = 0.05, sure: float = 0.95,
     least: float = 25.0, seed: int = 3,
 ) -> CoModel:
-    """``co_train`` over a whole corpus: every unlabelled document is scored by both views in every round.
+    """Fit both views; in each of ``rounds`` every unlabelled document is scored by both, and each view teaches the other.
 
-    The surest share ``each`` per class of all unlabelled documents is passed on.
+    ``docs`` may also be what ``text_features`` made of them. A quarter of the
+    labelled documents is kept for calibration. The surest share ``each`` per class of all unlabelled documents is passed on, if
+    a view gives them at least ``sure``, with half the weight of a label; a document both views
+    pass on with different labels goes to neither. Without labels of both classes
+    the scores are constant. Repeated rows count as often as they occur.
     Only what is fitted is bounded: ``sample`` labelled documents and, per view,
     ``unlabelled`` of the passed-on ones, by hashed id. The features of the text
     view are chosen anew in every round by counts over these rows, and only the
@@ -230,29 +207,13 @@ def train_quality(
     name=value strings, to documents without their text. A document with both
     labels counts as good; null labels do not count.
     """
-    others = [f for f in docs.schema.fields if f.name not in (text, "meta")]
-
-    def text_part(batches):
-        hasher = TokenHasher(BITS)
-        at = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                piece = batch.slice(i, 1000)
-                rows, shapes = _text_view(hasher, piece.column(text).to_pylist())
-                piece = piece.drop_columns([text]).append_column("_row", pa.array(range(at, at + len(piece)), pa.int64()))
-                at += len(piece)
-                piece = piece.append_column("_rows", pa.array(rows, pa.list_(pa.int32())))
-                yield piece.append_column("_shape", pa.array(list(shapes), pa.list_(pa.float64())))
-
     def meta_part(batches):
         hasher = TokenHasher(BITS, ())
         for batch in batches:
             meta = _meta_view(hasher, batch.column("meta").to_pylist())
             yield batch.drop_columns(["meta"]).append_column("_meta", pa.array(meta, pa.list_(pa.int32())))
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    texts = docs.select(*[f.name for f in others], text).mapInArrow(text_part, f"{columns}, _row long, _rows array<int>, _shape array<double>")
-    texts = written(texts, "quality-texts")
+    texts = docs if "_rows" in docs.columns else text_features(docs, text)
 
     named = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_named")).agg(F.max(label).cast("int").alias("_label"))
     chosen = named.orderBy(F.xxhash64(F.col("_named").cast("string")), "_named").limit(sample).select(F.col("_named").alias("_id"), "_label")
@@ -326,23 +287,15 @@ def score_quality_views(
 ) -> DataFrame:
     """All columns but the text, with meta, p_text, p_meta, score and kept (score from ``cut``).
 
-    Texts are scored where they lie, and only then metadata is joined. Null
-    texts count as empty; null metadata is a value of its own. Columns with an
-    output's name are replaced.
+    ``docs`` may also be what ``text_features`` made of them, so that no text is
+    read twice. Texts are scored where they lie, and only then metadata is joined.
+    Null texts count as empty; null metadata is a value of its own. Columns with an
+    output's name are replaced. No rows give no rows.
     """
     docs = docs.drop("p_text", "p_meta", "score", "kept", "meta")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     columns = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def text_part(batches):
-        hasher = TokenHasher(BITS)
-        for batch in batches:
-            odds = [np.zeros(0)]
-            for i in range(0, len(batch), 1000):
-                rows, shapes = _text_view(hasher, batch.column(text).slice(i, 1000).to_pylist())
-                odds.append(sent.value.text.odds(Rows(rows), shapes))
-            yield batch.drop_columns([text]).append_column("_odds", pa.array(np.concatenate(odds)))
-
     def meta_part(batches):
         hasher = TokenHasher(BITS, ())
         for batch in batches:
@@ -353,8 +306,9 @@ def score_quality_views(
                 batch = batch.append_column(name, pa.array(x, pa.float64()))
             yield batch.append_column("kept", pa.array(made[2] >= cut))
 
-    told = docs.mapInArrow(text_part, columns(docs.drop(text)) + ", _odds double")
-    both = add_meta(told)
+    texts = docs if "_rows" in docs.columns else text_features(docs, text)
+    keep = [c for c in texts.columns if c not in ("_row", "_rows", "_shape")]
+    both = add_meta(_odds_by_row(texts, model.text, "_rows", "_shape", keep, "_odds"))
     return both.mapInArrow(meta_part, columns(both.drop("_odds")) + ", p_text double, p_meta double, score double, kept boolean")
 
 

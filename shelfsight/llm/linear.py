@@ -18,12 +18,12 @@ MOST_CACHED = 300_000
 class TokenHasher(dict):
     """Feature numbers of a blank-separated token: the lower-case word without marks, then its beginnings. Bounded memory."""
 
-    def __init__(self, bits: int, beginnings: tuple[int, ...] = (4, 6)):
+    def __init__(self, bits: int, beginnings: tuple[int, ...] = (4, 6), most: int = MOST_CACHED):
         super().__init__()
-        self.mask, self.beginnings = (1 << bits) - 1, beginnings
+        self.mask, self.beginnings, self.most = (1 << bits) - 1, beginnings, most
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= MOST_CACHED:
+        if len(self) >= self.most:
             self.clear()
         word = "".join(ch for ch in token if ch.isalnum())
         names = [word] + [f"{word[:n]}*" for n in self.beginnings if len(word) > n] if word else []

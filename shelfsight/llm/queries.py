@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.llm.common import held_out, table
 from shelfsight.llm.conversation_repair import damage, repair_conversations
-from shelfsight.llm.cotraining import page_metadata, score_quality_views, train_quality
+from shelfsight.llm.cotraining import page_metadata, score_quality_views, text_features, train_quality
 from shelfsight.llm.decontaminate import find_overlaps
 from shelfsight.llm.fingerprints import fingerprint_edits
 from shelfsight.llm.language import identify_language, train_language
@@ -166,6 +166,7 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang", F.length("text").alias("length"))
+    docs = text_features(docs)
     pages = table(spark, folder, "pages").select("page_id", "url")
     add_meta = lambda df: page_metadata(df, pages)
     model = train_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"), add_meta)

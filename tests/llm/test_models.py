@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfsight.llm.cotraining import co_train, page_metadata, score_quality_views, train_quality
+from shelfsight.llm.cotraining import page_metadata, score_quality_views, text_features, train_quality
 from shelfsight.llm.language import ChainModel, forward_backward, identify_language, label_words, train_chain, train_language, training_pieces
 from shelfsight.llm.linear import Rows, TokenHasher, newton, sigmoid
 from shelfsight.llm.secrets import Automaton, base_spans, classes, find_secrets, infer_grammar, redact_secrets, span_list
@@ -132,21 +132,6 @@ def test_newton_reaches_the_optimum():
     assert np.abs(grad).max() < 0.05 and abs((sigmoid(x @ w + b) - y).sum()) < 0.05
 
 
-def test_rounds_use_unlabelled_rows():
-    rng = np.random.default_rng(4)
-    y = rng.integers(0, 2, 600)
-    text = [[int(10 + 5 * c + rng.integers(0, 3)), 1] for c in y]
-    meta = [[int(100 + c)] if rng.random() < 0.9 else [102] for c in y]
-    marks = [int(c) if i < 200 else None for i, c in enumerate(y)]
-    shapes = np.zeros((600, 1))
-    with_rounds = co_train(text, shapes, meta, marks, each=0.2)
-    odds = with_rounds.text.odds(Rows(text), shapes)
-    _, _, score = with_rounds.join(odds, meta)
-    assert ((score >= 0.5) == (y == 1)).mean() > 0.98
-    constant = co_train(text, shapes, meta, [None] * 600)
-    assert len({round(float(x), 9) for x in constant.join(constant.text.odds(Rows(text), shapes), meta)[2]}) == 1
-
-
 def test_quality_of_documents(rows):
     rng = random.Random(3)
     good = [" ".join(_prose("en", 8, rng).capitalize() + "." for _ in range(10)) for _ in range(120)]
@@ -164,6 +149,12 @@ def test_quality_of_documents(rows):
     assert all(0 <= r[c] <= 1 for r in out for c in ("p_text", "p_meta", "score"))
     blank = score_quality_views(docs, train_quality(docs, labels.filter("false"), add), add)
     assert len({r["score"] for r in blank.collect()}) == 1
+    none = docs.limit(0)
+    assert score_quality_views(none, train_quality(none, labels, add), add).count() == 0
+    doubled = text_features(docs.unionByName(docs).unionByName(docs.limit(1).withColumn("text", F.repeat(F.lit("long words "), 100_000))))
+    again = score_quality_views(doubled, train_quality(doubled, labels, add, sample=500, unlabelled=500), add).collect()
+    assert len(again) == 2 * len(texts) + 1
+    assert all(len({r["score"] for r in again if r["doc_id"] == i}) == 1 for i in range(1, 40))
 
 
 def test_rounds_reach_words_and_documents_without_labels(rows):
