@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,11 +84,28 @@ def outcome(results: DataFrame, jobs: DataFrame, products: DataFrame) -> DataFra
     )
 
 
-def progress(jobs: DataFrame, job_products: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Counters and state of every job after one tick that processed ``outcomes``.
+JOB_DEFAULTS = {
+    "white_bg_count": "bigint", "rembg_count": "bigint", "actual_cost_usd": "double",
+    "started_at": "timestamp_ntz", "completed_at": "timestamp_ntz",
+}
+
+
+def with_job_columns(jobs: DataFrame) -> DataFrame:
+    """Counters, cost and times that a job has from its first tick on, for tables that lack them."""
+    none = lambda kind: F.lit(None if kind == "timestamp_ntz" else 0).cast(kind)
+    return jobs.withColumns({c: none(kind) for c, kind in JOB_DEFAULTS.items() if c not in jobs.columns})
+
+
+def progress(
+    jobs: DataFrame, job_products: DataFrame, outcomes: DataFrame, now: dt.datetime | None = None, costs: DataFrame | None = None
+) -> DataFrame:
+    """Jobs after one tick that processed ``outcomes``: counters, state, times and actual cost.
 
     Only queued and running jobs work; outcomes of others change nothing, their
-    pending products included.
+    pending products included. A queued job that works has started ``now`` unless
+    it had started before; a job with nothing left is completed ``now``. ``costs``
+    (``job_id, cost_usd``) are the usage rows of this tick; they count for their
+    job whatever its state.
     """
     added = outcomes.groupBy("job_id").agg(
         F.sum("success").alias("_success"), F.sum("failure").alias("_failure"), F.count("*").alias("_processed"),
@@ -100,22 +118,86 @@ def progress(jobs: DataFrame, job_products: DataFrame, outcomes: DataFrame) -> D
         .join(done, ["job_id", "product_id"], "left_anti")
         .groupBy("job_id").agg(F.count("*").alias("_left"))
     )
-    joined = jobs.join(added, "job_id", "left").join(left, "job_id", "left")
+    joined = with_job_columns(jobs).join(added, "job_id", "left").join(left, "job_id", "left")
+    if costs is None:
+        joined = joined.withColumn("_cost", F.lit(0.0))
+    else:
+        joined = joined.join(costs.groupBy("job_id").agg(F.sum("cost_usd").alias("_cost")), "job_id", "left")
     worked = F.col("_processed").isNotNull() & F.col("state").isin("queued", "running")
     plus = lambda c, extra: (F.col(c) + F.coalesce(F.when(worked, F.col(extra)), F.lit(0))).cast("bigint")
     remaining = F.coalesce("_left", F.lit(0))
+    at = F.lit(now).cast("timestamp_ntz")
     return joined.select(
         "job_id",
         F.when(worked & (remaining == 0), "done").when(worked, "running").otherwise(F.col("state")).alias("state"),
         plus("success_count", "_success").alias("success_count"),
         plus("failure_count", "_failure").alias("failure_count"),
         plus("processed_count", "_processed").alias("processed_count"),
+        plus("white_bg_count", "_white").alias("white_bg_count"),
+        plus("rembg_count", "_rembg").alias("rembg_count"),
+        (F.col("actual_cost_usd") + F.coalesce("_cost", F.lit(0.0))).alias("actual_cost_usd"),
+        F.when(worked & (F.col("state") == "queued"), F.coalesce("started_at", at)).otherwise(F.col("started_at")).alias("started_at"),
+        F.when(worked & (remaining == 0), at).otherwise(F.col("completed_at")).alias("completed_at"),
         F.coalesce(F.when(worked, F.col("_white")), F.lit(0)).alias("white_bg_added"),
         F.coalesce(F.when(worked, F.col("_rembg")), F.lit(0)).alias("rembg_added"),
         remaining.alias("pending_left"),
     )
 
 
+@dataclass
+class Tick:
+    """What one tick changes: whole job rows, processed (job, product) pairs, products in error, alerts."""
+
+    jobs: DataFrame
+    processed: DataFrame
+    products: DataFrame
+    alerts: DataFrame
+
+
+def tick(
+    jobs: DataFrame, job_products: DataFrame, results: DataFrame, products: DataFrame, spend: DataFrame, costs: DataFrame,
+    now: dt.datetime, budget: float, address: str = "", limit: int = JOBS_PER_TICK, size: int = CHUNK_SIZE,
+) -> Tick:
+    """One step of the job loop: budget, pick, chunk, outcome, progress, close.
+
+    ``spend`` (``created_at, cost_usd``) is what the budget counts, ``costs``
+    (``job_id, cost_usd``) the usage rows of this tick. A picked job that waits
+    becomes running; with nothing pending it is done. A chunk's product without a
+    row in ``results`` stays pending and holds its place.
+
+    The at most ``limit`` picked ids come to the driver, so that scans of the
+    product and result tables are limited to them; nothing else does.
+    """
+    jobs = with_job_columns(jobs)
+    decided = budget_decision(jobs, spend, now, budget)
+    ids = [r["job_id"] for r in pick(decided, limit).select("job_id").collect()]
+    mine = F.col("job_id").isin(ids)
+    pending = job_products.filter(mine & F.col("pending"))
+    work = results.filter(mine).join(chunk(pending, size).select("job_id", "product_id"), ["job_id", "product_id"])
+    outcomes = outcome(first_n(work, ["job_id", "product_id"], ["error"], 1), decided.filter(mine), products)
+    cost = costs.groupBy("job_id").agg(F.sum("cost_usd").alias("cost_usd"))
+    paused = jobs.select("job_id", F.col("state").alias("_before"))
+    touched = decided.join(paused, "job_id").join(cost.select("job_id", F.lit(True).alias("_paid")), "job_id", "left")
+    touched = touched.filter(mine | F.col("_paid") | (F.col("state") != F.col("_before"))).drop("_before", "_paid", "budget_alert")
+    after = progress(touched, pending, outcomes, now, costs)
+    at = F.lit(now).cast("timestamp_ntz")
+    idle = mine & (F.col("pending_left") == 0) & F.col("state").isin("queued", "running")
+    waiting = mine & (F.col("state") == "queued")
+    after = after.withColumns({
+        "started_at": F.when(waiting, F.coalesce("started_at", at)).otherwise(F.col("started_at")),
+        "completed_at": F.when(idle, at).otherwise(F.col("completed_at")),
+        "state": F.when(idle, "done").when(waiting, "running").otherwise(F.col("state")),
+    })
+    kept = [c for c in jobs.columns if c not in after.columns]
+    changed = touched.select("job_id", *kept).join(after.drop("white_bg_added", "rembg_added", "pending_left"), "job_id")
+    return Tick(
+        changed.select(*[F.col(c).cast(jobs.schema[c].dataType) for c in jobs.columns]),
+        outcomes.select("job_id", "product_id"),
+        outcomes.filter(F.col("product_state").isNotNull()).select("product_id", "product_state", "product_error"),
+        alert_rows(jobs, spend, now, budget, address),
+    )
+
+
 def close_empty(jobs: DataFrame, job_products: DataFrame) -> DataFrame:
     """Runnable jobs with nothing pending are done."""
     busy = job_products.filter("pending").select("job_id").distinct().withColumn("_busy", F.lit(True))

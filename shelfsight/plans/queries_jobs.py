@@ -58,7 +58,8 @@ def job_progress(t: Tables) -> DataFrame:
     """One tick that works the first chunk of every job."""
     done = J.chunk(t("job_products")).select("job_id", "product_id")
     worked = J.outcome(t("work_results").join(done, ["job_id", "product_id"]), t("jobs"), t("products"))
-    return J.progress(t("jobs"), t("job_products"), worked)
+    after = J.progress(t("jobs"), t("job_products"), worked, NOW, _costs(t))
+    return after.withColumn("actual_cost_usd", F.round("actual_cost_usd", 6))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.operators.jobs import usage_cost
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
 from shelfsight.session import shared_folder
@@ -31,17 +32,29 @@ def stream_usage_budget(t: Tables) -> DataFrame:
     return Q.latest_months(t.spark.read.parquet(target)).withColumn("spent_usd", F.round("spent_usd", 6))
 
 
-@query
-def stream_job_ticks(t: Tables) -> DataFrame:
-    """Each tick counts the requested images per job; the ticks add up to the batch result."""
-    target = shared_folder(t.spark, "ticks")
+BUDGET_SHARE = 0.85
 
-    def step(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.col("l_orderkey").alias("job_id")).agg(
-            F.count("*").alias("n_requests"), F.sum(F.when(F.col("l_linenumber") == 1, 1).otherwise(0)).alias("n_main")
-        )
 
-    Q.job_ticks(_stream(t, "lineitem", "l_orderkey"), step, target, shared_folder(t.spark, "ticks-state")).awaitTermination()
-    return t.spark.read.parquet(target).groupBy("job_id").agg(
-        F.sum("n_requests").alias("n_requests"), F.sum("n_main").alias("n_main")
+@query
+def stream_job_ticks(t: Tables) -> DataFrame:
+    """The job loop over a month of usage that lands week by week; the stream is started anew for each week.
+
+    The budget is a share of all spend, so that early ticks work, one warns and a later one pauses the jobs.
+    """
+    costs = usage_cost(t("usage_log"), t("price_table"))
+    budget = round(costs.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0] * BUDGET_SHARE, 2)
+    log = t("usage_log").select("created_at", "model", "input_tokens", "output_tokens", "job_id")
+    week = F.expr("cast(floor((day(created_at) - 1) / 7) as int)")
+    landed, checkpoint = shared_folder(t.spark, "arrived-usage"), shared_folder(t.spark, "ticks-state")
+    store = Q.tick_tables(t.spark, shared_folder(t.spark, "ticks"), t("jobs"), t("job_products"))
+    for number in range(5):
+        log.filter(week == number).write.mode("append").parquet(landed)
+        arrived = t.spark.readStream.schema(log.schema).parquet(landed)
+        Q.job_ticks(arrived, store, t("work_results"), t("products"), t("price_table"), budget, checkpoint, "ops@example.com").awaitTermination()
+    alerts = store.current("alerts").select("at", "subject")
+    told = alerts.agg(F.max("subject").alias("_subject")).scalar()
+    return store.current("jobs").select(
+        "job_id", "state", *[F.col(c).cast("long").alias(c) for c in ("success_count", "failure_count", "processed_count")],
+        "white_bg_count", "rembg_count", F.round("actual_cost_usd", 6).alias("actual_cost_usd"), "started_at", "completed_at",
+        F.substring(told, 1, 16).alias("last_alert"),
     )

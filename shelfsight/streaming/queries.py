@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfsight.operators.jobs import usage_cost
+from shelfsight.operators.jobs import CHUNK_SIZE, JOBS_PER_TICK, tick, usage_cost, with_job_columns
+from shelfsight.streaming.versions import VersionedTables
 
 
 def _trigger(writer, interval: str | None):
@@ -47,17 +46,60 @@ def latest_months(updates: DataFrame) -> DataFrame:
     )
 
 
+TICK_TABLES = {
+    "jobs": ["job_id"], "job_products": ["job_id", "product_id"], "months": ["month"],
+    "product_errors": ["product_id"], "alerts": ["tick"],
+}
+
+
+def tick_tables(spark: SparkSession, root: str, jobs: DataFrame, job_products: DataFrame, fold_after: int = 20) -> VersionedTables:
+    """The tables that ticks change, made at the first start and found again at later ones."""
+    store = VersionedTables(spark, root, TICK_TABLES, fold_after)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    store.create({
+        "jobs": with_job_columns(jobs), "job_products": job_products.select("job_id", "product_id", "pending"),
+        "months": empty("month timestamp_ntz, spent_usd double"),
+        "product_errors": empty("product_id long, product_state string, product_error string"),
+        "alerts": empty("tick long, at timestamp_ntz, email_to string, subject string, body string"),
+    })
+    return store
+
+
 def job_ticks(
-    requests: DataFrame, step: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, interval: str | None = None
+    usage: DataFrame, store: VersionedTables, results: DataFrame, products: DataFrame, prices: DataFrame, budget: float,
+    checkpoint: str, address: str = "", interval: str | None = None, limit: int = JOBS_PER_TICK, size: int = CHUNK_SIZE,
 ) -> StreamingQuery:
-    """Run ``step`` on the work that arrived since the last tick and keep its outcome rows.
-
-    ``interval="1 minute"`` gives the fixed cadence; the source's rate option
-    (for files ``maxFilesPerTrigger``) bounds a tick. One query has one running
-    batch, so two ticks never work at the same time.
+    """The job loop as a stream of usage rows (``created_at, model, input_tokens, output_tokens, job_id``).
+
+    Every batch is a tick at the time of its last row: it adds its rows to the
+    month's spend and runs ``tick`` on the tables as of the last commit. Rows of a
+    clock (null tokens) may be merged into the stream, so that ticks go on without
+    usage. All changes of a tick are committed together under its batch id; a
+    replayed batch reads the tables before that commit and writes the same rows.
+    One query has one running batch, so two ticks never work at the same time.
     """
-    writer = (
-        requests.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda rows, batch_id: _replace_batch(step(rows), batch_id, target))
-    )
-    return _trigger(writer, interval).start()
+
+    def step(rows: DataFrame, batch_id: int) -> None:
+        version = batch_id + 1
+        costs = usage_cost(rows, prices).select("created_at", "job_id", "cost_usd").persist()
+        try:
+            now = costs.agg(F.max("created_at")).first()[0]
+            if now is None:
+                return
+            months = store.current("months", version)
+            month = F.date_trunc("month", "created_at").cast("timestamp_ntz")
+            arrived = costs.filter(F.col("created_at").isNotNull()).groupBy(month.alias("month")).agg(F.sum("cost_usd").alias("_more"))
+            spent = months.join(arrived, "month", "full").select(
+                "month", (F.coalesce("spent_usd", F.lit(0.0)) + F.coalesce("_more", F.lit(0.0))).alias("spent_usd"))
+            spend = spent.select(F.col("month").alias("created_at"), F.col("spent_usd").alias("cost_usd"))
+            done = tick(store.current("jobs", version), store.current("job_products", version), results, products,
+                        spend, costs, now, budget, address, limit, size)
+            store.commit(version, {
+                "jobs": done.jobs, "job_products": done.processed.withColumn("pending", F.lit(False)), "months": spent,
+                "product_errors": done.products.dropDuplicates(["product_id"]),
+                "alerts": done.alerts.select(F.lit(version).cast("long").alias("tick"), F.lit(now).cast("timestamp_ntz").alias("at"), "*"),
+            })
+        finally:
+            costs.unpersist()
+
+    return _trigger(usage.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step), interval).start()
