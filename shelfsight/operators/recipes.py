@@ -23,10 +23,10 @@ MAIN_CONFIDENCE, GALLERY_CONFIDENCE = 0.9, 0.85
 # ---- use ----
 
 
-def recipe_lookup(pages: DataFrame, recipes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def recipe_lookup(pages: DataFrame, recipes: DataFrame, settings: Settings = DEFAULTS, how: str = "inner") -> DataFrame:
     """Pages on a domain with a built, active recipe, with the recipe's columns."""
     ready = recipes.filter(F.lit(settings.recipe_cache) & F.col("recipe_built") & F.col("active"))
-    return pages.withColumn("domain", netloc(F.col("url"))).join(ready, "domain")
+    return pages.withColumn("domain", netloc(F.col("url"))).join(ready, "domain", how)
 
 
 def _excluded(url: Column) -> Column:
@@ -36,13 +36,15 @@ def _excluded(url: Column) -> Column:
     )
 
 
-def recipe_extract(pages: DataFrame, recipes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def recipe_extract(pages: DataFrame, recipes: DataFrame, settings: Settings = DEFAULTS, every_page: bool = False) -> DataFrame:
     """Per matched page the recipe's ``images`` and whether its selectors were readable.
 
+    ``every_page`` keeps pages without a recipe, with no images.
+
     The first element of the main selector is the main image; gallery elements
     follow in document order, each address once, none that is excluded.
     """
-    matched = recipe_lookup(pages, recipes, settings).withColumn("_html", M.without_noise(F.col("html")))
+    matched = recipe_lookup(pages, recipes, settings, "left" if every_page else "inner").withColumn("_html", M.without_noise(F.col("html")))
     picked = matched.withColumn(
         "_main", M.selected_sources("_html", "main_image_selector", "image_url_attribute")
     ).withColumn("_gallery", M.selected_sources("_html", "gallery_image_selector", "image_url_attribute"))

@@ -253,9 +253,7 @@ select candidate_id, source_url as url, case when image_width % 7 = 0 then 404 e
 from candidates
 """
 
-DERIVED["llm_responses"] = """
-select product_id * 3 + page_pos as response_id, product_id, cast(page_pos as int) as page_pos, page_url,
-       case when (product_id + page_pos) % 6 = 0 then 'Sorry, no JSON here'
+_ANSWER_TEXT = """case when (product_id + page_pos) % 6 = 0 then 'Sorry, no JSON here'
             when (product_id + page_pos) % 6 = 1 then '[1, 2]'
             else concat(case when product_id % 3 = 0 then 'Result: ' when product_id % 3 = 1 then '```json ' else '' end,
               '{"page_is_correct_product": ', case when product_id % 5 <> 0 then 'true' else 'false' end,
@@ -268,7 +266,11 @@ select product_id * 3 + page_pos as response_id, product_id, cast(page_pos as in
               '_e.jpg", "role": "in_use", "confidence": 0.72}, {"url": "https://cdn.', brand, '.com/', pid,
               '_f.jpg", "role": "main", "confidence": 0.9}, {"url": "https://cdn.', brand, '.com/', pid,
               '_g.jpg", "role": "angle", "confidence": 0.88}], "rejected": [{"url": "https://x.test/', pid, '", "reason": "banner"}]}',
-              case when product_id % 3 = 1 then ' ```' when product_id % 3 = 0 then ' (end)' else '' end) end as text
+              case when product_id % 3 = 1 then ' ```' when product_id % 3 = 0 then ' (end)' else '' end)"""
+
+DERIVED["llm_responses"] = f"""
+select product_id * 3 + page_pos as response_id, product_id, cast(page_pos as int) as page_pos, page_url,
+       {_ANSWER_TEXT} end as text
 from (
   select p_partkey as product_id, cast(p_partkey as string) as pid, lower(replace(p_brand, '#', '')) as brand, page_pos,
          concat(case when page_pos = 1 then 'https://shop.reseller.net/p/' else concat('https://www.', lower(replace(p_brand, '#', '')), '.com/p/') end,
@@ -277,6 +279,48 @@ from (
 ) x
 """
 
+# every page address that discovery may come upon, with the part it shows
+DERIVED["page_addresses"] = """
+select a.url, a.part_no, regexp_extract(a.url, '^https://([^/]*)', 1) as domain, lower(replace(p_brand, '#', '')) as brand
+from (select loc as url, cast(regexp_extract(loc, 'sku_([0-9]+)', 1) as bigint) as part_no from sitemap_store where kind = 'urlset'
+      union all select distinct url, product_id from search_results where url is not null) a join part on p_partkey = a.part_no
+"""
+
+DERIVED["page_fetches"] = """
+select url, case when part_no % 7 = 3 then 404 else 200 end as status,
+       case when part_no % 11 = 5 then 'application/pdf' else 'text/html' end as content_type,
+       concat('<html><body><p>Part ', cast(part_no as string), '</p><div class="gallery"><img class="hero" src="https://cdn.', brand, '.com/',
+              cast(part_no as string), '_a.jpg"><img src="https://cdn.', brand, '.com/', cast(part_no as string), '_g.jpg"></div>',
+              case when part_no % 2 = 0 then repeat('<img src="/x.jpg">', 4) else '' end, '</body></html>') as html
+from page_addresses
+"""
+
+DERIVED["page_domains"] = """
+select distinct domain from page_addresses
+"""
+
+DERIVED["page_recipes"] = """
+select domain, true as recipe_built, domain like '%.com' as active,
+       case when domain like 'www%' then 'img:first' else 'img.hero' end as main_image_selector,
+       'div.gallery img' as gallery_image_selector, 'src' as image_url_attribute, '' as excluded_url_patterns
+from page_domains where domain like '%1.com' or domain like '%3.com' or domain like 'shop1%'
+"""
+
+DERIVED["site_rules"] = """
+select domain as host, '*' as agent, 0 as ord, false as allow,
+       case when domain like 'shop2%' then '/' when domain like 'brand2%' then '/standard' else '/none' end as path from page_domains
+"""
+
+DERIVED["site_ips"] = """
+select domain as host, case when domain like 'shop4%' then '10.0.0.9' else '93.184.216.34' end as ip from page_domains where domain not like 'shop5%'
+"""
+
+DERIVED["page_answers"] = f"""
+select product_id, page_url,
+       {_ANSWER_TEXT} end as text
+from (select part_no as product_id, cast(part_no as string) as pid, brand, length(url) % 7 as page_pos, url as page_url from page_addresses where length(url) % 13 <> 4) x
+"""
+
 # facts measured on downloaded images: transport, size, decode result, background
 DERIVED["asset_facts"] = """
 select concat(case letter when 'b' then 'https://img.other.net/' when 'e' then concat('https://static.', brand, '.com/')

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfsight.functions import urls as U
 from shelfsight.operators import candidates as C
+from shelfsight.operators import discovery as D
 from shelfsight.operators import inventory as N
 from shelfsight.operators import products as P
 from shelfsight.operators import raster as R
+from shelfsight.operators import rounds as W
 from shelfsight.plans.queries_discovery import named_products
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
@@ -196,3 +198,27 @@ def studio_borderline(t: Tables) -> DataFrame:
     return C.studio_borderline(R.background_state(t("pixels")), t("studio_answers")).withColumn(
         "white_percent", F.round("white_percent", 6)
     )
+
+
+# ---- one plan from products to states ----
+
+
+def _looked(t: Tables) -> DataFrame:
+    pages = D.discover_pages(named_products(t), t("sitemap_store"), t("search_results"))
+    return W.discovery_rounds(pages, t("page_fetches"), t("site_ips"), t("site_rules"), t("page_recipes"), t("page_answers"))
+
+
+@query
+def discovery_rounds(t: Tables) -> DataFrame:
+    return _looked(t).select(
+        "product_id", "page_pos", "page_url", "outcome", "rendered", "recipe_failed", F.size(F.coalesce("images", F.array())).alias("n_images"))
+
+
+@query
+def discovery_outcome(t: Tables) -> DataFrame:
+    return W.discovery_outcome(_looked(t), _flags(t), t("asset_facts"))
+
+
+@query
+def discovery_log(t: Tables) -> DataFrame:
+    return W.discovery_log(_looked(t), _flags(t), t("asset_facts"))

@@ -1,4 +1,4 @@
-from verification.oracle_discovery import ALNUM, HOST, NAMED
+from verification.oracle_discovery import ALNUM, DISCOVERED, HOST, NAMED
 from verification.oracle_raster import states
 
 BASE = """regexp_extract(url, '^([a-z]+)://', 1) as sch, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as origin,
@@ -81,6 +81,34 @@ due as (select c.*, p.has_main_image and p.main_image_normalized as locked from
   where c.state = 'pending' and c.confidence >= 0.85e0 and c.product_id in (select product_id from runs)),
 ordered as (select *, image_width % 7 = 0 as lost, row_number() over (partition by product_id, role = 'main', image_width % 7 = 0 order by confidence desc, candidate_id) as rn from due),
 applied as (select candidate_id, product_id, role, lost, case when lost or role = 'main' and (locked or rn > 1) then 'failed' else 'applied' end as state from ordered)"""
+# every page judged by itself; a product has looked at those up to its first settled one
+JUDGED = f"""{DISCOVERED}, visited as (
+  select d.*, regexp_extract(page_url, '^https://([^/]*)', 1) as h, regexp_extract(page_url, '^https://[^/]*(.*)$', 1) as path from discovered d
+), parsed as (select product_id, page_url, nullif(regexp_extract(text, '(?s)\\{{.*\\}}'), '') as o from page_answers),
+facts as (
+  select v.*, h in (select host from site_ips where ip not like '10.%') as safe, not exists (select 1 from site_rules r where r.host = h and starts_with(v.path, r.path)) as free,
+    f.status = 200 and f.content_type like '%html%' as usable, len(regexp_extract_all(f.html, '<img[^>]*>')) as n_img, f.html,
+    r.main_image_selector = 'img.hero' as readable, p.page_url is not null as answered, p.o
+  from visited v left join page_fetches f on f.url = v.page_url left join (select * from page_recipes where recipe_built and active) r on r.domain = h
+  left join parsed p on p.product_id = v.product_id and p.page_url = v.page_url
+), verdicts as (
+  select *, coalesce(cast(json_extract_string(o, '$.product_match_confidence') as double), 0e0) as mc,
+    case when not safe then 'refused' when not free then 'robots' when not coalesce(usable, false) then 'unusable' when readable then 'recipe'
+      when not answered then 'unanswered' when o is null then 'unreadable'
+      when json_extract_string(o, '$.page_is_correct_product') = 'true' and coalesce(cast(json_extract_string(o, '$.product_match_confidence') as double), 0e0) >= 0.5e0 then 'accepted'
+      else 'rejected' end as outcome from facts
+), looked as (
+  select * from verdicts v where not exists (select 1 from verdicts e where e.product_id = v.product_id and e.page_pos < v.page_pos and e.outcome in ('recipe', 'accepted'))
+), rated as (
+  select *, outcome in ('unanswered', 'unreadable', 'rejected', 'accepted') and n_img < 5 as rendered,
+    outcome not in ('refused', 'robots', 'unusable') and coalesce(not readable, false) as recipe_failed from looked
+), round_hits as (
+  select product_id, regexp_extract(html, 'class="hero" src="([^"]*)"', 1) as main_url, regexp_extract(html, '<img src="([^"]*_g.jpg)"', 1) as gallery_url from rated where outcome = 'recipe'
+), chosen as (
+  select product_id, page_pos, page_url, case when outcome = 'recipe' then 0.9e0 else mc end as match_confidence, outcome = 'recipe' as via_recipe, o from rated where outcome in ('recipe', 'accepted')
+)"""
+_IMGS = IMGS.replace(CHOSEN, JUDGED).replace("recipe_hits", "round_hits").replace(f", {NAMED}, flags", ", flags")
+ROUNDS = DOWN.replace(IMGS, _IMGS)
 
 ORACLES = {
     "img_inventory": f"with {INV} select page_id, page_url, pos, url, alt, width, height from inv",
@@ -148,4 +176,22 @@ select * exclude (lost), case when lost then 'Candidate has no image data' when
     "studio_borderline": f"""with {states()}
 select st.image_id, round(white, 6) as white_percent, case when upper(trim(a.answer)) like 'STUDIO%' then 'white' else 'complex' end as final_state
 from st left join studio_answers a on a.image_id = st.image_id where source_state = 'complex' and white >= 70 and white < 90""",
+    "discovery_rounds": f"""with recursive {JUDGED}
+select product_id, page_pos, page_url, outcome, rendered, recipe_failed,
+  cast(case outcome when 'recipe' then 2 when 'accepted' then json_array_length(o, '$.images') else 0 end as int) as n_images from rated""",
+    "discovery_outcome": f"""with recursive {ROUNDS}
+select p.product_id, case when p.product_id not in (select product_id from kept) then 'no_results'
+    when p.product_id in (select product_id from kept where role = 'main') then 'candidates_found' else 'needs_manual_main' end as enrichment_state,
+  (select count(*) from kept k where k.product_id = p.product_id and k.has_white) as white_bg,
+  (select count(*) from kept k where k.product_id = p.product_id and not k.has_white) as rembg,
+  cast(coalesce(c.via_recipe, false) as int) as recipe_hit, cast(coalesce(not c.via_recipe, false) as int) as recipe_miss,
+  (select count(*) from rated r where r.product_id = p.product_id and rendered) as screenshot_used, c.page_url
+from products p left join chosen c on c.product_id = p.product_id""",
+    "discovery_log": f"""with recursive {ROUNDS}, rej as (
+  select product_id, pos, url, 'classify' as step, 'off-brand image host on brand page' as message from branded where not accepted
+  union all select product_id, pos, url, 'download_image', problem from checked where problem is not null)
+select product_id, 'classify' as step, 'error' as level, concat('Unusable answer for ', page_url) as message from rated where outcome = 'unreadable'
+union all select product_id, 'classify', 'warning', concat('Unreadable recipe for ', h) from rated where recipe_failed
+union all select c.product_id, 'classify', 'info', concat('No brand page for ', maker, ', using ', page_url) from chosen c join makers m on m.product_id = c.product_id where maker <> '' and not {ON_PAGE}
+union all select r.product_id, step, 'warning', concat(url, ': ', message) from rej r where not exists (select 1 from kept k where k.product_id = r.product_id and k.place = 4 and k.pos < r.pos)""",
 }

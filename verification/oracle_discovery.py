@@ -51,6 +51,21 @@ PRIVATE = """private_blocks(lo, hi) as (values (0, 16777215), (167772160, 184549
   (2886729728, 2887778303), (3221225472, 3221225727), (3221225984, 3221226239), (3232235520, 3232301055), (3323068416, 3323199487),
   (3325256704, 3325256959), (3405803776, 3405804031), (3758096384, 4294967295))"""
 
+DISCOVERED = f"""{NAMED}, {GUESSES}, {ADDRESSES}, roots as (select distinct sitemap_url from addresses), {EXPAND},
+site as (select host, arg_min(sitemap_url, preference) as root from addresses where sitemap_url in (select root from expanded) group by host),
+urls as (select s.host, e.doc_path, e.pos, e.loc from site s join expanded e on e.root = s.root),
+raw as (select g.product_id, g.guess_no, u.loc, u.doc_path, u.pos from guesses g join urls u on u.host = g.host
+  and (contains(lower(u.loc), lower(g.sku)) or contains({ERASE.format('u.loc')}, {ERASE.format('g.sku')})) where g.sku <> ''),
+hit as (select product_id, loc, row_number() over (partition by product_id order by doc_path, pos) as place from raw r
+  where guess_no = (select min(guess_no) from raw q where q.product_id = r.product_id)),
+nhit as (select m.product_id, count(h.loc) as n from makers m left join hit h on h.product_id = m.product_id and h.place <= 10 group by m.product_id),
+{RANKED},
+fresh as (select r.product_id, r.url, min(r.host_rank * 100000 + r.rank) as k, any_value(n.n) as n from ranked r join nhit n on n.product_id = r.product_id
+  where n.n < 3 and not exists (select 1 from hit h where h.product_id = r.product_id and h.place <= 10 and h.loc = r.url) group by r.product_id, r.url),
+placed as (select product_id, url, n + row_number() over (partition by product_id order by k, url) as place from fresh),
+discovered as (select product_id, cast(place - 1 as int) as page_pos, loc as page_url, 'sitemap' as found_by from hit where place <= 5
+union all select product_id, cast(place - 1 as int), url, 'search' from placed where place <= 5)"""
+
 ORACLES = {
     "url_netloc": f"""
 with n as (select request_id, url, {HOST} as netloc from request_urls), k as (select *, regexp_replace(lower(netloc), '^.*@', '') as h from n)
@@ -78,20 +93,7 @@ wanted as (select distinct host, case when p_partkey % 50 = 0 then '- _' else co
 hits as (select w.host, w.sku, u.loc, row_number() over (partition by w.host, w.sku order by doc_path, pos) as place
   from wanted w join urls u on u.host = w.host and (contains(lower(u.loc), lower(trim(w.sku))) or contains({ERASE.format('u.loc')}, {ERASE.format('w.sku')})))
 select host, sku, cast(place as int) as place, loc from hits where place <= 10""",
-    "discover_pages": f"""with recursive {NAMED}, {GUESSES}, {ADDRESSES}, roots as (select distinct sitemap_url from addresses), {EXPAND},
-site as (select host, arg_min(sitemap_url, preference) as root from addresses where sitemap_url in (select root from expanded) group by host),
-urls as (select s.host, e.doc_path, e.pos, e.loc from site s join expanded e on e.root = s.root),
-raw as (select g.product_id, g.guess_no, u.loc, u.doc_path, u.pos from guesses g join urls u on u.host = g.host
-  and (contains(lower(u.loc), lower(g.sku)) or contains({ERASE.format('u.loc')}, {ERASE.format('g.sku')})) where g.sku <> ''),
-hit as (select product_id, loc, row_number() over (partition by product_id order by doc_path, pos) as place from raw r
-  where guess_no = (select min(guess_no) from raw q where q.product_id = r.product_id)),
-nhit as (select m.product_id, count(h.loc) as n from makers m left join hit h on h.product_id = m.product_id and h.place <= 10 group by m.product_id),
-{RANKED},
-fresh as (select r.product_id, r.url, min(r.host_rank * 100000 + r.rank) as k, any_value(n.n) as n from ranked r join nhit n on n.product_id = r.product_id
-  where n.n < 3 and not exists (select 1 from hit h where h.product_id = r.product_id and h.place <= 10 and h.loc = r.url) group by r.product_id, r.url),
-placed as (select product_id, url, n + row_number() over (partition by product_id order by k, url) as place from fresh)
-select product_id, cast(place - 1 as int) as page_pos, loc as page_url, 'sitemap' as found_by from hit where place <= 5
-union all select product_id, cast(place - 1 as int), url, 'search' from placed where place <= 5""",
+    "discover_pages": f"with recursive {DISCOVERED} select * from discovered",
     "ssrf_filter_literal": f"""
 with {PRIVATE}, n as (select request_id, url, regexp_replace(lower({HOST}), '^.*@', '') as h from request_urls), k as (select request_id, url, {HOSTNAME} as hn from n),
 v4 as (select hn, {V4NUM.format('hn')} as num from (select distinct hn from k where regexp_full_match(hn, '\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}')) d)
