@@ -15,6 +15,7 @@ from shelfsight.operators import rounds as W
 from shelfsight.plans.queries_discovery import named_products
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
+from shelfsight.session import materialized
 from shelfsight.sources.bodies import scan_answers
 
 # ---- page images ----
@@ -205,7 +206,9 @@ def studio_borderline(t: Tables) -> DataFrame:
 
 def _looked(t: Tables) -> DataFrame:
     pages = D.discover_pages(named_products(t), t("sitemap_store"), t("search_results"))
-    return W.discovery_rounds(pages, t("page_fetches"), t("site_ips"), t("site_rules"), t("page_recipes"), t("page_answers"))
+    # every round reads these, so they are stored tables, not views over the sample
+    stored = [materialized(t(name), name) for name in ("page_fetches", "site_ips", "site_rules", "page_recipes", "page_answers")]
+    return W.discovery_rounds(pages, *stored)
 
 
 @query
