@@ -20,8 +20,7 @@ difference-cover suffix sort, each cut off at that depth.
    ``length`` bytes and dealt out by that name.
 4. Starts with equal prefixes are adjacent after sorting; equal neighbours are repeats.
 
-Texts lie in blocks of a few MB, written once and bucketed by the task that made
-them, so that answers find their blocks without moving texts. A block sends each
+Texts lie in blocks of a few MB, written once and bucketed by their number, so that answers find their blocks without moving texts. A block sends each
 name and each piece of text once, however often it holds it. Nothing depends on
 how many copies a text has.
 """
@@ -32,7 +31,7 @@ import hashlib
 import math
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,9 @@ MODULUS = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)  # fixed values: all differences modulo 133 occur once
 ANCHOR = 16
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 256 << 10
 HOT_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -62,21 +63,19 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def names(data: np.ndarray, length: int, also: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-    """64-bit name of the ``length`` bytes from every place that has so many, and of ``also`` (a power of two) bytes."""
+def names(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit name of the ``length`` bytes from every place that has so many. Some 40 bytes of memory per byte of data."""
     level, width = (data.astype(np.uint64) + np.uint64(1)) * _A, 1
     level ^= level >> np.uint64(31)
-    made, done, side = None, 0, None
+    made, done = None, 0
     while width <= length:
-        if width == also:
-            side = level
         if length & width:
             made = level if made is None else _mix(made[: max(0, len(level) - done)], level[done:])
             done += width
         if 2 * width <= length:
             level = _mix(level[: max(0, len(level) - width)], level[width:])
         width *= 2
-    return made[: max(0, len(data) - length + 1)], side
+    return made[: max(0, len(data) - length + 1)]
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,6 +88,26 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _sliced(data: np.ndarray, places: np.ndarray, length: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of`` at ascending places, over slices that overlap by the ``length`` bytes a place looks at."""
+    out = np.empty(len(places), np.uint64)
+    cuts = np.searchsorted(places, np.arange(0, len(data) + SLICE_BYTES, SLICE_BYTES))
+    for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if lo < hi:
+            a = i * SLICE_BYTES
+            out[lo:hi] = of(data[a: a + SLICE_BYTES + length - 1])[places[lo:hi] - a]
+    return out
+
+
+def names_at(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    return _sliced(data, places, length, lambda part: names(part, length))
+
+
+def anchors_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Smallest ``ANCHOR``-byte name inside the ``length`` bytes from each start."""
+    return _sliced(data, starts, length, lambda part: _smallest(names(part, ANCHOR), length - ANCHOR + 1))
+
+
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the leading 32 bits; grows with the value."""
     return ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -103,14 +122,11 @@ class Block:
         self.ends = np.cumsum(self.lengths)
         self.begins = self.ends - self.lengths
 
-    def sampled(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Sampled places with a whole name, their names, and the anchor names of all places."""
+    def sampled(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places with a whole name, ascending, and their names."""
         depth = length - MODULUS + 1
         if len(self.data) < length:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-        made, anchors = names(self.data, depth, ANCHOR)
-        inside = np.zeros(MODULUS, bool)
-        inside[list(COVER)] = True
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         long = self.lengths >= length
         counts = np.where(long, self.lengths - depth + 1, 0)
         whole, rest = counts // MODULUS, counts % MODULUS
@@ -119,7 +135,7 @@ class Block:
         owner = np.repeat(np.arange(len(counts)), sizes)
         k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         places = self.begins[owner] + k // len(COVER) * MODULUS + cover[k % len(COVER)]
-        return places, made[places], anchors
+        return places, names_at(self.data, places, depth)
 
     def starts_near(self, places: np.ndarray, length: int) -> np.ndarray:
         """Starts with room for ``length`` bytes that lie up to 132 before one of ``places``, ascending."""
@@ -130,7 +146,7 @@ class Block:
         change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, low, 1)
         np.add.at(change, high + 1, -1)
-        return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        return np.flatnonzero(np.cumsum(change[:-1], dtype=np.int32) > 0)
 
 
 def _pack_pieces(pieces: list[bytes]) -> bytes:
@@ -138,20 +154,19 @@ def _pack_pieces(pieces: list[bytes]) -> bytes:
 
 
 def _blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
-    """Rows (home, seq, ids, lengths, data), bucketed by home, the task that made them; and the table's name."""
+    """Rows (block, ids, lengths, data), bucketed by block number; and the table's name."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     ids = pa.list_(to_arrow_type(kind))
 
     def pack(batches):
-        home, seq, held, lengths, size = TaskContext.get().partitionId(), 0, [], [], 0
+        block, held, lengths, size = TaskContext.get().partitionId() << 24, [], [], 0
         keys: list = []
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([home], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys], ids),
-                 pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(held)], pa.binary())],
-                ["home", "seq", "ids", "lengths", "data"],
+                [pa.array([block], pa.int64()), pa.array([keys], ids), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(held)], pa.binary())],
+                ["block", "ids", "lengths", "data"],
             )
 
         for batch in batches:
@@ -160,7 +175,7 @@ def _blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
                 data = x.as_py()
                 if held and size + len(data) > BLOCK_BYTES:
                     yield row()
-                    seq, held, lengths, keys, size = seq + 1, [], [], [], 0
+                    block, held, lengths, keys, size = block + 1, [], [], [], 0
                 keys.append(key.as_py())
                 held.append(data)
                 lengths.append(len(data))
@@ -168,33 +183,30 @@ def _blocks(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
         if held:
             yield row()
 
-    schema = f"home int, seq int, ids array<{kind.simpleString()}>, lengths array<int>, data binary"
+    schema = f"block long, ids array<{kind.simpleString()}>, lengths array<int>, data binary"
     packed = docs.select(F.col(id_col), whole_text(F.col(text)).alias("_text")).mapInArrow(pack, schema)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packed.rdd.getNumPartitions())
     name = f"text_blocks_{uuid.uuid4().hex}"
     (
-        packed.write.bucketBy(buckets, "home").option("compression", "zstd")
+        packed.write.bucketBy(buckets, "block").option("compression", "zstd")
         .option("path", shared_folder(spark, "text-blocks")).saveAsTable(name)
     )
     return spark.table(name), name
 
 
-def _by_home(rows: DataFrame, purpose: str) -> DataFrame:
-    """Answers of every home as one row; they are about a hundredth of the home's text."""
-    return written(
-        rows.groupBy("home").agg(F.collect_list(F.struct("seq", "kind", "bucket", "data")).alias("answers")), purpose
-    )
+def _by_block(rows: DataFrame, purpose: str) -> DataFrame:
+    """Answers to every block as one row; they are about a hundredth of its text."""
+    return written(rows.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "data")).alias("answers")), purpose)
 
 
 def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks with the answers to them. Blocks stay where they are read; only answers move."""
-    joined = blocks.join(answers.withColumnRenamed("home", "_home").hint("shuffle_hash"), F.col("home") == F.col("_home"), "left")
-    own = F.filter(F.coalesce("answers", F.array()), lambda a: a["seq"] == F.col("seq"))
-    return joined.withColumn("answers", own).drop("_home")
+    joined = blocks.join(answers.withColumnRenamed("block", "_block").hint("shuffle_hash"), F.col("block") == F.col("_block"), "left")
+    return joined.withColumn("answers", F.coalesce("answers", F.array())).drop("_block")
 
 
-MESSAGE = "home int, seq int, kind int, bucket int, data binary"
-_MESSAGE = pa.schema([("home", pa.int32()), ("seq", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+MESSAGE = "block long, kind int, bucket int, data binary"
+_MESSAGE = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 PIECE_MESSAGE = MESSAGE + ", anchors binary"
 _PIECE_MESSAGE = _MESSAGE.append(pa.field("anchors", pa.binary()))
 NAMES, PIECES, PLACES, BITS, WHOLE, AGAIN = 0, 1, 2, 3, 4, 5
@@ -213,13 +225,13 @@ def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 
 def _send_names(length: int, buckets: int):
     def run(batches):
-        for home, seq, lengths, data in _rows(batches, ["home", "seq", "lengths", "data"]):
-            _, made, _ = Block(data, np.array(lengths)).sampled(length)
+        for block, lengths, data in _rows(batches, ["block", "lengths", "data"]):
+            _, made = Block(data, np.array(lengths)).sampled(length)
             own = np.unique(made)
             cuts = np.searchsorted(_bucket(own, buckets), np.arange(buckets + 1))
             low = own.astype(np.uint32)
             yield _messages([
-                (home, seq, NAMES, b, low[cuts[b]: cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]
+                (block, NAMES, b, low[cuts[b]: cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]
             ])
 
     return run
@@ -233,8 +245,7 @@ def _repeated_pieces(parts: list[bytes], length: int) -> list[bytes]:
     starts = flat - length + 1
     begin = np.cumsum(flat) - flat
     at = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
-    made, _ = names(text, length)
-    made = made[at]
+    made = names_at(text, at, length)
     order = np.argsort(made, kind="stable")
     same = made[order][1:] == made[order][:-1]
     again = np.zeros(len(made), bool)
@@ -252,8 +263,8 @@ def _answer(length: int):
     """Over messages sorted by bucket: a bit per name or start of every message. Place lists pass through."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        if rows[0][2] == NAMES:
-            parts = [np.frombuffer(r[4], np.uint32) for r in rows]
+        if rows[0][1] == NAMES:
+            parts = [np.frombuffer(r[3], np.uint32) for r in rows]
             values = np.sort(np.concatenate(parts))
             twice = np.unique(values[1:][values[1:] == values[:-1]])
             bits = []
@@ -261,22 +272,22 @@ def _answer(length: int):
                 at = np.searchsorted(twice, p)
                 at[at == len(twice)] = 0
                 bits.append(np.packbits(twice[at] == p if len(twice) else np.zeros(len(p), bool)).tobytes())
-        elif rows[0][2] == WHOLE:  # whole names; those that come from several messages go back
-            parts = [np.frombuffer(r[4], "<u8") for r in rows]
+        elif rows[0][1] == WHOLE:  # whole names; those that come from several messages go back
+            parts = [np.frombuffer(r[3], "<u8") for r in rows]
             values = np.sort(np.concatenate(parts))
             twice = np.unique(values[1:][values[1:] == values[:-1]])
-            return _messages([(r[0], r[1], AGAIN, r[3], x.tobytes()) for r, p in zip(rows, parts, strict=True) if len(x := np.intersect1d(p, twice))])
+            return _messages([(r[0], AGAIN, r[2], x.tobytes()) for r, p in zip(rows, parts, strict=True) if len(x := np.intersect1d(p, twice))])
         else:
-            bits = _repeated_pieces([r[4] for r in rows], length)
-        return _messages([(r[0], r[1], BITS, r[3], b) for r, b in zip(rows, bits, strict=True)])
+            bits = _repeated_pieces([r[3] for r in rows], length)
+        return _messages([(r[0], BITS, r[2], b) for r, b in zip(rows, bits, strict=True)])
 
     def run(batches):
         held: list[tuple] = []
-        for row in _rows(batches, ["home", "seq", "kind", "bucket", "data"]):
-            if row[2] == PLACES:
+        for row in _rows(batches, ["block", "kind", "bucket", "data"]):
+            if row[1] == PLACES:
                 yield _messages([row])
                 continue
-            if held and held[0][2:4] != row[2:4]:
+            if held and held[0][1:3] != row[1:3]:
                 yield settle(held)
                 held = []
             held.append(row)
@@ -288,9 +299,9 @@ def _answer(length: int):
 
 def _send_pieces(length: int, buckets: int):
     def run(batches):
-        for home, seq, lengths, data, answers in _rows(batches, ["home", "seq", "lengths", "data", "answers"]):
+        for number_of, lengths, data, answers in _rows(batches, ["block", "lengths", "data", "answers"]):
             block = Block(data, np.array(lengths))
-            places, made, anchors = block.sampled(length)
+            places, made = block.sampled(length)
             if not len(places):
                 continue
             own, inverse, counts = np.unique(made, return_inverse=True, return_counts=True)
@@ -302,7 +313,7 @@ def _send_pieces(length: int, buckets: int):
             starts = block.starts_near(places[again[inverse]], length)
             if not len(starts):
                 continue
-            least = _smallest(anchors, length - ANCHOR + 1)[starts]
+            least = anchors_at(block.data, starts, length)
             first = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (least[1:] != least[:-1])])
             sizes = np.diff(np.r_[first, len(starts)])
             where = _bucket(least[first] * _A, buckets).astype(np.int64)
@@ -324,8 +335,8 @@ def _send_pieces(length: int, buckets: int):
             of: dict[int, np.ndarray] = {b: np.zeros(len(known), "<u8") for b, known in pieces.items()}
             for b, n, a in zip(where.tolist(), numbers.tolist(), anchor, strict=True):
                 of[b][n] = a
-            out = [(home, seq, PLACES, (home * 7919 + seq) % buckets, table.tobytes(), None)]
-            out += [(home, seq, PIECES, b, _pack_pieces(list(known)), of[b].tobytes()) for b, known in sorted(pieces.items())]
+            out = [(number_of, PLACES, number_of % buckets, table.tobytes(), None)]
+            out += [(number_of, PIECES, b, _pack_pieces(list(known)), of[b].tobytes()) for b, known in sorted(pieces.items())]
             yield _messages(out, _PIECE_MESSAGE)
 
     return run
@@ -357,22 +368,22 @@ def _name_hot(length: int, buckets: int, hot: np.ndarray):
     """Pieces of hot anchors become whole names of their starts, each once per message; all other messages stay."""
 
     def run(batches):
-        for home, seq, kind, b, data, anchors in _rows(batches, ["home", "seq", "kind", "bucket", "data", "anchors"]):
+        for block, kind, b, data, anchors in _rows(batches, ["block", "kind", "bucket", "data", "anchors"]):
             if kind != PIECES or not (is_hot := np.isin(np.frombuffer(anchors, "<u8"), hot)).any():
-                yield _messages([(home, seq, kind, b, data)])
+                yield _messages([(block, kind, b, data)])
                 continue
             pieces = _unpack_pieces(data)
             out, whole = [], []
             cold = [p for p, h in zip(pieces, is_hot, strict=True) if not h]
             if cold:
-                out.append((home, seq, PIECES, b, _pack_pieces(cold)))
+                out.append((block, PIECES, b, _pack_pieces(cold)))
             for p, h in zip(pieces, is_hot, strict=True):
                 if h:
-                    whole.append(names(np.frombuffer(p, np.uint8), length)[0])
+                    whole.append(names(np.frombuffer(p, np.uint8), length))
             own = np.unique(np.concatenate(whole))
             cuts = np.searchsorted(_bucket(own, buckets), np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
-                out.append((home, seq, WHOLE, k, own[cuts[k]: cuts[k + 1]].astype("<u8").tobytes()))
+                out.append((block, WHOLE, k, own[cuts[k]: cuts[k + 1]].astype("<u8").tobytes()))
             yield _messages(out)
 
     return run
@@ -389,7 +400,7 @@ def _covered(block: Block, length: int, answers: list[dict], hot: np.ndarray) ->
             mine = table[is_hot]
             n = mine[:, 1]
             at = np.repeat(mine[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            _, inverse, counts = np.unique(own := names(block.data, length)[0][at], return_inverse=True, return_counts=True)
+            _, inverse, counts = np.unique(own := names_at(block.data, at, length), return_inverse=True, return_counts=True)
             again = [np.frombuffer(a["data"], "<u8") for a in answers if a["kind"] == AGAIN]
             at = at[(counts[inverse] > 1) | np.isin(own, np.concatenate(again) if again else own[:0])]
             np.add.at(change, at, 1)
@@ -411,7 +422,7 @@ def _covered(block: Block, length: int, answers: list[dict], hot: np.ndarray) ->
             at = (np.repeat(mine[:, 0], n) + k)[hit]
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
@@ -430,9 +441,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     blocks, name = _blocks(docs, id_col, text)
+    batch = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(2 * BLOCK_BYTES))  # a few blocks at a time between Spark and Python
     try:
         return written(_without_repeats(blocks, id_col, kind, length, keep_text), "repeats-removed")
     finally:
+        spark.conf.set(_BATCH, batch)
         spark.sql(f"drop table {name}")
 
 
@@ -443,11 +457,11 @@ def _without_repeats(blocks: DataFrame, id_col: str, kind: DataType, length: int
     def dealt(messages: DataFrame) -> DataFrame:
         return messages.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(length), MESSAGE)
 
-    known = _by_home(dealt(blocks.select("home", "seq", "lengths", "data").mapInArrow(_send_names(length, buckets), MESSAGE)), "repeat-names")
-    asked = _with_answers(blocks.select("home", "seq", "lengths", "data"), known)
+    known = _by_block(dealt(blocks.select("block", "lengths", "data").mapInArrow(_send_names(length, buckets), MESSAGE)), "repeat-names")
+    asked = _with_answers(blocks.select("block", "lengths", "data"), known)
     pieces = written(asked.mapInArrow(_send_pieces(length, buckets), PIECE_MESSAGE), "repeat-pieces")
     hot = _hot_anchors(pieces, HOT_BYTES)
-    found = _by_home(dealt(pieces.mapInArrow(_name_hot(length, buckets, hot), MESSAGE)), "repeat-starts")
+    found = _by_block(dealt(pieces.mapInArrow(_name_hot(length, buckets, hot), MESSAGE)), "repeat-starts")
 
     def finish(batches):
         for ids, lengths, data, answers in _rows(batches, ["ids", "lengths", "data", "answers"]):

@@ -230,6 +230,25 @@ def test_repeats_around_a_hot_passage(rows, monkeypatch):
     assert sent(rest) < sent(pieces) / 2
 
 
+def test_names_in_slices_equal_names_of_the_whole(monkeypatch):
+    data = np.frombuffer(random.Random(4).randbytes(5000), np.uint8)
+    starts = np.flatnonzero(np.arange(4801) % 7 != 3)
+    whole, anchors = suffix_dedup.names(data, 200), suffix_dedup._smallest(suffix_dedup.names(data, 16), 185)
+    for size in (1, 64, 999, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", size)
+        assert (suffix_dedup.names_at(data, starts, 200) == whole[starts]).all()
+        assert (suffix_dedup.anchors_at(data, starts, 200) == anchors[starts]).all()
+
+
+def test_repeats_in_a_text_of_several_blocks(rows):
+    """Far longer than a block, with one repeat inside itself and one in another document."""
+    rng = random.Random(6)
+    text = rng.randbytes(6 << 20).hex()
+    long = text[:5_000_000] + text[100:400] + text[5_000_000:]
+    got = suffix_dedup.remove_repeats(rows("doc_id int, text string", (1, long), (2, "x" + text[9_000_000:9_000_500]), (3, None))).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {1: (len(long), 1100, 3), 2: (501, 500, 1), 3: (0, 0, 0)}
+
+
 def test_cover_has_every_difference_once():
     found = Counter((a - b) % suffix_dedup.MODULUS for a in suffix_dedup.COVER for b in suffix_dedup.COVER if a != b)
     assert found == Counter(range(1, suffix_dedup.MODULUS))
