@@ -400,12 +400,21 @@ union all select c_custkey, 'overwrite_existing_main', case when c_nationkey % 2
 union all select c_custkey, 'request_delay_seconds', case when c_nationkey % 6 = 0 then '2,5' else concat(cast(c_nationkey as string), '.5') end from customer
 """
 
+# image files of all formats; some break off, some are no images
 DERIVED["image_blobs"] = """
-select vec_id as image_id,
-       case when label = 9 then unhex('47494638396100') when label = 8 then unhex('FFD8FFE000104A464946')
-            else unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(cast(64 + label * 200 as bigint)), 8, '0'),
-                 lpad(hex(cast(48 + vec_id % 900 as bigint)), 8, '0'), '0806000000')) end as content
-from embeddings
+select image_id, unhex(case
+  when label = 9 then concat('474946383961', w16l, h16l, '8000000000000000')
+  when label = 8 then concat('FFD8FFE000104A46494600010100000100010000', case when image_id % 3 = 0 then 'FFE10008FFC000010002' else '' end,
+       case when image_id % 5 = 0 then 'FFC4' else concat('FFC400040000FFFFC2001108', h16, w16, '03012200021101031101FFDA0008010100003F00') end)
+  when label = 7 then concat('52494646', '16000000', '57454250', '56503858', '0A000000', '10000000', w16l, '00', h16l, '00')
+  when label = 6 then concat('52494646', case when image_id % 4 = 0 then 'FF000000' else '12000000' end, '57454250', '5650384C', '05000000', '2F', w16l, '4000')
+  when label = 5 then concat('52494646', '16000000', '57454250', '56503820', '0A000000', '300100', '9D012A', w16l, h16l)
+  when image_id % 9 = 4 then 'DEADBEEF'
+  else concat('89504E470D0A1A0A0000000D49484452', '0000', w16, '0000', h16, '080600000000000000', '0000000249444154', 'ABCD00000000',
+       case when image_id % 7 = 0 then '0000' else '0000000049454E44AE426082' end) end) as content
+from (select image_id, label, w16, h16, concat(substr(w16, 3, 2), substr(w16, 1, 2)) as w16l, concat(substr(h16, 3, 2), substr(h16, 1, 2)) as h16l
+  from (select vec_id as image_id, label, lpad(hex(cast(64 + label * 200 + vec_id % 90 as bigint)), 4, '0') as w16,
+               lpad(hex(cast(48 + vec_id % 900 as bigint)), 4, '0') as h16 from embeddings) e) f
 """
 
 DERIVED["raster_cells"] = """

@@ -7,13 +7,14 @@ four as BGRA.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsight.functions.binding import with_once
 from shelfsight.settings import DEFAULTS
 
 _SUMS = ("ring", "ring_clear", "ring_white", "top", "top_white", "bottom", "bottom_white")
@@ -36,19 +37,111 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), F.col("length").alias("n_bytes"))
 
 
+def _number(content: Column, start: Column | int, n: int, little: bool = False) -> Column:
+    """``n`` bytes from a 1-based place as a number; null where they are missing."""
+    raw = F.substring(content, start, n) if isinstance(start, int) else F.substring(content, start, F.lit(n))
+    value = F.conv(F.hex(raw), 16, 10)
+    if little:
+        byte = lambda k: F.hex(F.substring(content, (F.lit(start) if isinstance(start, int) else start) + k, F.lit(1)))
+        value = F.conv(F.concat(*[byte(k) for k in range(n - 1, -1, -1)]), 16, 10)
+    return F.when(F.octet_length(raw) == n, value.cast("long"))
+
+
+def _walk(content: Column, least: int, start: Column, step: Callable[[Column], Column]) -> Column:
+    """Fold ``step`` over the segments of a binary value until it sets ``done``.
+
+    There are at most length / ``least`` segments. The fold is two levels of about
+    the square root of that number, and a level is left out once it is done, so
+    neither short headers nor very many segments cost more than they must.
+    """
+    level = F.sequence(F.lit(1), F.ceil(F.sqrt(F.octet_length(content) / least)).cast("int") + 1)
+    inner = lambda state: F.aggregate(level, state, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
+    return F.aggregate(level, start, lambda s, _: F.when(s["done"], s).otherwise(inner(s)))
+
+
+def _state(at: Column, done: Column, ok: Column, width: Column, height: Column) -> Column:
+    return F.struct(
+        at.cast("long").alias("at"), F.coalesce(done, F.lit(True)).alias("done"), F.coalesce(ok, F.lit(False)).alias("ok"),
+        width.cast("int").alias("width"), height.cast("int").alias("height"),
+    )
+
+
+def _jpeg(content: Column) -> Column:
+    """Sizes from the first start-of-frame segment; segments are skipped by their length, so their data is not searched."""
+    none = F.lit(None)
+
+    def step(s: Column) -> Column:
+        at = s["at"]
+        marker, size = F.hex(F.substring(content, at + 1, F.lit(1))), _number(content, at + 2, 2)
+        whole = F.hex(F.substring(content, at, F.lit(1))) == "FF"
+        bare = marker.isin("01", *[f"D{k}" for k in range(9)])  # fixed values: markers without a segment
+        frame = marker.startswith("C") & ~marker.isin("C4", "C8", "CC")
+        stop = lambda ok, w, h: _state(at, F.lit(True), ok, w, h)
+        go = lambda to: _state(to, to > F.octet_length(content), F.lit(False), none, none)
+        return (
+            F.when(~whole | marker.isin("", "D9", "DA"), stop(F.lit(False), none, none))
+            .when(marker == "FF", go(at + 1)).when(bare, go(at + 2))
+            .when(frame, stop(F.lit(True), _number(content, at + 7, 2), _number(content, at + 5, 2)))
+            .when(size >= 2, go(at + 2 + size)).otherwise(stop(F.lit(False), none, none))
+        )
+
+    return _walk(content, 2, _state(F.lit(3), F.lit(False), F.lit(False), none, none), step)
+
+
+def _png(content: Column) -> Column:
+    """Sizes from the first chunk; readable if the chunks, each inside the content, end with the end chunk."""
+    width, height = _number(content, 17, 4), _number(content, 21, 4)
+
+    def step(s: Column) -> Column:
+        at = s["at"]
+        size, kind = _number(content, at, 4), F.hex(F.substring(content, at + 4, F.lit(4)))
+        after = at + 12 + size
+        fits = (after <= F.octet_length(content) + 1) & ((at > 9) | (kind == "49484452"))
+        return _state(after, ~F.coalesce(fits, F.lit(False)) | (kind == "49454E44"), fits & (kind == "49454E44"), width, height)
+
+    return _walk(content, 12, _state(F.lit(9), F.lit(False), F.lit(False), width, height), step)
+
+
+def _gif(content: Column) -> Column:
+    width, height = _number(content, 7, 2, True), _number(content, 9, 2, True)
+    return _state(F.lit(0), F.lit(True), F.octet_length(content) > 13, width, height)
+
+
+def _webp(content: Column) -> Column:
+    """Sizes of the three kinds of first chunk; readable if the container's length is there."""
+    kind, whole = F.hex(F.substring(content, 13, 4)), _number(content, 5, 4, True) + 8 <= F.octet_length(content)
+    low = lambda start: _number(content, start, 2, True).bitwiseAND(F.lit(0x3FFF))
+    bits = _number(content, 22, 4, True)
+    lossy = (kind == "56503820") & (F.hex(F.substring(content, 24, 3)) == "9D012A")
+    lossless = (kind == "5650384C") & (F.hex(F.substring(content, 21, 1)) == "2F")
+    extended = kind == "56503858"
+    width = F.when(lossy, low(27)).when(lossless, bits.bitwiseAND(F.lit(0x3FFF)) + 1).when(extended, _number(content, 25, 3, True) + 1)
+    height = F.when(lossy, low(29)).when(lossless, F.shiftright(bits, 14).bitwiseAND(F.lit(0x3FFF)) + 1).when(extended, _number(content, 28, 3, True) + 1)
+    return _state(F.lit(0), F.lit(True), whole, width, height)
+
+
 def image_headers(blobs: DataFrame) -> DataFrame:
-    """Format, width and height from the leading bytes of ``content``; JVM-side, no decode."""
-    head = lambda start, n: F.hex(F.substring("content", start, n))
-    number = lambda start, n: F.conv(head(start, n), 16, 10).cast("int")
-    png = (head(1, 8) == "89504E470D0A1A0A") & (head(13, 4) == "49484452") & (F.octet_length("content") >= 24)
-    gif = head(1, 4) == "47494638"
-    jpeg = head(1, 3) == "FFD8FF"
-    return blobs.select(
+    """Format, width and height of ``content`` and whether it is ``readable``; expressions only, no pixel is decoded.
+
+    JPEG segments and PNG chunks are followed by their lengths through the whole
+    content. Unknown formats and null or empty content have no format and are not
+    readable, nor are images without both sides.
+    """
+    content = F.col("content")
+    head = lambda start, n: F.hex(F.substring(content, start, n))
+    png, jpeg = head(1, 8) == "89504E470D0A1A0A", head(1, 3) == "FFD8FF"
+    gif = head(1, 6).isin("474946383761", "474946383961")
+    webp = (head(1, 4) == "52494646") & (head(9, 4) == "57454250")
+    found = F.when(png, _png(content)).when(jpeg, _jpeg(content)).when(gif, _gif(content)).when(webp, _webp(content))
+    told = with_once(blobs, "_image", found)
+    sized = (F.col("_image.width") > 0) & (F.col("_image.height") > 0)
+    return told.select(
         "image_id",
         F.octet_length("content").cast("long").alias("n_bytes"),
-        F.when(png, "png").when(jpeg, "jpeg").when(gif, "gif").alias("format"),
-        F.when(png, number(17, 4)).alias("width"),
-        F.when(png, number(21, 4)).alias("height"),
+        F.when(png, "png").when(jpeg, "jpeg").when(gif, "gif").when(webp, "webp").alias("format"),
+        F.col("_image.width").alias("width"),
+        F.col("_image.height").alias("height"),
+        F.coalesce(F.col("_image.ok") & sized, F.lit(False)).alias("readable"),
     )
 
 

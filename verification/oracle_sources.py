@@ -17,10 +17,26 @@ LOCS = """select sitemap_url, cast(unnest(range(len(l))) as int) as pos, unnest(
 
 ORACLES = {
     "scan_images": """
-select image_id, octet_length(content) as n_bytes,
-  case hex(content)[1:4] when '8950' then 'png' when 'FFD8' then 'jpeg' when '4749' then 'gif' end as format,
-  case when hex(content)[1:4] = '8950' then cast(concat('0x', hex(content)[33:40]) as int) end as width,
-  case when hex(content)[1:4] = '8950' then cast(concat('0x', hex(content)[41:48]) as int) end as height from image_blobs""",
+with recursive files as (select image_id, octet_length(content) as n, hex(content) as x from image_blobs),
+walk as (select image_id, 5 as p from files where x like 'FFD8FF%'
+  union all
+  select w.image_id, case when substr(x, p + 2, 2) = 'FF' then p + 2 else p + 4 + 2 * cast(concat('0x', substr(x, p + 4, 4)) as int) end
+  from walk w join files f on f.image_id = w.image_id
+  where substr(x, p, 2) = 'FF' and length(substr(x, p + 4, 4)) = 4 and not regexp_matches(substr(x, p + 2, 2), 'C[0-35-79ABDEF]|D9|DA')),
+frames as (select f.image_id, cast(concat('0x', substr(x, p + 14, 4)) as int) as w, cast(concat('0x', substr(x, p + 10, 4)) as int) as h
+  from walk k join files f on f.image_id = k.image_id where regexp_matches(substr(x, p, 4), 'FFC[0-35-79ABDEF]')),
+le as (select *, x[1:8] = '52494646' and x[17:24] = '57454250' as webp, x[25:32] as kind from files),
+sized as (select le.*, case when x[1:6] = '89504E' then 'png' when x[1:6] = 'FFD8FF' then 'jpeg' when x[1:6] = '474946' then 'gif' when webp then 'webp' end as format,
+  case when x[1:6] = '89504E' then cast(concat('0x', x[33:40]) as int) when x[1:6] = 'FFD8FF' then fr.w when x[1:6] = '474946' then cast(concat('0x', x[15:16], x[13:14]) as int)
+    when kind = '56503858' then cast(concat('0x', x[53:54], x[51:52], x[49:50]) as int) + 1 when kind = '56503820' then cast(concat('0x', x[55:56], x[53:54]) as int) & 16383
+    when kind = '5650384C' then (cast(concat('0x', x[49:50], x[47:48], x[45:46], x[43:44]) as bigint) & 16383) + 1 end as width,
+  case when x[1:6] = '89504E' then cast(concat('0x', x[41:48]) as int) when x[1:6] = 'FFD8FF' then fr.h when x[1:6] = '474946' then cast(concat('0x', x[19:20], x[17:18]) as int)
+    when kind = '56503858' then cast(concat('0x', x[59:60], x[57:58], x[55:56]) as int) + 1 when kind = '56503820' then cast(concat('0x', x[59:60], x[57:58]) as int) & 16383
+    when kind = '5650384C' then ((cast(concat('0x', x[49:50], x[47:48], x[45:46], x[43:44]) as bigint) >> 14) & 16383) + 1 end as height
+  from le left join frames fr on fr.image_id = le.image_id)
+select image_id, n as n_bytes, format, cast(width as int) as width, cast(height as int) as height,
+  coalesce(width > 0 and height > 0 and case format when 'png' then x like '%49454E44AE426082' when 'webp' then cast(concat('0x', x[15:16], x[13:14], x[11:12], x[9:10]) as bigint) + 8 <= n else true end, false) as readable
+from sized""",
     "scan_sitemap_urls": LOCS.format(root="urlset"),
     "scan_sitemap_index": LOCS.format(root="sitemapindex"),
     "scan_search_brave": BRAVE,
