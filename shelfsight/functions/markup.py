@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from shelfsight.functions.binding import let
 from shelfsight.functions.text import unescape_html
 
-_ATTRIBUTE = r"""(?:[\s/]++[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*?"""
+# the inside of a tag; what stands in quotes belongs to it, also a ``>``
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_PAIR = r"""[\s/]++([^\s=>/"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
 
 
 def without_noise(html: Column) -> Column:
@@ -23,24 +25,37 @@ def without_noise(html: Column) -> Column:
 
 
 def image_tags(html: Column) -> Column:
-    """All ``<img>`` tags in document order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)(<img\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""), F.lit(1))
+    """All ``<img>`` tags in document order.
+
+    One pass over all tags of the page, so that what looks like a tag inside an
+    attribute value is part of the tag that has it. Tags of other names leave
+    empty strings, which are dropped.
+    """
+    tags = F.regexp_extract_all(html, F.lit(rf"(?i)(<img(?=[\s/>]){_INSIDE})|</?[a-z]{_INSIDE}"), F.lit(1))
+    return F.array_remove(tags, "")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, entities decoded; empty when absent."""
-    raw = F.regexp_extract(
-        tag, rf"""(?is)^<\w+{_ATTRIBUTE}[\s/]+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1
+def attributes(tag: Column) -> Column:
+    """Names (lower case) and raw values of a tag's attributes, read in one pass each."""
+    pair = F.lit(_PAIR)
+    return F.struct(
+        F.regexp_extract_all(F.lower(tag), pair, F.lit(1)).alias("names"), F.regexp_extract_all(tag, pair, F.lit(2)).alias("values")
     )
+
+
+def value_of(read: Column, name: str) -> Column:
+    """Value of the first attribute of that name, entities decoded; empty when absent. ``read``: from ``attributes``."""
+    place = F.array_position(read["names"], name).cast("int")
+    raw = F.coalesce(F.get(read["values"], place - 1), F.lit(""))
     return unescape_html(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
-def first_attribute(tag: Column, names: tuple[str, ...]) -> Column:
-    """First of the attributes that has a value; empty when none has. Later ones are only read if needed."""
-    value = attribute(tag, names[0])
+def first_value(read: Column, names: tuple[str, ...]) -> Column:
+    """First of the attributes that has a value; empty when none has. Later ones are only decoded if needed."""
+    value = value_of(read, names[0])
     if len(names) == 1:
         return value
-    return let(value, lambda v: F.when(v != "", v).otherwise(first_attribute(tag, names[1:])))
+    return let(value, lambda v: F.when(v != "", v).otherwise(first_value(read, names[1:])))
 
 
 # fixed values: elements without content

@@ -22,6 +22,11 @@ SMALL_SIDE = 200
 MAX_IMAGES_PER_PAGE = 60
 RENDER_BELOW = 5
 
+# what a page without images is answered with, in the form of a classifier's answer
+NO_IMAGES_ANSWER = (
+    '{"page_is_correct_product": false, "product_match_confidence": 0.0, "match_reasoning": "page has no images", "images": [], "rejected": []}'
+)
+
 IMAGE_FIELDS = ("pos", "url", "alt", "width", "height")
 
 
@@ -32,19 +37,17 @@ def _whole(c: Column) -> Column:
 def inventory(html: Column, page_url: Column) -> Column:
     """All images with an address, as structs of ``IMAGE_FIELDS`` in document order."""
     sources = F.transform(
-        M.image_tags(html),
-        lambda tag, i: F.struct(
-            i.alias("pos"),
-            tag.alias("tag"),
-            M.first_attribute(tag, ("src", "data-src", "data-lazy-src")).alias("src"),
+        F.transform(M.image_tags(html), M.attributes),
+        lambda read, i: F.struct(
+            i.alias("pos"), read.alias("read"), M.first_value(read, ("src", "data-src", "data-lazy-src")).alias("src")
         ),
     )
     image = lambda base, s: F.struct(
         s["pos"].alias("pos"),
         resolve_from(base, s["src"]).alias("url"),
-        strip(M.attribute(s["tag"], "alt")).alias("alt"),
-        _whole(M.attribute(s["tag"], "width")).alias("width"),
-        _whole(M.attribute(s["tag"], "height")).alias("height"),
+        strip(M.value_of(s["read"], "alt")).alias("alt"),
+        _whole(M.value_of(s["read"], "width")).alias("width"),
+        _whole(M.value_of(s["read"], "height")).alias("height"),
     )
     return let(
         base_parts(page_url),
@@ -134,7 +137,7 @@ def render_flag(pages: DataFrame) -> DataFrame:
 
 
 def prompt_rows(requests: DataFrame) -> DataFrame:
-    """Request text per (product, page); null where the page has nothing to classify.
+    """Request text per (product, page); where the page has nothing to classify a fixed ``answer`` instead.
 
     ``requests`` has product columns ``name, manufacturer_sku, default_code,
     effective_manufacturer, category_name`` and page columns ``page_url, images``.
@@ -158,4 +161,6 @@ def prompt_rows(requests: DataFrame) -> DataFrame:
         F.lit("PRODUCT CONTEXT:\n"), product, F.lit("\n\nPAGE URL: "), F.col("page_url"),
         F.lit("\n\nIMAGES ("), n.cast("string"), F.lit(" candidates):\n"), F.array_join(F.transform("images", line), "\n"),
     )
-    return requests.withColumn("n_images", n).withColumn("request_text", F.when(n > 0, text))
+    return requests.withColumn("n_images", n).withColumn("request_text", F.when(n > 0, text)).withColumn(
+        "answer", F.when(n == 0, F.lit(NO_IMAGES_ANSWER))
+    )

@@ -12,7 +12,7 @@ from shelfsight.functions.urls import netloc, resolve
 from shelfsight.operators.substrings import substring_hits
 from shelfsight.operators.topk import first_n
 from shelfsight.settings import DEFAULTS, Settings
-from shelfsight.sources.bodies import json_object_text
+from shelfsight.sources.bodies import json_object, json_object_text
 
 SALTS = 16
 BUILD_THRESHOLD = 5
@@ -189,17 +189,17 @@ def recipe_evidence(domains: DataFrame, candidates: DataFrame) -> DataFrame:
 def recipe_ingest(answers: DataFrame, built_at: Column | None = None) -> DataFrame:
     """Recipe columns from builder answers (``domain, text``); a recipe is built if it has any selector.
 
-    The answer's object is kept as ``raw_recipe_json``; ``last_built`` is
+    Answers that are not one object with double quotes are left out. The answer's object is kept as ``raw_recipe_json``; ``last_built`` is
     ``built_at``, by default the time of the query.
     """
     fields = ("main_image_selector", "gallery_image_selector", "image_url_attribute", "excluded_url_patterns", "notes")
-    schema = ", ".join(f"{f} STRING" for f in fields) + ", _corrupt_record STRING"
+    schema = ", ".join(f"{f}: STRING" for f in fields)
     named = with_once(answers.select("domain", "text"), "_object", json_object_text(F.col("text")))
-    raw = named.select("domain", "_object", F.from_json("_object", schema).alias("r"))
+    raw = with_once(named, "r", json_object(F.col("_object"), schema))
     built = F.current_timestamp() if built_at is None else built_at
     text = lambda f, default="": F.coalesce(F.nullif(F.col(f"r.{f}"), F.lit("")), F.lit(default)).alias(f)
     return (
-        raw.filter(F.col("r._corrupt_record").isNull())
+        raw.filter(F.col("r").isNotNull())
         .select(
             "domain", text("main_image_selector"), text("gallery_image_selector"), text("image_url_attribute", "src"),
             text("excluded_url_patterns"), text("notes"), F.col("_object").alias("raw_recipe_json"), built.alias("last_built"),

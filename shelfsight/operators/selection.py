@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.operators.products import image_count
+from shelfsight.session import materialized
 
 
 def _has_image() -> Column:
@@ -30,20 +32,28 @@ def single_image(products: DataFrame, gallery_images: DataFrame) -> DataFrame:
 
 
 def category_subtree(categories: DataFrame, roots: DataFrame) -> DataFrame:
-    """Ids of the given categories and all their descendants."""
-    spark = categories.sparkSession
-    return spark.sql(
-        """
-        with recursive tree(category_id) as (
-          select category_id from {roots}
-          union all
-          select c.category_id from {categories} c join tree t on c.parent_id = t.category_id
+    """Ids of the given categories and all their descendants.
+
+    Pointer doubling: every category points to an ancestor and knows whether a
+    root lies on the way there, itself included. A round replaces each pointer by
+    the pointer of its target, so depth d takes about log2(d) rounds. A pointer
+    ends at the top; in a cycle it never does, but once as many steps are covered
+    as there are categories, nothing new can be on the way.
+    """
+    wanted = roots.select(F.col("category_id").alias("_root")).distinct()
+    nodes = categories.select("category_id", F.col("parent_id").alias("up")).join(wanted, F.col("category_id") == F.col("_root"), "left")
+    nodes = materialized(nodes.select("category_id", "up", F.col("_root").isNotNull().alias("under")), "category-pointers")
+    rounds = math.ceil(math.log2(max(2, nodes.count()))) + 1
+    for _ in range(rounds):
+        if nodes.filter("not under and up is not null").isEmpty():
+            break
+        ahead = nodes.select(F.col("category_id").alias("_at"), F.col("up").alias("_up"), F.col("under").alias("_under"))
+        moved = nodes.join(ahead, F.col("up") == F.col("_at"), "left")
+        nodes = materialized(
+            moved.select("category_id", F.col("_up").alias("up"), (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")),
+            "category-pointers",
         )
-        select distinct category_id from tree
-        """,
-        categories=categories.select("category_id", "parent_id"),
-        roots=roots.select("category_id").join(categories.select("category_id"), "category_id", "left_semi").distinct(),
-    )
+    return nodes.filter("under").select("category_id").distinct()
 
 
 def by_category(products: DataFrame, categories: DataFrame, roots: DataFrame) -> DataFrame:

@@ -139,6 +139,7 @@ select page_id, url, case when page_id % 13 = 0 then 404 else 200 end as status,
               cast(page_id as string), '_b.png" width="120" height="90"><img src="thumb/', cast(page_id % 3 as string),
               '.svg">',
               case when page_id % 5 = 0 then '' else concat('<img src="https://cdn.example.com/logo.png" alt="logo"><img src="detail.jpg" width="auto">',
+              '<span data-html="<img src=''phantom.jpg''><p>x</p>" hidden></span><image src="no.jpg"></image>',
               '<img class="alt view" src=''../up/./', cast(page_id as string), '.webp?w=1&amp;h=2'' alt='' Side  view '' width=300 height=90>',
               '<img src="" data-src="" data-lazy-src="?img=', cast(page_id as string), '"><img src="/img/', cast(page_id as string), '_main.jpg" alt="again">') end,
               '</div>', case when page_id % 17 = 0 then 'Checking your browser' else '' end) as html

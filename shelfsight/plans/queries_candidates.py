@@ -71,7 +71,7 @@ def prompt_rows(t: Tables) -> DataFrame:
     names = t("categories").select("category_id", F.col("name").alias("category_name"))
     products = named_products(t).join(names, "category_id", "left")
     requests = products.join(pages, products["product_id"] == pages["page_id"])
-    return N.prompt_rows(requests).select("product_id", "page_url", "n_images", "request_text")
+    return N.prompt_rows(requests).select("product_id", "page_url", "n_images", "request_text", "answer")
 
 
 # ---- classification and candidates ----

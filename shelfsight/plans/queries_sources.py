@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
 from shelfsight.session import shared_folder
+from shelfsight.streaming.versions import VersionedTables
 from shelfsight.sources import bodies as B
 from shelfsight.sources import images as I
 from shelfsight.settings import TYPED_DEFAULTS
@@ -112,9 +113,18 @@ def sink_usage_log(t: Tables) -> DataFrame:
 
 @query
 def sink_product_updates(t: Tables) -> DataFrame:
-    updates = t.sql(
-        "select product_id, 'enriched' as enrichment_state, case when count(*) > 5 then true end as main_image_normalized "
-        "from candidates where state = 'applied' and role = 'main' group by product_id"
-    )
-    products = t("products").select("product_id", "name", "enrichment_state", "main_image_normalized")
-    return sinks.append(sinks.product_snapshot(products, updates), shared_folder(t.spark, "products"))
+    """Three batches of updates: states, names that are cleared, and late ones that lose; the second arrives twice."""
+    applied = "from candidates where state = 'applied' and role = 'main' group by product_id"
+    batches = [
+        "select product_id, 2 as version, case when count(*) > 5 then array('enrichment_state', 'main_image_normalized') else array('enrichment_state') end as columns, "
+        f"cast(null as string) as name, 'enriched' as enrichment_state, true as main_image_normalized {applied}",
+        "select product_id, 3 as version, array('name') as columns, cast(null as string) as name, 'lost' as enrichment_state, false as main_image_normalized "
+        "from products where product_id % 10 = 3",
+        "select product_id, 1 as version, array('name', 'enrichment_state') as columns, 'late' as name, 'late' as enrichment_state, false as main_image_normalized "
+        "from products where product_id % 4 = 1",
+    ]
+    store = VersionedTables(t.spark, shared_folder(t.spark, "products"), {"products": ["product_id"]})
+    store.create({"products": sinks.with_versions(t("products").select("product_id", "name", "enrichment_state", "main_image_normalized"))})
+    for number in (1, 2, 2, 3):
+        sinks.merge_updates(store, "products", t.sql(batches[number - 1]), number)
+    return store.current("products").drop("_versions")

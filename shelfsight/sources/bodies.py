@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsight.functions.binding import let, with_once
 from shelfsight.functions.text import strip, unescape_html
@@ -14,10 +19,25 @@ MAX_URLS_PER_SITEMAP = 50_000
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sitemap file; ``.gz`` files are inflated by the text reader."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("sitemap_url"), F.col("value").alias("body")
-    )
+    """One row per sitemap file; a file that begins like gzip is inflated, whatever its name.
+
+    One that cannot be inflated, or whose name ends in ``.gz`` without being gzip, has no body.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.input_file_name().alias("sitemap_url"), "content")
+    packed = F.hex(F.substring("content", 1, 2)) == "1F8B"
+    plain = F.when(~packed & ~F.col("sitemap_url").endswith(".gz"), F.decode("content", "UTF-8"))
+    return files.select("sitemap_url", F.coalesce(plain, _inflated(F.when(packed, F.col("content")))).alias("body"))
+
+
+@F.pandas_udf(T.StringType())
+def _inflated(content: pd.Series) -> pd.Series:
+    def inflate(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else gzip.decompress(data).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    return content.map(inflate)
 
 
 def _locations(body: Column, element: str) -> Column:
@@ -134,9 +154,9 @@ def search_dispatch(bodies: DataFrame) -> DataFrame:
 # ---- classifier answers ----
 
 _ANSWER = (
-    "page_is_correct_product STRING, product_match_confidence STRING, match_reasoning STRING, "
-    "images ARRAY<STRUCT<url: STRING, role: STRING, confidence: STRING, reasoning: STRING>>, "
-    "rejected ARRAY<STRUCT<url: STRING, reason: STRING>>, _corrupt_record STRING"
+    "page_is_correct_product: STRING, product_match_confidence: STRING, match_reasoning: STRING, "
+    "images: ARRAY<STRUCT<url: STRING, role: STRING, confidence: STRING, reasoning: STRING>>, "
+    "rejected: ARRAY<STRUCT<url: STRING, reason: STRING>>"
 )
 
 
@@ -161,17 +181,24 @@ def json_object_text(text: Column) -> Column:
     return let(let(strip(text), bounds), braced)
 
 
-def classification(text: Column) -> Column:
-    """Answer as a typed struct with ``parse_error``; numbers given as text are accepted.
+def json_object(picked: Column, fields: str) -> Column:
+    """One JSON object with double quotes as a struct; null if the text is anything else.
 
-    Quotes are double, and nothing follows the object.
+    The text is read as the inside of an array, which must then have exactly one
+    element: a second object or words behind the first do not go unnoticed.
     """
     options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    inside = F.concat(F.lit("["), F.when(picked.startswith("{") & picked.endswith("}"), picked), F.lit("]"))
+    read = F.from_json(inside, "ARRAY<STRUCT<" + fields + ">>", options)
+    return let(read, lambda all_of: F.when(F.size(all_of) == 1, F.get(all_of, F.lit(0))))
 
-    def read(picked: Column) -> Column:
-        return F.from_json(F.when(picked.endswith("}"), picked).otherwise(F.lit("{")), _ANSWER, options)
 
-    return let(let(json_object_text(text), read), lambda raw: _typed_answer(text, raw))
+def classification(text: Column) -> Column:
+    """Answer as a typed struct with ``parse_error``; numbers given as text are accepted.
+
+    Quotes are double, and nothing follows the object.
+    """
+    return let(let(json_object_text(text), lambda picked: json_object(picked, _ANSWER)), lambda raw: _typed_answer(text, raw))
 
 
 def _typed_answer(text: Column, raw: Column) -> Column:
@@ -186,7 +213,7 @@ def _typed_answer(text: Column, raw: Column) -> Column:
     )
     no_images = F.array().cast("ARRAY<STRUCT<url: STRING, role: STRING, confidence: DOUBLE, reasoning: STRING>>")
     return F.struct(
-        (text.isNull() | raw["_corrupt_record"].isNotNull()).alias("parse_error"),
+        raw.isNull().alias("parse_error"),
         F.coalesce(raw["page_is_correct_product"].isin("true", "1"), F.lit(False)).alias("page_is_correct_product"),
         F.coalesce(raw["product_match_confidence"].try_cast("double"), F.lit(0.0)).alias("product_match_confidence"),
         raw["match_reasoning"].alias("match_reasoning"),

@@ -134,13 +134,14 @@ def image_headers(blobs: DataFrame) -> DataFrame:
     webp = (head(1, 4) == "52494646") & (head(9, 4) == "57454250")
     found = F.when(png, _png(content)).when(jpeg, _jpeg(content)).when(gif, _gif(content)).when(webp, _webp(content))
     told = with_once(blobs, "_image", found)
+    both = F.col("_image.width").isNotNull() & F.col("_image.height").isNotNull()
     sized = (F.col("_image.width") > 0) & (F.col("_image.height") > 0)
     return told.select(
         "image_id",
         F.octet_length("content").cast("long").alias("n_bytes"),
         F.when(png, "png").when(jpeg, "jpeg").when(gif, "gif").when(webp, "webp").alias("format"),
-        F.col("_image.width").alias("width"),
-        F.col("_image.height").alias("height"),
+        F.when(both, F.col("_image.width")).alias("width"),
+        F.when(both, F.col("_image.height")).alias("height"),
         F.coalesce(F.col("_image.ok") & sized, F.lit(False)).alias("readable"),
     )
 

@@ -1,4 +1,4 @@
-"""Table sinks. Appends add files; updates write a new snapshot beside the old one."""
+"""Table sinks. Appends add files; updates are committed as the rows they change."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.operators.jobs import usage_cost
+from shelfsight.streaming.versions import VersionedTables
 
 
 def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,11 +44,37 @@ def usage_rows(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return usage_cost(filled, prices).withColumn("cost_usd", F.col("cost_usd").cast("decimal(12,6)"))
 
 
-def product_snapshot(products: DataFrame, updates: DataFrame, key: str = "product_id") -> DataFrame:
-    """Products with the non-null values of ``updates`` (one row per key) written over them."""
-    changed = [c for c in updates.columns if c != key]
-    renamed = updates.select(key, *[F.col(c).alias(f"_{c}") for c in changed])
-    joined = products.join(renamed, key, "left")
+def updated_rows(rows: DataFrame, updates: DataFrame, key: str = "product_id") -> DataFrame:
+    """The rows that ``updates`` touch, as they are afterwards.
+
+    An update has the key, a ``version``, ``columns`` (the names it sets, null
+    values included) and values for columns of ``rows``. Per column the update with
+    the highest version wins; of equal versions the greater value, null least.
+    ``rows`` keeps the version that set a column in ``_versions``, so an update that
+    is older than the row's value, or the same one again, changes nothing.
+    """
+    named = [c for c in updates.columns if c in rows.columns and c not in (key, "_versions")]
+    newest = lambda c: F.max(F.when(F.array_contains("columns", c), F.struct("version", F.col(c).alias("value"))))
+    latest = updates.groupBy(key).agg(*[newest(c).alias(f"_new_{c}") for c in named])
+    joined = rows.join(latest, key)
+    known = lambda c: F.element_at("_versions", F.lit(c))
+    newer = lambda c: F.coalesce(F.col(f"_new_{c}.version") > F.coalesce(known(c), F.lit(-1)), F.lit(False))
+    versions = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in named]), F.array(*[F.greatest(F.col(f"_new_{c}.version").cast("long"), known(c)) for c in named])
+    )
+    rest = F.map_filter("_versions", lambda c, _: ~c.isin(named))
     return joined.select(
-        *[F.coalesce(f"_{c}", c).alias(c) if c in changed else F.col(c) for c in products.columns]
+        *[F.when(newer(c), F.col(f"_new_{c}.value")).otherwise(F.col(c)).alias(c) if c in named else F.col(c) for c in rows.columns if c != "_versions"],
+        F.map_concat(F.map_filter(versions, lambda _, v: v.isNotNull()), rest).alias("_versions"),
     )
+
+
+def with_versions(rows: DataFrame) -> DataFrame:
+    """Rows that no update has touched yet."""
+    return rows.withColumn("_versions", F.expr("cast(map() as map<string, bigint>)"))
+
+
+def merge_updates(store: VersionedTables, table: str, updates: DataFrame, batch: int) -> None:
+    """Commit what ``updates`` change in a table of the store as one batch; a batch written again is the same."""
+    (key,) = store.keys[table]
+    store.commit(batch, {table: updated_rows(store.current(table, batch), updates, key)})

@@ -1,13 +1,23 @@
 """Edge rows: limits, guards and answers that samples rarely hold."""
 
+import gzip
+import struct
+import zlib
+
 from pyspark.sql import functions as F
 
+from shelfsight.functions import markup as M
 from shelfsight.functions.text import unescape_html
 from shelfsight.operators import discovery as D
 from shelfsight.operators import fetching as H
 from shelfsight.operators import jobs as J
+from shelfsight.operators import inventory as N
+from shelfsight.operators import recipes as R
+from shelfsight.operators import selection as S
 from shelfsight.sources import bodies as B
 from shelfsight.sources import images as I
+from shelfsight.sources import sinks
+from shelfsight.streaming.versions import VersionedTables
 
 
 def _store(rows):
@@ -90,3 +100,94 @@ def test_containment_keeps_repeats_and_payload(rows):
     needles = rows("host string, needle string", ("a", "abc"), ("a", "xx"), ("b", "zz"))
     got = sorted((r.host, r.t, r.n, r.needle) for r in substring_hits(texts, "t", needles, "needle", ["host"]).collect())
     assert got == [("a", "xx-abc-yy", 1, "abc")] * 2 + [("a", "xx-abc-yy", 1, "xx")] * 2
+
+
+def test_answers_are_one_object(rows):
+    good = ['{"page_is_correct_product": true}', 'Sure: {"notes": "x"}', 'a ```json {"notes": "}{"} ``` b', '{"notes": "it\'s"}', '[{"a":1}]x']
+    bad = [None, "", "none", "{", '{...} and {"a":1}', '{"a":1}{"x":2}', '{"a":1}, {"x":2}', '{"a":1} and more', "{'a': 1}", '{"a":1} {"b":2} end']
+    texts = rows("id int, text string", *enumerate([*good, *bad]))
+    got = {r.id: r.classification.parse_error for r in B.scan_answers(texts).collect()}
+    assert [i for i in sorted(got) if not got[i]] == list(range(len(good)))
+    kept = {r.domain for r in R.recipe_ingest(texts.select(F.col("id").cast("string").alias("domain"), "text")).collect()}
+    assert kept == {str(i) for i in range(len(good))}
+
+
+def test_category_trees_with_cycles_and_depth(rows):
+    chain = [(i, i - 1 if i else None) for i in range(1000)]
+    cycle = [(2001, 2002), (2002, 2003), (2003, 2001), (2004, 2002), (2005, 2005), (2006, 9999)]
+    tree = rows("category_id int, parent_id int", *chain, *cycle)
+    under = lambda *roots: sorted(r.category_id for r in S.category_subtree(tree, rows("category_id int", *[(x,) for x in roots])).collect())
+    assert under(990, 995, 990) == list(range(990, 1000))
+    assert under(2003) == [2001, 2002, 2003, 2004]
+    assert under(2005, 2006, 7777) == [2005, 2006] and under() == []
+
+
+def test_updates_clear_columns_and_repeat(spark, rows, tmp_path):
+    store = VersionedTables(spark, str(tmp_path), {"p": ["id"]})
+    store.create({"p": sinks.with_versions(rows("id int, a string, b int", (1, "x", 1), (2, "y", 2), (3, None, 3)))})
+    make = lambda *data: rows("id int, version long, columns array<string>, a string, b int", *data)
+    read = lambda: {r.id: (r.a, r.b) for r in store.current("p").collect()}
+    first = make((1, 5, ["a"], None, 9), (2, 5, ["a", "b"], "n", 7), (2, 6, ["b"], "no", None), (4, 5, ["a"], "q", 1))
+    for _ in range(2):
+        sinks.merge_updates(store, "p", first, 1)
+        assert read() == {1: (None, 1), 2: ("n", None), 3: (None, 3)}
+    sinks.merge_updates(store, "p", make((1, 4, ["a", "b"], "old", 8), (2, 6, ["b"], "", None)), 2)
+    assert read() == {1: (None, 8), 2: ("n", None), 3: (None, 3)}
+
+
+def test_sitemap_files_are_inflated_by_content(spark, tmp_path):
+    body = "<urlset><url><loc>http://x/é</loc></url></urlset>"
+    for name, data in {"a.xml": gzip.compress(body.encode()), "b.xml.gz": gzip.compress(body.encode()), "c.xml": body.encode(),
+                       "d.xml.gz": body.encode(), "e.xml": gzip.compress(body.encode())[:20]}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.sitemap_url[-8:].lstrip("/"): r.body for r in B.read_sitemap_files(spark, str(tmp_path)).collect()}
+    assert [got[next(k for k in got if n in k)] for n in ("a.xml", "b.xml", "c.xml", "d.xml", "e.xml")] == [body, body, body, None, None]
+
+
+def _png(w, h, *, end=True):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)), *[chunk(b"IDAT", b"IEND" * 9)] * 40, chunk(b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(parts if end else parts[:-1])
+
+
+def _jpeg(w, h, segments=0, frame=0xC2):
+    out = b"\xff\xd8"
+    for _ in range(segments):
+        out += b"\xff\xe2" + struct.pack(">H", 9) + b"\xff\xc0\x00\x11\x08\x00\x01"
+    return out + b"\xff\xff\xff" + bytes([frame]) + struct.pack(">HBHHB", 8, 8, h, w, 3) + b"\xff\xda\x00\x02"
+
+
+def test_image_sizes_of_all_formats(rows):
+    riff = lambda kind, data: b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBP" + kind + struct.pack("<I", len(data)) + data
+    cases = [
+        (_png(70000, 3), "png", 70000, 3, True), (_png(5, 6, end=False), "png", 5, 6, False), (_png(5, 6)[:20], "png", None, None, False),
+        (_jpeg(640, 480), "jpeg", 640, 480, True), (_jpeg(300, 65535, 3000, 0xC0), "jpeg", 300, 65535, True), (_jpeg(9, 9, 2, 0xC4), "jpeg", None, None, False),
+        (_jpeg(640, 480, 5)[:40], "jpeg", None, None, False), (_jpeg(0, 480), "jpeg", 0, 480, False),
+        (b"GIF89a" + struct.pack("<HHBBB", 258, 3, 0, 0, 0) + b";", "gif", 258, 3, True), (b"GIF87a\x01", "gif", None, None, False),
+        (riff(b"VP8X", b"\0\0\0\0" + (999).to_bytes(3, "little") + (70000).to_bytes(3, "little")), "webp", 1000, 70001, True),
+        (riff(b"VP8L", b"\x2f" + struct.pack("<I", (99) | (1999 << 14) | (1 << 28))), "webp", 100, 2000, True),
+        (riff(b"VP8 ", b"\x30\x01\x00\x9d\x01\x2a" + struct.pack("<HH", 400 | 0x4000, 300)), "webp", 400, 300, True),
+        (riff(b"VP8X", b"\0" * 10)[:-1], "webp", None, None, False), (riff(b"ABCD", b"\0" * 10), "webp", None, None, False),
+        (b"plain text", None, None, None, False), (b"", None, None, None, False), (None, None, None, None, False),
+    ]
+    blobs = rows("image_id int, content binary", *[(i, c[0]) for i, c in enumerate(cases)])
+    got = {r.image_id: (r.format, r.width, r.height, r.readable) for r in I.image_headers(blobs).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+
+
+def test_tags_inside_attribute_values_are_no_images(rows):
+    html = """<p title="a > b"><IMG src=a.jpg alt='x > y' width=3><div data-html="<img src='no.jpg'>"><imgx src=no><img/src="b.jpg" SRC="c.jpg"
+      data-src='d.jpg'></div><img alt src="" data-src="e&amp;f.jpg"/><img"""
+    page = rows("page_id int, url string, html string", (1, "http://h/x/", html), (2, "http://h/", None), (3, "http://h/", ""))
+    got = [(r.url, r.alt, r.width) for r in N.img_inventory(page, "page_id").collect()]
+    assert got == [("http://h/x/a.jpg", "x > y", 3), ("http://h/x/b.jpg", "", 0), ("http://h/x/e&f.jpg", "", 0)]
+    assert page.select(F.size(M.image_tags(F.col("html"))).alias("n")).first()["n"] == 3
+    listed = N.with_images(page.filter("page_id = 1")).first()["images"]
+    assert [i["pos"] for i in listed] == [0, 1, 2]
+
+
+def test_pages_without_images_have_an_answer(rows):
+    asked = rows("name string, manufacturer_sku string, default_code string, effective_manufacturer string, category_name string, page_url string, "
+                 "images array<struct<url: string, alt: string, width: int, height: int, context: string>>", ("n", None, "c", "m", None, "u", []))
+    row = B.scan_answers(N.prompt_rows(asked).withColumnRenamed("answer", "text")).first()
+    assert row.request_text is None and not row.classification.parse_error and not row.classification.page_is_correct_product

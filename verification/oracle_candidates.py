@@ -11,9 +11,11 @@ def attr(name: str) -> str:
     return f"""regexp_extract(tag, ' {name}=["'']([^"'']*)["'']', 1)"""
 
 
+TAG = """'<(?:[^>"'']|"[^"]*"|''[^'']*'')*>'"""
+
 INV = f"""tags as (
   select page_id, url as page_url, {BASE}, unnest(range(len(ts))) as pos, unnest(ts) as tag
-  from (select page_id, url, regexp_extract_all(html, '<img[^>]*>') as ts from crawl_pages)
+  from (select page_id, url, list_filter(regexp_extract_all(html, {TAG}), lambda x: x like '<img %') as ts from crawl_pages)
 ), srcs as (
   select *, replace(case when {attr('src')} <> '' then {attr('src')} when {attr('data-src')} <> '' then {attr('data-src')} else {attr('data-lazy-src')} end, '&amp;', '&') as src from tags
 ), inv as (
@@ -34,7 +36,7 @@ INV = f"""tags as (
 CONTEXT = """body as (
   select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g') as h from crawl_pages
 ), ctx as (
-  select page_id, left(array_to_string(list_filter(list_transform(regexp_split_to_array(substr(h, strpos(h, '<body>') + 6), '<[^>]*>'),
+  select page_id, left(array_to_string(list_filter(list_transform(regexp_split_to_array(substr(h, strpos(h, '<body>') + 6), '<(?:[^>"'']|"[^"]*"|''[^'']*'')*>'),
      lambda s: trim(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), e' \\n\\r\\t')), lambda s: s <> ''), ' '), 300) as context from body
 )"""
 RAW = """raw as (select *, nullif(regexp_extract(text, '(?s)\\{.*\\}'), '') as o from llm_responses),
@@ -129,14 +131,16 @@ every as (select * from narrow union all select * from wide)
 select page_id, pos, url from (select *, row_number() over (partition by page_id order by pos) as rn from every) where rn <= 60""",
     "img_context": f"with {INV}, {CONTEXT} select g.page_id, g.pos, g.url, c.context from good g join ctx c on c.page_id = g.page_id",
     "render_flag": """
-select page_id, cast(len(regexp_extract_all(html, '<img[^>]*>')) as int) as n_img, len(regexp_extract_all(html, '<img[^>]*>')) < 5 as needs_render from crawl_pages""",
+select page_id, cast(n as int) as n_img, n < 5 as needs_render
+from (select page_id, len(list_filter(regexp_extract_all(html, '<(?:[^>"'']|"[^"]*"|''[^'']*'')*>'), lambda x: x like '<img %')) as n from crawl_pages)""",
     "prompt_rows": f"""
 with {INV}, {CONTEXT}, {NAMED}, lines as (
   select g.page_id, any_value(g.page_url) as page_url, count(*) as n, string_agg(concat('- url=', url, ' | alt="', left(alt, 100), '" | w=', cast(width as string), ' h=', cast(height as string), ' | context="', left(c.context, 160), '"'), chr(10) order by pos) as body
   from good g join ctx c on c.page_id = g.page_id group by g.page_id)
-select m.product_id, l.page_url, cast(l.n as int) as n_images, concat('PRODUCT CONTEXT:', chr(10), 'name: ', p.name, chr(10), 'sku: ', case when coalesce(p.manufacturer_sku, '') <> '' then p.manufacturer_sku else p.default_code end, chr(10),
-  'manufacturer: ', m.maker, case when c.name is null then '' else concat(chr(10), 'category: ', c.name) end, chr(10), chr(10), 'PAGE URL: ', l.page_url, chr(10), chr(10), 'IMAGES (', cast(l.n as string), ' candidates):', chr(10), l.body) as request_text
-from makers m join products p on p.product_id = m.product_id join lines l on l.page_id = m.product_id left join categories c on c.category_id = p.category_id""",
+select m.product_id, f.url as page_url, cast(coalesce(l.n, 0) as int) as n_images, case when l.n > 0 then concat('PRODUCT CONTEXT:', chr(10), 'name: ', p.name, chr(10), 'sku: ', case when coalesce(p.manufacturer_sku, '') <> '' then p.manufacturer_sku else p.default_code end, chr(10),
+  'manufacturer: ', m.maker, case when c.name is null then '' else concat(chr(10), 'category: ', c.name) end, chr(10), chr(10), 'PAGE URL: ', l.page_url, chr(10), chr(10), 'IMAGES (', cast(l.n as string), ' candidates):', chr(10), l.body) end as request_text,
+  case when l.n is null then '{{"page_is_correct_product": false, "product_match_confidence": 0.0, "match_reasoning": "page has no images", "images": [], "rejected": []}}' end as answer
+from makers m join products p on p.product_id = m.product_id join crawl_pages f on f.page_id = m.product_id left join lines l on l.page_id = m.product_id left join categories c on c.category_id = p.category_id""",
     "classification_gate": f"with {RAW} select response_id, product_id, page_pos from ans where ok and mc >= 0.5e0",
     "choose_page": f"""with {CHOSEN}
 select c.product_id, c.page_pos, c.page_url, match_confidence, via_recipe,

@@ -86,7 +86,8 @@ select usage_id, u.model, input_tokens, output_tokens, operation,
 from u left join price_table p on p.model = u.model""",
     "sink_product_updates": """
 with n as (select product_id, count(*) as k from candidates where state = 'applied' and role = 'main' group by product_id)
-select p.product_id, p.name, case when n.k is not null then 'enriched' else p.enrichment_state end as enrichment_state,
+select p.product_id, case when p.product_id % 10 = 3 then null when p.product_id % 4 = 1 then 'late' else p.name end as name,
+  case when n.k is not null then 'enriched' when p.product_id % 4 = 1 then 'late' else p.enrichment_state end as enrichment_state,
   case when n.k > 5 then true else p.main_image_normalized end as main_image_normalized
 from products p left join n on n.product_id = p.product_id""",
 }
