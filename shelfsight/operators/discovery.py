@@ -9,6 +9,7 @@ from shelfsight.functions import urls as U
 from shelfsight.functions.text import contains_any, erase_separators, filled, strip
 from shelfsight.operators.substrings import substring_hits
 from shelfsight.operators.topk import first_n
+from shelfsight.session import materialized
 from shelfsight.sources.bodies import MAX_URLS_PER_SITEMAP
 
 # fixed values: shops and social sites whose pages are never taken
@@ -105,39 +106,38 @@ def sitemap_nodes(
     sitemaps in that order. One with that many known predecessors can never be
     read, so children per index and sitemaps per root are cut to that number
     after every step; this bounds the child arrays and the list of a root below.
-    The walk is one chain of ``max_depth`` equi-joins in which each row emits
-    itself and, on its first step, its children. An index starts its next child
+    The walk goes breadth first over a table keyed by root: a round joins the
+    sitemaps reached last with their children and keeps, per root, the first ones
+    in document order; it is written, and the walk ends when a round reaches
+    nothing. Roots that the store does not hold are never walked. An index starts its next child
     only while its earlier children gave fewer than ``max_urls`` addresses; every
     index counts for itself. ``max_urls`` None is no limit.
     """
-    children = (
-        first_n(
-            store.filter(F.col("kind") == "index").groupBy("sitemap_url", "loc").agg(F.min("pos").alias("pos")),
-            ["sitemap_url"], ["pos", "loc"], max_visited,
-        )
-        .groupBy(F.col("sitemap_url").alias("node"))
-        .agg(F.collect_list(F.struct("pos", "loc")).alias("_children"))
+    index = store.filter(F.col("kind") == "index")
+    children = materialized(
+        first_n(index.groupBy("sitemap_url", "loc").agg(F.min("pos").alias("pos")), ["sitemap_url"], ["pos", "loc"], max_visited)
+        .select(F.col("sitemap_url").alias("node"), "pos", "loc"),
+        "sitemap-children",
     )
-    walk = roots.select(F.col("sitemap_url").alias("root")).distinct().select(
-        "root", F.col("root").alias("node"), F.struct(F.lit("").alias("doc_path"), F.lit(0).alias("depth")).alias("at")
+    held = roots.select("sitemap_url").distinct().join(store.select("sitemap_url"), "sitemap_url", "left_semi")
+    walk = materialized(
+        held.select(
+            F.col("sitemap_url").alias("root"), F.col("sitemap_url").alias("node"),
+            F.struct(F.lit("").alias("doc_path"), F.lit(0).alias("depth")).alias("at"),
+        ),
+        "sitemap-walk",
     )
     for step in range(max_depth):
-        itself = F.array(F.struct(F.col("node"), F.col("at")))
-        below = F.transform(
-            "_children",
-            lambda c: F.struct(
-                c["loc"].alias("node"),
-                F.struct(
-                    F.concat(
-                        F.col("at.doc_path"), F.lpad(c["pos"].cast("string"), 8, "0"), F.lit(" "), c["loc"], F.lit("/")
-                    ).alias("doc_path"),
-                    F.lit(step + 1).alias("depth"),
-                ).alias("at"),
-            ),
+        last = walk.filter(F.col("at.depth") == step)
+        if step and last.isEmpty():
+            break
+        path = F.concat(F.col("at.doc_path"), F.lpad(F.col("pos").cast("string"), 8, "0"), F.lit(" "), F.col("loc"), F.lit("/"))
+        reached = last.join(children, "node").select(
+            "root", F.col("loc").alias("node"), F.struct(path.alias("doc_path"), F.lit(step + 1).alias("depth")).alias("at")
         )
-        grown = F.when((F.col("at.depth") == step) & F.col("_children").isNotNull(), F.concat(itself, below)).otherwise(itself)
-        emitted = walk.join(children, "node", "left").select("root", F.inline(grown))
-        walk = first_n(emitted.groupBy("root", "node").agg(F.min("at").alias("at")), ["root"], ["at"], max_visited)
+        # both the grouping and the limit find their rows together by root
+        merged = walk.unionByName(reached).repartition("root").groupBy("root", "node").agg(F.min("at").alias("at"))
+        walk = materialized(first_n(merged, ["root"], ["at"], max_visited), "sitemap-walk")
     sizes = _pages(store, max_urls).groupBy(F.col("sitemap_url").alias("node")).agg(F.count("*").alias("_n"))
     sized = walk.join(sizes, "node", "left").select(
         "root", F.struct("at.doc_path", "at.depth", "node", F.coalesce("_n", F.lit(0)).alias("n")).alias("s")
