@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfsight.functions import urls as U
 from shelfsight.functions.text import contains_any
-from shelfsight.operators.topk import with_blocks
+from shelfsight.session import materialized
 from shelfsight.settings import DEFAULTS
 
 # fixed values: texts that mark a challenge page
@@ -83,42 +87,56 @@ def robots_gate(requests: DataFrame, rules: DataFrame, user_agent: str = DEFAULT
     return requests.join(verdicts, "url", "left").withColumn("allowed", F.coalesce("_verdict", F.lit(True))).drop("_verdict")
 
 
+def _paced(batches: Iterator[pd.DataFrame], d: float) -> Iterator[pd.DataFrame]:
+    """Number ``k`` of each request within its host and running maximum ``m`` of arrival - d*k, over a sorted partition."""
+    host = count = top = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        run = (batch["host"] != batch["host"].shift()) & ~(batch["host"].isna() & batch["host"].shift().isna())
+        run.iloc[0] = True
+        run = run.cumsum()
+        first = run == 1
+        goes_on = host is not None and (batch["host"].iloc[0] == host[0] or (pd.isna(batch["host"].iloc[0]) and pd.isna(host[0])))
+        k = batch.groupby(run).cumcount() + (first * count if goes_on else 0)
+        m = (batch["arrival_s"] - k * d).groupby(run).cummax().groupby(run).ffill()
+        if goes_on and not pd.isna(top):
+            m = m.where(~first, m.fillna(top).clip(lower=top))
+        host, count, top = [batch["host"].iloc[-1]], int(k.iloc[-1]) + 1, m.iloc[-1]
+        yield batch.assign(k=k.astype("int64"), m=m.astype("float64"))
+
+
 def politeness_schedule(requests: DataFrame, delay_seconds: float | None = DEFAULTS.request_delay_seconds) -> DataFrame:
     """Start time of each request, at least ``delay`` after the previous one on its host.
 
     The recurrence start_i = max(arrival_i, start_(i-1) + d) unrolls to
-    d*i + max over j <= i of (arrival_j - d*j), a running maximum. A host with a
-    large share of all requests is cut into blocks of (arrival, id); positions
-    and maxima of earlier blocks come from a small per-block summary that only
-    heavy hosts have.
+    d*i + max over j <= i of (arrival_j - d*j), a running maximum. It is a prefix
+    scan over ranges of (host, arrival, id): every partition runs over its own
+    rows, and the hosts that go on from an earlier partition, at most one each,
+    get its count and maximum carried over. A host of any size is cut by its
+    arrivals and ids, so no task depends on how requests spread over hosts.
     """
     d = float(delay_seconds or 2.0)
-    blocks = with_blocks(requests, ["host"], ["arrival_s", "request_id"])
-    order = Window.partitionBy("host", "block").orderBy("arrival_s", "request_id")
-    local = blocks.withColumn("_k", F.row_number().over(order) - 1).withColumn(
-        "_m", F.max(F.col("arrival_s") - F.col("_k") * F.lit(d)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    summary = blocks_summary(local, d)
-    shifted = local.join(F.broadcast(summary), ["host", "block"], "left").withColumn(
-        "_off", F.coalesce("_off", F.lit(0))
-    )
-    i = F.col("_off") + F.col("_k")
-    peak = F.greatest(F.col("_m") - F.col("_off") * F.lit(d), F.col("_peak"))
-    return shifted.select(
-        "request_id", "host", "arrival_s", i.cast("long").alias("seq"), (peak + i * F.lit(d)).alias("start_s")
-    )
-
-
-def blocks_summary(local: DataFrame, d: float) -> DataFrame:
-    """Rows and maximum before each block after the first; some 256 blocks per heavy host."""
-    totals = local.groupBy("host", "block").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"))
-    before = Window.partitionBy("host").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (
-        offsets.withColumn("_peak", F.max(F.col("_top") - F.col("_off") * F.lit(d)).over(before))
-        .filter("block > 0")
-        .select("host", "block", "_off", "_peak")
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "arrival_s", "request_id"]
+    dealt = requests.select(*order).withColumn("arrival_s", F.col("arrival_s").cast("double"))
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*dealt.schema.fields, T.StructField("k", T.LongType()), T.StructField("m", T.DoubleType())])
+    local = materialized(dealt.mapInPandas(lambda batches: _paced(batches, d), schema), "paced-requests")
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("host", "part").agg((F.max("k") + 1).alias("_n"), F.max("m").alias("_top"))
+    carried = (
+        totals.withColumn("_off", F.sum("_n").over(before))
+        .withColumn("_peak", F.max(F.col("_top") - F.coalesce("_off", F.lit(0)) * F.lit(d)).over(before))
+        .filter(F.col("_off").isNotNull())
+        .select(F.col("host").alias("_host"), F.col("part").alias("_part"), "_off", "_peak")
     )
+    # one row per partition at most
+    shifted = local.join(F.broadcast(carried), (F.col("part") == F.col("_part")) & F.col("host").eqNullSafe(F.col("_host")), "left")
+    off = F.coalesce("_off", F.lit(0))
+    i = off + F.col("k")
+    peak = F.greatest(F.col("m") - off * F.lit(d), F.col("_peak"))
+    return shifted.select("request_id", "host", "arrival_s", i.cast("long").alias("seq"), (peak + i * F.lit(d)).alias("start_s"))
 
 
 def page_gate(pages: DataFrame) -> DataFrame:

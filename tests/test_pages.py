@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.functions import markup as M
@@ -108,3 +111,23 @@ def test_robots_first_match_and_agent(rows):
     got = lambda ua: {r.url: r.allowed for r in G.robots_gate(urls, rules, ua).collect()}
     assert got("ImageBot/2") == {"http://a/x/1": True, "http://b/": False, "http://c/1": True, "http://d/1": True}
     assert got("Else/1") == {"http://a/x/1": False, "http://b/": True, "http://c/1": True, "http://d/1": True}
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_pacing_carries_over_range_borders(spark, rows, parts):
+    """One host holds most requests, many arrive at once, and some have no host."""
+    rng = random.Random(8)
+    data = [(i, "hot" if i % 4 else rng.choice(["a", "b", None, "z"]), float(rng.choice([0, 0, 5, rng.random() * 300]))) for i in range(900)]
+    df = rows("request_id long, host string, arrival_s double, part string", *[(*d, "clash") for d in data])
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.request_id: (r.seq, round(r.start_s, 6)) for r in G.politeness_schedule(df, 1.5).collect()}
+        assert G.politeness_schedule(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, last = {}, {}
+    for i, host, at in sorted(data, key=lambda r: (r[1] or "", r[2], r[0])):
+        seq, start = last.get(host, (-1, None))
+        start = at if start is None else max(at, start + 1.5)
+        want[i], last[host] = (seq + 1, round(start, 6)), (seq + 1, start)
+    assert got == want
