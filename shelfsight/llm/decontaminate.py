@@ -4,7 +4,9 @@ A seed looks at some places of a window of words and ignores the others. With
 ``k`` substitutions allowed in a window its places are dealt to ``k + 2`` groups,
 and every pair of groups makes a mask: whichever k words differ, one mask sees
 none of them. Hashes of all masked windows of the benchmark are joined with those
-of all training windows; around every hit the whole windows are compared.
+of all training windows; around every hit the whole windows are compared. Equal
+windows, of a text or of the benchmark, are one entry each, whose places are spread
+back afterwards.
 
 The benchmark is the small side and goes to the tasks in blocks of a fixed
 number of words, one pass over the documents per block.
@@ -13,6 +15,7 @@ number of words, one pass over the documents per block.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -51,13 +54,53 @@ def _hash(words: np.ndarray, mask: list[int], count: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _classes(words: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first start of every distinct window, and which of these each start is equal to. Equality is checked, not hashed only."""
+    full = np.zeros(len(starts), np.uint64)
+    for j in range(span):
+        full += words[starts + j] * _FACTORS[j]
+    _, first, of = np.unique(full, return_index=True, return_inverse=True)
+    if any((words[starts + j] != words[starts[first[of]] + j]).any() for j in range(span)):
+        _, first, of = np.unique(words[starts[:, None] + np.arange(span)], axis=0, return_index=True, return_inverse=True)
+    return starts[first], of.reshape(-1)
+
+
+@dataclass
+class Windows:
+    """Starts of windows, grouped by (distinct window, owner)."""
+
+    starts: np.ndarray
+    begin: np.ndarray
+    kind: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def grouped(cls, starts: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> Windows:
+        order = np.lexsort((starts, owner, kind))
+        starts, kind, owner = starts[order], kind[order], owner[order]
+        new = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1]))) if len(starts) else np.zeros(0, np.int64)
+        return cls(starts, np.append(new, len(starts)), kind[new], owner[new])
+
+    def of_kinds(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of each of ``kinds``: places in ``kinds`` and group numbers."""
+        lo = np.searchsorted(self.kind, kinds, side="left")
+        n = np.searchsorted(self.kind, kinds, side="right") - lo
+        return np.repeat(np.arange(len(kinds)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def places(self, groups: np.ndarray) -> np.ndarray:
+        """All starts of some groups."""
+        return np.concatenate([self.starts[self.begin[g]: self.begin[g + 1]] for g in groups.tolist()])
+
+
 @dataclass
 class SeedTable:
-    """One span: per mask sorted hashes, with item and place of each, and a bit table in front."""
+    """One span: the distinct windows of the benchmark; per mask their sorted hashes with a bit table in front."""
 
     span: int
     least: int
     masks: list[list[int]]
+    first: np.ndarray
+    windows: Windows
     hashes: list[np.ndarray]
     owners: list[np.ndarray]
     bits: list[np.ndarray]
@@ -83,44 +126,71 @@ class BenchmarkIndex:
         for span in sorted({min(window, int(n)) for n in lengths if n >= shortest}):
             fits = [i for i, n in enumerate(lengths) if n >= shortest and min(window, n) == span]
             starts = np.concatenate([self.begin[i] + np.arange(lengths[i] - span + 1) for i in fits])
+            first, kind = _classes(self.flat, starts, span)
+            grouped = Windows.grouped(starts, kind, np.searchsorted(self.begin, starts, side="right") - 1)
             least = math.ceil(share * span - 1e-9)
-            table = SeedTable(span, least, masks(span, span - least), [], [], [])
+            table = SeedTable(span, least, masks(span, span - least), first, grouped, [], [], [])
             for mask in table.masks:
-                hashes = _hash(self.flat, mask, len(self.flat) - span + 1)[starts]
+                hashes = _hash(self.flat, mask, len(self.flat) - span + 1)[first]
                 order = np.argsort(hashes, kind="stable")
                 table.hashes.append(hashes[order])
-                table.owners.append(starts[order])
+                table.owners.append(order)
                 bits = np.zeros(1 << self.BITS, bool)
                 bits[hashes >> np.uint64(64 - self.BITS)] = True
                 table.bits.append(bits)
             self.tables.append(table)
 
-    def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start in words, start in flat, span, equal words) of every window pair with enough equal words."""
-        found = []
+    def _pairs(self, table: SeedTable, words: np.ndarray, first: np.ndarray, made: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(distinct window of the texts, of the benchmark, equal words) wherever enough words are equal."""
+        pairs = []
+        for hashes, owners, bits, every in zip(table.hashes, table.owners, table.bits, made, strict=True):
+            own = every[first]
+            at = np.flatnonzero(bits[own >> np.uint64(64 - self.BITS)])
+            lo = np.searchsorted(hashes, own[at], side="left")
+            n = np.searchsorted(hashes, own[at], side="right") - lo
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append(np.stack([np.repeat(at, n), owners[place]], axis=1))
+        hits = np.unique(np.concatenate(pairs), axis=0)
+        same = np.zeros(len(hits), np.int64)
+        for i in range(0, len(hits), 100_000):
+            part = hits[i: i + 100_000]
+            for k in range(table.span):
+                same[i: i + 100_000] += words[first[part[:, 0]] + k] == self.flat[table.first[part[:, 1]] + k]
+        good = same >= table.least
+        return hits[good, 0], hits[good, 1], same[good]
+
+    def matches(self, words: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, int]]:
+        """(text, item, span, starts in ``words``, starts in ``flat``, most equal words) of every text and item that overlap.
+
+        Equal windows are compared once, on either side, and their starts are listed
+        once per text and item, so the work grows with the texts and not with how
+        often they or an item repeat a window.
+        """
         for table in self.tables:
-            count = len(words) - table.span + 1
-            if count <= 0:
+            counts = np.maximum(lengths - table.span + 1, 0)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            if not len(starts):
+                continue
+            made = [_hash(words, mask, len(words) - table.span + 1) for mask in table.masks]
+            seen = np.zeros(len(starts), bool)
+            for bits, every in zip(table.bits, made, strict=True):
+                seen |= bits[every[starts] >> np.uint64(64 - self.BITS)]
+            starts, owner = starts[seen], owner[seen]
+            if not len(starts):
                 continue
-            pairs = []
-            for mask, hashes, owners, bits in zip(table.masks, table.hashes, table.owners, table.bits, strict=True):
-                made = _hash(words, mask, count)
-                at = np.flatnonzero(bits[made >> np.uint64(64 - self.BITS)])
-                lo = np.searchsorted(hashes, made[at], side="left")
-                n = np.searchsorted(hashes, made[at], side="right") - lo
-                at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-                place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pairs.append(np.stack([np.repeat(at, n), owners[place]], axis=1))
-            hits = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            for i in range(0, len(hits), 100_000):
-                part = hits[i: i + 100_000]
-                same = np.zeros(len(part), np.int64)
-                for k in range(table.span):
-                    same += words[part[:, 0] + k] == self.flat[part[:, 1] + k]
-                good = part[same >= table.least]
-                found.append((good[:, 0], good[:, 1], np.full(len(good), table.span), same[same >= table.least]))
-        empty = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty,) * 4
+            first, kind = _classes(words, starts, table.span)
+            left, right, same = self._pairs(table, words, first, made)
+            grouped = Windows.grouped(starts, kind, owner)
+            pair, text_group = grouped.of_kinds(left)
+            again, item_group = table.windows.of_kinds(right[pair])
+            text_group, same = text_group[again], same[pair][again]
+            doc, item = grouped.owner[text_group], table.windows.owner[item_group]
+            order = np.lexsort((item, doc))
+            cuts = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0)) + 1
+            for rows in np.split(order, cuts) if len(order) else []:
+                yield (int(doc[rows[0]]), int(item[rows[0]]), table.span, grouped.places(np.unique(text_group[rows])),
+                       table.windows.places(np.unique(item_group[rows])), int(same[rows].max()))
 
 
 class _Coder(dict):
@@ -150,24 +220,15 @@ def _overlaps(index: BenchmarkIndex, coder: _Coder, texts: list[str | None]) ->
     flat = np.zeros(int((lengths + gap).sum()), np.uint64)
     for b, x in zip(begin.tolist(), coded, strict=True):
         flat[b: b + len(x)] = x
-    at, place, span, same = index.windows(flat)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    inside = at + span <= begin[doc] + lengths[doc]
-    at, place, span, same, doc = at[inside], place[inside], span[inside], same[inside], doc[inside]
-    item = np.searchsorted(index.begin, place, side="right") - 1
     out: list[list[dict]] = [[] for _ in texts]
-    order = np.lexsort((at, item, doc))
-    cuts = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0)) + 1 if len(order) else []
-    for rows in np.split(order, cuts) if len(order) else []:
-        d, i, width = int(doc[rows[0]]), int(item[rows[0]]), int(span[rows[0]])
-        own, theirs = at[rows] - begin[d], place[rows] - index.begin[i]
-        covered = np.unique(own[:, None] + np.arange(width))
-        asked = np.unique(theirs[:, None] + np.arange(width))
+    for d, i, width, at, place, same in index.matches(flat, begin, lengths):
+        own, theirs = at - begin[d], place - index.begin[i]
+        covered, asked = (len(np.unique(x[:, None] + np.arange(width))) for x in (own, theirs))
         out[d].append({
-            "item": i, "words": len(covered), "start": int(own.min()), "end": int(own.max()) + width,
-            "item_words": len(asked), "item_share": len(asked) / int(index.lengths[i]), "best": float((same[rows] / width).max()),
+            "item": i, "words": covered, "start": int(own.min()), "end": int(own.max()) + width,
+            "item_words": asked, "item_share": asked / int(index.lengths[i]), "best": same / width,
         })
-    return out
+    return [sorted(found, key=lambda x: x["item"]) for found in out]
 
 
 FIELDS = "words int, start int, end int, item_words int, item_share double, best double"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfsight.llm import simhash, suffix_dedup
-from shelfsight.llm.decontaminate import decontaminate, find_overlaps, masks
+from shelfsight.llm.decontaminate import BenchmarkIndex, _Coder, _overlaps, decontaminate, find_overlaps, masks
 from shelfsight.llm.simhash import components, golay_keys, keep_one_of_each, links, near_duplicates
 
 
@@ -252,3 +253,49 @@ def test_repeats_in_a_text_of_several_blocks(rows):
 def test_cover_has_every_difference_once():
     found = Counter((a - b) % suffix_dedup.MODULUS for a in suffix_dedup.COVER for b in suffix_dedup.COVER if a != b)
     assert found == Counter(range(1, suffix_dedup.MODULUS))
+
+
+def _overlaps_by_loops(text, items, window=12, share=0.8, shortest=8):
+    """item: (words, start, end, item_words, item_share, best), every window with every window."""
+    plain = lambda x: [w for w in ("".join(c for c in t if c.isalnum()) for t in (x or "").lower().split()) if w]
+    words, out = plain(text), {}
+    for item, body in items:
+        asked = plain(body)
+        span = min(window, len(asked))
+        if len(asked) < shortest:
+            continue
+        own, theirs, best = set(), set(), 0.0
+        for a in range(len(words) - span + 1):
+            for b in range(len(asked) - span + 1):
+                same = sum(x == y for x, y in zip(words[a: a + span], asked[b: b + span], strict=True))
+                if same >= share * span - 1e-9:
+                    own |= set(range(a, a + span))
+                    theirs |= set(range(b, b + span))
+                    best = max(best, same / span)
+        if own:
+            out[item] = (len(own), min(own), max(own) + 1, len(theirs), len(theirs) / len(asked), best)
+    return out
+
+
+def test_places_and_shares_equal_loops_with_repeated_words(rows):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(25)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randrange(4, 30)))) for i in range(25)] + [(30, "go " * 20), (31, "a b " * 12), (32, "go " * 20), (33, None)]
+    texts = [None, "", "go " * 40, "x " + "a b " * 20 + "c", "go go go"]
+    for _ in range(40):
+        words = say(rng.randrange(0, 40))
+        words[5:5] = [w if rng.random() > 0.1 else "Zz!" for w in (rng.choice(items[:-1])[1]).split()]
+        texts.append(" ".join(words))
+    found = find_overlaps(rows("doc_id int, text string, overlaps int", *[(i, t, 0) for i, t in enumerate(texts)]), rows("item_id int, text string", *items))
+    for r in found.collect():
+        got = {o["item"]: (o["words"], o["start"], o["end"], o["item_words"], o["item_share"], o["best"]) for o in r["overlaps"]}
+        assert got == _overlaps_by_loops(texts[r["doc_id"]], items), texts[r["doc_id"]]
+
+
+def test_very_repetitive_texts_are_searched_in_linear_time(rows):
+    started = time.monotonic()
+    index = BenchmarkIndex([(1, "same " * 600), (2, "x y " * 300)], 12, 0.8, 8)
+    found = _overlaps(index, _Coder(index.words), ["same " * 20_000, "x y " * 20_000])
+    assert time.monotonic() - started < 5
+    assert [[(o["item"], o["words"], o["item_words"]) for o in x] for x in found] == [[(0, 20_000, 600)], [(1, 40_000, 600)]]
