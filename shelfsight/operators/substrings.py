@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.session import materialized
 
-def substring_hits(texts: DataFrame, text: str, needles: DataFrame, needle: str, keys: list[str]) -> DataFrame:
+GRAM = 4
+
+
+def _pieces(text: Column, n: Column | int) -> Column:
+    """All substrings of ``n`` characters."""
+    size = F.lit(n) if isinstance(n, int) else n
+    length = F.length(text)
+    return F.when(
+        length >= size, F.transform(F.sequence(F.lit(1), length - size + 1), lambda i: F.substring(text, i, size))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def substring_hits(texts: DataFrame, text: str, needles: DataFrame, needle: str, keys: list[str], gram: int = GRAM) -> DataFrame:
     """Rows of ``texts`` paired with every needle their text contains, within equal ``keys``.
 
-    No pair of text and needle is formed unless it matches: each text is cut
-    into its distinct substrings of the lengths that occur among the needles of
-    its key, and the hashes of these meet those of the needles in an equi-join.
-    Only keys and two hashes travel; matches are few, get their rows back and are
-    compared as texts. Work is linear in the texts, whatever the number of needles
-    per key. The array of lengths holds distinct small integers only. Repeated
-    rows keep their number.
+    No pair of text and needle is formed unless it matches on a rare piece. A
+    needle of at least ``gram`` characters is found by the one of its ``gram``-character
+    pieces that the fewest texts of its key have; shorter ones are pieces
+    themselves. Texts are cut into their distinct pieces of ``gram`` characters and
+    of the lengths of shorter needles, so how many they are does not depend on
+    how many lengths needles have. Pieces that no needle of the key has are dropped
+    in a semi-join; the rest is written, counted, and met with the needles' rarest
+    pieces. Keys and hashes travel; the candidates get their rows back and are
+    compared as texts. Repeated rows keep their number.
     """
-    sizes = F.array_sort(F.collect_set(F.length(needle))).alias("_sizes")
-    length = F.length(F.col(text))
-    pieces = lambda n: F.when(
-        length >= n, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(F.col(text), i, n))
-    ).otherwise(F.array().cast("array<string>"))
+    on = [*keys, "_piece"]
+    size = F.length(needle)
+    sizes = F.array_sort(F.collect_set(F.least(size, F.lit(gram)))).alias("_sizes")
     if keys:
         sized = texts.join(needles.groupBy(*keys).agg(sizes), keys)
     else:
         sized = texts.withColumn("_sizes", needles.agg(sizes).scalar())
     row = F.xxhash64(*texts.columns).alias("_row")
-    hashes = F.array_distinct(F.transform(F.flatten(F.transform("_sizes", pieces)), lambda p: F.xxhash64(p)))
-    cut = sized.select(*keys, row, F.explode(hashes).alias("_piece"))
-    named = needles.withColumn("_piece", F.xxhash64(needle))
-    pairs = cut.join(named.select(*keys, "_piece").distinct(), [*keys, "_piece"]).select(*keys, "_row", "_piece").distinct()
-    found = texts.withColumn("_row", row).join(pairs, [*keys, "_row"]).join(named, [*keys, "_piece"])
-    return found.filter(F.contains(F.col(text), F.col(needle))).drop("_row", "_piece")
+    hashed = lambda pieces: F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    own = F.when(size < gram, F.array(F.col(needle))).otherwise(_pieces(F.col(needle), gram))
+    of_needles = needles.select(*keys, F.xxhash64(needle).alias("_needle"), F.explode(hashed(own)).alias("_piece")).distinct()
+    cut = sized.select(*keys, row, F.explode(hashed(F.flatten(F.transform("_sizes", lambda n: _pieces(F.col(text), n))))).alias("_piece"))
+    met = materialized(cut.join(of_needles.select(*on).distinct(), on, "left_semi"), "shared-pieces")
+    rarity = met.groupBy(*on).agg(F.count("*").alias("_n"))
+    # a piece without a row in ``rarity`` is in no text, and neither is its needle
+    rated = of_needles.join(rarity, on, "left").groupBy(*keys, "_needle").agg(
+        F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("_piece"))
+    pairs = met.join(rated, on).select(*keys, "_row", "_needle").distinct()
+    named = needles.withColumn("_needle", F.xxhash64(needle))
+    found = texts.withColumn("_row", row).join(pairs, [*keys, "_row"]).join(named, [*keys, "_needle"])
+    return found.filter(F.contains(F.col(text), F.col(needle))).drop("_row", "_needle")

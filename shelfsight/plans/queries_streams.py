@@ -33,6 +33,25 @@ def stream_usage_budget(t: Tables) -> DataFrame:
 
 
 BUDGET_SHARE = 0.85
+_WEEK = "cast(floor((day(created_at) - 1) / 7) as int)"
+
+
+def _budget(t: Tables) -> float:
+    """A share of all spend, so that it is reached on the way."""
+    costs = usage_cost(t("usage_log"), t("price_table"))
+    return round(costs.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0] * BUDGET_SHARE, 2)
+
+
+@query
+def stream_budget_alerts(t: Tables) -> DataFrame:
+    """Alerts over a month of usage that lands week by week; the stream is started anew for each week."""
+    budget, log = _budget(t), t("usage_log").select("created_at", "model", "input_tokens", "output_tokens")
+    landed, target, checkpoint = (shared_folder(t.spark, n) for n in ("arrived-usage", "alerts", "alerts-state"))
+    for number in range(5):
+        log.filter(F.expr(_WEEK) == number).write.mode("append").parquet(landed)
+        arrived = t.spark.readStream.schema(log.schema).parquet(landed)
+        Q.budget_alerts(arrived, t("price_table"), budget, target, checkpoint).awaitTermination()
+    return t.spark.read.parquet(target).select("month", "level", F.round("spent_usd", 6).alias("spent_usd"))
 
 
 @query
@@ -41,14 +60,11 @@ def stream_job_ticks(t: Tables) -> DataFrame:
 
     The budget is a share of all spend, so that early ticks work, one warns and a later one pauses the jobs.
     """
-    costs = usage_cost(t("usage_log"), t("price_table"))
-    budget = round(costs.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0] * BUDGET_SHARE, 2)
-    log = t("usage_log").select("created_at", "model", "input_tokens", "output_tokens", "job_id")
-    week = F.expr("cast(floor((day(created_at) - 1) / 7) as int)")
+    budget, log = _budget(t), t("usage_log").select("created_at", "model", "input_tokens", "output_tokens", "job_id")
     landed, checkpoint = shared_folder(t.spark, "arrived-usage"), shared_folder(t.spark, "ticks-state")
     store = Q.tick_tables(t.spark, shared_folder(t.spark, "ticks"), t("jobs"), t("job_products"))
     for number in range(5):
-        log.filter(week == number).write.mode("append").parquet(landed)
+        log.filter(F.expr(_WEEK) == number).write.mode("append").parquet(landed)
         arrived = t.spark.readStream.schema(log.schema).parquet(landed)
         Q.job_ticks(arrived, store, t("work_results"), t("products"), t("price_table"), budget, checkpoint, "ops@example.com").awaitTermination()
     alerts = store.current("alerts").select("at", "subject")

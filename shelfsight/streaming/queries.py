@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfsight.operators.jobs import CHUNK_SIZE, JOBS_PER_TICK, tick, usage_cost, with_job_columns
 from shelfsight.streaming.versions import VersionedTables
@@ -46,6 +50,54 @@ def latest_months(updates: DataFrame) -> DataFrame:
     )
 
 
+ALERT_LEVELS = (("exhausted", 1.0), ("warning", 0.8))
+
+
+def _partial_spend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per month and batch of rows, so that a month's rows do not all travel to the task that holds its state."""
+    for rows in batches:
+        rows = rows[rows["at"].notna()]
+        month = rows["at"].dt.to_period("M").dt.to_timestamp()
+        yield rows.groupby(month.rename("month")).agg(at=("at", "max"), cost_usd=("cost_usd", "sum")).reset_index()
+
+
+def _crossings(budget: float):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the month is over and no row of it is awaited any more
+            state.remove()
+            return
+        spent, told = state.get if state.exists else (0.0, 0)
+        spent += sum(float(rows["cost_usd"].sum()) for rows in batches)
+        reached = sum(spent >= share * budget for _, share in ALERT_LEVELS) if budget else 0
+        state.update((spent, max(told, reached)))
+        state.setTimeoutTimestamp(int((key[0] + pd.DateOffset(months=1)).timestamp() * 1000))
+        new = [level for level, share in ALERT_LEVELS[::-1]][told:reached]
+        if new:
+            yield pd.DataFrame({"month": [key[0]] * len(new), "level": new, "spent_usd": [spent] * len(new)})
+
+    return run
+
+
+def budget_alerts(
+    usage: DataFrame, prices: DataFrame, budget: float, target: str, checkpoint: str, late: str = "7 days", interval: str | None = None
+) -> StreamingQuery:
+    """One row per month and level (80 %, 100 % of the budget), when the month's spend first reaches it.
+
+    Keyed state holds a month's spend and the level it was told, so neither later
+    batches nor a restart tell it again; a jump over both gives both rows. A month
+    leaves the state once the watermark, ``late`` behind the newest row, is past its
+    end; rows that come later still are dropped. Session time zone UTC.
+    """
+    costs = usage_cost(usage, prices).select(F.col("created_at").cast("timestamp").alias("at"), "cost_usd")
+    partial = costs.mapInPandas(_partial_spend, "month timestamp, at timestamp, cost_usd double").withWatermark("at", late)
+    alerts = partial.groupBy("month").applyInPandasWithState(
+        _crossings(float(budget)), "month timestamp, level string, spent_usd double", "spent double, told int", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    writer = alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return _trigger(writer.foreachBatch(lambda rows, batch_id: _replace_batch(rows, batch_id, target)), interval).start()
+
+
 TICK_TABLES = {
     "jobs": ["job_id"], "job_products": ["job_id", "product_id"], "months": ["month"],
     "product_errors": ["product_id"], "alerts": ["tick"],

@@ -51,6 +51,23 @@ def test_substring_hits_equals_brute_force(spark):
     assert got == sorted((i, k, w) for i, k, s in texts for kk, w in needles if k == kk and w in s)
 
 
+def test_long_and_short_needles_by_their_rarest_piece(spark):
+    """Needles of many lengths; pieces that all texts share, repeated rows, and needles that no text holds."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    texts = [(rng.choice("xy"), "common-" + word(rng.randint(0, 20))) for _ in range(120)]
+    texts += texts[:10]
+    needles = sorted({(rng.choice("xy"), rng.choice(["", "common-", "mon-"]) + word(rng.randint(0, 9))) for _ in range(80)} | {("x", "absent")})
+    t, n = spark.createDataFrame(texts, "k string, s string"), spark.createDataFrame(needles, "k string, needle string")
+    want = sorted((k, s, w) for k, s in texts for kk, w in needles if k == kk and w in s)
+    for gram in (4, 2):
+        assert sorted((r.k, r.s, r.needle) for r in substring_hits(t, "s", n, "needle", ["k"], gram).collect()) == want
+    alone = substring_hits(t.select("s"), "s", n.select("needle").distinct(), "needle", [])
+    assert sorted((r.s, r.needle) for r in alone.collect()) == sorted((s, w) for _, s in texts for w in {w for _, w in needles} if w in s)
+
+
 def test_blocks_are_ordered_ranges(spark):
     df = spark.range(4000).select(F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), (F.col("id") * 7919 % 4001).alias("v"))
     cut = with_blocks(df, ["k"], "v", parts=100, splits=16)

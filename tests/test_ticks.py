@@ -3,7 +3,7 @@
 import datetime as dt
 import os
 
-from shelfsight.streaming.queries import job_ticks, tick_tables
+from shelfsight.streaming.queries import budget_alerts, job_ticks, tick_tables
 from shelfsight.streaming.versions import VersionedTables
 
 JOBS = "job_id long, state string, pipeline_steps string, created_at timestamp_ntz, success_count long, failure_count long, processed_count long"
@@ -122,3 +122,28 @@ def test_versions_hide_what_is_not_committed_and_fold(spark, rows, tmp_path):
     store.expire()
     assert read() == {"a": 5, None: 7, "b": 8, "c": 1} and read(6) == {"a": 5, None: 7, "b": 8}
     assert not os.path.exists(f"{tmp_path}/t/full/version=0")
+
+
+def test_budget_alerts_are_told_once(spark, rows, tmp_path):
+    """Each batch in a stream of its own; late rows, a jump over both levels, a replayed batch, a month that is over."""
+    landed, target, checkpoint = (str(tmp_path / n) for n in ("landed", "alerts", "state"))
+    log = "created_at timestamp_ntz, model string, input_tokens long, output_tokens long"
+    prices = rows("model string, p_in double, p_out double", ("small", 1.0, 5.0))
+    spend = lambda month, day, usd: (dt.datetime(2024, month, day), "small", int(usd * 1_000_000), None)
+    batches = [
+        [spend(1, 5, 3), spend(1, 6, 2)], [spend(1, 9, 3.5), spend(1, 8, 0)], [spend(1, 20, 1)], [spend(1, 31, 4), spend(2, 1, 15)],
+        [spend(1, 30, 50), spend(2, 3, 1)], [spend(4, 1, 1)], [spend(1, 31, 99), spend(4, 2, 7.5)],
+    ]
+    for number, batch in enumerate(batches):
+        rows(log, *batch).coalesce(1).write.mode("append").parquet(landed)
+        for _ in range(2 if number == 3 else 1):
+            arrived = spark.readStream.schema(log).parquet(landed)
+            query = budget_alerts(arrived, prices, 10.0, target, checkpoint)
+            query.awaitTermination()
+            if number == 3:
+                last = max(int(n) for n in os.listdir(os.path.join(checkpoint, "commits")) if n.isdigit())
+                for name in (f"{last}", f".{last}.crc"):
+                    os.remove(os.path.join(checkpoint, "commits", name))
+    got = sorted((r.month.month, r.level, r.spent_usd) for r in spark.read.parquet(target).collect())
+    assert got == [(1, "exhausted", 13.5), (1, "warning", 8.5), (2, "exhausted", 15.0), (2, "warning", 15.0), (4, "warning", 8.5)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1

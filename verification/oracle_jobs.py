@@ -100,4 +100,11 @@ left join (select job_id, sum(cost) as c from costs group by job_id) b on b.job_
     "stream_usage_budget": f"""with {COST}
 select cast(date_trunc('month', created_at) as timestamp) as month, round(sum(cost), 6) as spent_usd, count(*) as n_calls from costs group by 1""",
     "stream_job_ticks": _ticks(),
+    "stream_budget_alerts": f"""with {COST},
+plan as (select round(coalesce(sum(cost), 0) * 0.85, 2) as budget from costs),
+weeks as (select date_trunc('month', created_at) as month, cast(floor((day(created_at) - 1) / 7) as int) as week, sum(cost) as c from costs group by 1, 2),
+sums as (select month, week, sum(c) over (partition by month order by week) as s, budget from weeks, plan),
+told as (select month, 'warning' as level, arg_min(s, week) as s from sums where budget > 0 and s >= 0.8 * budget group by month
+  union all select month, 'exhausted', arg_min(s, week) from sums where budget > 0 and s >= budget group by month)
+select cast(month as timestamp) as month, level, round(s, 6) as spent_usd from told""",
 }
