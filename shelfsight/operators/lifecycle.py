@@ -83,6 +83,43 @@ def backup_main(products: DataFrame, image: str, original: str, settings: Settin
     return products.withColumn(original, F.coalesce(original, image))
 
 
+def apply_main_state(
+    products: DataFrame, outcomes: DataFrame, candidates: DataFrame, outputs: DataFrame, image: str, original: str,
+    signature: Column | None = None, settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Products after their main candidates were applied.
+
+    ``outcomes`` is what ``apply_main_guard`` says per candidate, ``candidates``
+    have ``has_white_background`` and ``confidence``, ``outputs`` the finished image
+    per candidate (``candidate_id, output``). A product that got a main has the
+    first image it ever had as its backup, the new image with its signature, and is
+    normalized and enriched whatever its state was. Where overwriting is on, mains are applied best
+    first and the last one stays. An applied candidate without an output, and products without
+    one, change nothing.
+    """
+    order = F.struct(F.coalesce("confidence", F.lit(0.0)), F.col("candidate_id"))
+    last = (
+        outcomes.filter(F.col("state") == "applied").select("candidate_id", "product_id")
+        .join(candidates.select("candidate_id", "has_white_background", "confidence"), "candidate_id")
+        .join(outputs.filter(F.col("output").isNotNull()).select("candidate_id", "output"), "candidate_id")
+        .groupBy("product_id").agg(F.min_by(F.struct("has_white_background", "output"), order).alias("_main"))
+    )
+    joined = products.join(last, "product_id", "left")
+    got = F.col("_main").isNotNull()
+    new = F.col("_main.output")
+    own = output_signature(new, default_signature(settings) if signature is None else signature)
+    kept = F.coalesce(original, image) if settings.keep_backup else F.col(original)
+    changed = {
+        original: F.when(got, kept).otherwise(F.col(original)),
+        image: F.coalesce(new, image),
+        "main_image_normalized": F.when(got, True).otherwise(F.col("main_image_normalized")),
+        "main_image_already_white_bg": F.when(got, F.coalesce("_main.has_white_background", F.lit(False))).otherwise(F.col("main_image_already_white_bg")),
+        "normalization_signature": F.when(got, own).otherwise(F.col("normalization_signature")),
+        "enrichment_state": F.when(got, "enriched").otherwise(F.col("enrichment_state")),
+    }
+    return joined.withColumns(changed).drop("_main")
+
+
 def revert_main(products: DataFrame, image: str, original: str) -> DataFrame:
     """Products with a backup, main image restored and both flags cleared."""
     return products.filter(F.col(original).isNotNull()).withColumns(

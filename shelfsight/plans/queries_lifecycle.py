@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.operators import lifecycle as L
 from shelfsight.operators import raster as R
+from shelfsight.operators import review as V
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
 from shelfsight.settings import TYPED_DEFAULTS
@@ -66,6 +67,20 @@ def backup_main(t: Tables) -> DataFrame:
     return L.backup_main(t("products"), "main_image_text", "original_image_text").select("product_id", "original_image_text")
 
 
+@query
+def apply_main_state(t: Tables) -> DataFrame:
+    """Approved mains are applied; every eleventh image could not be made."""
+    candidates = V.approved(t("candidates")).withColumn("has_image_data", F.col("image_width") % 7 != 0)
+    outcomes = V.apply_main_guard(candidates, t("products"))
+    output = F.when(F.col("product_id") % 11 != 0, F.concat(F.lit("made of "), "source_url"))
+    after = L.apply_main_state(
+        with_stored_signature(t), outcomes, candidates, candidates.select("candidate_id", output.alias("output")),
+        "main_image_text", "original_image_text",
+    )
+    return after.select("product_id", "main_image_text", "original_image_text", "main_image_normalized", "main_image_already_white_bg",
+                        "normalization_signature", "enrichment_state")
+
+
 @query
 def revert_main(t: Tables) -> DataFrame:
     return L.revert_main(t("products"), "main_image_text", "original_image_text").select(

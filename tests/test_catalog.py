@@ -3,6 +3,7 @@ import hashlib
 import json
 import struct
 import zlib
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from shelfsight.operators import review as V
 from shelfsight.operators import selection as S
 from shelfsight.operators.substrings import substring_hits
 from shelfsight.operators.topk import with_blocks
-from shelfsight.settings import Settings
+from shelfsight.settings import DEFAULTS, Settings
 from shelfsight.sources import bodies as B
 from shelfsight.sources import images as I
 from shelfsight.sources import parameters
@@ -191,3 +192,26 @@ def test_image_files_and_gzipped_sitemaps(spark, tmp_path):
     with gzip.open(tmp_path / "maps" / "s.xml.gz", "wb") as f:
         f.write(b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> http://x/1 </loc></url></urlset>')
     assert [r.loc for r in B.sitemap_store(B.read_sitemap_files(spark, str(tmp_path / "maps"))).collect()] == ["http://x/1"]
+
+
+def test_state_after_applying_a_main(rows):
+    products = rows(
+        "product_id int, img string, orig string, has_main_image boolean, main_image_normalized boolean, main_image_already_white_bg boolean, normalization_signature string, enrichment_state string",
+        (1, "old", None, True, False, True, None, "candidates_found"), (2, "old", "first", True, False, None, "s", "skipped"), (3, None, None, False, None, None, None, "error"),
+        (4, "old", None, True, True, False, "s", "enriched"), (5, "old", None, True, False, False, "s", "no_results"))
+    candidates = rows("candidate_id string, product_id int, role string, confidence double, has_white_background boolean",
+                      ("a", 1, "main", 0.9, True), ("b", 1, "main", 0.8, False), ("c", 2, "main", None, None), ("d", 3, "main", 0.7, True), ("e", 4, "main", 1.0, True), ("f", 5, "main", 1.0, True))
+    outputs = rows("candidate_id string, output string", ("a", "A"), ("b", "B"), ("c", "C"), ("d", "D"), ("e", "E"), ("f", None))
+    sign = lambda x: hashlib.sha256((x + "sig").encode()).hexdigest()
+
+    def after(settings):
+        done = V.apply_main_guard(candidates, products, settings)
+        out = L.apply_main_state(products, done, candidates, outputs, "img", "orig", F.lit("sig"), settings)
+        return {r.product_id: (r.img, r.orig, r.main_image_normalized, r.main_image_already_white_bg, r.normalization_signature, r.enrichment_state) for r in out.collect()}
+
+    got = after(DEFAULTS)
+    assert got[1] == ("A", "old", True, True, sign("A"), "enriched") and got[2] == ("C", "first", True, False, sign("C"), "enriched")
+    assert got[3] == ("D", None, True, True, sign("D"), "enriched")
+    assert got[4] == ("old", None, True, False, "s", "enriched") and got[5] == ("old", None, False, False, "s", "no_results")
+    got = after(replace(DEFAULTS, overwrite_existing_main=True, keep_backup=False))
+    assert got[1][:2] == ("B", None) and got[4][:2] == ("E", None)

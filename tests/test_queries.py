@@ -13,6 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = [
     "background_state", "effective_manufacturer", "select_by_category", "discover_pages", "candidate_topn",
     "recipe_extract", "normalize_catalog", "job_progress", "stream_usage_budget", "stream_job_ticks",
+    "scan_images", "sink_product_updates", "recipe_ingest", "img_inventory", "prompt_rows", "politeness_schedule", "sku_url_match",
+    "recipe_evidence", "apply_main_state", "sitemap_expand",
 ]
 
 

@@ -31,6 +31,18 @@ select s.product_id, p_size between 5 and 30 or main_image_normalized as main_im
   case when p_size between 5 and 30 and enrichment_state = 'not_enriched' then 'enriched' else enrichment_state end as enrichment_state
 from s join part on p_partkey = s.product_id""",
     "backup_main": "select product_id, coalesce(original_image_text, main_image_text) as original_image_text from products",
+    "apply_main_state": f"""
+with s as (select *, {STORED} as sig from products),
+m as (select c.product_id, c.has_white_background as white, concat('made of ', c.source_url) as image,
+    row_number() over (partition by c.product_id order by c.confidence desc, c.candidate_id) as rn
+  from candidates c join products p on p.product_id = c.product_id
+  where c.state = 'approved' and c.role = 'main' and c.image_width % 7 <> 0 and not (p.has_main_image and p.main_image_normalized))
+select s.product_id, coalesce(m.image, main_image_text) as main_image_text,
+  case when m.image is not null then coalesce(original_image_text, main_image_text) else original_image_text end as original_image_text,
+  m.image is not null or main_image_normalized as main_image_normalized, coalesce(m.white, main_image_already_white_bg) as main_image_already_white_bg,
+  case when m.image is not null then sha256(concat(m.image, '{SIG}')) else sig end as normalization_signature,
+  case when m.image is not null then 'enriched' else enrichment_state end as enrichment_state
+from s left join m on m.product_id = s.product_id and m.rn = 1 and s.product_id % 11 <> 0""",
     "revert_main": """
 select product_id, original_image_text as main_image_text, false as main_image_normalized, false as main_image_already_white_bg
 from products where original_image_text is not null""",
