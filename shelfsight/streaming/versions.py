@@ -4,7 +4,8 @@ A batch writes what it changed under its own version and then the commit that
 names those tables, so readers see all of a batch or none of it. A batch reads
 versions below its own only: when it is replayed after a crash it sees what it saw
 before and writes the same again. Changes are folded into a new full copy after
-every ``fold_after`` batches, which bounds what a reader has to merge.
+every ``fold_after`` batches, which bounds what a reader has to merge; what is
+older than the full copy before that one is removed.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ class VersionedTables:
         self._commit(version, changes, False)
         if version % self.fold_after == 0:
             self.fold(version)
+            self.expire()
 
     def fold(self, version: int) -> None:
         """Full copies as of ``version``, made of earlier copies and changes, so that a replay makes the same ones."""
