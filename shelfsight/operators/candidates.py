@@ -14,6 +14,7 @@ from shelfsight.functions.text import strip
 from shelfsight.functions.urls import host_contains_brand
 from shelfsight.functions.vocab import role_priority
 from shelfsight.operators.fetching import download_gate
+from shelfsight.operators.joins import many, unique
 from shelfsight.operators.review import ALREADY_NORMALIZED, NO_IMAGE_DATA
 from shelfsight.operators.topk import first_n
 from shelfsight.settings import DEFAULTS, Settings
@@ -88,7 +89,7 @@ def candidate_gates(images: DataFrame, products: DataFrame, settings: Settings =
     return (
         images.filter((F.col("confidence") >= settings.min_confidence) & (F.col("url") != ""))
         .withColumn("role", role)
-        .join(facts, "product_id")
+        .join(unique(facts), "product_id")
         .filter((F.col("role") == "main") | F.col("gallery_enabled"))
     )
 
@@ -106,7 +107,7 @@ def fallback_notes(chosen: DataFrame, products: DataFrame, settings: Settings =
     """Log rows for products whose chosen page is not on the brand's host."""
     facts = products.select("product_id", F.col("effective_manufacturer").alias("brand"))
     return (
-        chosen.join(facts, "product_id")
+        chosen.join(unique(facts), "product_id")
         .filter(
             F.lit(settings.strict_brand_url_match)
             & (F.col("brand") != "")
@@ -126,7 +127,7 @@ def image_validity(images: DataFrame, assets: DataFrame, settings: Settings = DE
     """
     got = download_gate(assets).drop("status", "content_type")
     width = F.coalesce("width", F.lit(0))
-    return images.join(got, "url").withColumn(
+    return images.join(many(got), "url").withColumn(
         "problem",
         F.when(F.col("n_bytes") < MIN_BYTES, "too small")
         .when(~F.col("decodable"), "invalid image")
@@ -191,7 +192,7 @@ def build_candidates(
 def rejections_before_cap(rejected: DataFrame, kept: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Rejected images that were looked at: those before the product's list was full."""
     full = kept.filter(F.col("place") == settings.max_images_per_product).select("product_id", F.col("pos").alias("_full"))
-    return rejected.join(full, "product_id", "left").filter(F.col("_full").isNull() | (F.col("pos") < F.col("_full"))).drop("_full")
+    return rejected.join(unique(full), "product_id", "left").filter(F.col("_full").isNull() | (F.col("pos") < F.col("_full"))).drop("_full")
 
 
 # ---- roll-ups ----
@@ -206,11 +207,11 @@ def candidate_stats(kept: DataFrame, chosen: DataFrame, products: DataFrame, tri
     """
     at = chosen.select("product_id", F.col("page_pos").alias("_at"), "via_recipe")
     looked = F.col("_at").isNull() | (F.col("page_pos") < F.col("_at")) | ((F.col("page_pos") == F.col("_at")) & ~F.col("via_recipe"))
-    shots = tries.filter("rendered").join(at, "product_id", "left").filter(looked).groupBy("product_id").agg(F.count("*").alias("_shots"))
+    shots = tries.filter("rendered").join(unique(at), "product_id", "left").filter(looked).groupBy("product_id").agg(F.count("*").alias("_shots"))
     counts = kept.groupBy("product_id").agg(
         F.count_if(F.col("has_white")).alias("_white"), F.count_if(~F.col("has_white")).alias("_rembg")
     )
-    joined = products.select("product_id").join(at, "product_id", "left").join(counts, "product_id", "left").join(shots, "product_id", "left")
+    joined = products.select("product_id").join(unique(at), "product_id", "left").join(unique(counts), "product_id", "left").join(unique(shots), "product_id", "left")
     return joined.select(
         "product_id",
         F.coalesce("_white", F.lit(0)).alias("white_bg"),
@@ -226,7 +227,7 @@ def product_state_after_discovery(products: DataFrame, kept: DataFrame, settings
     counts = kept.groupBy("product_id").agg(F.count_if(F.col("role") == "main").alias("_main"))
     none = F.col("_main").isNull()
     no_main = F.lit(settings.strict_white_main) & (F.col("_main") == 0)
-    return products.select("product_id").join(counts, "product_id", "left").select(
+    return products.select("product_id").join(unique(counts), "product_id", "left").select(
         "product_id",
         F.when(none, "no_results").when(no_main, "needs_manual_main").otherwise("candidates_found").alias("enrichment_state"),
     )
@@ -246,7 +247,7 @@ def auto_apply(
     auto = runs.filter(F.col("pipeline_steps").isin(*AUTO_PIPELINES)).select("product_id").distinct()
     threshold = max(settings.min_confidence, settings.auto_apply_confidence)
     due = candidates.filter((F.col("state") == "pending") & (F.col("confidence") >= threshold)).join(
-        auto, "product_id", "left_semi"
+        unique(auto), "product_id", "left_semi"
     )
     if "has_image_data" not in due.columns:
         due = due.withColumn("has_image_data", F.lit(True))
@@ -257,8 +258,8 @@ def auto_apply(
         due.filter(is_main & there).groupBy("product_id").agg(F.min_by("candidate_id", order).alias("candidate_id"))
         .select("candidate_id", F.lit(True).alias("_first"))
     )
-    joined = due.join(first, "candidate_id", "left").join(
-        products.select("product_id", "has_main_image", "main_image_normalized"), "product_id"
+    joined = due.join(unique(first), "candidate_id", "left").join(
+        unique(products.select("product_id", "has_main_image", "main_image_normalized")), "product_id"
     )
     locked = F.col("has_main_image") & F.coalesce("main_image_normalized", F.lit(False))
     blocked = F.lit(not settings.overwrite_existing_main) & is_main & (locked | F.col("_first").isNull())
