@@ -45,6 +45,14 @@ def test_cap_is_sixty_and_render_flag_counts_tags(rows):
     assert {r.page_id: (r.n_img, r.needs_render) for r in N.render_flag(pages).collect()} == {0: (75, False), 1: (4, True), 2: (0, True)}
 
 
+def test_references_in_text_end_with_a_semicolon(rows):
+    html = ["<div>a&amp;&amp b &copy;&copyx &lt;i&gt; &#65;&#66 &nosuch; &</div><div><img src='a.jpg'> x&amp</div>"]
+    got = N.with_images(_pages(rows, html)).select(F.inline("images")).first()
+    assert got.context == "x&amp"
+    got = N.with_images(_pages(rows, [html[0].replace("</div><div>", "")])).select(F.inline("images")).first()
+    assert got.context == "a&&amp b ©&copyx <i> A&#66 &nosuch; & x&amp"
+
+
 def test_context_takes_the_nearest_ancestor_that_says_enough(rows):
     long = "word " * 40
     html = (
