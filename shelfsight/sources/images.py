@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.functions.binding import with_once
+from shelfsight.functions.binding import let, with_once
 from shelfsight.settings import DEFAULTS
 
 _SUMS = ("ring", "ring_clear", "ring_white", "top", "top_white", "bottom", "bottom_white")
@@ -146,20 +146,29 @@ def image_headers(blobs: DataFrame) -> DataFrame:
     )
 
 
+def _with_sample_bytes(rasters: DataFrame) -> DataFrame:
+    return rasters if "sample_bytes" in rasters.columns else rasters.withColumn("sample_bytes", F.lit(1))
+
+
 def pixels_from_rasters(rasters: DataFrame) -> DataFrame:
-    """One row per pixel from raster rows, using only built-in expressions. One channel is grey."""
-    per = F.col("n_channels")
-    cell = rasters.select(
-        "image_id", "width", "height", "n_channels", "data",
+    """One row per pixel from raster rows, using only built-in expressions. One channel is grey.
+
+    A sample takes one byte, or ``sample_bytes`` where that column exists; two
+    bytes are a signed number, the high byte first.
+    """
+    per, size = F.col("n_channels"), F.col("sample_bytes")
+    cell = _with_sample_bytes(rasters).select(
+        "image_id", "width", "height", "n_channels", "data", "sample_bytes",
         F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"),
     )
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("i") * per + 1 + k, F.lit(1))), 16, 10).cast("int")
+    unsigned = lambda k: F.conv(F.hex(F.substring(F.col("data"), (F.col("i") * per + k) * size + 1, size)), 16, 10).cast("int")
+    sample = lambda k: let(unsigned(k), lambda v: F.when((size == 2) & (v >= 1 << 15), v - (1 << 16)).otherwise(v))
     return cell.select(
         "image_id", "width", "height",
         (F.col("i") % F.col("width")).alias("x"),
         F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        F.when(per == 1, byte(0)).otherwise(byte(2)).alias("r"), F.when(per == 1, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"),
-        F.when(per == 4, byte(3)).otherwise(255).alias("a"),
+        F.when(per == 1, sample(0)).otherwise(sample(2)).alias("r"), F.when(per == 1, sample(0)).otherwise(sample(1)).alias("g"),
+        sample(0).alias("b"), F.when(per == 4, sample(3)).otherwise(255).alias("a"),
     )
 
 
@@ -174,8 +183,8 @@ def raster_border_sums(rasters: DataFrame, white_threshold: int = DEFAULTS.white
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for image_id, h, w, n, data in batch.itertuples(index=False, name=None):
-                grid = np.frombuffer(data, dtype=np.uint8).reshape(h, w, n)
+            for image_id, h, w, n, k, data in batch.itertuples(index=False, name=None):
+                grid = np.frombuffer(data, dtype=np.uint8 if k == 1 else ">i2").reshape(h, w, n)
                 low = grid[..., :3].min(axis=2)
                 clear = grid[..., 3] < 32 if n == 4 else np.zeros((h, w), dtype=bool)
                 t, c = max(1, int(min(h, w) * 0.05)), max(5, int(min(h, w) * 0.02))
@@ -192,4 +201,4 @@ def raster_border_sums(rasters: DataFrame, white_threshold: int = DEFAULTS.white
 
     id_type = rasters.schema["image_id"].dataType.simpleString()
     schema = f"image_id {id_type}, " + ", ".join(f"{c} long" for c in _SUMS)
-    return rasters.select("image_id", "height", "width", "n_channels", "data").mapInPandas(measure, schema)
+    return _with_sample_bytes(rasters).select("image_id", "height", "width", "n_channels", "sample_bytes", "data").mapInPandas(measure, schema)

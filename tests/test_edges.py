@@ -77,6 +77,14 @@ def test_one_channel_is_grey(rows):
     assert got == [(0, 10, 10, 10, 255), (1, 20, 20, 20, 255), (2, 30, 30, 30, 255)]
 
 
+def test_two_byte_samples_hold_what_a_byte_cannot(rows):
+    raster = rows("image_id int, width int, height int, n_channels int, sample_bytes int, data binary", (1, 2, 1, 1, 2, bytearray.fromhex("0108FFFD")))
+    got = sorted((r.x, r.r, r.a) for r in I.pixels_from_rasters(raster).collect())
+    assert got == [(0, 264, 255), (1, -3, 255)]
+    sums = I.raster_border_sums(raster, 255).first()
+    assert (sums.ring, sums.ring_white) == (6, 3)
+
+
 def test_hot_host_with_equal_arrivals_is_cut(rows):
     from shelfsight.operators.topk import with_blocks
 
