@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.operators.joins import unique
 from shelfsight.operators.topk import first_n
 from shelfsight.settings import DEFAULTS
 
@@ -37,7 +38,7 @@ def transition(jobs: DataFrame, event: Column) -> DataFrame:
 def requeue_pending(job_products: DataFrame, moved_jobs: DataFrame) -> DataFrame:
     """Queueing marks every product of the job as pending again, also after a pause."""
     requeued = moved_jobs.filter("requeued").select("job_id", F.lit(True).alias("_requeued"))
-    return job_products.join(requeued, "job_id", "left").select(
+    return job_products.join(unique(requeued), "job_id", "left").select(
         "job_id", "product_id", F.coalesce("_requeued", "pending").alias("pending")
     )
 
@@ -64,8 +65,8 @@ def outcome(results: DataFrame, jobs: DataFrame, products: DataFrame) -> DataFra
     In a normalize-only job a product without an image still succeeds, and an
     unchanged or non-white result counts as a background removal.
     """
-    joined = results.join(jobs.select("job_id", "pipeline_steps"), "job_id").join(
-        products.select("product_id", "has_main_image"), "product_id"
+    joined = results.join(unique(jobs.select("job_id", "pipeline_steps")), "job_id").join(
+        unique(products.select("product_id", "has_main_image")), "product_id"
     )
     ok = F.col("error").isNull()
     normalize = F.col("pipeline_steps") == "normalize_only"
@@ -112,17 +113,17 @@ def progress(
         F.sum("white_bg").alias("_white"), F.sum("rembg").alias("_rembg"),
     )
     runnable = jobs.filter(F.col("state").isin("queued", "running")).select("job_id")
-    done = outcomes.select("job_id", "product_id").join(runnable, "job_id", "left_semi")
+    done = outcomes.select("job_id", "product_id").join(unique(runnable), "job_id", "left_semi")
     left = (
         job_products.filter("pending")
-        .join(done, ["job_id", "product_id"], "left_anti")
+        .join(unique(done), ["job_id", "product_id"], "left_anti")
         .groupBy("job_id").agg(F.count("*").alias("_left"))
     )
-    joined = with_job_columns(jobs).join(added, "job_id", "left").join(left, "job_id", "left")
+    joined = with_job_columns(jobs).join(unique(added), "job_id", "left").join(unique(left), "job_id", "left")
     if costs is None:
         joined = joined.withColumn("_cost", F.lit(0.0))
     else:
-        joined = joined.join(costs.groupBy("job_id").agg(F.sum("cost_usd").alias("_cost")), "job_id", "left")
+        joined = joined.join(unique(costs.groupBy("job_id").agg(F.sum("cost_usd").alias("_cost"))), "job_id", "left")
     worked = F.col("_processed").isNotNull() & F.col("state").isin("queued", "running")
     plus = lambda c, extra: (F.col(c) + F.coalesce(F.when(worked, F.col(extra)), F.lit(0))).cast("bigint")
     remaining = F.coalesce("_left", F.lit(0))
@@ -202,7 +203,7 @@ def close_empty(jobs: DataFrame, job_products: DataFrame) -> DataFrame:
     """Runnable jobs with nothing pending are done."""
     busy = job_products.filter("pending").select("job_id").distinct().withColumn("_busy", F.lit(True))
     runnable = F.col("state").isin("queued", "running")
-    return jobs.join(busy, "job_id", "left").withColumn(
+    return jobs.join(unique(busy), "job_id", "left").withColumn(
         "state", F.when(runnable & F.col("_busy").isNull(), "done").otherwise(F.col("state"))
     ).drop("_busy")
 
@@ -300,8 +301,8 @@ def usage_view(costs: DataFrame) -> DataFrame:
 def list_view(jobs: DataFrame, job_products: DataFrame, costs: DataFrame) -> DataFrame:
     """Jobs newest first with product count and actual spend."""
     return (
-        jobs.join(total_count(job_products), "job_id", "left")
-        .join(job_spend(costs), "job_id", "left")
+        jobs.join(unique(total_count(job_products)), "job_id", "left")
+        .join(unique(job_spend(costs)), "job_id", "left")
         .withColumn("total_count", F.coalesce("total_count", F.lit(0)))
         .withColumn("actual_cost_usd", F.coalesce("actual_cost_usd", F.lit(0.0)))
         .orderBy(F.col("created_at").desc(), F.col("job_id").desc())

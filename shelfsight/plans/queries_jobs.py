@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.operators import jobs as J
+from shelfsight.operators.joins import unique
 from shelfsight.plans.registry import query
 from shelfsight.plans.tables import Tables
 
@@ -57,7 +58,7 @@ def job_outcome(t: Tables) -> DataFrame:
 def job_progress(t: Tables) -> DataFrame:
     """One tick that works the first chunk of every job."""
     done = J.chunk(t("job_products")).select("job_id", "product_id")
-    worked = J.outcome(t("work_results").join(done, ["job_id", "product_id"]), t("jobs"), t("products"))
+    worked = J.outcome(t("work_results").join(unique(done), ["job_id", "product_id"]), t("jobs"), t("products"))
     after = J.progress(t("jobs"), t("job_products"), worked, NOW, _costs(t))
     return after.withColumn("actual_cost_usd", F.round("actual_cost_usd", 6))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.operators.joins import unique
 from shelfsight.operators.jobs import usage_cost
 from shelfsight.streaming.versions import VersionedTables
 
@@ -56,7 +57,7 @@ def updated_rows(rows: DataFrame, updates: DataFrame, key: str = "product_id") -
     named = [c for c in updates.columns if c in rows.columns and c not in (key, "_versions")]
     newest = lambda c: F.max(F.when(F.array_contains("columns", c), F.struct("version", F.col(c).alias("value"))))
     latest = updates.groupBy(key).agg(*[newest(c).alias(f"_new_{c}") for c in named])
-    joined = rows.join(latest, key)
+    joined = rows.join(unique(latest), key)
     known = lambda c: F.element_at("_versions", F.lit(c))
     newer = lambda c: F.coalesce(F.col(f"_new_{c}.version") > F.coalesce(known(c), F.lit(-1)), F.lit(False))
     versions = F.map_from_arrays(
