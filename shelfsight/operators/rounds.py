@@ -21,6 +21,7 @@ from shelfsight.operators.candidates import (
 from shelfsight.operators.discovery import MAX_PAGES
 from shelfsight.operators.fetching import page_gate, robots_gate, ssrf_filter_resolved
 from shelfsight.operators.inventory import render_flag
+from shelfsight.operators.joins import many, unique
 from shelfsight.operators.recipes import recipe_extract
 from shelfsight.session import materialized
 from shelfsight.settings import DEFAULTS, Settings
@@ -43,12 +44,12 @@ def look_at(
     """
     asked = robots_gate(ssrf_filter_resolved(turn.select(F.col("page_url").alias("url")).distinct(), resolved_ips), rules, settings.user_agent)
     asked = asked.select("url", "allowed")
-    usable = page_gate(fetched.join(asked.filter("allowed"), "url").drop("allowed"))
+    usable = page_gate(fetched.join(unique(asked.filter("allowed")), "url").drop("allowed"))
     read = recipe_extract(render_flag(usable), recipes, settings, every_page=True).select(
         "url", "needs_render", F.col("readable").alias("_readable"), F.col("images").alias("_images"), F.lit(True).alias("_page"))
     on_page = turn.withColumn("url", F.col("page_url"))
-    joined = on_page.join(asked, "url", "left").join(read, "url", "left").join(
-        answers.select("product_id", "page_url", "text", F.lit(True).alias("_answered")), ["product_id", "page_url"], "left")
+    joined = on_page.join(unique(asked), "url", "left").join(many(read), "url", "left").join(
+        many(answers.select("product_id", "page_url", "text", F.lit(True).alias("_answered"))), ["product_id", "page_url"], "left")
     told = with_once(joined, "_c", classification(F.col("text")))
     by_recipe = F.coalesce(F.size("_images"), F.lit(0)) > 0
     outcome = (
@@ -80,7 +81,7 @@ def discovery_rounds(
         turn = pages.filter(F.col("page_pos") == pos)
         if looked is not None:
             done = looked.filter(F.col("outcome").isin(*SETTLED)).select("product_id")
-            turn = turn.join(done, "product_id", "left_anti")
+            turn = turn.join(unique(done), "product_id", "left_anti")
         now = materialized(look_at(turn, fetched, resolved_ips, rules, recipes, answers, settings), f"round-{pos}")
         looked = now if looked is None else looked.unionByName(now)
     return looked
@@ -99,7 +100,7 @@ def discovery_outcome(looked: DataFrame, products: DataFrame, assets: DataFrame,
     states = product_state_after_discovery(products, kept, settings)
     stats = candidate_stats(kept, chosen, products, looked.select("product_id", "page_pos", "rendered"))
     page = chosen.select("product_id", "page_url")
-    return states.join(stats, "product_id").join(page, "product_id", "left")
+    return states.join(unique(stats), "product_id").join(unique(page), "product_id", "left")
 
 
 def discovery_log(looked: DataFrame, products: DataFrame, assets: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
