@@ -41,7 +41,8 @@ def choose_page(answers: DataFrame, recipe_hits: DataFrame | None = None) -> Dat
     """First page per product, in discovery order, that a recipe hits or the gate accepts.
 
     On the same page the recipe is tried first. ``min_by`` keeps one row per
-    product and task, so a product with very many pages does not gather them.
+    product and task, so a product with very many pages does not gather them. The rows are sorted for
+    that; dealt out first, a task sorts its share, not all that was parsed from its file.
     """
     c = F.col("classification")
     options = classification_gate(answers).select(
@@ -57,7 +58,7 @@ def choose_page(answers: DataFrame, recipe_hits: DataFrame | None = None) -> Dat
         )
     page = F.struct("page_pos", "page_url", "images", "match_confidence", "via_recipe")
     first = F.min_by(page, F.struct("page_pos", ~F.col("via_recipe")))
-    return options.groupBy("product_id").agg(first.alias("p")).select("product_id", "p.*")
+    return options.repartition("product_id", "page_pos").groupBy("product_id").agg(first.alias("p")).select("product_id", "p.*")
 
 
 def has_main_candidate(answers: DataFrame, min_confidence: float = DEFAULTS.min_confidence) -> DataFrame:

@@ -49,3 +49,9 @@ def test_needles_meet_texts_by_key(rows):
     texts, needles = rows("host string, text string", ("h", "xabcdx")), rows("host string, needle string", ("h", "abcd"))
     found = substring_hits(texts, "text", needles, "needle", ["host"])
     assert not _copied(found) and found.count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
+def test_pages_are_dealt_out_before_they_are_sorted(spark):
+    plan = entry.queries()["choose_page"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(product_id#\w+, page_pos#", plan)
