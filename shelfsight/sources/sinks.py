@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.operators.joins import unique
@@ -10,12 +13,35 @@ from shelfsight.operators.jobs import usage_cost
 from shelfsight.streaming.versions import VersionedTables
 
 
+OPEN_FILES = 16
+ROW_GROUP_BYTES = 16 << 20
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+    """A setting of the session while the block runs."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Append to a parquet table and return the table as it now is."""
+    """Append to a parquet table and return the table as it now is.
+
+    A task keeps a file open for each partition value it meets, so rows need no
+    sort by partition, which large tasks would spill. A task that meets more
+    values than ``OPEN_FILES`` sorts the rest. Row groups are small, because a
+    task holds one for each open file.
+    """
     writer = rows.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if not partition_by:
+        writer.parquet(path)
+    else:
+        with _setting(rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES):
+            writer.partitionBy(*partition_by).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

@@ -143,6 +143,24 @@ def test_updates_clear_columns_and_repeat(spark, rows, tmp_path):
     assert read() == {1: (None, 8), 2: ("n", None), 3: (None, 3)}
 
 
+def test_partitioned_appends_do_not_sort(spark, tmp_path):
+    context, name = spark.sparkContext, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    data = spark.range(0, 5000, 1, 2).withColumn("message", F.concat(F.lit("m"), "id"))
+    for kinds in (3, 40):
+        rows = data.withColumn("kind", F.nullif(F.col("id") % kinds, F.lit(0)).cast("int"))
+        context.setJobGroup(f"append-{kinds}", "")
+        sinks.append(rows, f"{tmp_path}/{kinds}", ("kind",))
+        got = sinks.append(rows.limit(0), f"{tmp_path}/{kinds}", ("kind",))
+        assert sorted(got.collect()) == sorted((r.id, r.message, r.kind) for r in rows.collect())
+        assert spark.conf.get(name, None) == before
+    context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("append-3")]
+    stages = {s for j in jobs for s in j.stageIds}
+    assert stages and all(context._jsc.sc().statusStore().lastStageAttempt(s).peakExecutionMemory() == 0 for s in stages)
+
+
 def test_sitemap_files_are_inflated_by_content(spark, tmp_path):
     body = "<urlset><url><loc>http://x/é</loc></url></urlset>"
     for name, data in {"a.xml": gzip.compress(body.encode()), "b.xml.gz": gzip.compress(body.encode()), "c.xml": body.encode(),
