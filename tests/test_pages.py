@@ -87,6 +87,18 @@ def test_recipe_extract_main_gallery_and_exclusions(rows):
     assert not r.readable and r.images == []
 
 
+def test_recipe_pages_reach_python_once_and_in_small_batches(rows):
+    recipes = rows(
+        "domain string, recipe_built boolean, active boolean, main_image_selector string, gallery_image_selector string, image_url_attribute string, excluded_url_patterns string",
+        ("h.example.com", True, True, "img.hero", "img", "src", None),
+    )
+    found = C.recipe_extract(_pages(rows, '<img class="hero" src="/a.jpg"><img src="/b.jpg">', None), recipes)
+    flat = found.select("page_id", F.posexplode("images").alias("pos", "i")).filter("readable or pos = 0").select("page_id", "pos", "i.url", "i.role")
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+    assert sorted((r.pos, r.url.rsplit("/", 1)[1], r.role) for r in flat.collect()) == [(0, "a.jpg", "main"), (1, "b.jpg", "angle")]
+
+
 def test_politeness_matches_the_sequential_loop(spark):
     import random
 
