@@ -99,6 +99,13 @@ def test_recipe_pages_reach_python_once_and_in_small_batches(rows):
     assert sorted((r.pos, r.url.rsplit("/", 1)[1], r.role) for r in flat.collect()) == [(0, "a.jpg", "main"), (1, "b.jpg", "angle")]
 
 
+def test_pages_reach_python_once_for_contexts(rows):
+    listed = N.with_images(_pages(rows, "<p>near<img src='/a.jpg'></p>", None)).select("page_id", F.inline("images"))
+    plan = listed.filter("context <> ''")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+    assert [(r.page_id, r.context) for r in listed.collect()] == [(0, "near")]
+
+
 def test_politeness_matches_the_sequential_loop(spark):
     import random
 
