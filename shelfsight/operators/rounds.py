@@ -1,15 +1,15 @@
-"""Discovery as rounds over page ranks: a product looks at its next page only while no earlier one settled it.
+"""Discovery page by page: a product looks at its next page only while no earlier one settled it.
 
-Round r takes the r-th page of every product that is still open through the
-outbound guard, robots rules, the fetched pages, stored recipes and classifier
-answers. Each round's rows are written, and the next one starts from products
-without a settled row (an anti join), so pages behind the chosen one are never
-joined with their markup. There are as many rounds as a product may have pages.
+Every listed page goes once through the outbound guard, robots rules, the
+fetched pages, stored recipes and classifier answers, all products and places
+together, so fetched pages and answers are dealt out once. What a page gives does not
+depend on other pages; those behind the first settled one of their product are
+dropped afterwards. A product lists at most ``rounds`` pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.binding import with_once
@@ -34,24 +34,26 @@ def look_at(
     turn: DataFrame, fetched: DataFrame, resolved_ips: DataFrame, rules: DataFrame, recipes: DataFrame, answers: DataFrame,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """``outcome`` of each (product, page) of one round.
+    """``outcome`` of each (product, page) of ``turn``, whatever the product's other pages gave.
 
     ``refused`` by the outbound guard, disallowed by ``robots``, ``unusable``
     markup, images by a ``recipe``, ``unanswered``, an ``unreadable`` answer,
     ``rejected`` or ``accepted`` by the classifier. An unreadable recipe
     (``recipe_failed``) leaves the page to the classifier. ``fetched`` has one row
-    per address, ``answers`` one per product and page.
+    per address, ``answers`` one per product and page. Markup goes to selectors only on
+    domains with a recipe, and answers are parsed only where they count.
     """
     asked = robots_gate(ssrf_filter_resolved(turn.select(F.col("page_url").alias("url")).distinct(), resolved_ips), rules, settings.user_agent)
-    asked = asked.select("url", "allowed")
+    asked = materialized(asked.select("url", "allowed"), "asked-pages")
     usable = page_gate(fetched.join(unique(asked.filter("allowed")), "url").drop("allowed"))
     read = recipe_extract(render_flag(usable), recipes, settings, every_page=True).select(
         "url", "needs_render", F.col("readable").alias("_readable"), F.col("images").alias("_images"), F.lit(True).alias("_page"))
     on_page = turn.withColumn("url", F.col("page_url"))
     joined = on_page.join(unique(asked), "url", "left").join(many(read), "url", "left").join(
         many(answers.select("product_id", "page_url", "text", F.lit(True).alias("_answered"))), ["product_id", "page_url"], "left")
-    told = with_once(joined, "_c", classification(F.col("text")))
     by_recipe = F.coalesce(F.size("_images"), F.lit(0)) > 0
+    counts = F.col("_page") & ~by_recipe & F.col("_answered")
+    told = with_once(joined, "_c", F.when(counts, classification(F.col("text"))))
     outcome = (
         F.when(F.col("allowed").isNull(), "refused").when(~F.col("allowed"), "robots").when(F.col("_page").isNull(), "unusable")
         .when(by_recipe, "recipe").when(F.col("_answered").isNull(), "unanswered").when(F.col("_c.parse_error"), "unreadable")
@@ -75,16 +77,11 @@ def discovery_rounds(
 
     ``pages`` has ``product_id, page_pos, page_url, found_by``, places from 0.
     """
-    pages = materialized(pages.select("product_id", "page_pos", "page_url", "found_by"), "discovered-pages")
-    looked = None
-    for pos in range(rounds):
-        turn = pages.filter(F.col("page_pos") == pos)
-        if looked is not None:
-            done = looked.filter(F.col("outcome").isin(*SETTLED)).select("product_id")
-            turn = turn.join(unique(done), "product_id", "left_anti")
-        now = materialized(look_at(turn, fetched, resolved_ips, rules, recipes, answers, settings), f"round-{pos}")
-        looked = now if looked is None else looked.unionByName(now)
-    return looked
+    listed = pages.select("product_id", "page_pos", "page_url", "found_by").filter(F.col("page_pos").between(0, rounds - 1))
+    seen = look_at(materialized(listed, "discovered-pages"), fetched, resolved_ips, rules, recipes, answers, settings)
+    settled = F.when(F.col("product_id").isNotNull() & F.col("outcome").isin(*SETTLED), F.col("page_pos"))
+    last = F.min(settled).over(Window.partitionBy("product_id"))
+    return materialized(seen.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("page_pos") <= F.col("_last"))).drop("_last"), "looked-pages")
 
 
 def settled_pages(looked: DataFrame) -> DataFrame:
