@@ -299,3 +299,19 @@ def test_very_repetitive_texts_are_searched_in_linear_time(rows):
     found = _overlaps(index, _Coder(index.words), ["same " * 20_000, "x y " * 20_000])
     assert time.monotonic() - started < 5
     assert [[(o["item"], o["words"], o["item_words"]) for o in x] for x in found] == [[(0, 20_000, 600)], [(1, 40_000, 600)]]
+
+
+def test_messages_grow_with_the_blocks_and_not_with_their_square(rows, monkeypatch):
+    """A block sends a message per bucket, and buckets hold many blocks; all shares of a bucket are sorted apart."""
+    texts = _repeat_texts() * 3
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 300)
+    sent, real = [], suffix_dedup._hot_anchors
+    monkeypatch.setattr(suffix_dedup, "_hot_anchors", lambda m, most: sent.append(m) or real(m, most))
+    got = suffix_dedup.remove_repeats(rows("doc_id int, text string", *enumerate(texts)).repartition(2)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == dict(enumerate(_removed(texts, 200)))
+    numbers = [r["bucket"] for r in sent[0].filter("kind = 1").select("bucket").distinct().collect()]
+    assert numbers and max(numbers) < suffix_dedup.LEAST_BUCKETS < sum(len((t or "").encode()) for t in texts) / 300
+    own = np.unique(np.frombuffer(random.Random(1).randbytes(80_000), np.uint64))
+    packed = dict(suffix_dedup._pack_names(own, 5))
+    back = [suffix_dedup._unpack_names(packed[b]) for b in range(5)]
+    assert [len(np.unique(x)) for x in back] == [int((suffix_dedup._bucket(own, 5) == b).sum()) for b in range(5)]
